@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudframe.llm import mixing, secrets
+from cloudframe.llm import mixing, secrets, token_count, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.secrets_query,
+        "op5_token_output": token_output.token_output_query,
         "op6_source_mixing": mixing.mixing_query,
+        "op10_token_count": token_count.token_count_query,
     }
 
 
