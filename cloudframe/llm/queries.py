@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudframe.llm import mixing, secrets, token_count, token_output
+from cloudframe.llm import html_extract, minhash, mixing, secrets, token_count, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.secrets_query,
+        "op4_html_extract": html_extract.html_query,
         "op5_token_output": token_output.token_output_query,
         "op6_source_mixing": mixing.mixing_query,
+        "op7_minhash_dedup": minhash.minhash_query,
         "op10_token_count": token_count.token_count_query,
     }
 
