@@ -1,7 +1,7 @@
 """Token ids as wavelet-matrix files: one file per shard of whole documents, in the order of ``doc_id``.
 
 Rows are dealt by ranges of (doc_id, hash of the text) and sorted there; each task
-encodes its rows and closes a shard at ``SHARD_TOKENS`` ids. Spark's writer stores the
+encodes its rows and closes a shard once it has ``SHARD_TOKENS`` ids. Spark's writer stores the
 shard files as rows of a table, so a task that is run again replaces its own files. A
 shard knows the ids before it within its range; only the ranges' totals, one row each,
 are summed up over all ranges.
@@ -17,12 +17,14 @@ hashes; an empty table gives no shard and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,43 +34,85 @@ from cloudframe.llm.common import write_table
 from cloudframe.llm.wavelet import WaveletMatrix, pack
 
 SHARD_TOKENS = 1 << 18
-CACHE = 600_000
+CACHE, JOINED = 800_000, 48
 END_ID = 0
 SHARDS = "part int, seq int, offset long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, file binary"
 
 
 class Encoder:
+    """Ids of texts by the library, with each distinct chunk encoded once per worker while it is remembered."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uneven = "|".join([chunks.UNEVEN, *map(re.escape, specials)])
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.bits = max(1, int(top).bit_length())
         self.dtype = np.uint16 if self.bits <= 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
+        (self.feed,) = self._whole("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the three names with fixed ids stay: an empty head, a line feed, the end of a text."""
+        self.known = {chunks.HEAD: 0, chunks.FEED: 1, chunks.END: 2}
+        self.flat = np.array([self.feed, END_ID], self.dtype)
+        self.starts, self.lens = np.array([0, 0, 1]), np.array([0, 1, 1])
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, names: list[str]) -> None:
+        """Encodes chunks JOINED at a time, a line feed after each: it is always a token of its own there."""
+        plain = [n[1:] if n[0] == chunks.HEAD else " " + n for n in names]
+        blocks = ["\n".join(plain[at : at + JOINED]) + "\n" for at in range(0, len(plain), JOINED)]
+        got = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(blocks, add_special_tokens=False)])
+        ends = np.flatnonzero(got == self.feed)
+        if len(ends) != len(names):
+            raise RuntimeError("a chunk was joined with its neighbour")
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        self.known.update(zip(names, range(len(self.starts), len(self.starts) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.lens = np.concatenate([self.lens, ends - starts])
+        self.flat = np.concatenate([self.flat, got])
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [None if any(s in t for s in self.specials) else chunks.words(t) for t in texts]
-        missing: set[str] = set()
-        for w in cut:
-            if w:
-                missing.update(w[1:])
-        missing -= self.known.keys()
-        if missing:
-            names = list(missing)
-            self.known.update(zip(names, self._encode(list(map(chunks.chunk, names))), strict=True))
-        # first chunks have no space before them; texts with special strings are left whole
-        heads = iter(self._encode([t if w is None else w[0] for t, w in zip(texts, cut, strict=True)]))
-        get = self.known.__getitem__
-        return [next(heads) + (b"".join(map(get, w[1:])) if w else b"") for w in cut]
+            self.forget()
+        names = chunks.names(texts)
+        coded = names.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        get = self.known.get
+        place = np.array([get(n, -1) for n in distinct], np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = len(self.starts) + np.arange(len(missing))
+            self._learn([distinct[i] for i in missing.tolist()])
+        place = place[coded.indices.to_numpy()]
+        lens = self.lens[place]
+        ends = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[place] - (ends - lens), lens) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(lens, names.offsets.to_numpy()[:-1])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, the end id after each, and each text's number of ids."""
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        if not pc.any(uneven).as_py():
+            return self._even(texts)
+        counts, parts = np.zeros(len(texts), np.int64), [None] * len(texts)
+        odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        for i, e in zip(odd.tolist(), self.tokenizer.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False), strict=True):
+            parts[i] = np.array([*e.ids, END_ID], self.dtype)
+            counts[i] = len(parts[i])
+        even = np.flatnonzero(~uneven.to_numpy(zero_copy_only=False))
+        if len(even):
+            ids, n = self._even(texts.take(pa.array(even)))
+            counts[even] = n
+            for i, part in zip(even.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[i] = part
+        return np.concatenate(parts), counts
 
 
 @lru_cache(maxsize=2)
@@ -83,30 +127,27 @@ def build_shards(docs: DataFrame, *, path: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([END_ID], enc.dtype).tobytes()
         names = [c.split(" ")[0] for c in SHARDS.split(", ")]
-        ids, tokens, held, width = [], [], [], enc.dtype().itemsize
+        docs_held, counts_held, ids_held = [], [], []
         seq = offset = size = 0
 
         def close() -> pa.RecordBatch:
-            file = pack(np.frombuffer(b"".join(held), enc.dtype), enc.bits)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([offset], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([file], pa.binary())]
+            file = pack(np.concatenate(ids_held), enc.bits)
+            docs_of, counts_of = pa.concat_arrays(docs_held), pa.array(np.concatenate(counts_held))
+            lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (docs_of, counts_of)]
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([offset], pa.int64()), pa.array([size], pa.int64()), *lists, pa.array([file], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
-                for doc, got in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    n = len(got) // width + 1
-                    ids.append(doc)
-                    tokens.append(n)
-                    held += [got, end]
-                    size += n
-                    if size >= shard_tokens:
-                        yield close()
-                        ids, tokens, held = [], [], []
-                        seq, offset, size = seq + 1, offset + size, 0
-        if ids:
+        for batch in batches:
+            for piece in chunks.pieces(batch, 1, shard_tokens * 16):
+                ids, counts = enc.encode(piece.column(1))
+                docs_held.append(piece.column(0)), counts_held.append(counts), ids_held.append(ids)
+                size += len(ids)
+                if size >= shard_tokens:
+                    yield close()
+                    docs_held, counts_held, ids_held = [], [], []
+                    seq, offset, size = seq + 1, offset + size, 0
+        if docs_held:
             yield close()
 
     return write_table(ordered.mapInArrow(run, SHARDS), "token-shards", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})

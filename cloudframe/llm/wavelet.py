@@ -13,27 +13,29 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MAGIC = b"CFWM0001"
 BLOCK = 512
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    a = np.ascontiguousarray(ids)
+    a = pa.array(np.ascontiguousarray(ids))
     n = len(a)
     out = [MAGIC, struct.pack("<IQ", bits, n)]
-    one = a.dtype.type(1)
     for level in range(bits - 1, -1, -1):
-        set_ = ((a >> a.dtype.type(level)) & one).astype(bool)
-        packed = np.packbits(set_, bitorder="little")
+        values = a.to_numpy()
+        packed = np.packbits((values & values.dtype.type(1 << level)) != 0, bitorder="little")
         padded = np.zeros(-(-n // BLOCK) * (BLOCK // 8), np.uint8)
         padded[: len(packed)] = packed
         ones = np.bitwise_count(padded.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
         before = np.zeros(len(ones) + 1, np.uint32)
         np.cumsum(ones, out=before[1:])
-        low = a[~set_]
+        set_ = pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(packed)])
+        low = pc.filter(a, pc.invert(set_))
         out += [struct.pack("<Q", len(low)), before.tobytes(), padded.tobytes()]
-        a = np.concatenate([low, a[set_]])
+        a = pa.concat_arrays([low, pc.filter(a, set_)])
     return b"".join(out)
 
 
