@@ -75,8 +75,9 @@ _words: dict[bytes, int] = {}
 def _hashed_words(words: list[bytes]) -> np.ndarray:
     if len(_words) > WORD_CACHE:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -92,9 +93,11 @@ def _shingles(words: list[bytes], k: int) -> np.ndarray:
 
 def _signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = _coefficients(bands * rows)
-    least = None
-    for at in range(0, len(shingles), 2048):
-        one = (shingles[None, at : at + 2048] * a + b).min(axis=1)
+    least, room = None, np.empty((bands * rows, min(len(shingles), 512)), np.uint64)
+    for at in range(0, len(shingles), 512):
+        some = shingles[None, at : at + 512]
+        hashed = np.multiply(some, a, out=room[:, : some.shape[1]])
+        one = np.add(hashed, b, out=hashed).min(axis=1)
         least = one if least is None else np.minimum(least, one)
     keys = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
