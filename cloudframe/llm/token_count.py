@@ -112,7 +112,7 @@ class MergeCounter:
         """The number of ids of each pre-token."""
         if len(self.tokens) > CACHE:
             self.tokens.clear()
-        fresh = list(set(tokens) - self.tokens.keys())
+        fresh = [t for t in set(tokens) if t not in self.tokens]
         self.tokens.update(zip(fresh, self.merge_counts([p.encode() for p in fresh]).tolist(), strict=True))
         return np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
 
@@ -143,12 +143,9 @@ class MergeCounter:
                 w = chunks.words(part) if part else []
                 heads.append(w[0] if w else "")
                 jobs.append((w[1:], extra if k == 0 else 0, k > 0))
-        missing: set[str] = set()
-        for w, _, _ in jobs:
-            missing.update(w)
-        missing -= self.known.keys()
-        if missing:
-            self.learn(list(missing))
+        missing = set().union(*(w for w, _, _ in jobs))
+        if missing := [w for w in missing if w not in self.known]:
+            self.learn(missing)
         # a text's first chunk has no space before it
         cut = [self.pattern.findall(h) for h in heads]
         first = self.token_counts([t for parts in cut for t in parts]).tolist()
