@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudframe.llm import html_extract, minhash, mixing, secrets, token_count, token_output
+from cloudframe.llm import html_extract, minhash, mixing, secrets, token_count, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_output": token_output.token_output_query,
         "op6_source_mixing": mixing.mixing_query,
         "op7_minhash_dedup": minhash.minhash_query,
+        "op8_toxicity": toxicity.toxicity_query,
         "op10_token_count": token_count.token_count_query,
     }
 
