@@ -6,21 +6,21 @@ missing letter leaves most of the likeness. Values are divided by what the two l
 alone let expect.
 
 Sentences are bags of words (letters without what stands between them; runs of single
-letters are one word), and a bag is as toxic as its most toxic word: a text scores by
-the best word of its best sentence.
+letters are one word), and a bag is as toxic as its most toxic words: a text scores by
+the best word and the best three words of its sentences.
 
 Training, on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts (those of the
 smallest hashed ids):
 
-1. Words, and grams of four and five letters of them, are counted by the texts that hold
+1. Words, grams of four and five letters and longer beginnings of them are counted by the texts that hold
    them: how much more a text with one is toxic than others is its evidence. In each
    toxic text the words with the most evidence are positive examples, as they are and
    with one letter inserted, doubled or left out; words of clean texts are negative ones.
 2. Landmarks are taken from both; K(x, landmarks) K(landmarks, landmarks)^-1/2 are the
    features of a linear machine (squared hinge, Newton's method). The words of clean
    texts with the highest margins join the negative examples, twice.
-3. Platt's sigmoid turns margins into scores. It is fitted to the positive words, each as
-   often as toxic texts point to it, and to the best words of the sample's clean texts.
+3. Platt's sigmoid turns the margins of a text's best words into its score. It is fitted
+   to the sample's texts, and to clean texts with a positive word that no clean text has.
 
 As the machine is linear in the kernel and the kernel in the subsequences, the landmarks
 fold into one weight per subsequence; each distinct word is scored by a few lookups.
@@ -33,11 +33,11 @@ table. Whole texts are scored, whatever their length.
 
 from __future__ import annotations
 
+import heapq
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -49,15 +49,18 @@ from cloudframe.llm.common import write_table
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 MOST_WORDS, LANDMARKS = 8_000, 384
-HARD_ROUNDS = 3
+HARD_ROUNDS, BEST = 3, 3
 THRESHOLD = 0.3
 DECAY, GAPS = 0.4, 2
-LETTERS = 32
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 20.0, 8.0
 PENALTY = 10.0
 CACHE = 1_000_000
-#: fixed values: signs that stand for letters
-_SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s", "æ": "a", "ø": "o"}
+#: fixed values: letters beyond a to z that count as themselves, and signs and letters that stand for others
+_MORE = "éèêáàäíîóôöúùüñçß"
+_SIGNS = dict(zip("013457@$ëâåãïûøœæ", "oieastasêàaaîùooa", strict=True))
+#: every letter is a character from 'a' on: a to z, any other letter, the two end marks, _MORE
+_OTHER, _FIRST, _LAST = "{", "|", "}"
+LETTERS = 29 + len(_MORE) + 1
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _PLACES = [(n, (0, *c)) for n in (3, 4) for c in combinations(range(1, n + GAPS), n - 1)]
 
@@ -66,10 +69,8 @@ class _Letters(dict):
     """For str.translate: what each character counts as, or nothing."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code)
-        c = _SIGNS.get(c, c)
-        plain = unicodedata.normalize("NFD", c)[0]
-        out = plain if "a" <= plain <= "z" else ("{" if plain.isalpha() else "")
+        c = _SIGNS.get(chr(code), chr(code))
+        out = c if "a" <= c <= "z" else chr(126 + _MORE.index(c)) if c in _MORE else _OTHER if c.isalpha() else ""
         self[code] = out
         return out
 
@@ -78,8 +79,8 @@ _letters = _Letters()
 
 
 def letters_of(token: str) -> str:
-    """A lower-cased token's letters between end marks: a to z without accents, '{' for any letter beyond."""
-    return f"|{token.translate(_letters)}}}"
+    """A lower-cased token's letters between end marks."""
+    return f"{_FIRST}{token.translate(_letters)}{_LAST}"
 
 
 def tokens_of(text: str) -> set[str]:
@@ -172,28 +173,34 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _sigmoid(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Platt's slope and offset, by Newton's method on softened targets."""
+def _features(best: np.ndarray) -> np.ndarray:
+    """Of the best three margins of each text: the best one, their mean, and 1."""
+    return np.column_stack([best[:, 0], best.mean(axis=1) - best[:, 0], np.ones(len(best))])
+
+
+def _sigmoid(best: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Platt's coefficients by Newton's method on softened targets."""
+    x = _features(best)
     up, down = weight[toxic].sum(), weight[~toxic].sum()
     target = np.where(toxic, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.column_stack([margins, np.ones(len(margins))])
-    w = np.zeros(2)
+    w, keep = np.zeros(x.shape[1]), np.array([1e-2, 1e-2, 1e-6])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-9 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (p - target)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(keep)
+        step = np.linalg.solve(h, x.T @ (weight * (p - target)) + keep * w)
         w = w - step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-6)), float(w[1])
+    if w[1] < 0:  # more insults never make a text less toxic
+        return _sigmoid(np.repeat(best[:, :1], 3, axis=1), toxic, weight)
+    return w
 
 
 @dataclass
 class Model:
     table: np.ndarray  #: a weight per subsequence
     offset: float
-    slope: float = 1.0
-    shift: float = 0.0
+    platt: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -207,8 +214,8 @@ class Model:
             out[some] = total / _norms(lens) + self.offset
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
+    def scores(self, best: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_features(best) @ self.platt, -500, 500)))
 
 
 class Scorer:
@@ -217,15 +224,15 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def margins(self, texts: list[str]) -> np.ndarray:
+    def best(self, texts: list[str]) -> np.ndarray:
+        """The three highest margins of each text, filled up with the lowest there can be."""
         if len(self.known) > CACHE:
             self.known.clear()
         bags = [tokens_of(t) for t in texts]
         fresh = [t for t in set().union(*bags) if t not in self.known]
-        words = list(map(letters_of, fresh))
-        self.known.update(zip(fresh, self.model.margins(words).tolist(), strict=True))
-        get, low = self.known.__getitem__, min(self.model.offset, 0.0)
-        return np.array([max(map(get, b), default=low) for b in bags])
+        self.known.update(zip(fresh, self.model.margins(list(map(letters_of, fresh))).tolist(), strict=True))
+        get, low = self.known.__getitem__, [min(self.model.offset, 0.0)] * BEST
+        return np.array([(heapq.nlargest(BEST, map(get, bag)) + low)[:BEST] for bag in bags]).reshape(-1, BEST)
 
 
 def is_held_out(doc_id: str | Column) -> Column:
@@ -247,8 +254,8 @@ def _words(text: str) -> set[str]:
 
 
 def _grams(word: str) -> set[str]:
-    """A word itself and its grams of four and five letters."""
-    return {word} | {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
+    """A word itself, its grams of four and five letters, and its beginnings of up to nine."""
+    return {word} | {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} | {word[:n] for n in range(6, min(10, len(word)))}
 
 
 def _strong_grams(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -272,8 +279,8 @@ def _strong_grams(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     return {r.gram: r.evidence for r in strong.orderBy(F.desc("evidence"), "gram").limit(MOST_WORDS).collect()}
 
 
-def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, int], list[str]]:
-    """Positive words, those most texts point to first, with the number of these texts; and negative words."""
+def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, int], list[str], set[str]]:
+    """Positive words, those most texts point to first, with the number of these texts; negative words; positive ones that clean texts hold too."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
@@ -290,9 +297,10 @@ def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, in
     counted = write_table(sample.mapInArrow(pick, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "toxicity-words")
     good = counted.where(F.col("t") > 4 * F.col("c")).orderBy(F.desc("t"), F.xxhash64("word"), "word").limit(MOST_WORDS // 4).collect()
     positive = {r.word: r.t for r in good}
+    shared = {r.word for r in good if r.c}
     common = counted.where("c > 0").orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(MOST_WORDS // 4)
     others = counted.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS // 2)
-    return positive, sorted({r.word for r in common.union(others).collect()} - positive.keys())
+    return positive, sorted({r.word for r in common.union(others).collect()} - positive.keys()), shared
 
 
 def _hardest(sample: DataFrame, model: Model) -> list[str]:
@@ -356,38 +364,44 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     strong = _strong_grams(sample, n[1], n[0])
     if not strong:
         return None
-    positive, negative = _examples(sample, strong)
+    positive, negative, shared = _examples(sample, strong)
     if not positive or not negative:
         return None
+    rng = np.random.default_rng(seed)
     model = _fit(positive, negative, np.random.default_rng(seed), 0)
     hard: list[str] = []
     for _ in range(HARD_ROUNDS):
         hard = list(dict.fromkeys([*(w for w in _hardest(sample, model) if w not in positive), *hard]))
         model = _fit(positive, [*hard, *(w for w in negative if w not in set(hard))], np.random.default_rng(seed), len(hard))
-    # at most MOST_CLEAN numbers
-    clean = [r.margin for r in score(sample.where("toxic = 0"), model, keep=(), text="text", raw=True).collect()]
-    margins = np.concatenate([model.margins(list(positive)), clean])
-    weight = np.concatenate([np.fromiter(positive.values(), float, len(positive)), np.ones(len(clean))])
-    model.slope, model.shift = _sigmoid(margins, np.arange(len(margins)) < len(positive), weight)
+    # three numbers for each text of the bounded sample
+    rows = score(sample, model, keep=("toxic",), text="text", raw=True).collect()
+    toxic, best = np.array([r.toxic == 1 for r in rows]), np.array([r.margins for r in rows])
+    alone = [(w, t) for w, t in positive.items() if t >= LEAST_TEXTS and w not in shared]
+    clean = best[~toxic]
+    with_one = np.column_stack([model.margins([w for w, _ in alone]), clean[rng.integers(0, len(clean), len(alone))]])
+    with_one = -np.sort(-with_one, axis=1)[:, :BEST]
+    ones = np.array([t for _, t in alone], float)
+    weight = np.concatenate([np.ones(len(best)), 0.5 * toxic.sum() * ones / max(1.0, ones.sum())])
+    model.platt = _sigmoid(np.vstack([best, with_one]), np.concatenate([toxic, np.ones(len(alone), bool)]), weight)
     return model
 
 
 def score(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...], text: str = "text", raw: bool = False) -> DataFrame:
-    """The columns ``keep`` with ``score`` (or the ``margin``)."""
+    """The columns ``keep`` with ``score`` (or the ``margins`` of the best words)."""
     slim = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text], F.lit("")).alias("__text"))
-    name = "margin" if raw else "score"
     if model is None:
-        return slim.drop("__text").withColumn(name, F.lit(0.0))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{name} double"])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
+        return slim.drop("__text").withColumn("score", F.lit(0.0))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "margins array<double>" if raw else "score double"])
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each subsequence there can be, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
-                margins = scorer.margins(piece.column(piece.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(margins if raw else scorer.model.scores(margins), pa.float64())], names=[*keep, name])
+                best = scorer.best(piece.column(piece.num_columns - 1).to_pylist())
+                out = pa.array(best.tolist(), pa.list_(pa.float64())) if raw else pa.array(scorer.model.scores(best))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], out], names=[*keep, "margins" if raw else "score"])
 
     return slim.mapInArrow(run, schema)
 
