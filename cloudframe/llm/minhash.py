@@ -8,9 +8,11 @@
    hold it), so a bucket of n gives n - 1 pairs, never all of them.
 3. Pairs whose signatures differ too much are dropped; the others are confirmed on their
    full shingle sets. Confirmed pairs and copies are joined into components.
-4. In buckets whose members are still in several components, the members outside the
-   largest one are paired with the members of other components as well and confirmed the
-   same way. After that no pair that shares a bucket can change a component.
+4. Buckets whose members are still in several components are joined into clusters. In
+   each, the members outside the largest component are compared with all members, block
+   by block: a task gets the texts of two blocks, counts common shingles as a product of
+   0/1 matrices and returns no more links than it takes to join what belongs together.
+   After that no pair that shares a bucket can change a component.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^5)^32 = 3e-6.
 
@@ -40,6 +42,8 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 MEMBERS_PER_READ = 64
 #: Signature bits that may differ beyond what the threshold lets expect, in standard deviations.
 DEVIATIONS = 5.5
+#: Texts in a block of a cluster.
+BLOCK = 128
 WORD_CACHE = 1_000_000
 SEED = 20_240_601
 _SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, bits array<long>"
@@ -194,26 +198,86 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     links = _confirmed(docs, close(pairs), text, doc_id, shingle_words, percent).union(copies)
     parts = write_table(connected_components(links), "minhash-parts")
 
-    more = _strays(members, parts, bits, words, most_apart)
-    if not more.isEmpty():
-        links = links.union(_confirmed(docs, more, text, doc_id, shingle_words, percent))
-        parts = write_table(connected_components(links), "minhash-parts")
+    more = _split_links(docs, members, parts, text, doc_id, shingle_words, percent)
+    if more is not None:
+        parts = write_table(connected_components(links.union(more)), "minhash-parts")
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _strays(members: DataFrame, parts: DataFrame, bits: DataFrame, words: int, most_apart: int) -> DataFrame:
-    """Pairs in one bucket, not tried yet and in different components, with similar signatures."""
-    placed = members.where("doc_id <> first").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    split = placed.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("band")
-    placed = write_table(placed.join(split, "band"), "minhash-split")
-    counts = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("band").agg(F.max(F.struct("n", "part")).alias("l")).select("band", F.col("l.part").alias("largest"))
-    placed = placed.join(largest, "band").join(bits, "doc_id")
-    outside = placed.where("part <> largest").select("band", F.col("doc_id").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"))
-    others = placed.select("band", F.col("doc_id").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"), F.col("largest"))
-    near = outside.join(others, "band").where((F.col("pu") != F.col("pv")) & ((F.col("pv") == F.col("largest")) | (F.col("u") < F.col("v"))) & (_bits_differing(F.col("bu"), F.col("bv"), words) <= most_apart))
-    return write_table(near.select("u", "v").distinct(), "minhash-strays")
+def _split_links(docs: DataFrame, members: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame | None:
+    """Links between components of one bucket, other than those of its first member, which have been tried."""
+    inside = members.where("doc_id <> first").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    split = inside.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("doc_id").alias("least")).where("a <> b").select("band", "least")
+    inside = write_table(inside.join(split, "band").select("doc_id", "part", "least"), "minhash-split")
+    if inside.isEmpty():
+        return None
+    clusters = connected_components(inside.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    placed = write_table(inside.select("doc_id", "part").distinct().join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "cluster"), "minhash-clusters")
+    counts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("largest"))
+    blocks = [F.ceil(c / BLOCK).cast("int").alias(a) for c, a in ((F.col("n"), "all_blocks"), (F.col("n") - F.col("largest.n"), "few_blocks"))]
+    placed = placed.join(sizes.select("cluster", F.col("largest.part").alias("largest"), *blocks), "cluster")
+
+    def dealt(rows: DataFrame, role: int, own: str, other: str) -> DataFrame:
+        names = ("i", "j") if role == 0 else ("j", "i")
+        mine = rows.withColumn(names[0], F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return mine.select(F.col("doc_id").alias("id"), "cluster", "part", "i", "j", F.lit(role).alias("role"))
+
+    needed = write_table(dealt(placed.where("part <> largest"), 0, "few_blocks", "all_blocks").union(dealt(placed, 1, "all_blocks", "few_blocks")), "minhash-grid")
+    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text")).join(broadcast_if_small(needed, needed.count(), 1_000_000), "id")
+    ordered = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "role", "id", "part", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for *at, role, doc, part, body in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
+                if at != key:
+                    yield _links_of(held, percent)
+                    key, held = at, []
+                held.append((role, doc, part, _shingles(words_of(body.as_py()), k)))
+        yield _links_of(held, percent)
+
+    return write_table(ordered.mapInArrow(run, "u long, v long"), "minhash-links")
+
+
+def _links_of(held: list[tuple], percent: int) -> pa.RecordBatch:
+    """Links between the members of a few components (role 0) and all members, as few as join them."""
+    sides = [[h[1:] for h in held if h[0] == r] for r in (0, 1)]
+    us, vs = [], []
+    if all(sides):
+        sizes = [np.array([len(h[2]) for h in side]) for side in sides]
+        _, number, count = np.unique(np.concatenate([h[2] for side in sides for h in side]), return_inverse=True, return_counts=True)
+        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        column = (np.cumsum(count > 1) - 1)[number]
+        common = (count > 1)[number]
+        cut = sizes[0].sum()
+        both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        for at in range(0, int((count > 1).sum()), 4096):
+            halves = []
+            for side, (a, b) in enumerate(((0, cut), (cut, len(number)))):
+                here = common[a:b] & (column[a:b] >= at) & (column[a:b] < at + 4096)
+                matrix = np.zeros((len(sides[side]), 4096), np.float32)
+                matrix[owner[side][here], column[a:b][here] - at] = 1
+                halves.append(matrix)
+            both += halves[0] @ halves[1].T
+        parts = [np.array([h[1] for h in side]) for side in sides]
+        union = sizes[0][:, None] + sizes[1][None, :] - both
+        linked = (both > 0) & (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (parts[0][:, None] != parts[1][None, :])
+        leader: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while leader.setdefault(x, x) != x:
+                x = leader[x]
+            return x
+
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            # members of one component are joined already
+            a, b = root(int(parts[0][i])), root(int(parts[1][j]))
+            if a != b:
+                leader[max(a, b)] = min(a, b)
+                us.append(sides[0][i][0]), vs.append(sides[1][j][0])
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def minhash_query(spark, sf_dir: str) -> DataFrame:
