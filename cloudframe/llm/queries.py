@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudframe.llm import decontaminate, html_extract, minhash, mixing, secrets, token_count, token_output, toxicity
+from cloudframe.llm import decontaminate, embedding, html_extract, language, minhash, mixing, secrets, token_count, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.secrets_query,
+        "op2_language_id": language.language_query,
         "op3_decontamination": decontaminate.decontamination_query,
         "op4_html_extract": html_extract.html_query,
         "op5_token_output": token_output.token_output_query,
         "op6_source_mixing": mixing.mixing_query,
         "op7_minhash_dedup": minhash.minhash_query,
         "op8_toxicity": toxicity.toxicity_query,
+        "op9_embedding_dedup": embedding.embedding_query,
         "op10_token_count": token_count.token_count_query,
     }
 
