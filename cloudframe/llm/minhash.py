@@ -205,6 +205,24 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id.
+
+    Of rows that repeat both id and text one stays; rows without an id all stay.
+    """
+    found = write_table(near_duplicates(docs, text=text, doc_id=doc_id, **options).where("doc_id is not null"), "minhash-found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    stay = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), docs[doc_id] == F.col("__gone"), "left_anti")
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = write_table(again, "minhash-again")
+    n = again.count()
+    if not n:
+        return stay
+    again = broadcast_if_small(again, n, 1_000_000)
+    repeated = stay.join(again, stay[doc_id] == F.col("__again"), "left_semi").dropDuplicates([doc_id, text])
+    return stay.join(again, stay[doc_id] == F.col("__again"), "left_anti").unionByName(repeated)
+
+
 def _split_links(docs: DataFrame, members: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame | None:
     """Links between components of one bucket, other than those of its first member, which have been tried."""
     inside = members.where("doc_id <> first").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))

@@ -412,6 +412,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     return scored.select(F.col(doc_id).alias("doc_id"), is_held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    model = train(docs, labels, text=text, doc_id=doc_id, label=label)
+    if model is None:
+        return docs
+    place, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                piece = b.slice(at, 512)
+                best = scorer.best([t or "" for t in piece.column(place).to_pylist()])
+                yield piece.filter(pa.array(scorer.model.scores(best) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
