@@ -178,9 +178,11 @@ def _features(best: np.ndarray) -> np.ndarray:
     return np.column_stack([best[:, 0], best.mean(axis=1) - best[:, 0], np.ones(len(best))])
 
 
-def _sigmoid(best: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _sigmoid(best: np.ndarray, toxic: np.ndarray, weight: np.ndarray, only_best: bool = False) -> np.ndarray:
     """Platt's coefficients by Newton's method on softened targets."""
     x = _features(best)
+    if only_best:
+        x[:, 1] = 0
     up, down = weight[toxic].sum(), weight[~toxic].sum()
     target = np.where(toxic, (up + 1) / (up + 2), 1 / (down + 2))
     w, keep = np.zeros(x.shape[1]), np.array([1e-2, 1e-2, 1e-6])
@@ -191,9 +193,8 @@ def _sigmoid(best: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndar
         w = w - step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
-    if w[1] < 0:  # more insults never make a text less toxic
-        return _sigmoid(np.repeat(best[:, :1], 3, axis=1), toxic, weight)
-    return w
+    # more insults never make a text less toxic
+    return _sigmoid(best, toxic, weight, only_best=True) if w[1] < 0 else w
 
 
 @dataclass
