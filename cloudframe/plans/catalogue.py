@@ -1,15 +1,586 @@
-"""The query catalogue: one entry per operator, with the SQL it is checked against."""
+"""The query catalogue: one entry per operator, and the SQL it is checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cloudframe.functions import geometry as g
+from cloudframe.operators import cluster, filters, neighbors, ransac, ring, shape, splines, tracking, trajectory, voxels
+from cloudframe.plans import oracles
+from cloudframe.sources import tables as t
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+POSE = {"x": 1.5, "y": -2.0, "z": 0.5, "roll": 0.1, "pitch": -0.2, "yaw": 0.7}
+TURN = {"x": 1.5, "y": -2.0, "z": 0.5, "qw": 0.5, "qx": 0.5, "qy": -0.5, "qz": 0.5}
+
+
+def query(fn: Query) -> Query:
+    _QUERIES[fn.__name__] = fn
+    return fn
+
+
+def r6(*columns: str, digits: int = 6) -> list[Column]:
+    """Columns rounded; adding 0.0 turns -0.0 into 0.0."""
+    return [(F.round(c, digits) + 0.0).alias(c) for c in columns]
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
+
+
+# points: projections
+
+
+@query
+def voxel_downsample(spark, sf_dir):
+    return voxels.voxel_downsample(t.points_large(spark, sf_dir), 5.0).select("vx", "vy", "vz", "n", *r6("x", "y", "z"))
+
+
+@query
+def voxel_downsample_lineitem(spark, sf_dir):
+    return voxels.voxel_downsample(t.points_keyless(spark, sf_dir), 2.0, ("x", "y", "z", "intensity")).select("vx", "vy", "vz", "n", *r6("x", "y", "z"), *r6("intensity", digits=3))
+
+
+@query
+def voxel_blocks_min20(spark, sf_dir):
+    return voxels.voxel_blocks(t.points_large(spark, sf_dir), 10.0).select("vx", "vy", "vz", "n", *r6("cx", "cy", "cz"))
+
+
+@query
+def bbox_centroid(spark, sf_dir):
+    found = voxels.boxes(t.frames(spark, sf_dir), ["frame_id"])
+    return found.select("frame_id", "n", *r6(*[f"{m}_{c}" for c in "xyz" for m in ("min", "max", "avg")]))
+
+
+@query
+def covariance_about_point(spark, sf_dir):
+    found = voxels.covariance_about(t.points_small(spark, sf_dir), 1.0)
+    return found.select("id", "n", *r6("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
+
+
+@query
+def rigid_transform_rpy(spark, sf_dir):
+    return g.transform_rpy(t.points_small(spark, sf_dir), POSE).select("id", *r6("x", "y", "z"), "intensity")
+
+
+@query
+def quaternion_transform(spark, sf_dir):
+    return g.transform_quaternion(t.points_small(spark, sf_dir), TURN).select("id", *r6("x", "y", "z"))
+
+
+@query
+def plane_projection(spark, sf_dir):
+    return g.project_to_plane(t.points_small(spark, sf_dir), 1.0, 2.0, 2.0, 3.0).select("id", *r6("x", "y", "z"))
+
+
+@query
+def flatten_points(spark, sf_dir):
+    return g.flatten(t.points_small(spark, sf_dir)).select("id", *r6("x", "y", "z"))
+
+
+@query
+def spherical_coords(spark, sf_dir):
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    p = t.points_small(spark, sf_dir).withColumns({**g.spherical(x, y, z), "folded": g.folded_angle(x, y)})
+    return p.select("id", *r6("range", "vang", "hang", "folded"))
+
+
+@query
+def wrap_angle(spark, sf_dir):
+    a = (F.col("y") - 50) / 15
+    return t.frames(spark, sf_dir).select("id", g.wrap_angle(a).alias("a1"), g.wrap_angle(a, second=True).alias("a2")).select("id", *r6("a1", "a2"))
+
+
+@query
+def spline_basis(spark, sf_dir):
+    b = g.spline_basis(F.col("y") / 100)
+    return t.points_large(spark, sf_dir).select("id", *[v.alias(f"b{i}") for i, v in enumerate(b)]).select("id", *r6("b0", "b1", "b2", "b3", digits=8))
+
+
+@query
+def tau_vectors(spark, sf_dir):
+    u = F.col("y") / 100
+    cols = {f"d{k}_{i}": v for k in range(3) for i, v in enumerate(g.tau(u, 5, k))}
+    return t.points_large(spark, sf_dir).select("id", *[v.alias(n) for n, v in cols.items()]).select("id", *r6(*cols))
+
+
+@query
+def stamp_differences(spark, sf_dir):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.floor(us / 1_000_000).alias("sec"), F.pmod(us, F.lit(1_000_000)).alias("usec"))
+    return e.select("id", g.stamp_difference(F.col("sec"), F.col("usec"), F.lit(1_700_000_000), F.lit(999_999)).cast("long").alias("us"))
+
+
+@query
+def coloured_types(spark, sf_dir):
+    red = F.when(F.col("intensity") == 1, 255).when(F.col("intensity") == 2, 0).otherwise(128)
+    green = F.when(F.col("intensity") == 1, 0).when(F.col("intensity") == 2, 255).otherwise(128)
+    return t.points_small(spark, sf_dir).select("id", red.alias("r"), green.alias("g"), (255 - red - F.floor(green / 2)).cast("int").alias("b"))
+
+
+# points: filters
+
+
+@query
+def passthrough_z(spark, sf_dir):
+    return filters.pass_through(t.points_small(spark, sf_dir)).select("id")
+
+
+@query
+def crop_box(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    return p.where(~filters.inside_box((-1, -1, -1), (1, 1, 1), 0.5)).select("id")
+
+
+@query
+def crop_box_marks(spark, sf_dir):
+    return filters.mark_outside(t.points_small(spark, sf_dir), (-1, -1, -1), (1, 1, 1)).select("id", "intensity")
+
+
+@query
+def points_in_boxes(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    boxes = p.where("id % 50 = 0").select(*[(F.col(c) - 0.5).alias(f"min_{c}") for c in "xyz"], *[(F.col(c) + 0.5).alias(f"max_{c}") for c in "xyz"])
+    return filters.in_boxes(p, boxes)
+
+
+@query
+def range_gate(spark, sf_dir):
+    return filters.range_gate(t.points_small(spark, sf_dir), 2.0).select("id")
+
+
+@query
+def near_points(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    return p.where(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) < 1).select("id")
+
+
+@query
+def anti_join_indices(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    return filters.without_ids(p, p.where("intensity < 3").select("id")).select("id")
+
+
+@query
+def semi_join_indices(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    return filters.only_ids(p, p.where("intensity < 3").select("id")).select("id")
+
+
+@query
+def statistical_outlier(spark, sf_dir):
+    return filters.statistical_outliers(t.points_small(spark, sf_dir), 8).select("id")
+
+
+@query
+def radius_outlier(spark, sf_dir):
+    return filters.radius_outliers(t.points_small(spark, sf_dir), 0.8)
+
+
+@query
+def morphological_ground(spark, sf_dir):
+    return filters.morphological_ground(t.points_small(spark, sf_dir), ((1.0, 1.0), (2.0, 2.0))).select("id", "is_ground")
+
+
+@query
+def feature_points(spark, sf_dir):
+    n = shape.normals(t.points_small(spark, sf_dir), 10)
+    return n.where(F.col("curvature") * 100 > 25).select("id")
+
+
+# neighbourhoods
+
+
+@query
+def radius_neighbors(spark, sf_dir):
+    return neighbors.radius_pairs(t.points_small(spark, sf_dir), 1.0).select("id", "nid", *r6("d2"))
+
+
+@query
+def radius_neighbor_counts(spark, sf_dir):
+    return neighbors.neighbour_counts(t.points_large(spark, sf_dir), 2.0, ("x", "y"))
+
+
+@query
+def knn(spark, sf_dir):
+    return neighbors.knn(t.points_small(spark, sf_dir), 6, 1.0).select("id", "nid", "rank", *r6("d"))
+
+
+@query
+def nearest_target(spark, sf_dir):
+    p = t.frames(spark, sf_dir)
+    found = neighbors.nearest_target(p.where("id % 4 > 0"), p.where("id % 4 = 0"), 20.0, by=("frame_id",))
+    return found.select("id", "target_id", *r6("d"))
+
+
+# trajectories
+
+
+@query
+def pose_interval_join(spark, sf_dir):
+    return trajectory.interpolate(t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)).select("traj_id", *r6("t", "x", "y", "z"))
+
+
+@query
+def pose_interpolation_rotation(spark, sf_dir):
+    found = trajectory.interpolate(t.poses(spark, sf_dir), t.scan_times(spark, sf_dir), rotation=True)
+    return found.select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+
+
+@query
+def poses_between(spark, sf_dir):
+    return trajectory.poses_between(t.poses(spark, sf_dir), 3).select("traj_id", "step", *r6("t0", "x", "y", "z"))
+
+
+@query
+def knot_bracket(spark, sf_dir):
+    found = trajectory.bracket(t.poses(spark, sf_dir), t.scan_times(spark, sf_dir), ["x"])
+    return found.select("traj_id", *r6("t", "t0", "t1", "alpha"))
+
+
+@query
+def catmull_rom_slope(spark, sf_dir):
+    return trajectory.slopes(t.poses(spark, sf_dir)).select("traj_id", *r6("t", "vx", "vy", "vz"))
+
+
+def _hermite(spark, sf_dir, derivative):
+    found = trajectory.hermite(trajectory.slopes(t.poses(spark, sf_dir), "xy"), t.scan_times(spark, sf_dir), "xy", derivative)
+    return found.select("traj_id", *r6("t", "x", "y"))
+
+
+@query
+def hermite_eval(spark, sf_dir):
+    return _hermite(spark, sf_dir, 0)
+
+
+@query
+def hermite_velocity(spark, sf_dir):
+    return _hermite(spark, sf_dir, 1)
+
+
+@query
+def hermite_accel(spark, sf_dir):
+    return _hermite(spark, sf_dir, 2)
+
+
+@query
+def cumulative_bspline(spark, sf_dir):
+    return trajectory.cumulative_bspline(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z"))
+
+
+@query
+def recursive_smoothing(spark, sf_dir):
+    return trajectory.smooth_recursively(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z"))
+
+
+@query
+def knot_upsert(spark, sf_dir):
+    p = t.poses(spark, sf_dir).select("traj_id", "t", "x", "y")
+    changes = p.where("traj_id % 2 = 0").withColumn("x", F.col("x") + 1).withColumn("t", F.when(F.col("y") < 50, F.col("t")).otherwise(F.col("t") + 0.5))
+    return trajectory.upsert_knots(p, changes).select("traj_id", *r6("t", "x", "y"))
+
+
+@query
+def knot_delete(spark, sf_dir):
+    p = t.poses(spark, sf_dir).select("traj_id", "t", "x")
+    return trajectory.delete_knots(p, p.where("x < 20")).select("traj_id", *r6("t", "x"))
+
+
+@query
+def knot_range(spark, sf_dir):
+    found = trajectory.knots_in_range(t.poses(spark, sf_dir).select("traj_id", "t", "x"), 1704120000.0, 1704200000.0)
+    return found.select("traj_id", *r6("t", "x"))
+
+
+@query
+def knot_stats(spark, sf_dir):
+    found = trajectory.knot_statistics(t.poses(spark, sf_dir))
+    return found.select("traj_id", "n", *r6("min_t", "max_t"), *r6("mean_dt", "mean_distance", digits=4))
+
+
+@query
+def sampling_policy(spark, sf_dir):
+    return trajectory.sample_by_ratio(t.poses(spark, sf_dir).select("traj_id", "t", "x"), 4).select("traj_id", *r6("t", "x"))
+
+
+@query
+def slerp_eval(spark, sf_dir):
+    found = trajectory.slerp_curve(t.poses(spark, sf_dir), t.scan_times(spark, sf_dir))
+    return found.select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+
+
+@query
+def composition_eval(spark, sf_dir):
+    p, times = t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)
+    base = trajectory.slerp_curve(p, times)
+    correction = trajectory.slerp_curve(p.withColumns({"x": F.lit(0.5), "y": F.lit(0.0), "yaw": F.lit(0.1)}), times)
+    return trajectory.compose(correction, base).select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+
+
+@query
+def transformed_curve(spark, sf_dir):
+    p = t.poses(spark, sf_dir)
+    q = g.euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("yaw"))
+    knots = p.select("traj_id", "t", "x", "y", "z", *[v.alias(n) for v, n in zip(q, ("qw", "qx", "qy", "qz"), strict=True)])
+    return trajectory.transform_curve(knots, (1.0, 2.0, 3.0), (0.5, 0.5, 0.5, 0.5)).select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+
+
+@query
+def closed_bspline(spark, sf_dir):
+    return trajectory.closed_bspline(t.poses(spark, sf_dir)).select("traj_id", "i", *r6("px", "py"))
+
+
+@query
+def global_map(spark, sf_dir):
+    scans = t.frames(spark, sf_dir)
+    poses = scans.select("frame_id").distinct().select("frame_id", (F.col("frame_id") * 0.5).alias("tx"), F.lit(1.0).alias("ty"), F.lit(0.25).alias("tz"), F.lit(0.0).alias("roll"), F.lit(0.05).alias("pitch"), (F.col("frame_id") % 7 * 0.1).alias("yaw"))
+    return trajectory.global_map(scans, poses).select("frame_id", "id", *r6("x", "y", "z"))
+
+
+@query
+def file_key_join(spark, sf_dir):
+    p, s = t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)
+    key = F.format_string("%.6f", F.col("t"))
+    named = p.union(p.limit(0)).select("traj_id", F.concat(key, F.lit(".pcd")).alias("file"))
+    asked = s.select("traj_id", F.col("t")).union(p.select("traj_id", "t"))
+    return asked.select("traj_id", F.concat(key, F.lit(".pcd")).alias("file")).join(named, ["traj_id", "file"])
+
+
+# splines
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    knots = trajectory.slopes(t.poses(spark, sf_dir).select("traj_id", "t", "x"), ["x"])
+    return trajectory.segments(knots, ["x", "vx"]).withColumn("d", (F.col("t1") - F.col("t0")) / 1000)
+
+
+def _coefficients(order: int) -> Query:
+    def run(spark, sf_dir):
+        c = {n: F.col(n) for n in ("x0", "x1", "vx0", "vx1", "d")}
+        a = splines.coefficients(order, c["x0"], c["x1"], c["d"], c["vx0"], c["vx1"], F.lit(0.5), F.lit(-0.5))
+        names = [f"a{k}" for k in range(order, -1, -1)]
+        return _pairs(spark, sf_dir).where("d > 0.5").select("traj_id", "t0", *[v.alias(n) for v, n in zip(a, names, strict=True)]).select("traj_id", *r6("t0", *names))
+
+    return run
+
+
+for _order in range(1, 6):
+    _QUERIES[f"poly_coeffs_{_order}"] = _coefficients(_order)
+
+
+@query
+def poly_eval(spark, sf_dir):
+    p = t.poses(spark, sf_dir)
+    start = p.groupBy("traj_id").agg(F.min("t").alias("start"))
+    times = t.scan_times(spark, sf_dir).join(start, "traj_id").select("traj_id", (F.col("t") - F.col("start")).alias("t"))
+    return splines.evaluate(splines.fit_linear(p), times, 1).select("traj_id", *r6("t", "pos", "vel", "acc", digits=5))
+
+
+@query
+def cubic_fit(spark, sf_dir):
+    return splines.fit_cubic(t.poses(spark, sf_dir)).select("traj_id", "seg", *r6("duration", "a1", "a0"))
+
+
+@query
+def spline_validity(spark, sf_dir):
+    fitted = splines.fit_linear(t.poses(spark, sf_dir))
+    broken = fitted.withColumn("duration", F.when((F.col("traj_id") % 3 == 0) & (F.col("seg") == 2), -1.0).otherwise(F.col("duration")))
+    return splines.is_valid(broken, 1)
+
+
+# rings
+
+
+def _scan(spark, sf_dir) -> DataFrame:
+    return t.points_small(spark, sf_dir).withColumn("z", F.col("z") * 0.2)
+
+
+@query
+def range_image_scan16(spark, sf_dir):
+    found = ring.range_image(t.points_small(spark, sf_dir), row_step=20.0, col_step=10.0)
+    return found.select("row", "col", *r6("range"), "point_id", "covered")
+
+
+@query
+def scan_angle_range(spark, sf_dir):
+    return ring.angle_range(t.points_small(spark, sf_dir)).select(*r6("min_v", "max_v", "min_h", "max_h"))
+
+
+@query
+def ring_projection(spark, sf_dir):
+    return ring.project(_scan(spark, sf_dir)).select("row", "col", *r6("range"), "point_id", "covered")
+
+
+@query
+def indoor(spark, sf_dir):
+    return ring.is_indoor(ring.project(_scan(spark, sf_dir)), far=3.0)
+
+
+def _coarse(spark, sf_dir) -> DataFrame:
+    return ring.project(_scan(spark, sf_dir), columns=60)
+
+
+@query
+def ring_ground(spark, sf_dir):
+    return ring.ground(_coarse(spark, sf_dir), most_degrees=40.0).select("row", "col", "is_ground")
+
+
+@query
+def ring_ground_range(spark, sf_dir):
+    return ring.ground_range(ring.ground(_coarse(spark, sf_dir), most_degrees=40.0)).select("col", *r6("max_range"))
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    return ring.segments(_coarse(spark, sf_dir), columns=60, angle=0.2, least=8, few=4, least_rows=2)
+
+
+@query
+def ring_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query
+def ring_above_ground(spark, sf_dir):
+    marked = ring.ground(_coarse(spark, sf_dir), most_degrees=40.0)
+    found = ring.segmentation(marked, _segments(spark, sf_dir), 60)
+    return found.select("point_id", "is_segmented", "is_outlier", "is_pure", "is_above_ground")
+
+
+@query
+def scan_end_angles(spark, sf_dir):
+    return ring.end_angles(t.points_small(spark, sf_dir)).select(*r6("first", "last"))
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """Events as cells of a dense scan: 16 rows, columns in the order of time."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 16).cast("int").alias("row"), "ts", "event_id", "value")
+    col = (F.row_number().over(Window.partitionBy("row").orderBy("ts", "event_id")) - 1).cast("int")
+    return e.select("row", col.alias("col"), F.col("value").alias("range"))
+
+
+@query
+def smoothness(spark, sf_dir):
+    return ring.smoothness(_rows(spark, sf_dir)).select("row", "col", "block", *r6("s"))
+
+
+@query
+def smoothness_labels(spark, sf_dir):
+    rated = ring.smoothness(_rows(spark, sf_dir)).withColumn("s", F.round("s", 6))
+    return ring.smoothness_labels(rated)
+
+
+# clusters and models
+
+
+@query
+def dbscan3d(spark, sf_dir):
+    return cluster.dbscan(t.points_small(spark, sf_dir), 0.75, 6)
+
+
+@query
+def dbscan2d(spark, sf_dir):
+    return cluster.dbscan(t.points_small(spark, sf_dir), 0.3, 6, ("x", "y"))
+
+
+@query
+def dbscan_first_visit(spark, sf_dir):
+    return cluster.dbscan(t.points_small(spark, sf_dir), 0.3, 6, ("x", "y"), border="first_visit")
+
+
+@query
+def dbscan_boxes(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    found = cluster.cluster_boxes(p, cluster.dbscan(p, 0.2, 4, ("x", "y"), border="first_visit"), most_dx=6.0, most_dy=6.0)
+    return found.select("cluster", "n", *r6(*[f"{m}_{c}" for c in "xyz" for m in ("min", "max", "avg")]))
+
+
+@query
+def euclidean_clusters(spark, sf_dir):
+    return cluster.euclidean_clusters(t.points_small(spark, sf_dir), 0.5, 3, 4000)
+
+
+@query
+def adaptive_clusters(spark, sf_dir):
+    return cluster.adaptive_clusters(t.points_small(spark, sf_dir), ((0, 2, 0.15), (2, 3, 0.3), (3, 8, 0.45)), 4, 1000)
+
+
+@query
+def voxel_then_cluster(spark, sf_dir):
+    v = voxels.voxel_downsample(t.points_large(spark, sf_dir), 4.0)
+    keyed = v.select((F.col("vx") * 1000 + F.col("vy")).alias("id"), *[F.round(c, 6).alias(c) for c in "xyz"])
+    return cluster.euclidean_clusters(keyed, 5.0, 2)
+
+
+@query
+def conditional_clusters(spark, sf_dir):
+    return cluster.euclidean_clusters(t.points_small(spark, sf_dir), 0.9, 2, keep=("intensity",), predicate=lambda a, b, d2: F.abs(a["intensity"] - b["intensity"]) < 2)
+
+
+@query
+def mean_shift(spark, sf_dir):
+    return cluster.mean_shift(t.points_small(spark, sf_dir), 2, 1.0, 5).select("id", *r6("x", "y", "z"))
+
+
+@query
+def ransac_plane(spark, sf_dir):
+    return ransac.planes(t.points_small(spark, sf_dir), 0.3, tries=20, least=1, most_models=1).select("id", "model")
+
+
+@query
+def ransac_line(spark, sf_dir):
+    return ransac.lines(t.points_small(spark, sf_dir), 0.3, tries=20, least=1, most_models=1).select("id", "model")
+
+
+@query
+def ransac_planes_all(spark, sf_dir):
+    return ransac.planes(t.points_small(spark, sf_dir), 0.3, tries=50, least=20).select("id", "model", *r6("m0", "m1", "m2", "m3"))
+
+
+@query
+def pca_features(spark, sf_dir):
+    return shape.pca_features(t.points_small(spark, sf_dir), 1.0).select("id", "n", *r6("l1", "l2", "l3", "linear", "planar", "scatter"))
+
+
+@query
+def normals(spark, sf_dir):
+    return shape.normals(t.points_small(spark, sf_dir)).select("id", *r6("nx", "ny", "nz", "curvature"))
+
+
+@query
+def super_voxels(spark, sf_dir):
+    return shape.super_voxels(t.points_small(spark, sf_dir), 1.5, 8, 0.4).select("vx", "vy", "vz", "n", *r6("planar"))
+
+
+@query
+def oriented_bbox(spark, sf_dir):
+    found = shape.oriented_boxes(t.points_small(spark, sf_dir), "intensity")
+    return found.select("intensity", "n", *r6(*[f"{m}_{k}" for m in ("min", "max") for k in (1, 2, 3)]))
+
+
+@query
+def region_grow(spark, sf_dir):
+    return shape.grow_regions(t.points_small(spark, sf_dir), tolerance=0.8, most_degrees=30.0, least=3)
+
+
+# tracking
+
+
+@query
+def kalman_track(spark, sf_dir):
+    return tracking.kalman(t.detections(spark, sf_dir)).select("seq_id", "frame", *r6("x", "y", "vx", "vy"))
+
+
+@query
+def multi_object_tracking(spark, sf_dir):
+    return tracking.track(t.detections(spark, sf_dir)).select("seq_id", "frame", "track_id", "det_id", *r6("x", "y", "vx", "vy"), "dynamic")
