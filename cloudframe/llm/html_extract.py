@@ -152,14 +152,22 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = np.array([len(text) / max(1, line.tags) for line, text in lines])
     level = smooth(ratio)
-    content = level >= min(level.mean() - 0.5 * level.std(), 0.5 * level.mean())
+    threshold = min(level.mean() - 0.5 * level.std(), 0.5 * level.mean())
+    content = level >= threshold
     regions = np.array([line.region for line, _ in lines])
     if regions.any():
         full = {r for r in set(regions.tolist()) - {0} if content[regions == r].any()}
         keep = np.isin(regions, list(full))
     else:
-        # bridge short gaps, and take headings that lead a run
+        # a line at the edge of a run may owe its level to its neighbours alone; then bridge short gaps, and take headings that lead a run
         keep = content.copy()
+        weak = (ratio < 0.5 * threshold) & ~np.array([line.tag in HEADINGS for line, _ in lines])
+        for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+            inside = False
+            for k in order:
+                inside = bool(content[k]) and (inside or not weak[k])
+                keep[k] &= inside
+        content = keep.copy()
         at = np.flatnonzero(content)
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b - a <= 3:
