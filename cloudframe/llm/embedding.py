@@ -255,3 +255,14 @@ def _linked(classes: DataFrame, total: int, least: float) -> tuple[DataFrame, Da
 
 def embedding_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+def oracle_sql() -> str:
+    """The same by all pairs of a label in DuckDB."""
+    return f"""WITH RECURSIVE all_rows AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    proper AS (SELECT * FROM all_rows WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    linked AS (SELECT a.vec_id AS u, b.vec_id AS v FROM proper a JOIN proper b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),
+    reach AS (SELECT u, v FROM linked UNION SELECT reach.u, linked.v FROM reach JOIN linked ON reach.v = linked.u),
+    counts AS (SELECT u, count(*) AS n FROM linked GROUP BY 1), parts AS (SELECT u, min(v) AS least FROM reach GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(p.least, vec_id)) AS component_id, vec_id <= coalesce(p.least, vec_id) AS kept
+    FROM all_rows LEFT JOIN counts c ON c.u = vec_id LEFT JOIN parts p ON p.u = vec_id"""

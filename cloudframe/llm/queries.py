@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.oracle_sql()}
+    return {"op1_secret_scan": secrets.oracle_sql(), "op9_embedding_dedup": embedding.oracle_sql()}
