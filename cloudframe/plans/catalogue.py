@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
 from cloudframe.operators import cluster, filters, neighbors, ransac, ring, shape, splines, tracking, trajectory, voxels
-from cloudframe.plans import oracles
+from cloudframe.plans import oracles, programs
 from cloudframe.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,3 +584,33 @@ def kalman_track(spark, sf_dir):
 @query
 def multi_object_tracking(spark, sf_dir):
     return tracking.track(t.detections(spark, sf_dir)).select("seq_id", "frame", "track_id", "det_id", *r6("x", "y", "vx", "vy"), "dynamic")
+
+
+# programs
+
+
+@query
+def dynamic_object_removal(spark, sf_dir):
+    p = t.frames(spark, sf_dir)
+    poses = p.select("frame_id").distinct().select("frame_id", *[F.lit(0.0).alias(f"t{c}") for c in "xyz"], F.lit(0.0).alias("roll"), F.lit(0.0).alias("pitch"), (F.col("frame_id") * 0.01).alias("yaw"))
+    scans = p.select((F.col("frame_id") % 5).alias("seq_id"), "frame_id", "id", "x", "y", (F.col("y") / 50 - 1).alias("z"))
+    found = programs.remove_dynamic_objects(scans, poses, programs.Scan(columns=360, ground_degrees=30.0, angle=0.3, radius=10.0, least=3))
+    return found.select("frame_id", "id", *r6("x", "y", "z"))
+
+
+@query
+def interpolated_map(spark, sf_dir):
+    poses, times = t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)
+    scans = times.withColumn("id", F.xxhash64("traj_id", "t")).select("traj_id", "t", "id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
+    return programs.interpolated_map(poses, times, scans, 400.0).select("traj_id", "id", *r6("t", "x", "y", "z"))
+
+
+@query
+def scan_features(spark, sf_dir):
+    p = t.frames(spark, sf_dir).select((F.col("frame_id") % 4).alias("frame_id"), "id", "x", (F.col("y") - 50).alias("y"), (F.col("id") % 100 / 50 - 1).alias("z"))
+    return programs.scan_features(p, programs.Scan(columns=360), block=60)
+
+
+@query
+def thinned_clusters(spark, sf_dir):
+    return programs.thinned_clusters(t.points_small(spark, sf_dir), 0.3, 0.7).select("id", "cluster", *r6("x", "y", "z"))
