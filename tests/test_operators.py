@@ -273,3 +273,26 @@ def test_order_of_rows_does_not_matter(spark):
     p = points(spark, scattered(60, 9, 2.0))
     for op in (lambda d: cluster.dbscan(d, 0.8, 4), lambda d: cluster.euclidean_clusters(d, 0.7, 2), lambda d: ransac.planes(d, 0.2, tries=20, least=5)):
         assert sorted(map(tuple, op(p).collect())) == sorted(map(tuple, op(p.repartition(5).orderBy(F.desc("x"))).collect()))
+
+
+def test_transform_and_back(spark):
+    p = points(spark, scattered(40, 11))
+    q = np.array([0.3, -0.5, 0.7, 0.1])
+    q /= np.linalg.norm(q)
+    there = g.rotate_quaternion(*[F.col(c) for c in "xyz"], *map(F.lit, map(float, q)))
+    moved = p.select("id", *[v.alias(c) for v, c in zip(there, "xyz", strict=True)])
+    back = g.rotate_quaternion(*[F.col(c) for c in "xyz"], *map(F.lit, map(float, q * [1, -1, -1, -1])))
+    got = [tuple(r) for r in moved.orderBy("id").select(*back).collect()]
+    assert np.allclose(got, [(r.x, r.y, r.z) for r in p.orderBy("id").collect()])
+
+
+def test_mean_shift_keeps_lone_points(spark):
+    p = points(spark, [(0, 0, 0), (0.2, 0, 0), (0.1, 0.1, 0), (50, 0, 0)])
+    got = {r.id: (round(r.x, 6), round(r.y, 6)) for r in cluster.mean_shift(p, 1, 1.0, 3).collect()}
+    assert got[3] == (50, 0) and got[0] == got[1] == got[2] == (0.1, round(0.1 / 3, 6))
+
+
+def test_conditional_clusters(spark):
+    p = points(spark, [(0, 0, 0), (0.1, 0, 0), (0.2, 0, 0)]).withColumn("intensity", F.when(F.col("id") == 2, 9.0).otherwise(0.0))
+    found = cluster.euclidean_clusters(p, 0.5, keep=("intensity",), predicate=lambda a, b, d2: F.abs(a["intensity"] - b["intensity"]) < 1)
+    assert {r.id: r.cluster for r in found.collect()} == {0: 1, 1: 1, 2: 2}
