@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.llm.common import broadcast_if_small, write_table
@@ -60,10 +60,12 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     langs = sorted(r.lang for r in counts)
     if not langs:
         return [], {}
-    sample = None
-    for name in langs:
-        some = slim.where(F.col("lang") == name).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS)
-        sample = some if sample is None else sample.union(some)
+    # one pass over the texts: about twice the sample by a threshold of the hashed id, then exactly the smallest
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2.0 * SAMPLE_TEXTS / r["count"])))])
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    some = write_table(slim.withColumn("place", place).where(F.col("place") < shares[F.col("lang")] * (1 << 31)), "language-sample")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    sample = some.withColumn("n", order).where(F.col("n") <= SAMPLE_TEXTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
