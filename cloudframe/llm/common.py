@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.sources.shared import drop_table, shared_dir, write_table
 
-__all__ = ["broadcast_if_small", "drop_table", "shared_dir", "table", "text_or_empty", "write_table"]
+__all__ = ["broadcast_if_small", "drop_table", "let_go", "shared_dir", "small_batches", "table", "text_or_empty", "write_table"]
+
+_LIBC = ctypes.CDLL(None)
+#: Texts may be long: so many rows at most go to Python at a time.
+BATCH_ROWS = 1024
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -21,3 +28,21 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFr
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let_go(*caches: dict) -> None:
+    """Empty a task's caches and give unused memory back: workers live on, and the next stage needs the room."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to send at most BATCH_ROWS rows to Python at a time, which bounds memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.llm.common import let_go, small_batches
+
 ERROR_RATE = 0.1
 ROUND_CHARS = 2_000_000
 #: Edits allowed in a pair of neighbouring pieces, one of which is a hit.
@@ -159,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
                 at, found, edits, ends = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64()), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end_at"])
 
-        one = slim.mapInArrow(run, schema)
+        one = small_batches(slim).mapInArrow(run, schema)
         out = one if out is None else out.union(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -174,8 +176,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             matcher = Matcher(sent.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(body.as_py()) for body in b.column(place)], pa.bool_()))
+        let_go()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.llm.common import small_batches
+
 SIGMA = 1.5
 PIECE = 1 << 16
 
@@ -190,7 +192,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
                 texts = [main_text(h) for h in piece.column(piece.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return slim.mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return small_batches(slim).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def html_query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, write_table
+from cloudframe.llm.common import broadcast_if_small, small_batches, write_table
 
 SAMPLE_TEXTS, MOST_LANGUAGES, MOST_GRAMS = 500, 100, 60_000
 TEMPER = 0.25
@@ -117,7 +117,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, html: str = "html", url: str
             rows = [(TEMPER * sum((n * table[g] for g, n in trigrams(visible(body.as_py())).items() if g in table), nothing)).tolist() for body in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "text_logs"])
 
-    scored = slim.mapInArrow(read, schema)
+    scored = small_batches(slim).mapInArrow(read, schema)
     labels = F.split("host", r"\.")
     scored = scored.withColumns({
         "suffix": F.element_at(labels, -1),

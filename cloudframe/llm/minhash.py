@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, write_table
+from cloudframe.llm.common import broadcast_if_small, let_go, small_batches, write_table
 from cloudframe.operators.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -44,7 +44,7 @@ MEMBERS_PER_READ = 64
 DEVIATIONS = 5.5
 #: Texts in a block of a cluster.
 BLOCK = 128
-WORD_CACHE = 1_000_000
+WORD_CACHE = 400_000
 SEED = 20_240_601
 _SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, bits array<long>"
 
@@ -130,8 +130,9 @@ def sign(docs: DataFrame, text: str, doc_id: str, k: int, bands: int = BANDS, ro
                     band_keys.append(keys), bits.append(packed)
                 cols = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "text_key", "bands", "bits"])
+        let_go(_words)
 
-    return slim.mapInArrow(run, _SIGNED)
+    return small_batches(slim).mapInArrow(run, _SIGNED)
 
 
 def _bits_differing(a: Column, b: Column, n: int) -> Column:
@@ -167,6 +168,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str, k: int
                         us.append(doc), vs.append(lead)
                         break
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        let_go()
 
     return write_table(ordered.mapInArrow(run, "u long, v long"), "minhash-links")
 
@@ -255,6 +257,7 @@ def _split_links(docs: DataFrame, members: DataFrame, parts: DataFrame, text: st
                     key, held = at, []
                 held.append((role, doc, part, _shingles(words_of(body.as_py()), k)))
         yield _links_of(held, percent)
+        let_go(_words)
 
     return write_table(ordered.mapInArrow(run, "u long, v long"), "minhash-links")
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.llm import chunks
+from cloudframe.llm.common import small_batches
 
 LIMIT = 1024
 CACHE = 600_000
@@ -184,7 +185,7 @@ def count_tokens(docs: DataFrame, *, path: str, pattern: str, text: str = "text"
             n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n_bytes, pa.array(c.count(texts.to_pylist()), pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
-    return slim.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return small_batches(slim).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def token_count_query(spark, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.llm import chunks
-from cloudframe.llm.common import write_table
+from cloudframe.llm.common import let_go, small_batches, write_table
 from cloudframe.llm.wavelet import WaveletMatrix, pack
 
 SHARD_TOKENS = 1 << 18
-CACHE, JOINED = 800_000, 48
+CACHE, JOINED = 600_000, 48
 END_ID = 0
 SHARDS = "part int, seq int, offset long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, file binary"
 
@@ -149,8 +149,9 @@ def build_shards(docs: DataFrame, *, path: str, text: str = "text", doc_id: str
                     seq, offset, size = seq + 1, offset + size, 0
         if docs_held:
             yield close()
+        let_go()
 
-    return write_table(ordered.mapInArrow(run, SHARDS), "token-shards", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
+    return write_table(small_batches(ordered).mapInArrow(run, SHARDS), "token-shards", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
 
 
 def read_documents(shards: DataFrame, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids_crc32")) -> DataFrame:
@@ -171,6 +172,7 @@ def read_documents(shards: DataFrame, columns: tuple[str, ...] = ("doc_id", "sta
                 raw = memoryview(ids.tobytes())
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), tokens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(row["start"].as_py() + ends - tokens), pa.array(tokens), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        let_go()
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long").select(*columns)
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import write_table
+from cloudframe.llm.common import let_go, small_batches, write_table
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 MOST_WORDS, LANDMARKS = 8_000, 384
@@ -54,7 +54,7 @@ THRESHOLD = 0.3
 DECAY, GAPS = 0.4, 2
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 20.0, 8.0
 PENALTY = 10.0
-CACHE = 1_000_000
+CACHE = 400_000
 #: fixed values: letters beyond a to z that count as themselves, and signs and letters that stand for others
 _MORE = "éèêáàäíîóôöúùüñçß"
 _SIGNS = dict(zip("013457@$ëâåãïûøœæ", "oieastasêàaaîùooa", strict=True))
@@ -247,7 +247,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: s
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     # no more rows than the two bounds: safe to broadcast
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(F.broadcast(some[0].union(some[1])), "id")
-    return write_table(rows.where("text is not null").select("text", "toxic"), "toxicity-sample")
+    return small_batches(write_table(rows.where("text is not null").select("text", "toxic"), "toxicity-sample"))
 
 
 def _words(text: str) -> set[str]:
@@ -269,6 +269,7 @@ def _strong_grams(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
                 found[toxic].update(set().union(*map(_grams, _words(text))))
         grams = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array([c[g] for g in grams], pa.int64()) for c in found)], names=["gram", "clean", "toxic"])
+        let_go()
 
     counted = sample.mapInArrow(count, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("t") >= LEAST_TEXTS)
     odds = (F.col("t") + 0.5) / (F.col("c") + 0.5) * (n_clean / n_toxic)
@@ -294,6 +295,7 @@ def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, in
                 found[toxic].update(words)
         words = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in found)], names=["word", "clean", "toxic"])
+        let_go()
 
     counted = write_table(sample.mapInArrow(pick, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "toxicity-words")
     good = counted.where(F.col("t") > 4 * F.col("c")).orderBy(F.desc("t"), F.xxhash64("word"), "word").limit(MOST_WORDS // 4).collect()
@@ -314,6 +316,7 @@ def _hardest(sample: DataFrame, model: Model) -> list[str]:
             margins = sent.value.margins(words)
             top = np.argsort(-margins, kind="stable")[:MOST_WORDS]
             yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top], pa.string()), pa.array(margins[top])], names=["word", "margin"])
+        let_go()
 
     found = sample.where("toxic = 0").select("text").mapInArrow(run, "word string, margin double")
     rows = found.groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(MOST_WORDS // 4).collect()
@@ -403,8 +406,9 @@ def score(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...], text:
                 best = scorer.best(piece.column(piece.num_columns - 1).to_pylist())
                 out = pa.array(best.tolist(), pa.list_(pa.float64())) if raw else pa.array(scorer.model.scores(best))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], out], names=[*keep, "margins" if raw else "score"])
+        let_go(scorer.known)
 
-    return slim.mapInArrow(run, schema)
+    return small_batches(slim).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -427,8 +431,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc
                 piece = b.slice(at, 512)
                 best = scorer.best([t or "" for t in piece.column(place).to_pylist()])
                 yield piece.filter(pa.array(scorer.model.scores(best) < threshold))
+        let_go(scorer.known)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
