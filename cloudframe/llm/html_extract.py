@@ -6,6 +6,13 @@ that stood in it, and where it stands: the containers around it. Lines inside
 containers that never hold content (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments; known by tag, role, class or id) are set aside.
 
+A class or id names such a container by its last word that is not mere structure
+(cookie-notice, td-footer-wrapper); names with has-, no- or with- say nothing, and widget
+counts alone only. A header inside a marked region, or of a post or an entry, is content.
+A name does not hold for an element around the longest marked region (unless longer
+paragraphs stand outside) or around most of the text of its region, or of the page where
+none is marked; a discussion must then also hold all headings.
+
 Each line's text-to-tag ratio (characters for each tag) is smoothed with a Gaussian over
 the neighbouring lines, and a threshold (the mean less the deviation's share, never over
 half the mean) parts content lines from the rest. Lines form regions: an article or main
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -47,41 +55,72 @@ NEVER_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended comment comments "
     "comments-area commentlist replies reply respond disqus discussion toolbar pagination pager widget copyright hidden disclaimer complementary contentinfo".split()
 )
+DISCUSSION = frozenset("comment comments comments-area commentlist replies reply respond disqus discussion".split())
+#: fixed values: words that turn a name into a property of what holds it, words after the one that names, and words before header
+MODIFIERS = frozenset("has no not with without".split())
+STRUCTURE = frozenset(
+    "area bar block body bottom box button buttons col column container content form group holder icons image info inner item items left links list main media message outer panel policy posts "
+    "primary right row secondary section slot text top trail unit wrap wrapper".split()
+)
+OWN_HEADER = frozenset("article blog content entry post section story".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+def set_aside_by(name: str) -> str:
+    """The word by which a class, id or role names what is not content, or ''."""
+    if name in NEVER_NAMES:
+        return name
+    words = [w for w in _NAME.split(name) if w]
+    if not MODIFIERS.isdisjoint(words):
+        return ""
+    while len(words) > 1 and (words[-1] in STRUCTURE or words[-1][0].isdigit()):
+        words.pop()
+    if not words or words[-1] not in NEVER_NAMES or (words[-1] == "widget" and len(words) > 1) or (words[-1] == "header" and not OWN_HEADER.isdisjoint(words)):
+        return ""
+    return words[-1]
+
+
+class Named:
+    """An element whose name says that it is no content, which may not hold."""
+
+    __slots__ = ("outer", "region", "discussion", "chars", "regions", "headings", "holds")
+
+    def __init__(self, outer: Named | None, region: int, discussion: bool):
+        self.outer, self.region, self.discussion = outer, region, discussion
+        self.chars, self.regions, self.headings, self.holds = 0, set(), 0, True
+
+
 class Line:
-    __slots__ = ("text", "tags", "skip", "region", "tag")
+    __slots__ = ("text", "tags", "skip", "region", "tag", "named")
 
-    def __init__(self, skip: bool, region: int, tag: str):
+    def __init__(self, skip: bool, region: int, named: Named | None, tag: str):
         self.text: list[str] = []
-        self.tags, self.skip, self.region, self.tag = 0, skip, region, tag
+        self.tags, self.skip, self.region, self.named, self.tag = 0, skip, region, named, tag
 
 
 class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  #: tag, set aside, marked region
+        self.open: list[tuple[str, bool, int, Named | None]] = []  #: tag, set aside, marked region, innermost named element
         self.regions = 0
         self._new_line("")
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[bool, int, Named | None]:
+        return self.open[-1][1:] if self.open else (False, 0, None)
 
     def _new_line(self, tag: str) -> None:
-        skip, region = self._state()
+        skip, region, named = self._state()
         last = self.lines[-1] if self.lines else None
         if last is not None and not last.text:
             self.lines.pop()  # nothing in it: its tags belong to the next one
-        line = Line(skip, region, tag)
+        line = Line(skip, region, named, tag)
         if last is not None and not last.text:
             line.tags = last.tags
         self.lines.append(line)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        skip, region = self._state()
         if tag in VOID:
             self.lines[-1].tags += 1
             if tag in ("br", "hr"):
@@ -91,41 +130,52 @@ class LineParser(HTMLParser):
             self.open.pop()
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.open.pop()
-        skip, region = self._state()
+        skip, region, named = self._state()
         if not skip:
-            skip = tag in NEVER or (tag == "header" and not region) or self._named(tag, attrs)
+            skip = tag in NEVER or self._hidden(tag, attrs)
+            word = "" if skip else self._word(tag, attrs, region)
+            if word:
+                named = Named(named, region, word in DISCUSSION)
             if tag in MARKED or any(k == "itemprop" and v == "articleBody" for k, v in attrs) or any(k == "role" and v in MARKED for k, v in attrs):
                 if not region:
                     self.regions += 1
                     region = self.regions
-        self.open.append((tag, skip, region))
-        if tag in INLINE and skip == self.lines[-1].skip:
+        self.open.append((tag, skip, region, named))
+        if tag in INLINE and skip == self.lines[-1].skip and named is self.lines[-1].named:
             self.lines[-1].tags += 1
         else:
             self._new_line(tag)
             self.lines[-1].tags += 1
 
     @staticmethod
-    def _named(tag: str, attrs: list) -> bool:
+    def _hidden(tag: str, attrs: list) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
+        return any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
+
+    @staticmethod
+    def _word(tag: str, attrs: list, region: int) -> str:
+        """The word that names the element as no content, or ''."""
+        if tag in ("html", "body", "article", "main"):
+            return ""
+        if tag == "header" and not region:
+            return tag
         for k, v in attrs:
-            if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                return True
-            if k in ("class", "id", "role") and v and not NEVER_NAMES.isdisjoint(_NAME.split(v.lower())):
-                return True
-            if k == "style" and v and "display:none" in v.replace(" ", "").lower():
-                return True
-        return False
+            # the id of a heading is made of its text
+            if v and (k in ("class", "role") or (k == "id" and tag not in HEADINGS)):
+                for name in v.lower().split():
+                    if (word := set_aside_by(name)) and not (word == "header" and region):
+                        return word
+        return ""
 
     def handle_endtag(self, tag: str) -> None:
-        before = self._state()[0]
+        before = self._state()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
                 break
         self.lines[-1].tags += 1
-        if tag not in INLINE or self._state()[0] != before:
+        if tag not in INLINE or self._state()[::2] != before[::2]:
             self._new_line("")
 
     def handle_data(self, data: str) -> None:
@@ -142,6 +192,43 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weight
 
 
+def _around(named: Named | None) -> Iterator[Named]:
+    while named is not None:
+        yield named
+        named = named.outer
+
+
+def without_named(lines: list[tuple[Line, str]]) -> list[tuple[Line, str]]:
+    """The lines outside elements whose name holds."""
+    # sizes of the page and of its regions without discussions, longest line within them and outside of all regions and names
+    chars, longest, outside, headings, every = Counter(), Counter(), 0, 0, {}
+    for line, text in lines:
+        around = list(_around(line.named))
+        heading = line.tag in HEADINGS
+        headings += heading
+        for named in around:
+            every[id(named)] = named
+            named.chars += len(text)
+            named.headings += heading
+            if line.region != named.region:
+                named.regions.add(line.region)
+        chars[0] += len(text)
+        if line.region:
+            chars[line.region] += len(text)
+            if not any(named.discussion for named in around):
+                longest[line.region] = max(longest[line.region], len(text))
+        elif not around:
+            outside = max(outside, len(text))
+    if not every:
+        return lines
+    most = max(longest, key=lambda r: (chars[r], -r), default=0)
+    for named in every.values():
+        around_most = most in named.regions and longest[most] >= outside
+        much = 2 * named.chars > chars[named.region] and (named.region > 0 or not most or around_most)
+        named.holds = not (much and named.headings == headings) if named.discussion else not (much or around_most)
+    return [(line, text) for line, text in lines if not any(named.holds for named in _around(line.named))]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -150,6 +237,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html[at : at + PIECE])
     parser.close()
     lines = [(line, text) for line in parser.lines if not line.skip and (text := " ".join("".join(line.text).split()))]
+    lines = without_named(lines)
     if not lines:
         return ""
     ratio = np.array([len(text) / max(1, line.tags) for line, text in lines])

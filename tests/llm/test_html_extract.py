@@ -52,3 +52,36 @@ def test_edge_cases(spark):
     got = {(r.page_id, r.n_chars) for r in extract(pages).collect()}
     assert {(1, 0), (2, 0), (None, 1), (3, 399_999)} <= got and len(got) == 6
     assert extract(pages.limit(0)).count() == 0
+
+
+LONG = " ".join(("The quick brown fox jumps over the lazy dog and runs far away. " * 4).split())
+
+
+def test_names_of_wrappers_do_not_take_the_article():
+    article = f"<article><h1>Head</h1><p>{LONG}</p><p>Short.</p></article>"
+    want = f"Head {LONG} Short."
+    for name in ("layout has-sidebar", "no-sidebar", "elementor-widget-container", "search-page", "content-sidebar-wrap", "widget", "sidebar"):
+        assert main_text(f'<body><div class="{name}">{article}</div><div class="sidebar">Aside words</div></body>') == want, name
+    assert main_text(f'<body><div id="header"><div role="main"><p>{LONG}</p></div></div></body>') == LONG
+    # no region marked: most of the text
+    assert main_text(f'<body><div class="sidebar-left"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div></body>') == f"Head {LONG} {LONG}"
+    assert main_text(f'<body><div><div class="elementor-widget-container"><p>{LONG}</p></div><div class="elementor-widget-container"><p>{LONG}</p></div></div></body>') == f"{LONG} {LONG}"
+
+
+def test_header_of_an_article_stays():
+    for head in ('<header class="entry-header"><h1>Head</h1></header>', '<div class="post-header"><h1>Head</h1></div>', '<div class="header"><h1>Head</h1></div>', '<h1 id="search">Head</h1>'):
+        assert main_text(f"<body><header>Site</header><article>{head}<p>{LONG}</p></article></body>") == f"Head {LONG}", head
+    assert main_text(f'<body><div class="site-header">Site</div><div><div class="post-header"><h1>Head</h1></div><p>{LONG}</p><p>{LONG}</p></div></body>') == f"Head {LONG} {LONG}"
+
+
+def test_names_still_set_aside():
+    for name in ("cookie-notice", "sidebar", "td-footer-wrapper", "google-ad", "ad-banner-728x90", "comments-area", "related-posts", "widget"):
+        part = f'<div class="{name}"><p>Not wanted.</p></div>'
+        assert main_text(f"<body>{part}<article><p>{LONG}</p>{part}</article>{part}</body>") == LONG, name
+    # teasers and readers' comments are often marked as articles
+    for name in ("sidebar", "comments"):
+        others = f'<div class="{name}"><article><p>One more.</p></article><article><p>And more.</p></article></div>'
+        assert main_text(f"<body><article><h1>Head</h1><p>{LONG}</p></article>{others}</body>") == f"Head {LONG}", name
+        assert main_text(f"<body><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>{others}</body>") == f"Head {LONG} {LONG}", name
+    comments = "".join(f"<article><p>{LONG} {i}</p></article>" for i in range(9))
+    assert main_text(f'<body><article><h1>Head</h1><p>{LONG}</p></article><div id="comments">{comments}</div></body>') == f"Head {LONG}"
