@@ -18,8 +18,10 @@ the neighbouring lines, and a threshold (the mean less the deviation's share, ne
 half the mean) parts content lines from the rest. Lines form regions: an article or main
 element where the page marks one, else the whole body. A marked region is kept whole if
 any of its lines is content, so headings and short paragraphs stay. In an unmarked body,
-runs of content lines are kept, together with headings and short paragraphs between them
-or right before them.
+the content lines (without those that owe their level to their neighbours alone) choose a
+region, the smallest block around them that has more than one line, and it is kept whole,
+with headings right before it. Only menus at its edges are left out: blocks before the
+first or after the last content line whose text is all links.
 
 Defined results: a null or empty page has an empty text; broken or unclosed markup is
 read as far as the parser goes; null or repeated ids are answered row by row; an empty
@@ -64,6 +66,9 @@ STRUCTURE = frozenset(
 )
 OWN_HEADER = frozenset("article blog content entry post section story".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: fixed values: elements within a block of text, and lists
+TEXT_BLOCKS = HEADINGS | frozenset("p pre blockquote ul ol li dl dd dt table thead tbody tfoot tr td th caption figure figcaption address details summary".split())
+LISTS = frozenset("ul ol dl table".split())
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
@@ -92,30 +97,36 @@ class Named:
 
 
 class Line:
-    __slots__ = ("text", "tags", "skip", "region", "tag", "named")
+    __slots__ = ("text", "tags", "skip", "region", "tag", "named", "block", "list", "linked", "length")
 
-    def __init__(self, skip: bool, region: int, named: Named | None, tag: str):
+    def __init__(self, skip: bool, region: int, named: Named | None, tag: str, block: int, in_list: int):
         self.text: list[str] = []
         self.tags, self.skip, self.region, self.named, self.tag = 0, skip, region, named, tag
+        self.block, self.list, self.linked, self.length = block, in_list, 0, 0
 
 
 class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, Named | None]] = []  #: tag, set aside, marked region, innermost named element
-        self.regions = 0
+        self.open: list[tuple[str, bool, int, Named | None, int, int]] = []  #: tag, set aside, marked region, innermost named element, block, outermost list in it
+        self.regions = self.lists = self.links = 0
+        self.blocks = [0]  #: the block around each
         self._new_line("")
 
-    def _state(self) -> tuple[bool, int, Named | None]:
-        return self.open[-1][1:] if self.open else (False, 0, None)
+    def _state(self) -> tuple[bool, int, Named | None, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, None, 0, 0)
+
+    def _close(self, k: int) -> None:
+        self.links -= sum(o[0] == "a" for o in self.open[k:])
+        del self.open[k:]
 
     def _new_line(self, tag: str) -> None:
-        skip, region, named = self._state()
+        skip, region, named, block, in_list = self._state()
         last = self.lines[-1] if self.lines else None
         if last is not None and not last.text:
             self.lines.pop()  # nothing in it: its tags belong to the next one
-        line = Line(skip, region, named, tag)
+        line = Line(skip, region, named, tag, block, in_list)
         if last is not None and not last.text:
             line.tags = last.tags
         self.lines.append(line)
@@ -127,10 +138,10 @@ class LineParser(HTMLParser):
                 self.handle_data(" ") if tag == "br" else self._new_line(tag)
             return
         if tag not in INLINE and self.open and self.open[-1][0] == "p":
-            self.open.pop()
+            self._close(-1)
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
-            self.open.pop()
-        skip, region, named = self._state()
+            self._close(-1)
+        skip, region, named, block, in_list = self._state()
         if not skip:
             skip = tag in NEVER or self._hidden(tag, attrs)
             word = "" if skip else self._word(tag, attrs, region)
@@ -140,7 +151,16 @@ class LineParser(HTMLParser):
                 if not region:
                     self.regions += 1
                     region = self.regions
-        self.open.append((tag, skip, region, named))
+        if tag == "a":
+            self.links += 1
+        elif tag in LISTS:
+            if not in_list:
+                self.lists += 1
+                in_list = self.lists
+        elif tag not in INLINE and tag not in TEXT_BLOCKS:
+            self.blocks.append(block)
+            block, in_list = len(self.blocks) - 1, 0
+        self.open.append((tag, skip, region, named, block, in_list))
         if tag in INLINE and skip == self.lines[-1].skip and named is self.lines[-1].named:
             self.lines[-1].tags += 1
         else:
@@ -172,16 +192,19 @@ class LineParser(HTMLParser):
         before = self._state()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self._close(k)
                 break
         self.lines[-1].tags += 1
-        if tag not in INLINE or self._state()[::2] != before[::2]:
+        if tag not in INLINE or self._state()[:3:2] != before[:3:2]:
             self._new_line("")
 
     def handle_data(self, data: str) -> None:
         line = self.lines[-1]
         if line.text or not data.isspace():
             line.text.append(data)
+            if not data.isspace():
+                line.length += 1
+                line.linked += self.links > 0
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -229,6 +252,70 @@ def without_named(lines: list[tuple[Line, str]]) -> list[tuple[Line, str]]:
     return [(line, text) for line, text in lines if not any(named.holds for named in _around(line.named))]
 
 
+def content_block(outer: list[int], lines: list[Line], strong: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines of an unmarked page are in the smallest block around its content lines, or are its headings."""
+    core = strong if len(strong) else content
+
+    def path(block: int) -> list[int]:
+        out = [block]
+        while block:
+            block = outer[block]
+            out.append(block)
+        return out[::-1]
+
+    shared = path(lines[core[0]].block)
+    for k in core[1:]:
+        own = path(lines[k].block)
+        same = 0
+        while same < min(len(shared), len(own)) and shared[same] == own[same]:
+            same += 1
+        shared = shared[:same]
+    within: dict[int, bool] = {0: False}
+
+    def inside(block: int) -> bool:
+        # an outer block has a smaller number
+        todo = []
+        while block not in within and block > top:
+            todo.append(block)
+            block = outer[block]
+        found = block == top or within.get(block, False)
+        within.update(dict.fromkeys(todo, found))
+        return found
+
+    for top in reversed(shared):
+        within = {}
+        keep = np.array([inside(line.block) for line in lines])
+        if keep.sum() > 1:
+            break
+    # menus: child blocks, or lists right in the block, without content
+    part_of: dict[int, tuple[int, int]] = {}
+
+    def part(line: Line) -> tuple[int, int]:
+        if line.block == top:
+            return (0, line.list)
+        block, way = line.block, []
+        while block not in part_of and outer[block] != top:
+            way.append(block)
+            block = outer[block]
+        found = part_of.setdefault(block, (block, 0))
+        part_of.update(dict.fromkeys(way, found))
+        return found
+
+    linked: dict[tuple[int, int], bool] = {}
+    edges = [k for k in np.flatnonzero(keep).tolist() if k < core[0] or k > core[-1]]
+    parts = {k: part(lines[k]) for k in np.flatnonzero(keep).tolist()}
+    for k, p in parts.items():
+        linked[p] = linked.get(p, True) and lines[k].linked == lines[k].length
+    for k in edges:
+        if parts[k] != (0, 0) and linked[parts[k]]:
+            keep[k] = False
+    first = int(np.flatnonzero(keep)[0])
+    while first and lines[first - 1].tag in HEADINGS:
+        first -= 1
+        keep[first] = True
+    return keep
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -249,22 +336,7 @@ def main_text(html: str | None) -> str:
         full = {r for r in set(regions.tolist()) - {0} if content[regions == r].any()}
         keep = np.isin(regions, list(full))
     else:
-        # a line at the edge of a run may owe its level to its neighbours alone; then bridge short gaps, and take headings that lead a run
-        keep = content.copy()
-        weak = (ratio < 0.5 * threshold) & ~np.array([line.tag in HEADINGS for line, _ in lines])
-        for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
-            inside = False
-            for k in order:
-                inside = bool(content[k]) and (inside or not weak[k])
-                keep[k] &= inside
-        content = keep.copy()
-        at = np.flatnonzero(content)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a <= 3:
-                keep[a:b] = True
-        for k in range(len(lines) - 2, -1, -1):
-            if keep[k + 1] and lines[k][0].tag in HEADINGS:
-                keep[k] = True
+        keep = content_block(parser.blocks, [line for line, _ in lines], np.flatnonzero(content & (ratio >= 0.5 * threshold)), np.flatnonzero(content))
     return " ".join(text for k, (_, text) in zip(keep, lines, strict=True) if k)
 
 

@@ -85,3 +85,25 @@ def test_names_still_set_aside():
         assert main_text(f"<body><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>{others}</body>") == f"Head {LONG} {LONG}", name
     comments = "".join(f"<article><p>{LONG} {i}</p></article>" for i in range(9))
     assert main_text(f'<body><article><h1>Head</h1><p>{LONG}</p></article><div id="comments">{comments}</div></body>') == f"Head {LONG}"
+
+
+def test_unmarked_page_keeps_its_short_lines():
+    items = [f"item {i:05}" for i in range(8)]
+    listed = "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+    body = f"<div><h1>Head</h1>{f'<p>{LONG}</p>' * 6}{listed}{f'<p>{LONG}</p>' * 3}</div>"
+    assert main_text(f"<body>{body}</body>") == " ".join(["Head", *[LONG] * 6, *items, *[LONG] * 3])
+    assert main_text(f"<body><div><p>By A. Writer</p>{f'<p>{LONG}</p>' * 3}<p>That was all then.</p></div></body>") == " ".join(["By A. Writer", *[LONG] * 3, "That was all then."])
+    assert main_text(f"<body><div><p>By A. Writer</p><p>{LONG}</p><p>The end.</p></div></body>") == f"By A. Writer {LONG} The end."
+
+
+def test_unmarked_page_without_its_menus():
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(9)) + "</ul>"
+    text = f"<h1>Head</h1><p>By A. Writer</p><p>{LONG}</p>{menu}<p>{LONG}</p><p>End.</p>"
+    between = " ".join(f"Item {i}" for i in range(9))
+    for at in (menu, f"<div>{menu}</div>"):
+        assert main_text(f"<body>{at}{text}{at}</body>") == f"Head By A. Writer {LONG} {between} {LONG} End."
+
+
+def test_whole_table_without_article_tags(spark):
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        assert main_text(re.sub(r"</?article\b[^>]*>", "", r.html)) == plain(r.html), r.page_id
