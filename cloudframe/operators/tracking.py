@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cloudframe.operators.ordered import carried
+
 #: fixed values of the filter: frame period, process and measurement noise
 PERIOD, PROCESS, MEASURE = 0.1, 1e-5, 0.1
 SCHEMA = "seq_id long, frame long, track_id long, det_id long, x double, y double, vx double, vy double, dynamic boolean"
@@ -80,27 +82,52 @@ def run_frames(tracker: Tracker, seq: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
 
+class _Frames:
+    """A tracker and the detections of the frame that is being read."""
+
+    def __init__(self, seq: int):
+        self.seq, self.tracker, self.frame = seq, Tracker(), None
+        self.ids: list[int] = []
+        self.at: list[tuple[float, float]] = []
+
+    def step(self, row: list) -> list[tuple]:
+        frame, det, x, y = row
+        out = self.end() if frame != self.frame else []
+        self.frame = frame
+        self.ids.append(det), self.at.append((x, y))
+        return out
+
+    def end(self) -> list[tuple]:
+        if not self.ids:
+            return []
+        out = [(self.seq, *r) for r in self.tracker.step(self.frame, self.ids, np.array(self.at, float))]
+        self.ids, self.at = [], []
+        return out
+
+
 def track(detections: DataFrame) -> DataFrame:
-    """Tracks of (seq_id, frame, det_id, x, y). Frames depend on those before, so a sequence is one task's work."""
+    """Tracks of (seq_id, frame, det_id, x, y). Frames depend on those before: a task reads a sequence in batches and keeps its tracks and one frame."""
+    rows = detections.select("seq_id", "frame", "det_id", "x", "y").where("frame is not null")
+    return carried(rows, "seq_id", ("frame", "det_id"), _Frames, SCHEMA)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(Tracker(), key[0], rows)
 
-    return detections.select("seq_id", "frame", "det_id", "x", "y").groupBy("seq_id").applyInPandas(run, SCHEMA)
+class _Filter:
+    def __init__(self, seq: int):
+        self.seq, self.state, self.cov = seq, None, np.eye(4)
 
+    def step(self, row: list) -> list[tuple]:
+        frame, _, x, y = row
+        if self.state is None:
+            self.state = np.array([x, y, 0.0, 0.0], float)
+        else:
+            self.state, self.cov = correct(*predict(self.state, self.cov), np.array([x, y], float))
+        return [(self.seq, frame, *self.state.tolist())]
+
+    def end(self) -> list[tuple]:
+        return []
 
-def kalman(detections: DataFrame) -> DataFrame:
-    """(seq_id, frame, x, y, vx, vy): one track per sequence, predicted and corrected in each frame after the first."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame", "det_id"], kind="stable")
-        state, cov, out = None, np.eye(4), []
-        for frame, x, y in rows[["frame", "x", "y"]].itertuples(index=False):
-            if state is None:
-                state = np.array([x, y, 0.0, 0.0])
-            else:
-                state, cov = correct(*predict(state, cov), np.array([x, y]))
-            out.append((key[0], frame, *state.tolist()))
-        return pd.DataFrame(out, columns=["seq_id", "frame", "x", "y", "vx", "vy"])
 
-    return detections.select("seq_id", "frame", "det_id", "x", "y").groupBy("seq_id").applyInPandas(run, "seq_id long, frame long, x double, y double, vx double, vy double")
+def kalman(detections: DataFrame) -> DataFrame:
+    """(seq_id, frame, x, y, vx, vy): one track per sequence, predicted and corrected in each frame after the first. A task reads a sequence in batches."""
+    rows = detections.select("seq_id", "frame", "det_id", "x", "y")
+    return carried(rows, "seq_id", ("frame", "det_id"), _Filter, "seq_id long, frame long, x double, y double, vx double, vy double")

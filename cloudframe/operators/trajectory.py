@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
+from cloudframe.operators.ordered import BLOCK, HALO, carried, in_blocks, solve_tridiagonal
 
 XYZ = ("x", "y", "z")
 
@@ -93,19 +94,36 @@ def cumulative_bspline(poses: DataFrame, span: float = 0.4, fields: Sequence[str
     return rows.where("tb is not null and ta is not null").select("traj_id", "t", *[value(c).alias(c) for c in fields])
 
 
-def smooth_recursively(poses: DataFrame, span: float = 0.4) -> DataFrame:
-    """The same pass where each window starts from the pose already replaced before it. One trajectory is one task's work."""
+class _Smoothing:
+    """The pose before, already replaced, and those that wait for two more."""
+
+    def __init__(self, traj: int, span: float):
+        self.traj, self.span = traj, span
+        self.before: list[float] | None = None
+        self.waiting: list[list[float]] = []
+
+    def step(self, pose: list[float]) -> list[tuple]:
+        if self.before is None:
+            self.before = pose
+            return [(self.traj, *pose)]
+        self.waiting.append(pose)
+        if len(self.waiting) < 3:
+            return []
+        near = (self.before, *self.waiting)
+        u = min(1.0, max(0.0, (near[1][0] - near[0][0]) / self.span))
+        b = ((u**3 - 3 * u * u + 3 * u + 5) / 6, (-2 * u**3 + 3 * u * u + 3 * u + 1) / 6, u**3 / 6)
+        self.before = [near[1][0], *[near[0][c] + sum(w * (near[k + 1][c] - near[k][c]) for k, w in enumerate(b)) for c in (1, 2, 3)]]
+        del self.waiting[0]
+        return [(self.traj, *self.before)]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable").reset_index(drop=True)
-        p, t = rows[["x", "y", "z"]].to_numpy(float), rows["t"].to_numpy(float)
-        for i in range(1, len(p) - 2):
-            u = min(1.0, max(0.0, (t[i] - t[i - 1]) / span))
-            b = ((u**3 - 3 * u * u + 3 * u + 5) / 6, (-2 * u**3 + 3 * u * u + 3 * u + 1) / 6, u**3 / 6)
-            p[i] = p[i - 1] + sum(w * (p[i + k] - p[i + k - 1]) for k, w in enumerate(b))
-        return rows.assign(x=p[:, 0], y=p[:, 1], z=p[:, 2])[["traj_id", "t", "x", "y", "z"]]
+    def end(self) -> list[tuple]:
+        return [(self.traj, *pose) for pose in self.waiting]
 
-    return poses.select("traj_id", "t", "x", "y", "z").groupBy("traj_id").applyInPandas(run, "traj_id long, t double, x double, y double, z double")
+
+def smooth_recursively(poses: DataFrame, span: float = 0.4) -> DataFrame:
+    """The same pass where each window starts from the pose already replaced before it. A task reads a trajectory in batches and keeps three poses."""
+    rows = poses.select("traj_id", *[F.col(c).cast("double").alias(c) for c in ("t", *XYZ)])
+    return carried(rows, "traj_id", ("t", *XYZ), lambda traj: _Smoothing(traj, span), "traj_id long, t double, x double, y double, z double")
 
 
 def slerp_curve(poses: DataFrame, times: DataFrame) -> DataFrame:
@@ -137,19 +155,26 @@ def transform_curve(poses: DataFrame, shift: Sequence[float], quaternion: Sequen
     return poses.withColumns({**{c: v + s for c, v, s in zip(XYZ, turned, shift, strict=True)}, **dict(zip(("qw", "qx", "qy", "qz"), spun, strict=True))})
 
 
-def closed_bspline(points: DataFrame) -> DataFrame:
-    """(traj_id, i, px, py): control points of the closed cubic B-spline through each trajectory's points in the order of time."""
+def closed_bspline(points: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """(traj_id, i, px, py): control points of the closed cubic B-spline through each trajectory's points in the order of time.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        n = len(rows)
-        matrix = np.zeros((n, n))
-        for k, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
-            matrix[np.arange(n), (np.arange(n) + k) % n] += w
-        p = np.linalg.solve(matrix, rows[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"traj_id": rows["traj_id"].to_numpy(), "i": np.arange(n), "px": p[:, 0], "py": p[:, 1]})
+    The system is solved in blocks of points with ``halo`` points on each side; a wrong
+    value beyond the cut falls to 2 - sqrt(3) of it with each point on the way.
+    """
 
-    return points.select("traj_id", "t", "x", "y").groupBy("traj_id").applyInPandas(run, "traj_id long, i long, px double, py double")
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        p, own, i = rows[["x", "y"]].to_numpy(float), rows["own"].to_numpy(bool), rows["i"].to_numpy()
+        if own.all():  # the whole sequence: it goes round
+            around = np.arange(-halo, len(p) + halo)
+            p, own = p[around % len(p)], (around >= 0) & (around < len(p))
+            i = around
+        side = np.full(len(p), 1 / 6)
+        found = solve_tridiagonal(side, np.full(len(p), 4 / 6), side, p)[own]
+        return pd.DataFrame({"traj_id": key[0], "i": i[own], "px": found[:, 0], "py": found[:, 1]})
+
+    rows = points.select("traj_id", "t", "x", "y")
+    return in_blocks(rows, "traj_id", ["t", "x", "y"], True, block, halo).groupBy("traj_id", "block").applyInPandas(run, "traj_id long, i long, px double, py double")
 
 
 def upsert_knots(knots: DataFrame, changes: DataFrame, by: str = "traj_id", time: str = "t") -> DataFrame:
