@@ -4,8 +4,9 @@
    shingles. ``ROWS`` minima make a band key; one bit of each minimum is kept as a
    compact signature. Texts with the same words are one class, led by its smallest id.
 2. Leaders that share a band key are candidates. In each bucket every member is paired
-   with one member (the one whose hashed id is smallest, the same in all buckets that
-   hold it), so a bucket of n gives n - 1 pairs, never all of them.
+   with one member (the text whose hash is smallest, the same in all buckets that hold
+   it), so a bucket of n gives n - 1 pairs, never all of them. Texts stand for themselves
+   up to the signature check, so each text of an id that has several is judged by its own.
 3. Pairs whose signatures differ too much are dropped; the others are confirmed on their
    full shingle sets. Confirmed pairs and copies are joined into components.
 4. Buckets whose members are still in several components are joined into clusters. In
@@ -185,22 +186,22 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     classes = write_table(named.groupBy("text_key").agg(F.min("doc_id").alias("lead")), "minhash-classes")
     copies = named.select("doc_id", "text_key").join(classes, "text_key").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
     leaders = named.join(classes.withColumnRenamed("text_key", "__key"), (F.col("text_key") == F.col("__key")) & (F.col("doc_id") == F.col("lead")), "left_semi")
-    bits = leaders.groupBy("doc_id").agg(F.first("bits").alias("bits"))
+    leaders = leaders.withColumn("t", F.xxhash64("text_key"))  # texts that share a hash only give more candidates
+    bits = leaders.select("t", "doc_id", "bits").repartition("t").dropDuplicates(["t", "doc_id"])
 
-    in_bands = leaders.select("doc_id", F.explode("bands").alias("band"))
-    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("first")))
-    buckets = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).where("n > 1").select("band", F.col("f.first").alias("first"))
+    in_bands = leaders.select("t", F.explode("bands").alias("band"))
+    buckets = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n > 1").select("band", "first")
     members = write_table(in_bands.join(buckets, "band"), "minhash-buckets")
 
     def close(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("bu")), "u").join(bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("bv")), "v")
-        return near.where(_bits_differing(F.col("bu"), F.col("bv"), words) <= most_apart).select("u", "v")
+        near = pairs.join(bits.select(F.col("t").alias("tu"), F.col("doc_id").alias("u"), F.col("bits").alias("bu")), "tu").join(bits.select(F.col("t").alias("tv"), F.col("doc_id").alias("v"), F.col("bits").alias("bv")), "tv")
+        return near.where((F.col("u") != F.col("v")) & (_bits_differing(F.col("bu"), F.col("bv"), words) <= most_apart)).select("u", "v")
 
-    pairs = members.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
+    pairs = members.where("t <> first").select(F.col("t").alias("tu"), F.col("first").alias("tv")).distinct()
     links = _confirmed(docs, close(pairs), text, doc_id, shingle_words, percent).union(copies)
     parts = write_table(connected_components(links), "minhash-parts")
 
-    more = _split_links(docs, members, parts, text, doc_id, shingle_words, percent)
+    more = _split_links(docs, members, bits.select("t", "doc_id"), parts, text, doc_id, shingle_words, percent)
     if more is not None:
         parts = write_table(connected_components(links.union(more)), "minhash-parts")
     component = F.coalesce("component", "doc_id")
@@ -225,9 +226,10 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return stay.join(again, stay[doc_id] == F.col("__again"), "left_anti").unionByName(repeated)
 
 
-def _split_links(docs: DataFrame, members: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame | None:
+def _split_links(docs: DataFrame, members: DataFrame, leaders: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame | None:
     """Links between components of one bucket, other than those of its first member, which have been tried."""
-    inside = members.where("doc_id <> first").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = leaders.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    inside = members.where("t <> first").join(placed, "t").select("band", "doc_id", "part")
     split = inside.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("doc_id").alias("least")).where("a <> b").select("band", "least")
     inside = write_table(inside.join(split, "band").select("doc_id", "part", "least"), "minhash-split")
     if inside.isEmpty():

@@ -92,3 +92,11 @@ def test_components(spark):
     edges = spark.createDataFrame([*chain, *star, (5, 5), (7, 6), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+
+
+def test_each_text_of_a_repeated_id_keeps_its_links(spark):
+    texts = [[f"{k}{i}" for i in range(120)] for k in "pqr"]
+    rows = [(5, " ".join(w)) for w in texts] + [(6 + k, " ".join([*w, "end"])) for k, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, shingle_words=2).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(d, 5) for d, _ in rows}
