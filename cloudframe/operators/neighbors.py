@@ -50,7 +50,8 @@ def knn(points: DataFrame, k: int, start: float, dims: Sequence[str] = XYZ, most
     """(id, nid, rank, d): the k nearest points of each point, itself among them, ties by id.
 
     Points with k others within the radius are done; for the rest it doubles, until all
-    are done or the radius covers everything.
+    are done or the radius covers everything. What ``most_rounds`` rounds leave over meets
+    all points once.
     """
     spread = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in dims], F.count(F.lit(1)).alias("n")).first()
     if not spread["n"]:
@@ -70,6 +71,10 @@ def knn(points: DataFrame, k: int, start: float, dims: Sequence[str] = XYZ, most
         r = 2 * r
         if todo.isEmpty():
             break
+    else:
+        # far from all others: Spark keeps no more than k rows of each in a task before it deals them out
+        every = todo.select("id", *dims).crossJoin(points.select(F.col("id").alias("nid"), *[F.col(c).alias(f"n{c}") for c in dims])).select("id", "nid", square(dims).alias("d2")).where("d2 is not null and not isnan(d2)")
+        out = out.union(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     return out.select("id", "nid", "rank", F.sqrt("d2").alias("d"))
 
 
