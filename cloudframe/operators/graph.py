@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Both steps need only the smallest neighbour of each node: an aggregation that combines
-before it shuffles and a join, so a node with very many neighbours is no hot group.
-Every round is written to the shared folder; nothing is gathered on the driver but the
-number of edges and a checksum over them.
+before it shuffles, and a join that leaves the edges of heavy nodes where they are, so a
+node with very many neighbours is no hot group. Every round is written to the shared
+folder; nothing is gathered on the driver but the number of edges and a checksum over them.
 """
 
 from __future__ import annotations
@@ -11,24 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.operators.joins import join_one
 from cloudframe.sources.shared import drop_table, write_table
 
 MOST_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to its smallest one (or itself)."""
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.where("v > u").join(least, "u")
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links each node's larger neighbours to its smallest one (or itself). Edges (u, v) have u > v."""
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.union(turned).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_one(turned, least.select("u", "m"), "u", 2 * n, least)
     return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links each node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links each node and its smaller neighbours to the smallest of them. Edges (u, v) have u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_one(edges, least.select("u", "m"), "u", n, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        then = write_table(_small_star(_large_star(now)), "components")
+        then = write_table(_small_star(_large_star(now, state[0]), state[0]), "components")
         drop_table(now)
         now, before, state = then, state, _state(then)
         if state == before:
