@@ -9,11 +9,15 @@
    up to the signature check, so each text of an id that has several is judged by its own.
 3. Pairs whose signatures differ too much are dropped; the others are confirmed on their
    full shingle sets. Confirmed pairs and copies are joined into components.
-4. Buckets whose members are still in several components are joined into clusters. In
-   each, the members outside the largest component are compared with all members, block
-   by block: a task gets the texts of two blocks, counts common shingles as a product of
-   0/1 matrices and returns no more links than it takes to join what belongs together.
-   After that no pair that shares a bucket can change a component.
+4. In buckets whose members are still in several components, the members outside the
+   bucket's largest component meet all its members, block by block: first as slim rows
+   of signatures and band keys, each pair in the first bucket it shares only, then, where
+   a signature lets hope, as texts. A task gets the texts of two blocks, counts common
+   shingles as a product of 0/1 matrices and returns no more links than it takes to join
+   what belongs together. After that no pair that shares a bucket can change a component.
+
+Buckets, pivots and copied texts that hold a large share of all rows are joined without
+shuffling their rows (``join_one``).
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^5)^32 = 3e-6.
 
@@ -34,20 +38,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, let_go, small_batches, write_table
+from cloudframe.llm.common import broadcast_if_small, drop_table, let_go, small_batches, write_table
 from cloudframe.operators.graph import connected_components
+from cloudframe.operators.joins import join_one
 
 BANDS, ROWS = 32, 5
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
-#: A confirming task compares at most about so many members with one text it has read once.
+#: A confirming task compares about so many members with one text it has read once, or the square root of all its members.
 MEMBERS_PER_READ = 64
 #: Signature bits that may differ beyond what the threshold lets expect, in standard deviations.
 DEVIATIONS = 5.5
-#: Texts in a block of a cluster.
-BLOCK = 128
+#: Texts, and slim rows, in a block of a bucket.
+BLOCK, SLIM_BLOCK = 128, 1024
+#: Low bytes of minima that agree by which slim rows are judged: deviations below what the threshold lets expect.
+SKETCH_DEVIATIONS = 4.5
 WORD_CACHE = 400_000
 SEED = 20_240_601
-_SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, bits array<long>"
+_SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, bits array<long>, sketch binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -96,7 +103,8 @@ def _shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Band keys, a bit of each minimum, and a byte of each."""
     a, b = _coefficients(bands * rows)
     least, room = None, np.empty((bands * rows, min(len(shingles), 512)), np.uint64)
     for at in range(0, len(shingles), 512):
@@ -109,7 +117,7 @@ def _signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray,
         keys = _mix(keys + least.reshape(bands, rows)[:, r])
     bits = np.zeros(-(-bands * rows // 64) * 64, bool)
     bits[: bands * rows] = (least >> np.uint64(32)) & np.uint64(1)
-    return keys.view(np.int64), np.packbits(bits, bitorder="little").view(np.int64)
+    return keys.view(np.int64), np.packbits(bits, bitorder="little").view(np.int64), (least >> np.uint64(40)).astype(np.uint8).tobytes()
 
 
 def sign(docs: DataFrame, text: str, doc_id: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -119,18 +127,18 @@ def sign(docs: DataFrame, text: str, doc_id: str, k: int, bands: int = BANDS, ro
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                sizes, texts, band_keys, bits = [], [], [], []
+                sizes, texts, band_keys, bits, sketches = [], [], [], [], []
                 for body in piece.column(1):
                     words = words_of(body.as_py() or b"")
                     if not words:
-                        sizes.append(0), texts.append(None), band_keys.append([]), bits.append([])
+                        sizes.append(0), texts.append(None), band_keys.append([]), bits.append([]), sketches.append(None)
                         continue
                     own = _shingles(words, k)
-                    keys, packed = _signature(own, bands, rows)
+                    keys, packed, sketch = _signature(own, bands, rows)
                     sizes.append(len(own)), texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    band_keys.append(keys), bits.append(packed)
-                cols = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "text_key", "bands", "bits"])
+                    band_keys.append(keys), bits.append(packed), sketches.append(sketch)
+                cols = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "text_key", "bands", "bits", "sketch"])
         let_go(_words)
 
     return small_batches(slim).mapInArrow(run, _SIGNED)
@@ -142,8 +150,10 @@ def _bits_differing(a: Column, b: Column, n: int) -> Column:
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar. v's text is read once for each block of u's."""
-    size = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_READ).cast("int").alias("blocks"))
-    placed = pairs.join(size, "v").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    # as many blocks of one v as members in each, so that v's own text is not read too often either
+    n = F.count(F.lit(1))
+    size = pairs.groupBy("v").agg(n.alias("n"), F.ceil(n / F.greatest(F.lit(MEMBERS_PER_READ), F.sqrt(n))).cast("int").alias("blocks"))
+    placed = join_one(pairs, size.select("v", "blocks"), "v", pairs.count(), size).withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     members = placed.select(F.col("u").alias("id"), F.col("v").alias("lead"), "block", F.lit(1).alias("role"))
     leads = placed.select(F.col("v").alias("id"), F.col("v").alias("lead"), "block", F.lit(0).alias("role")).distinct()
     needed = write_table(members.union(leads), "minhash-pairs")
@@ -182,28 +192,32 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     most_apart = int(n * apart + DEVIATIONS * (n * apart * (1 - apart)) ** 0.5)
     signed = write_table(sign(docs, text, doc_id, shingle_words, bands, rows), "minhash-signed")
 
-    named = signed.where("doc_id is not null and text_key is not null")
-    classes = write_table(named.groupBy("text_key").agg(F.min("doc_id").alias("lead")), "minhash-classes")
-    copies = named.select("doc_id", "text_key").join(classes, "text_key").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
-    leaders = named.join(classes.withColumnRenamed("text_key", "__key"), (F.col("text_key") == F.col("__key")) & (F.col("doc_id") == F.col("lead")), "left_semi")
-    leaders = leaders.withColumn("t", F.xxhash64("text_key"))  # texts that share a hash only give more candidates
-    bits = leaders.select("t", "doc_id", "bits").repartition("t").dropDuplicates(["t", "doc_id"])
+    named = signed.where("doc_id is not null and text_key is not null").select("doc_id", "text_key", "bands", "bits", "sketch")
+    # texts with the same words have the same signature; those that share t only give more candidates
+    held = [F.first(c).alias(c) for c in ("bands", "bits", "sketch")]
+    leaders = named.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), *held).withColumn("t", F.xxhash64("text_key"))
+    leaders = write_table(leaders, "minhash-leaders")
+    classes = leaders.select("text_key", F.col("doc_id").alias("lead"))
+    copies = join_one(named.select("doc_id", "text_key"), classes, "text_key", signed.count(), leaders).where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
 
     in_bands = leaders.select("t", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n > 1").select("band", "first")
-    members = write_table(in_bands.join(buckets, "band"), "minhash-buckets")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(bits.select(F.col("t").alias("tu"), F.col("doc_id").alias("u"), F.col("bits").alias("bu")), "tu").join(bits.select(F.col("t").alias("tv"), F.col("doc_id").alias("v"), F.col("bits").alias("bv")), "tv")
-        return near.where((F.col("u") != F.col("v")) & (_bits_differing(F.col("bu"), F.col("bv"), words) <= most_apart)).select("u", "v")
-
-    pairs = members.where("t <> first").select(F.col("t").alias("tu"), F.col("first").alias("tv")).distinct()
-    links = _confirmed(docs, close(pairs), text, doc_id, shingle_words, percent).union(copies)
-    parts = write_table(connected_components(links), "minhash-parts")
-
-    more = _split_links(docs, members, bits.select("t", "doc_id"), parts, text, doc_id, shingle_words, percent)
+    buckets = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n > 1")
+    members = write_table(join_one(in_bands, buckets.select("band", "first"), "band", bands * leaders.count(), buckets), "minhash-buckets")
+
+    pairs = write_table(members.where("t <> first").select(F.col("t").alias("tu"), F.col("first").alias("tv")).distinct(), "minhash-candidates")
+    ends = [leaders.select(F.col("t").alias(f"t{x}"), F.col("doc_id").alias(x), F.col("bits").alias(f"b{x}")) for x in "uv"]
+    near = join_one(pairs.join(ends[0], "tu"), ends[1], "tv", pairs.count(), pairs.groupBy("tv").agg(F.count(F.lit(1)).alias("n")))
+    near = near.where((F.col("u") != F.col("v")) & (_bits_differing(F.col("bu"), F.col("bv"), words) <= most_apart)).select("u", "v")
+    near = write_table(near, "minhash-near")
+    links = _confirmed(docs, near, text, doc_id, shingle_words, percent)
+    parts = write_table(connected_components(links.union(copies)), "minhash-parts")
+
+    more = _split_links(docs, members, leaders, parts, text, doc_id, shingle_words, percent, n)
     if more is not None:
-        parts = write_table(connected_components(links.union(more)), "minhash-parts")
+        parts = write_table(connected_components(links.union(copies).union(more)), "minhash-parts")
+        drop_table(more)
+    for done in (leaders, members, pairs, near, links):
+        drop_table(done)
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -226,28 +240,76 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return stay.join(again, stay[doc_id] == F.col("__again"), "left_anti").unionByName(repeated)
 
 
-def _split_links(docs: DataFrame, members: DataFrame, leaders: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame | None:
+def _near_in(left: list[tuple], right: list[tuple], band: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of slim rows (t, doc_id, part, bands, sketch) of two components may be similar and share no earlier bucket."""
+    (at, _, ap, ab, ax), (bt, _, bp, bb, bx) = (tuple(zip(*side, strict=True)) for side in (left, right))
+    at, bt, ap, bp, ab, bb = (np.array(c, np.int64) for c in (at, bt, ap, bp, ab, bb))
+    ax, bx = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (ax, bx))
+    found = []
+    for k in range(0, len(ax), 32):
+        near = (ax[k : k + 32, None, :] == bx[None, :, :]).sum(2, dtype=np.uint16) >= least
+        i, j = np.nonzero(near & (ap[k : k + 32, None] != bp[None, :]))
+        found.append((i + k, j))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    same = ab[i] == bb[j]
+    first = same.any(1) & (ab[i, same.argmax(1)] == band) & (at[i] != bt[j])
+    return i[first], j[first]
+
+
+def _split_links(docs: DataFrame, members: DataFrame, leaders: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int, minima: int) -> DataFrame | None:
     """Links between components of one bucket, other than those of its first member, which have been tried."""
-    placed = leaders.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    inside = members.where("t <> first").join(placed, "t").select("band", "doc_id", "part")
-    split = inside.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("doc_id").alias("least")).where("a <> b").select("band", "least")
-    inside = write_table(inside.join(split, "band").select("doc_id", "part", "least"), "minhash-split")
-    if inside.isEmpty():
+    placed = leaders.select("t", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    inside = members.where("t <> first").join(placed, "t").select("band", "t", "doc_id", "part")
+    counts = inside.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("largest")).where(F.col("n") > F.col("largest.n"))
+    blocks = [F.ceil(c / SLIM_BLOCK).cast("int").alias(a) for c, a in ((F.col("n"), "all_blocks"), (F.col("n") - F.col("largest.n"), "few_blocks"))]
+    sizes = write_table(sizes.select("band", "n", F.col("largest.part").alias("largest"), *blocks), "minhash-split")
+    rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not rows:
         return None
-    clusters = connected_components(inside.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
-    placed = write_table(inside.select("doc_id", "part").distinct().join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "cluster"), "minhash-clusters")
-    counts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("largest"))
-    blocks = [F.ceil(c / BLOCK).cast("int").alias(a) for c, a in ((F.col("n"), "all_blocks"), (F.col("n") - F.col("largest.n"), "few_blocks"))]
-    placed = placed.join(sizes.select("cluster", F.col("largest.part").alias("largest"), *blocks), "cluster")
+    split = write_table(join_one(inside, sizes.drop("n"), "band", rows, sizes), "minhash-split").join(leaders.select("t", "bands", "sketch"), "t")
 
     def dealt(rows: DataFrame, role: int, own: str, other: str) -> DataFrame:
         names = ("i", "j") if role == 0 else ("j", "i")
-        mine = rows.withColumn(names[0], F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return mine.select(F.col("doc_id").alias("id"), "cluster", "part", "i", "j", F.lit(role).alias("role"))
+        mine = rows.withColumn(names[0], F.pmod(F.xxhash64("t", "doc_id"), F.col(own)).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return mine.select("band", "i", "j", F.lit(role).alias("role"), "t", "doc_id", "part", "bands", "sketch")
+
+    grid = dealt(split.where("part <> largest"), 0, "few_blocks", "all_blocks").union(dealt(split, 1, "all_blocks", "few_blocks"))
+    ordered = grid.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    share = percent / 100
+    least = int(minima * share - SKETCH_DEVIATIONS * (minima * share * (1 - share)) ** 0.5)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slim rows with a possible partner, in pairs of text blocks."""
+
+        def close(key: list, held: list[tuple]) -> pa.RecordBatch:
+            sides = [[h[1:] for h in held if h[0] == r] for r in (0, 1)]
+            out: list[tuple] = []
+            if all(sides):
+                i, j = _near_in(*sides, key[0], least)
+                for cell in set(zip((i // BLOCK).tolist(), (j // BLOCK).tolist(), strict=True)):
+                    here = (i // BLOCK == cell[0]) & (j // BLOCK == cell[1])
+                    at = (key[0], key[1] << 20 | cell[0], key[2] << 20 | cell[1])
+                    for role, which in ((0, i), (1, j)):
+                        out += [(*at, role, *sides[role][x][1:3]) for x in np.unique(which[here]).tolist()]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cluster", "i", "j", "role", "id", "part"])
 
-    needed = write_table(dealt(placed.where("part <> largest"), 0, "few_blocks", "all_blocks").union(dealt(placed, 1, "all_blocks", "few_blocks")), "minhash-grid")
-    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text")).join(broadcast_if_small(needed, needed.count(), 1_000_000), "id")
+        key, held = None, []
+        for batch in batches:
+            for *at, role, t, doc, part, bands, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    if held:
+                        yield close(key, held)
+                    key, held = at, []
+                held.append((role, t, doc, part, bands, sketch))
+        if held:
+            yield close(key, held)
+        let_go()
+
+    needed = write_table(small_batches(ordered).mapInArrow(meet, "cluster long, i long, j long, role long, id long, part long"), "minhash-grid")
+    drop_table(sizes)
+    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text")).where("id is not null").join(broadcast_if_small(needed, needed.count(), 1_000_000), "id")
     ordered = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "role", "id", "part", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +319,13 @@ def _split_links(docs: DataFrame, members: DataFrame, leaders: DataFrame, parts:
                 if at != key:
                     yield _links_of(held, percent)
                     key, held = at, []
-                held.append((role, doc, part, _shingles(words_of(body.as_py()), k)))
+                held.append((role, doc, part, _shingles(words_of(body.as_py() or b""), k)))
         yield _links_of(held, percent)
         let_go(_words)
 
-    return write_table(ordered.mapInArrow(run, "u long, v long"), "minhash-links")
+    links = write_table(ordered.mapInArrow(run, "u long, v long"), "minhash-links")
+    drop_table(needed)
+    return links
 
 
 def _links_of(held: list[tuple], percent: int) -> pa.RecordBatch:

@@ -1,8 +1,11 @@
 """MinHash links, components and kept rows against brute force over all pairs."""
 
+import random
+
 import pytest
 
 from cloudframe.llm import minhash
+from cloudframe.operators import joins
 from cloudframe.operators.graph import connected_components
 
 DATA = "/root/testdata/sf0.01"
@@ -100,3 +103,34 @@ def test_each_text_of_a_repeated_id_keeps_its_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = minhash.near_duplicates(docs, shingle_words=2).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(d, 5) for d, _ in rows}
+
+
+def test_templated_texts_and_a_hot_group(spark, monkeypatch):
+    """Texts that share buckets with many others but are similar to few, and a group and a text that hold most rows."""
+    monkeypatch.setattr(joins, "LEAST_HEAVY", 50)
+    rng = random.Random(4)
+    frame = [f"f{i}" for i in range(140)]
+    rows = []
+    for i in range(500):  # half of the words are shared by all: a percolating chain of buckets
+        own = frame[:70] + [f"o{i // 2}_{j}" for j in range(50)]
+        if i % 2:
+            own[rng.randrange(70, 120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(1500, 2200):  # near copies of one text, of which many are not similar to each other
+        words = list(frame)
+        for _ in range(rng.randrange(9, 14)):
+            words[rng.randrange(140)] = f"y{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(4000 + i, "the very same text") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()}
+    assert got == brute(rows[:1200], 1) | {4000 + i: 4000 for i in range(1000)}
+
+
+def test_repeated_ids_in_any_order(spark):
+    texts = {g: [" ".join(f"{k}{g}_{i}" for i in range(60)) for k in "ab"] for g in range(8)}
+    rows = [(10 * g, t) for g, pair in texts.items() for t in pair] + [(10 * g + 5, pair[1] + " end") for g, pair in texts.items()]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1][::-1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=2).collect()}
+        assert got == {d: 10 * (d // 10) for d, _ in rows}
