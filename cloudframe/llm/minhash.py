@@ -49,7 +49,7 @@ MEMBERS_PER_READ = 64
 #: Signature bits that may differ beyond what the threshold lets expect, in standard deviations.
 DEVIATIONS = 5.5
 #: Texts, and slim rows, in a block of a bucket.
-BLOCK, SLIM_BLOCK = 128, 1024
+BLOCK, SLIM_BLOCK = 128, 256
 #: Low bytes of minima that agree by which slim rows are judged: deviations below what the threshold lets expect.
 SKETCH_DEVIATIONS = 4.5
 WORD_CACHE = 400_000
@@ -246,14 +246,15 @@ def _near_in(left: list[tuple], right: list[tuple], band: int, least: int) -> tu
     at, bt, ap, bp, ab, bb = (np.array(c, np.int64) for c in (at, bt, ap, bp, ab, bb))
     ax, bx = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (ax, bx))
     found = []
-    for k in range(0, len(ax), 32):
+    for k in range(0, len(ax), 32):  # bounds the room for pairs
         near = (ax[k : k + 32, None, :] == bx[None, :, :]).sum(2, dtype=np.uint16) >= least
         i, j = np.nonzero(near & (ap[k : k + 32, None] != bp[None, :]))
-        found.append((i + k, j))
+        i += k
+        same = ab[i] == bb[j]
+        first = same.any(1) & (ab[i, same.argmax(1)] == band) & (at[i] != bt[j])
+        found.append((i[first], j[first]))
     i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    same = ab[i] == bb[j]
-    first = same.any(1) & (ab[i, same.argmax(1)] == band) & (at[i] != bt[j])
-    return i[first], j[first]
+    return i, j
 
 
 def _split_links(docs: DataFrame, members: DataFrame, leaders: DataFrame, parts: DataFrame, text: str, doc_id: str, k: int, percent: int, minima: int) -> DataFrame | None:

@@ -62,3 +62,40 @@ def test_edge_cases(spark):
     assert got == alone | {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 12: (1, 12, True), 13: (1, 12, False), None: (0, None, True)}
     assert E.near_duplicates(docs.limit(0)).count() == 0
     assert [tuple(r) for r in E.near_duplicates(docs.where("vec_id = 7")).collect()] == [(7, 0, 7, True)]
+
+
+def near_copies(n, d, rng, groups=60, spread=(0.05, 0.12, 0.2)):
+    base = rng.normal(size=(groups, d))
+    return [(i, (base[i % groups] + rng.normal(size=d) * rng.choice(spread)).tolist(), int(rng.integers(2))) for i in range(n)]
+
+
+def test_two_levels_and_blocks(spark, monkeypatch):
+    """Leaves within lists, and lists of several blocks and cells."""
+    for name, value in {"QUERIES": 40, "CODED": 300, "CELL": 16}.items():
+        monkeypatch.setattr(E, name, value)
+    rows = near_copies(2500, 16, np.random.default_rng(2))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert result(E.near_duplicates(docs, reach=None, rows_per_list=50, top_lists=8)) == brute(rows)
+    got, want = result(E.near_duplicates(docs, rows_per_list=50, top_lists=8)), brute(rows)
+    assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+
+
+def test_partners_in_few_directions(spark):
+    """Copies that differ in one direction only, which is not what the probes' reach assumes."""
+    rng = np.random.default_rng(5)
+    base, rows = rng.normal(size=(300, 32)), []
+    for i in range(3000):
+        v = base[i % 300].copy()
+        v[i % 3] += rng.normal() * 0.9
+        rows.append((i, v.tolist(), 0))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    got = result(E.near_duplicates(docs, rows_per_list=100))
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert result(E.near_duplicates(docs, reach=None, rows_per_list=100)) == want
+
+
+def test_labels_of_other_types(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0, 4.0], "a"), (3, [1.0, 2.0], "b"), (4, [1e300, 2e300], "a"), (5, [1e-300, 2e-300], "b")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert result(E.near_duplicates(docs)) == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (1, 3), 5: (1, 3)}
