@@ -10,21 +10,29 @@ letters are one word), and a bag is as toxic as its most toxic words: a text sco
 the best word and the best three words of its sentences.
 
 Training, on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts (those of the
-smallest hashed ids):
+smallest hashed ids; of texts that share an id the first in order; an id labelled both
+ways is toxic). A text is labelled, its words are not, so this is learning from bags: a
+toxic text needs one toxic word, a clean one has none. Words of more than ``MOST_LETTERS``
+letters are scored, but not learned from.
 
 1. Words, grams of four and five letters and longer beginnings of them are counted by the texts that hold
    them: how much more a text with one is toxic than others is its evidence. In each
    toxic text the words with the most evidence are positive examples, as they are and
    with one letter inserted, doubled or left out; words of clean texts are negative ones.
 2. Landmarks are taken from both; K(x, landmarks) K(landmarks, landmarks)^-1/2 are the
-   features of a linear machine (squared hinge, Newton's method). The words of clean
-   texts with the highest margins join the negative examples, twice.
+   features of a linear machine (squared hinge, Newton's method). Then, ``HARD_ROUNDS``
+   times, each toxic text names its witness, the word the machine itself finds most
+   toxic; witnesses with as much evidence join the positive examples and the words of clean texts with the
+   highest margins the negative ones.
 3. Platt's sigmoid turns the margins of a text's best words into its score. It is fitted
    to the sample's texts, and to clean texts with a positive word that no clean text has.
 
 As the machine is linear in the kernel and the kernel in the subsequences, the landmarks
 fold into one weight per subsequence; each distinct word is scored by a few lookups.
 
+Letters beyond the Latin ones of ``_MORE`` stand for one of the alphabet by their code, so
+words of other scripts stay apart from each other.
+
 Defined results: null texts are empty and get the score of a text without words; without
 toxic or without clean labelled texts every score is 0; labels that are null are left
 out; rows with null or repeated ids are scored row by row; an empty table gives an empty
@@ -35,7 +43,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -45,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import let_go, small_batches, write_table
+from cloudframe.llm.common import drop_table, let_go, small_batches, write_table
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 MOST_WORDS, LANDMARKS = 8_000, 384
@@ -55,11 +63,13 @@ DECAY, GAPS = 0.4, 2
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 20.0, 8.0
 PENALTY = 10.0
 CACHE = 400_000
+#: Letters of a word to learn from or to remember; padded letters in a batch of words; letters of a long word read at a time.
+MOST_LETTERS, PADDED, STRIDE = 64, 1 << 17, 1 << 16
 #: fixed values: letters beyond a to z that count as themselves, and signs and letters that stand for others
 _MORE = "éèêáàäíîóôöúùüñçß"
 _SIGNS = dict(zip("013457@$ëâåãïûøœæ", "oieastasêàaaîùooa", strict=True))
-#: every letter is a character from 'a' on: a to z, any other letter, the two end marks, _MORE
-_OTHER, _FIRST, _LAST = "{", "|", "}"
+#: every letter is a character from 'a' on: a to z, a free one, the two end marks, _MORE
+_FIRST, _LAST = "|", "}"
 LETTERS = 29 + len(_MORE) + 1
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _PLACES = [(n, (0, *c)) for n in (3, 4) for c in combinations(range(1, n + GAPS), n - 1)]
@@ -70,7 +80,7 @@ class _Letters(dict):
 
     def __missing__(self, code: int) -> str:
         c = _SIGNS.get(chr(code), chr(code))
-        out = c if "a" <= c <= "z" else chr(126 + _MORE.index(c)) if c in _MORE else _OTHER if c.isalpha() else ""
+        out = c if "a" <= c <= "z" else chr(126 + _MORE.index(c)) if c in _MORE else chr(97 + code % 26) if c.isalpha() else ""
         self[code] = out
         return out
 
@@ -205,16 +215,27 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for at in range(0, len(words), 4096):
-            some = order[at : at + 4096]
-            codes, lens = _codes([words[i] for i in some])
-            total = np.zeros(len(some))
-            for number, weight in _subsequences(codes):
-                total += weight * self.table[number].sum(axis=1)
-            out[some] = total / _norms(lens) + self.offset
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        order, at = np.argsort(lens, kind="stable"), 0
+        while at < len(order):
+            # so many words that no batch is padded beyond PADDED, one at least
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * int(lens[order[to]]) <= PADDED:
+                to += 1
+            some = order[at:to]
+            out[some] = self._sums([words[i] for i in some]) / _norms(lens[some]) + self.offset
+            at = to
         return out
 
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """Sums of the weights of all subsequences; those that start in a stretch of STRIDE letters at a time."""
+        total, ahead = np.zeros(len(words)), _PLACES[-1][1][-1] + 1
+        for at in range(0, max(map(len, words)), STRIDE):
+            codes, _ = _codes([w[at : at + STRIDE + ahead] for w in words])
+            for number, weight in _subsequences(codes):
+                total += weight * self.table[number[:, :STRIDE]].sum(axis=1, dtype=np.float64)
+        return total
+
     def scores(self, best: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_features(best) @ self.platt, -500, 500)))
 
@@ -231,8 +252,10 @@ class Scorer:
             self.known.clear()
         bags = [tokens_of(t) for t in texts]
         fresh = [t for t in set().union(*bags) if t not in self.known]
-        self.known.update(zip(fresh, self.model.margins(list(map(letters_of, fresh))).tolist(), strict=True))
-        get, low = self.known.__getitem__, [min(self.model.offset, 0.0)] * BEST
+        margins = dict(zip(fresh, self.model.margins(list(map(letters_of, fresh))).tolist(), strict=True))
+        self.known.update((t, m) for t, m in margins.items() if len(t) <= MOST_LETTERS)
+        get = ChainMap(margins, self.known).__getitem__ if len(margins) and max(map(len, margins)) > MOST_LETTERS else self.known.__getitem__
+        low = [min(self.model.offset, 0.0)] * BEST
         return np.array([(heapq.nlargest(BEST, map(get, bag)) + low)[:BEST] for bag in bags]).reshape(-1, BEST)
 
 
@@ -242,16 +265,17 @@ def is_held_out(doc_id: str | Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> DataFrame:
-    """At most MOST_TOXIC and MOST_CLEAN labelled texts with ids that are not held out: (text, toxic)."""
-    known = labels.select(labels[doc_id].alias("id"), labels[label].cast("int").alias("toxic")).where(~is_held_out("id") & F.col("id").isNotNull()).distinct()
+    """At most MOST_TOXIC and MOST_CLEAN labelled texts with ids that are not held out, one of each id: (text, toxic)."""
+    known = labels.select(labels[doc_id].alias("id"), labels[label].cast("int").alias("toxic")).where(~is_held_out("id") & F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    # no more rows than the two bounds: safe to broadcast
-    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(F.broadcast(some[0].union(some[1])), "id")
-    return small_batches(write_table(rows.where("text is not null").select("text", "toxic"), "toxicity-sample"))
+    # no more ids than the two bounds: safe to broadcast
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).where("text is not null").join(F.broadcast(some[0].union(some[1])), "id")
+    return small_batches(write_table(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample"))
 
 
 def _words(text: str) -> set[str]:
-    return {w for t in tokens_of(text) if len(w := letters_of(t)) >= 5}
+    return {w for t in tokens_of(text) if 5 <= len(w := letters_of(t)) <= MOST_LETTERS}
 
 
 def _grams(word: str) -> set[str]:
@@ -259,6 +283,13 @@ def _grams(word: str) -> set[str]:
     return {word} | {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} | {word[:n] for n in range(6, min(10, len(word)))}
 
 
+def _evidence(toxic: str, clean: str, share: float) -> Column:
+    """The log-likelihood ratio of so many texts being toxic at their own rate and at the common one."""
+    t, c = F.col(toxic), F.col(clean)
+    rate = t / (t + c)
+    return t * F.log(rate / share) + F.when(c > 0, c * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+
+
 def _strong_grams(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Grams far commoner in toxic texts, with the odds."""
 
@@ -273,16 +304,12 @@ def _strong_grams(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
 
     counted = sample.mapInArrow(count, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("t") >= LEAST_TEXTS)
     odds = (F.col("t") + 0.5) / (F.col("c") + 0.5) * (n_clean / n_toxic)
-    share = n_toxic / (n_toxic + n_clean)
-    # the log-likelihood ratio of the gram's texts being toxic at their own rate and at the common one
-    rate = F.col("t") / (F.col("t") + F.col("c"))
-    evidence = F.col("t") * F.log(rate / share) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    strong = counted.where(odds >= LEAST_ODDS).select("gram", evidence.alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
+    strong = counted.where(odds >= LEAST_ODDS).select("gram", _evidence("t", "c", n_toxic / (n_toxic + n_clean)).alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
     return {r.gram: r.evidence for r in strong.orderBy(F.desc("evidence"), "gram").limit(MOST_WORDS).collect()}
 
 
-def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, int], list[str], set[str]]:
-    """Positive words, those most texts point to first, with the number of these texts; negative words; positive ones that clean texts hold too."""
+def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, int], list[str], set[str], DataFrame]:
+    """Positive words, those most texts point to first, with the number of these texts; negative words; positive ones that clean texts hold too; all words with their counts."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
@@ -298,30 +325,40 @@ def _examples(sample: DataFrame, strong: dict[str, float]) -> tuple[dict[str, in
         let_go()
 
     counted = write_table(sample.mapInArrow(pick, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "toxicity-words")
-    good = counted.where(F.col("t") > 4 * F.col("c")).orderBy(F.desc("t"), F.xxhash64("word"), "word").limit(MOST_WORDS // 4).collect()
+    good = counted.where(F.col("t") > 4 * F.col("c")).orderBy(F.desc("t"), F.xxhash64("word"), "word").limit(MOST_TOXIC).collect()
     positive = {r.word: r.t for r in good}
     shared = {r.word for r in good if r.c}
     common = counted.where("c > 0").orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(MOST_WORDS // 4)
     others = counted.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS // 2)
-    return positive, sorted({r.word for r in common.union(others).collect()} - positive.keys()), shared
+    return positive, sorted({r.word for r in common.union(others).collect()} - positive.keys()), shared, counted
 
 
-def _hardest(sample: DataFrame, model: Model) -> list[str]:
-    """The words of clean texts with the highest margins."""
+def _found(sample: DataFrame, model: Model, counted: DataFrame, share: float) -> tuple[dict[str, int], list[str]]:
+    """The witnesses of toxic texts with their number of texts, and the words of clean texts with the highest margins."""
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = sorted(set().union(*map(_words, b.column(0).to_pylist())))
-            margins = sent.value.margins(words)
-            top = np.argsort(-margins, kind="stable")[:MOST_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top], pa.string()), pa.array(margins[top])], names=["word", "margin"])
+            bags = [sorted(_words(t)) for t in b.column(0).to_pylist()]
+            words = sorted(set().union(*bags))
+            margin = dict(zip(words, sent.value.margins(words).tolist(), strict=True))
+            toxic = b.column(1).to_pylist()
+            best = Counter(max(bag, key=margin.__getitem__) for bag, y in zip(bags, toxic, strict=True) if y and bag)
+            clean = set().union(*(bag for bag, y in zip(bags, toxic, strict=True) if not y))
+            rows = [(w, n, margin[w]) for w, n in best.items() if margin[w] > 0]
+            rows += [(w, 0, margin[w]) for w in heapq.nlargest(MOST_WORDS, sorted(clean), key=margin.__getitem__)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["word", "texts", "margin"])
         let_go()
 
-    found = sample.where("toxic = 0").select("text").mapInArrow(run, "word string, margin double")
-    rows = found.groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(MOST_WORDS // 4).collect()
+    found = write_table(sample.mapInArrow(run, "word string, texts long, margin double").groupBy("word").agg(F.sum("texts").alias("texts"), F.max("margin").alias("m"), F.min("texts").alias("least")), "toxicity-found")
+    named = found.where("texts > 0").join(counted.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    named = named.where((F.col("texts") > 4 * F.col("c")) & (_evidence("texts", "c", share) >= LEAST_EVIDENCE))
+    witnesses = {r.word: r.texts for r in named.orderBy(F.desc("texts"), "word").limit(MOST_TOXIC).collect()}
+    hard = [r.word for r in found.where("least = 0").orderBy(F.desc("m"), "word").limit(MOST_WORDS // 4).collect()]
     sent.destroy()
-    return [r.word for r in rows]
+    drop_table(found)
+    return witnesses, hard
 
 
 def _variants(words: list[str], rng: np.random.Generator) -> list[str]:
@@ -368,15 +405,17 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     strong = _strong_grams(sample, n[1], n[0])
     if not strong:
         return None
-    positive, negative, shared = _examples(sample, strong)
+    positive, negative, shared, counted = _examples(sample, strong)
     if not positive or not negative:
         return None
     rng = np.random.default_rng(seed)
     model = _fit(positive, negative, np.random.default_rng(seed), 0)
     hard: list[str] = []
     for _ in range(HARD_ROUNDS):
-        hard = list(dict.fromkeys([*(w for w in _hardest(sample, model) if w not in positive), *hard]))
-        model = _fit(positive, [*hard, *(w for w in negative if w not in set(hard))], np.random.default_rng(seed), len(hard))
+        witnesses, harder = _found(sample, model, counted, n[1] / (n[0] + n[1]))
+        positive |= {w: t for w, t in witnesses.items() if w not in positive}
+        hard = [w for w in dict.fromkeys([*harder, *hard]) if w not in positive]
+        model = _fit(positive, [*hard, *(w for w in negative if w not in positive and w not in set(hard))], np.random.default_rng(seed), len(hard))
     # three numbers for each text of the bounded sample
     rows = score(sample, model, keep=("toxic",), text="text", raw=True).collect()
     toxic, best = np.array([r.toxic == 1 for r in rows]), np.array([r.margins for r in rows])

@@ -77,3 +77,31 @@ def test_without_labels(spark, model):
     assert {(r.score, r.predicted) for r in got.collect()} == {(0.0, 0)}
     ids = spark.createDataFrame([(i,) for i in range(500)] + [(None,)], "doc_id long").select("doc_id", T.is_held_out("doc_id").alias("h"))
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in ids.collect())
+
+
+def test_long_tokens_among_short_words(model):
+    """A batch is not padded to its longest word, and a long word read in stretches counts every subsequence once."""
+    import tracemalloc
+
+    machine = model[2]
+    long = ("qwertzuiop" * 100_000)[:1_000_000]
+    words = [T.letters_of(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(4096)] + [T.letters_of(long)]
+    tracemalloc.start()
+    got = machine.margins(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500e6
+    assert np.allclose(got[:4096], machine.margins(words[:4096]))
+    word = T.letters_of(long[:150_000])
+    codes, lens = T._codes([word])
+    want = sum(weight * machine.table[number].sum(dtype=float) for number, weight in T._subsequences(codes)) / T._norms(lens)[0] + machine.offset
+    assert np.allclose(machine.margins([word]), want)
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "MOST_TOXIC", 3)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in ids for k in range(5)] + [(None, "x"), (ids[0], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(ids[0], 0), (ids[1], None), (None, 1), (ids[2], 7)], "doc_id long, toxic int")
+    rows = T._sample(docs, labels, "text", "doc_id", "toxic").collect()
+    assert len(rows) == 3 and all(r.toxic == 1 and r.text.endswith(" 0") for r in rows)
