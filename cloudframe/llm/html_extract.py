@@ -24,7 +24,7 @@ with headings right before it. Only menus at its edges are left out: blocks befo
 first or after the last content line whose text is all links.
 
 Defined results: a null or empty page has an empty text; broken or unclosed markup is
-read as far as the parser goes; null or repeated ids are answered row by row; an empty
+read as far as the parser goes, but a tag cut off by the page's end is left out; null or repeated ids are answered row by row; an empty
 table gives an empty table.
 """
 
@@ -70,6 +70,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 TEXT_BLOCKS = HEADINGS | frozenset("p pre blockquote ul ol li dl dd dt table thead tbody tfoot tr td th caption figure figcaption address details summary".split())
 LISTS = frozenset("ul ol dl table".split())
 _NAME = re.compile(r"[^a-z0-9]+")
+_CUT = re.compile(r"<[a-zA-Z/!?]")
 
 
 def set_aside_by(name: str) -> str:
@@ -175,8 +176,8 @@ class LineParser(HTMLParser):
 
     @staticmethod
     def _word(tag: str, attrs: list, region: int) -> str:
-        """The word that names the element as no content, or ''."""
-        if tag in ("html", "body", "article", "main"):
+        """The word that names the element as no content, or ''. An article may be a reader's comment, but no menu."""
+        if tag in ("html", "body", "main"):
             return ""
         if tag == "header" and not region:
             return tag
@@ -184,7 +185,7 @@ class LineParser(HTMLParser):
             # the id of a heading is made of its text
             if v and (k in ("class", "role") or (k == "id" and tag not in HEADINGS)):
                 for name in v.lower().split():
-                    if (word := set_aside_by(name)) and not (word == "header" and region):
+                    if (word := set_aside_by(name)) and not (word == "header" and region) and (tag != "article" or word in DISCUSSION):
                         return word
         return ""
 
@@ -319,6 +320,10 @@ def content_block(outer: list[int], lines: list[Line], strong: np.ndarray, conte
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    # a tag that the page's end cuts off is no text, and reading it would take time by its square
+    end = html.rfind(">") + 1
+    if cut := _CUT.search(html, end):
+        html = html[: cut.start()]
     parser = LineParser()
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])

@@ -107,3 +107,31 @@ def test_unmarked_page_without_its_menus():
 def test_whole_table_without_article_tags(spark):
     for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         assert main_text(re.sub(r"</?article\b[^>]*>", "", r.html)) == plain(r.html), r.page_id
+
+
+def test_readers_comments_marked_as_articles():
+    comments = "".join(f'<article class="comment depth-1" id="comment-{i}"><p>{LONG} {i}</p></article>' for i in range(9))
+    assert main_text(f"<body><article class='post comments-open'><h1>Head</h1><p>{LONG}</p></article><section>{comments}</section></body>") == f"Head {LONG}"
+    assert main_text(f"<body><article><h1>Head</h1><p>{LONG}</p>{comments}</article></body>") == f"Head {LONG}"
+    assert main_text(f'<body><article><div class="hidden-gems"><p>{LONG}</p></div></article></body>') == LONG
+
+
+def test_smoothing_and_threshold_decide(monkeypatch):
+    """A lone sentence among a page's menus is no content; without smoothing over its neighbours it would be."""
+    from cloudframe.llm import html_extract as H
+
+    menu = "".join(f'<div><a href="/{i}">Item {i}</a></div>' for i in range(4))
+    lone = "<div>Here is a lone sentence that tells what this site is about and who made it.</div>"
+    page = f"<body><div>{menu}{lone}{menu}</div><div><p>By A. Writer</p>{f'<p>{LONG}</p>' * 6}</div></body>"
+    assert main_text(page) == " ".join(["By A. Writer", *[LONG] * 6])
+    monkeypatch.setattr(H, "smooth", lambda values: values)
+    assert "lone sentence" in main_text(page)
+
+
+def test_cut_off_markup():
+    import time
+
+    began = time.perf_counter()
+    assert main_text(f"<body><article><p>{LONG}</p>{'<a ' * 50_000}") == LONG
+    assert main_text(f"<body><article><p>{LONG} a < b <img src='x") == f"{LONG} a < b"
+    assert time.perf_counter() - began < 5
