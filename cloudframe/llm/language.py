@@ -2,7 +2,9 @@
 
 * Text: log-likelihoods of a page's letter trigrams under each language, from counts over
   at most ``SAMPLE_TEXTS`` labelled texts of each language (those of the smallest hashed
-  ids) and ``MOST_GRAMS`` trigrams. As trigrams overlap, they weigh ``TEMPER`` each.
+  ids) and the commonest trigrams of each language: so many that the table of all
+  languages has ``MOST_NUMBERS`` numbers, but not below ``LEAST_GRAMS``. As trigrams
+  overlap, they weigh ``TEMPER`` each. Every labelled language takes part.
 * Declared language (``<html lang=...>``) and address suffix: how often each goes with
   each language, by sums of the text's posteriors over all pages.
 * Host: shares of the languages on the host, smoothed by those of its domain, and these
@@ -32,16 +34,40 @@ from pyspark.sql import functions as F
 
 from cloudframe.llm.common import broadcast_if_small, small_batches, write_table
 
-SAMPLE_TEXTS, MOST_LANGUAGES, MOST_GRAMS = 500, 100, 60_000
+SAMPLE_TEXTS, MOST_NUMBERS, LEAST_GRAMS = 500, 6_000_000, 50
 TEMPER = 0.25
 #: Pseudo-counts of the level above a host or domain, and of a declared language or suffix.
 PRIOR_PAGES, PRIOR_SIGNS = 4.0, 1.0
-_UNSEEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_ENDS = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def visible(page: str) -> str:
-    return markup.unescape(_UNSEEN.sub(" ", page))
+    """A page without tags, comments, scripts and styles, in one pass: what has no end anywhere is looked for once."""
+    out, at, endless = [], 0, set()
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        raw = _RAW.match(page, start)
+        kind = "comment" if page.startswith("<!--", start) else raw[1].lower() if raw else None
+        if kind and kind not in endless:
+            if kind == "comment":
+                end = page.find("-->", start + 4) + 3
+            else:
+                found = _ENDS[kind].search(page, raw.end())
+                end = found.end() if found else 2
+            if end > 2:
+                out.append(" ")
+                at = end
+                continue
+            endless.add(kind)
+        end = page.find(">", start)
+        if end < 0:
+            at = start
+            break
+        out.append(" ")
+        at = end + 1
+    return markup.unescape("".join(out) + page[at:])
 
 
 def trigrams(text: str) -> Counter:
@@ -53,18 +79,18 @@ def trigrams(text: str) -> Counter:
     return out
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], dict[str, np.ndarray]]:
-    """The languages in order, and each trigram's log-probability under each."""
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], dict[str, int], np.ndarray]:
+    """The languages in order, the trigrams' numbers, and their log-probabilities under each language."""
     slim = docs.select(docs[doc_id].alias("id"), docs[lang].alias("lang"), docs[text].alias("text")).where("lang is not null and text is not null")
-    counts = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = slim.groupBy("lang").count().collect()  # a row for each language
     langs = sorted(r.lang for r in counts)
     if not langs:
-        return [], {}
+        return [], {}, np.zeros((0, 0))
     # one pass over the texts: about twice the sample by a threshold of the hashed id, then exactly the smallest
     shares = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2.0 * SAMPLE_TEXTS / r["count"])))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
     some = write_table(slim.withColumn("place", place).where(F.col("place") < shares[F.col("lang")] * (1 << 31)), "language-sample")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
     sample = some.withColumn("n", order).where(F.col("n") <= SAMPLE_TEXTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +102,25 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
             cols = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
 
-    each = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("gram").agg(*[F.sum(F.when(each[F.col("lang")] == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))])
-    total = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0))
-    rows = counted.orderBy(F.desc(total), "gram").limit(MOST_GRAMS).collect()
-    table = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], float).reshape(-1, len(langs)) + 0.5
-    logs = np.log(table / table.sum(axis=0))
-    return langs, {r.gram: v for r, v in zip(rows, logs, strict=True)}
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = write_table(counted, "language-grams")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    chosen = counted.withColumn("rank", rank).where(F.col("rank") <= max(LEAST_GRAMS, MOST_NUMBERS // len(langs) ** 2)).select("gram").distinct()
+    rows = counted.join(chosen, "gram").collect()
+    place_of = {name: i for i, name in enumerate(langs)}
+    number = {g: i for i, g in enumerate(sorted({r.gram for r in rows}))}
+    table = np.full((len(number), len(langs)), 0.5)
+    for r in rows:
+        table[number[r.gram], place_of[r.lang]] += r.n
+    return langs, number, np.log(table / table.sum(axis=0))
+
+
+def text_logs(page: str, number: dict[str, int], logs: np.ndarray) -> np.ndarray:
+    held = [(number[g], n) for g, n in trigrams(visible(page)).items() if g in number]
+    if not held:
+        return np.zeros(logs.shape[1])
+    which, times = zip(*held, strict=True)
+    return TEMPER * (np.array(times, float) @ logs[list(which)])
 
 
 def host_of(url: str | Column) -> Column:
@@ -93,28 +131,30 @@ def declared_in(page: str | Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1))
 
 
-def _softmax(logits: list[Column]) -> Column:
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    each = [F.exp(x - top) for x in logits]
-    return F.array(*[x / sum(each[1:], each[0]) for x in each])
+def _softmax(logits: Column) -> Column:
+    each = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return F.transform(each, lambda x: x / _sum(each))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def identify(pages: DataFrame, docs: DataFrame, *, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` with ``lang`` and its posterior ``probability``."""
-    langs, logs = train(docs)
+    langs, number, logs = train(docs)
     if not langs:
         return pages.select(*keep, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
     k = len(langs)
     kept = [pages[c].alias(f"k{i}") for i, c in enumerate(keep)]
     host = host_of(pages[url])
     slim = pages.select(*kept, host.alias("host"), declared_in(pages[html]).alias("declared"), F.coalesce(pages[html], F.lit("")).alias("html"))
-    sent = pages.sparkSession.sparkContext.broadcast(logs)  # MOST_GRAMS rows of MOST_LANGUAGES numbers at most
+    sent = pages.sparkSession.sparkContext.broadcast((number, logs))  # bounded by MOST_NUMBERS
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", text_logs array<double>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, nothing = sent.value, np.zeros(k)
         for b in batches:
-            rows = [(TEMPER * sum((n * table[g] for g, n in trigrams(visible(body.as_py())).items() if g in table), nothing)).tolist() for body in b.column(b.num_columns - 1)]
+            rows = [text_logs(body.as_py(), *sent.value).tolist() for body in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "text_logs"])
 
     scored = small_batches(slim).mapInArrow(read, schema)
@@ -122,7 +162,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, html: str = "html", url: str
     scored = scored.withColumns({
         "suffix": F.element_at(labels, -1),
         "domain": F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), "."),
-        "p": _softmax([F.col("text_logs")[i] for i in range(k)]),
+        "p": _softmax(F.col("text_logs")),
     })
     scored = write_table(scored, "language-pages")
 
@@ -139,22 +179,19 @@ def identify(pages: DataFrame, docs: DataFrame, *, html: str = "html", url: str
     for name in ("host", "domain", "suffix", "declared"):
         out = out.join(sums(name), F.col(name) == F.col(f"{name}_key"))
 
-    def own_out(name: str, i: int) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"{name}_n")[i] - F.col("p")[i])
-
-    logits = []
-    for i in range(k):
-        share = F.lit(everything[i] / pages_in_all)
-        for name in ("domain", "host"):
-            total = sum((own_out(name, x) for x in range(1, k)), own_out(name, 0))
-            share = (own_out(name, i) + PRIOR_PAGES * share) / (total + PRIOR_PAGES)
-        signs = F.lit(0.0)
-        for name in ("suffix", "declared"):
-            total = sum((own_out(name, x) for x in range(1, k)), own_out(name, 0))
-            common = (total + 1.0) / (pages_in_all + 1.0)
-            signs = signs + F.log((own_out(name, i) + PRIOR_SIGNS * common) / (everything[i] + PRIOR_SIGNS)) - F.log(common)
-        logits.append(F.col("text_logs")[i] + F.log(share + 1e-12) + signs)
-    out = out.withColumn("posterior", _softmax(logits))
+    # of each table: its sums without the page itself, and the total of these
+    for name in ("host", "domain", "suffix", "declared"):
+        out = out.withColumn(f"{name}_n", F.zip_with(f"{name}_n", "p", lambda n, p: F.greatest(F.lit(0.0), n - p))).withColumn(f"{name}_all", _sum(F.col(f"{name}_n")))
+    out = out.withColumn("share", F.array(*[F.lit(x / pages_in_all) for x in everything])).withColumn("all", F.array(*[F.lit(x) for x in everything]))
+    for name in ("domain", "host"):
+        total = F.col(f"{name}_all")
+        out = out.withColumn("share", F.zip_with(f"{name}_n", "share", lambda n, s: (n + PRIOR_PAGES * s) / (total + PRIOR_PAGES)))  # noqa: B023
+    out = out.withColumn("logits", F.zip_with("text_logs", "share", lambda t, s: t + F.log(s + 1e-12)))
+    for name in ("suffix", "declared"):
+        common = (F.col(f"{name}_all") + 1.0) / (pages_in_all + 1.0)
+        sign = F.zip_with(f"{name}_n", "all", lambda n, a: F.log((n + PRIOR_SIGNS * common) / (a + PRIOR_SIGNS)) - F.log(common))  # noqa: B023
+        out = out.withColumn("logits", F.zip_with("logits", sign, lambda a, b: a + b))
+    out = out.withColumn("posterior", _softmax(F.col("logits")))
     best = F.array_max("posterior")
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posterior", best).cast("int"))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], lang.alias("lang"), best.alias("probability"))
