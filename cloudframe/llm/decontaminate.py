@@ -24,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloudframe.llm.common import let_go, small_batches
 
@@ -137,7 +138,7 @@ class Matcher:
 
 def _rounds(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int, str]]]:
     """The items, about ROUND_CHARS characters at a time."""
-    some = benchmark.select(benchmark[item_id].cast("long").alias("id"), benchmark[text].alias("text")).where("text is not null")
+    some = benchmark.select(benchmark[item_id].alias("id"), benchmark[text].alias("text")).where("text is not null")
     chars = some.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     rounds = -(-chars // ROUND_CHARS)
     for r in range(rounds):
@@ -149,7 +150,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
     """(doc_id, item_id, distance, end_at): each item found in each text, where it is found best."""
     slim = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, distance int, end_at long"
+    item_kind = benchmark.schema[item_id].dataType
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, distance int, end_at long"
+    item_type = to_arrow_type(item_kind)
     out = None
     for items in _rounds(benchmark, item_text, item_id):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -159,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
             for b in batches:
                 rows = [(at, item, edits, end) for at, body in enumerate(b.column(1)) for ids, edits, end in matcher.find(body.as_py()) for item in ids]
                 at, found, edits, ends = zip(*rows, strict=True) if rows else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64()), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end_at"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end_at"])
 
         one = small_batches(slim).mapInArrow(run, schema)
         out = one if out is None else out.union(one)
@@ -176,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             matcher = Matcher(sent.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(body.as_py()) for body in b.column(place)], pa.bool_()))
-        let_go()
+            let_go()
 
         docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -11,7 +11,8 @@ within a source, hashed blocks within a class, rows within a block.
 Defined results: a null text has size 0; a null source is a source of its own, ordered
 last; rows with null or repeated ``doc_id`` are rows like any others; a source whose
 texts are all empty has target 0 and none of its rows is taken; an empty table gives an
-empty table. Extra columns are kept, whatever their names.
+empty table. Extra columns are kept, whatever their names. Rows that
+repeat both id and text are placed in one block.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ WEIGHTS = (3, 1, 2)
 #: A size class is cut into about TARGET_BLOCKS hashed blocks over all rows, of LEAST to MOST rows each.
 TARGET_BLOCKS, LEAST_ROWS, MOST_ROWS = 2048, 16, 100_000
 OFFSET_STEPS = 1 << 20
+MARKS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def word_count(text: str | Column) -> Column:
@@ -32,13 +34,14 @@ def word_count(text: str | Column) -> Column:
 
 
 def _keyed(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
-    size = word_count(docs[text])
-    return docs.withColumns(
-        {
-            "__size": size,
-            "__key": F.coalesce(F.concat(F.lit("s"), docs[source]), F.lit("n")),
-            "__hash": F.xxhash64(docs[doc_id], text_or_empty(docs[text])),
-        }
+    """The columns of ``docs`` by their places, so that no name clashes, with what the mix needs of each row."""
+    return docs.select(
+        *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)],
+        docs[doc_id].alias("__id"),
+        docs[source].alias("__source"),
+        word_count(docs[text]).alias("__size"),
+        F.coalesce(F.concat(F.lit("s"), docs[source]), F.lit("n")).alias("__key"),
+        F.xxhash64(docs[doc_id], text_or_empty(docs[text])).alias("__hash"),
     ).withColumn("__class", F.floor(4 * F.log2(1.0 + F.col("__size"))).cast("int"))
 
 
@@ -66,10 +69,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ratio: float = 1.5, cap: f
     return t.select("source", "source_size", F.least("most", F.coalesce("final", F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, ratio: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
-    """``docs`` with the columns ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``."""
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the columns ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``, which take the place of columns of these names."""
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in MARKS]
+    return _mixed(docs, **options).select(*kept, *MARKS)
+
+
+def _mixed(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, ratio: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
     keyed = _keyed(docs, text, source, doc_id)
-    slim = write_table(keyed.select(F.col("__key").alias("key"), docs[source].alias("source"), F.col("__size").alias("size"), F.col("__class").alias("class"), F.col("__hash").alias("hash")), "mix-sizes")
+    slim = write_table(keyed.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__class").alias("class"), F.col("__hash").alias("hash")), "mix-sizes")
     rows = slim.count()
     block_rows = min(MOST_ROWS, max(LEAST_ROWS, rows // TARGET_BLOCKS))
 
@@ -104,19 +112,19 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     out = keyed.join(broadcast_if_small(classes, n_classes), (F.col("__key") == F.col("__c_key")) & (F.col("__class") == F.col("__c_class")))
     out = out.withColumn("__block", F.pmod("__hash", F.col("__c_blocks")))
     out = out.join(broadcast_if_small(plan, n_blocks), (F.col("__key") == F.col("__p_key")) & (F.col("__class") == F.col("__p_class")) & (F.col("__block") == F.col("__p_block")))
-    in_block = Window.partitionBy("__key", "__class", "__block").orderBy("__size", docs[doc_id], "__hash")
+    in_block = Window.partitionBy("__key", "__class", "__block").orderBy("__size", "__id", "__hash")
     place = F.col("__p_class_before") + F.col("__p_block_before") + F.row_number().over(in_block)
     out = out.withColumn("__place", place)
     crossed = F.floor(F.col("__p_offset") + F.col("__p_expected") * F.col("__place")) - F.floor(F.col("__p_offset") + F.col("__p_expected") * (F.col("__place") - 1))
     # rounding can't give a document more than its expected copies rounded up
     copies = F.least(crossed, F.ceil("__p_expected")).cast("int")
-    return out.select(*[docs[c] for c in docs.columns], F.col("__size").alias("mix_size"), F.col("__p_source_size").alias("mix_source_size"), F.col("__p_target").alias("mix_target"), copies.alias("mix_copies"))
+    return out.select(*[f"c{i}" for i in range(len(docs.columns))], F.col("__size").alias("mix_size"), F.col("__p_source_size").alias("mix_source_size"), F.col("__p_target").alias("mix_target"), copies.alias("mix_copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as the mix takes it, with the columns of ``docs``."""
-    marked = mix(docs, **options).where("mix_copies > 0")
-    return marked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    marked = _mixed(docs, **options).where("mix_copies > 0")
+    return marked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mixing_query(spark, sf_dir: str) -> DataFrame:

@@ -167,8 +167,10 @@ def read_documents(shards: DataFrame, columns: tuple[str, ...] = ("doc_id", "sta
             for k in range(b.num_rows):
                 row = {n: b.column(i)[k] for i, n in enumerate(("start", "ids", "tokens", "file"))}
                 ids = WaveletMatrix(row["file"].as_py()).unpack().astype("<u4")
-                tokens = np.array(row["tokens"].as_py(), np.int64)
-                ends = np.cumsum(tokens)
+                ends = np.flatnonzero(ids == END_ID) + 1
+                if len(ends) != len(row["ids"]):  # a text that holds the end id itself: only the written numbers tell where it ends
+                    ends = np.cumsum(np.array(row["tokens"].as_py(), np.int64))
+                tokens = np.diff(ends, prepend=0)
                 raw = memoryview(ids.tobytes())
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), tokens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(row["start"].as_py() + ends - tokens), pa.array(tokens), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -81,3 +81,10 @@ def test_filter_and_edge_cases(spark):
     assert D.decontaminate(docs, items).columns == docs.columns
     assert D.leaks(docs, items.limit(0)).count() == 0 and D.leaks(docs.limit(0), items).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == 6
+
+
+def test_items_named_by_text(spark):
+    body = "the quick brown fox jumps over the lazy dog by the river bank at dawn"
+    docs = spark.createDataFrame([(1, f"before {body} after")], "doc_id long, text string")
+    items = spark.createDataFrame([("a-1", body), (None, None)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()] == [(1, "a-1")]

@@ -60,3 +60,38 @@ def test_edge_cases(spark):
     check(got, [(d, s, t) for d, t, s, _ in rows])
     assert {r.mix_copies for r in got if r.source == "empty"} == {0}
     assert M.mix(docs.limit(0)).count() == 0
+
+
+def test_copies_are_those_of_a_plain_systematic_sampler(spark):
+    """Prefix sums over the documents of a source in order, an offset, a copy for each integer crossed."""
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    assert docs.count() // M.TARGET_BLOCKS < M.LEAST_ROWS  # blocks of LEAST_ROWS rows
+    rows = M.mix(docs).collect()
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id, coalesce(text, '')) as h").collect()}
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    keys = spark.createDataFrame([(f"s{s}" if s is not None else "n",) for s in by_source], "k string")
+    offsets = {r.k: r.o for r in keys.selectExpr("k", f"pmod(xxhash64(42, k), {M.OFFSET_STEPS}) / {float(M.OFFSET_STEPS)}D as o").collect()}
+    for s, some in by_source.items():
+        classes = defaultdict(list)
+        for r in some:
+            classes[math.floor(4 * math.log2(1 + r.mix_size))].append(r)
+        order = []
+        for c in sorted(classes):
+            blocks = -(-len(classes[c]) // M.LEAST_ROWS)
+            order += sorted(classes[c], key=lambda r: (hashes[r.doc_id] % blocks, r.mix_size, r.doc_id))
+        at, expected = offsets[f"s{s}" if s is not None else "n"], some[0].mix_target / some[0].mix_source_size
+        for place, r in enumerate(order, 1):
+            assert r.mix_copies == math.floor(at + expected * place) - math.floor(at + expected * (place - 1)), r
+
+
+def test_clashing_names(spark):
+    names = ["mix_copies", "__size", "__key", "__hash", "__class", "__id", "c0", "key", "class"]
+    docs = spark.createDataFrame([(i, "a b c", "s", *range(len(names))) for i in range(50)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = M.mix(docs)
+    assert got.columns == [c for c in docs.columns if c != "mix_copies"] + list(M.MARKS)
+    assert all(r["__size"] == 1 and r["class"] == 8 and r.mix_size == 3 for r in got.collect())
+    assert all(r["mix_copies"] == 0 and r["c0"] == 6 for r in M.mixed_documents(docs).collect())

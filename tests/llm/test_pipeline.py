@@ -83,3 +83,27 @@ def test_token_output(steps):
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, DATA).count() == steps["token_output"].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and empty tables."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None, 1), (2, "", "en", "a", 0, 1), (None, "some words here", "en", "a", 15, 1), (None, "some words here", "en", "a", 15, 1), (3, long, "en", "b", len(long), 1), (4, long + " end", "en", "b", 0, 1), (5, "twin text", "en", "a", 9, 1), (5, "twin text", "en", "a", 9, 1), (5, "another text", "en", "a", 9, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    want = {
+        "toxicity": Counter(r[0] for r in rows),
+        "near_duplicates": Counter([1, 2, None, None, 3, 5, 5]),
+        "decontamination": Counter(r[0] for r in rows),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DATA)
+        found = got.collect()
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        if name != "token_output":
+            assert got.columns == docs.columns, name
+        if name in want:
+            assert Counter(r.doc_id for r in found) == want[name], name
+        elif name == "mixing":
+            assert {(r.doc_id, r.text) for r in found} <= {r[:2] for r in rows} and 1 not in {r.doc_id for r in found}
+        else:
+            assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows) and min(r.n_tokens for r in found) == 1
