@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,11 +59,38 @@ def poses_between(poses: DataFrame, number: int) -> DataFrame:
     return steps.select("traj_id", "t0", "step", *[(F.col(f"{c}0") + share * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c) for c in XYZ])
 
 
-def slopes(knots: DataFrame, fields: Sequence[str] = XYZ, by: str = "traj_id", time: str = "t") -> DataFrame:
-    """``knots`` with v<field>: between the knots before and after, 0 at both ends."""
+def slopes(knots: DataFrame, fields: Sequence[str] = XYZ, by: str = "traj_id", time: str = "t", *, ends: Mapping[str, tuple[float, float]] | None = None, periodic: bool = False) -> DataFrame:
+    """``knots`` with v<field>: between the knots before and after.
+
+    At both ends 0, or the (first, last) slopes given by ``ends`` for a field, or with
+    ``periodic`` that between the last knot but one and the second, the last knot being
+    the first one again. A single knot has slope 0.
+    """
     order = Window.partitionBy(by).orderBy(time)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dt = F.lead(time).over(order) - F.lag(time).over(order)
-    return knots.withColumns({f"v{c}": F.coalesce(F.try_divide(F.lead(c).over(order) - F.lag(c).over(order), dt), F.lit(0.0)) for c in fields})
+
+    def at_end(c: str) -> Column:
+        first, last = (ends or {}).get(c, (0.0, 0.0))
+        if not periodic:
+            return F.when(F.lag(time).over(order).isNull(), F.lit(float(first))).otherwise(F.lit(float(last)))
+        second, before = (lambda x, n: F.nth_value(x, n).over(whole)), (lambda x: F.nth_value(x, 2).over(Window.partitionBy(by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        round_trip = F.last(time).over(whole) - before(time) + second(time, 2) - F.first(time).over(whole)
+        return F.coalesce(F.try_divide(second(c, 2) - before(c), round_trip), F.lit(0.0))
+
+    return knots.withColumns({f"v{c}": F.coalesce(F.try_divide(F.lead(c).over(order) - F.lag(c).over(order), dt), at_end(c)) for c in fields})
+
+
+def sample_times(knots: DataFrame, number: int, by: str = "traj_id", time: str = "t") -> DataFrame:
+    """(by, time): ``number`` - 1 times at equal steps from the first knot on, the last knot left out."""
+    spans = knots.groupBy(by).agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
+    at = F.col("__a") + F.col("__i") * ((F.col("__b") - F.col("__a")) / (number - 1))
+    return spans.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(number - 2)))).select(by, at.alias(time), "__b").where(F.col(time) < F.col("__b")).drop("__b")
+
+
+def times_in_window(knots: DataFrame, begin: float, by: str = "traj_id", time: str = "t") -> DataFrame:
+    """(by, time) of the knots from ``begin`` on."""
+    return knots.where(F.col(time) >= begin).select(by, time)
 
 
 def hermite(knots: DataFrame, times: DataFrame, fields: Sequence[str] = XYZ, derivative: int = 0) -> DataFrame:

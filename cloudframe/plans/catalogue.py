@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
-from cloudframe.operators import cluster, filters, neighbors, ransac, ring, shape, splines, tracking, trajectory, voxels
-from cloudframe.plans import oracles, programs
+from cloudframe.operators import cluster, filters, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
+from cloudframe.plans import files, oracles, programs
 from cloudframe.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,11 @@ def r6(*columns: str, digits: int = 6) -> list[Column]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES} | files.SQL
 
 
 # points: projections
@@ -252,6 +252,45 @@ def catmull_rom_slope(spark, sf_dir):
     return trajectory.slopes(t.poses(spark, sf_dir)).select("traj_id", *r6("t", "vx", "vy", "vz"))
 
 
+@query
+def end_slopes(spark, sf_dir):
+    found = trajectory.slopes(t.poses(spark, sf_dir), "xy", ends={"x": (2.5, -1.5)})
+    return found.select("traj_id", *r6("t", "vx", "vy"))
+
+
+@query
+def periodic_slopes(spark, sf_dir):
+    return trajectory.slopes(t.poses(spark, sf_dir), "xy", periodic=True).select("traj_id", *r6("t", "vx", "vy"))
+
+
+@query
+def hermite_rotation(spark, sf_dir):
+    found = rotations.hermite_turns(rotations.turn_slopes(t.poses(spark, sf_dir)), t.scan_times(spark, sf_dir))
+    return found.select("traj_id", *r6("t", "qw", "qx", "qy", "qz"))
+
+
+@query
+def hermite_angular_velocity(spark, sf_dir):
+    found = rotations.hermite_turns(rotations.turn_slopes(t.poses(spark, sf_dir)), t.scan_times(spark, sf_dir))
+    return found.select("traj_id", *r6("t"), *r6("wx", "wy", "wz", digits=8))
+
+
+@query
+def cumulative_bspline_rotation(spark, sf_dir):
+    return rotations.bspline_motions(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+
+
+@query
+def curve_samples(spark, sf_dir):
+    knots = trajectory.slopes(t.poses(spark, sf_dir), "xy")
+    return trajectory.hermite(knots, trajectory.sample_times(knots, 6), "xy").select("traj_id", *r6("t", digits=3), *r6("x", "y", digits=4))
+
+
+@query
+def times_in_window(spark, sf_dir):
+    return trajectory.times_in_window(t.poses(spark, sf_dir), 1_704_120_000.0).select("traj_id", *r6("t"))
+
+
 def _hermite(spark, sf_dir, derivative):
     found = trajectory.hermite(trajectory.slopes(t.poses(spark, sf_dir), "xy"), t.scan_times(spark, sf_dir), "xy", derivative)
     return found.select("traj_id", *r6("t", "x", "y"))
@@ -350,7 +389,7 @@ def global_map(spark, sf_dir):
 def file_key_join(spark, sf_dir):
     p, s = t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)
     key = F.format_string("%.6f", F.col("t"))
-    named = p.union(p.limit(0)).select("traj_id", F.concat(key, F.lit(".pcd")).alias("file"))
+    named = p.select("traj_id", F.concat(key, F.lit(".pcd")).alias("file"))
     asked = s.select("traj_id", F.col("t")).union(p.select("traj_id", "t"))
     return asked.select("traj_id", F.concat(key, F.lit(".pcd")).alias("file")).join(named, ["traj_id", "file"])
 

@@ -244,3 +244,29 @@ put(
     UNION ALL SELECT seq_id, frame, px + k1 * (zx - px), py + k1 * (zy - py), vx + k2 * (zx - px), vy + k2 * (zy - py), q11 - k1 * q11, q12 - k1 * q12, q22 - k2 * q12
     FROM (SELECT *, q11 / (q11 + 0.1) AS k1, q12 / (q11 + 0.1) AS k2 FROM (SELECT d.seq_id, d.frame, d.x AS zx, d.y AS zy, s.x + 0.1 * s.vx AS px, s.y + 0.1 * s.vy AS py, s.vx, s.vy, s.p11 + 0.2 * s.p12 + 0.01 * s.p22 + 0.00001 AS q11, s.p12 + 0.1 * s.p22 AS q12, s.p22 + 0.00001 AS q22 FROM steps s JOIN detections d ON d.seq_id = s.seq_id AND d.frame = s.frame + 1)))""",
 )
+
+ENDS = lambda c, first, last: f"coalesce((lead({c}) OVER w - lag({c}) OVER w) / (lead(t) OVER w - lag(t) OVER w), CASE WHEN lag(t) OVER w IS NULL THEN {first} ELSE {last} END)"
+put("end_slopes", "poses", f"SELECT traj_id, {rs('t')}, {r(ENDS('x', 2.5, -1.5), 'vx')}, {r(ENDS('y', 0, 0), 'vy')} FROM poses {WINDOW}")
+ROUND = "rounds AS (SELECT traj_id, min(t) AS ta, max(t) AS tb, count(*) AS n, " + ", ".join(f"max({c}) FILTER (k = 2) AS {c}2, max({c}) FILTER (k = m - 1) AS {c}9" for c in ("x", "y", "t")) + " FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY traj_id) AS m FROM poses " + WINDOW + ") GROUP BY 1)"
+CLOSING = lambda c: f"coalesce((lead({c}) OVER w - lag({c}) OVER w) / (lead(t) OVER w - lag(t) OVER w), ({c}2 - {c}9) / nullif(tb - t9 + t2 - ta, 0), 0)"
+put("periodic_slopes", "poses", f"SELECT traj_id, {rs('t')}, {r(CLOSING('x'), 'vx')}, {r(CLOSING('y'), 'vy')} FROM poses JOIN rounds USING (traj_id) {WINDOW}", ROUND)
+# the turn is about z only, and no step reaches half a turn: angles add up
+TURNED = f"turned AS (SELECT traj_id, t, yaw, {SLOPE('yaw')} AS w FROM poses {WINDOW})"
+PARTS = "parts AS (SELECT *, dt / 3 * w0 AS w1_, dt / 3 * w1 AS w3_, yaw1 - yaw0 - dt / 3 * w0 - dt / 3 * w1 AS w2_ FROM held)"
+ANGLE = "yaw0 + (a*a*a - 3*a*a + 3*a) * w1_ + (3*a*a - 2*a*a*a) * w2_ + a*a*a * w3_"
+put("hermite_rotation", "poses scan_times", f"SELECT traj_id, {rs('t')}, {r('cos(yaw / 2)', 'qw')}, {ZERO} AS qx, {ZERO} AS qy, {r('sin(yaw / 2)', 'qz')} FROM (SELECT *, {ANGLE} AS yaw FROM parts)", TURNED, segments("yaw w", "turned"), CLOSED, PARTS)
+put("hermite_angular_velocity", "poses scan_times", f"SELECT traj_id, {rs('t')}, {ZERO} AS wx, {ZERO} AS wy, {r('(3*(1-a)*(1-a) * w1_ + 6*a*(1-a) * w2_ + 3*a*a * w3_) / dt', 'wz', 8)} FROM parts", TURNED, segments("yaw w", "turned"), CLOSED, PARTS)
+# rigid motions of the plane: (h, d) is a turn by h and a step d = (sin h / h, -(1 - cos h) / h; (1 - cos h) / h, sin h / h) r
+SINC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 1 ELSE sin({h}) / {h} END"
+COSC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 0 ELSE (1 - cos({h})) / {h} END"
+NEAR = "near AS (SELECT traj_id, t, z, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lag(t) OVER w AS tb, lead(t, 2) OVER w AS ta, " + ", ".join(f"lag({c}) OVER w AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in ("x", "y", "yaw")) + f" FROM poses {WINDOW})"
+BASED = "based AS (SELECT *, (u*u*u - 3*u*u + 3*u + 5) / 6 AS b1, (-2*u*u*u + 3*u*u + 3*u + 1) / 6 AS b2, u*u*u / 6 AS b3 FROM near WHERE tb IS NOT NULL AND ta IS NOT NULL)"
+STEPS = "steps AS (SELECT *, " + ", ".join(f"yaw{k} - yaw{k - 1} AS h{k}, cos(yaw{k - 1}) * (x{k} - x{k - 1}) + sin(yaw{k - 1}) * (y{k} - y{k - 1}) AS dx{k}, cos(yaw{k - 1}) * (y{k} - y{k - 1}) - sin(yaw{k - 1}) * (x{k} - x{k - 1}) AS dy{k}" for k in (1, 2, 3)) + " FROM based)"
+SHARES = "shares AS (SELECT *, " + ", ".join(f"{SINC(f'h{k}')} AS s{k}, {COSC(f'h{k}')} AS c{k}, {SINC(f'(b{k} * h{k})')} AS p{k}, {COSC(f'(b{k} * h{k})')} AS q{k}" for k in (1, 2, 3)) + " FROM steps)"
+SCREWS = "screws AS (SELECT *, " + ", ".join(f"b{k} * (s{k} * dx{k} + c{k} * dy{k}) / (s{k} * s{k} + c{k} * c{k}) AS rx{k}, b{k} * (s{k} * dy{k} - c{k} * dx{k}) / (s{k} * s{k} + c{k} * c{k}) AS ry{k}" for k in (1, 2, 3)) + " FROM shares)"
+MOVES = "moves AS (SELECT *, yaw0 + b1 * h1 AS a1, yaw0 + b1 * h1 + b2 * h2 AS a2, yaw0 + b1 * h1 + b2 * h2 + b3 * h3 AS a3, yaw0 AS a0, " + ", ".join(f"p{k} * rx{k} - q{k} * ry{k} AS mx{k}, q{k} * rx{k} + p{k} * ry{k} AS my{k}" for k in (1, 2, 3)) + " FROM screws)"
+put("cumulative_bspline_rotation", "poses", f"SELECT traj_id, {rs('t')}, {r('x0 + ' + ' + '.join(f'cos(a{k - 1}) * mx{k} - sin(a{k - 1}) * my{k}' for k in (1, 2, 3)), 'x')}, {r('y0 + ' + ' + '.join(f'sin(a{k - 1}) * mx{k} + cos(a{k - 1}) * my{k}' for k in (1, 2, 3)), 'y')}, {ZERO} AS z, {r('cos(a3 / 2)', 'qw')}, {ZERO} AS qx, {ZERO} AS qy, {r('sin(a3 / 2)', 'qz')} FROM moves", NEAR, BASED, STEPS, SHARES, SCREWS, MOVES)
+SAMPLES = "scan_times AS (SELECT traj_id, ta + i * ((tb - ta) / CAST(5 AS DOUBLE)) AS t FROM (SELECT traj_id, min(t) AS ta, max(t) AS tb FROM poses GROUP BY 1), range(0, 5) q(i) WHERE ta + i * ((tb - ta) / CAST(5 AS DOUBLE)) < tb)"
+curve = lambda c: r(f"(2*a*a*a - 3*a*a + 1) * {c}0 + (a*a*a - 2*a*a + a) * dt * v{c}0 + (-2*a*a*a + 3*a*a) * {c}1 + (a*a*a - a*a) * dt * v{c}1", c, 4)
+put("curve_samples", "poses", f"SELECT traj_id, {rs('t', digits=3)}, {curve('x')}, {curve('y')} FROM held", SAMPLES, SLOPED, segments("x y vx vy", "sloped"), CLOSED)
+put("times_in_window", "poses", f"SELECT traj_id, {rs('t')} FROM poses WHERE t >= 1704120000")
