@@ -270,3 +270,53 @@ SAMPLES = "scan_times AS (SELECT traj_id, ta + i * ((tb - ta) / CAST(5 AS DOUBLE
 curve = lambda c: r(f"(2*a*a*a - 3*a*a + 1) * {c}0 + (a*a*a - 2*a*a + a) * dt * v{c}0 + (-2*a*a*a + 3*a*a) * {c}1 + (a*a*a - a*a) * dt * v{c}1", c, 4)
 put("curve_samples", "poses", f"SELECT traj_id, {rs('t', digits=3)}, {curve('x')}, {curve('y')} FROM held", SAMPLES, SLOPED, segments("x y vx vy", "sloped"), CLOSED)
 put("times_in_window", "poses", f"SELECT traj_id, {rs('t')} FROM poses WHERE t >= 1704120000")
+
+
+# principal axes in closed form: the eigenvalues of a symmetric matrix by its characteristic angle, an axis as the longest cross product of two rows of what is singular
+def eigenvalues(source: str) -> tuple[str, ...]:
+    q, p2 = "(cxx + cyy + czz) / 3", "(cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)"
+    det = "bxx * (byy * bzz - byz * byz) - bxy * (bxy * bzz - byz * bxz) + bxz * (bxy * byz - byy * bxz)"
+    return (
+        f"centred AS (SELECT *, sqrt(({p2}) / 6) AS p FROM (SELECT *, {q} AS q FROM {source}))",
+        f"scaled AS (SELECT *, {', '.join(f'coalesce((c{a}{b}{" - q" if a == b else ""}) / nullif(p, 0), 0) AS b{a}{b}' for a, b in moments)} FROM centred)",
+        f"angled AS (SELECT *, acos(greatest(-1, least(1, ({det}) / 2))) / 3 AS phi FROM scaled)",
+        "valued AS (SELECT *, greatest(0, q + 2 * p * cos(phi)) AS l1, greatest(0, 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3))) AS l2, greatest(0, q + 2 * p * cos(phi + 2 * pi() / 3)) AS l3 FROM angled)",
+    )
+
+
+def axis(value: str, name: str, source: str) -> str:
+    """``source`` with the unit vector (<name>x, <name>y, <name>z) of an eigenvalue, its largest part positive."""
+    rows = [(f"(cxx - {value})", "cxy", "cxz"), ("cxy", f"(cyy - {value})", "cyz"), ("cxz", "cyz", f"(czz - {value})")]
+    crossed = [[f"{a[1]} * {b[2]} - {a[2]} * {b[1]}", f"{a[2]} * {b[0]} - {a[0]} * {b[2]}", f"{a[0]} * {b[1]} - {a[1]} * {b[0]}"] for a, b in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
+    lists = ", ".join(f"[{', '.join(c)}] AS {name}_{k}" for k, c in enumerate(crossed))
+    size = lambda v: f"({v}[1] * {v}[1] + {v}[2] * {v}[2] + {v}[3] * {v}[3])"
+    a, b, c = (size(f"{name}_{k}") for k in range(3))
+    longest = f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN {name}_0 WHEN {b} >= {c} THEN {name}_1 ELSE {name}_2 END"
+    sign = "CASE WHEN abs(v[1]) >= abs(v[2]) AND abs(v[1]) >= abs(v[3]) THEN sign(v[1]) WHEN abs(v[2]) >= abs(v[3]) THEN sign(v[2]) ELSE sign(v[3]) END"
+    return f"{name}s AS (SELECT * EXCLUDE (v), " + ", ".join(f"v[{k + 1}] / sqrt({size('v')}) * ({sign}) AS {name}{c}" for k, c in enumerate("xyz")) + f" FROM (SELECT *, {longest} AS v FROM (SELECT *, {lists} FROM {source})))"
+
+
+def held(name: str, k: int) -> str:
+    """The second moments of each point's ``k`` nearest points about their mean."""
+    return f"{name} AS (SELECT r.id, {', '.join(f'covar_pop(p.{a}, p.{b}) AS c{a}{b}' for a, b in moments)} FROM ranked r JOIN points_small p ON p.id = r.nid WHERE rank <= {k} GROUP BY 1)"
+
+
+CURVATURE = "coalesce(l3 / nullif(l1 + l2 + l3, 0), 0)"
+ABOUT = f"about AS (SELECT a.id, count(*) AS n, {', '.join(f'avg((b.{p} - a.{p}) * (b.{q} - a.{q})) AS c{p}{q}' for p, q in moments)} FROM points_small a JOIN points_small b ON {D2} < 1.0 GROUP BY 1)"
+enough = lambda e, name: f"CASE WHEN n >= 13 THEN round({e}, 6) + {ZERO} END AS {name}"
+put("pca_features", "points_small", f"SELECT id, n, {', '.join(enough(f'l{k}', f'l{k}') for k in (1, 2, 3))}, {enough('(sqrt(l1) - sqrt(l2)) / nullif(sqrt(l1), 0)', 'linear')}, {enough('(sqrt(l2) - sqrt(l3)) / nullif(sqrt(l1), 0)', 'planar')}, {enough('sqrt(l3) / nullif(sqrt(l1), 0)', 'scatter')} FROM valued", ABOUT, *eigenvalues("about"))
+put("feature_points", "points_small", f"SELECT id FROM valued WHERE {CURVATURE} * 100 > 25", RANKED, held("own", 10), *eigenvalues("own"))
+UP = f"ups AS (SELECT id, {CURVATURE} AS curvature, {', '.join(f'CASE WHEN nx * x + ny * y + nz * z > 0 THEN -n{c} ELSE n{c} END AS n{c}' for c in XYZ)} FROM ns JOIN points_small USING (id))"
+put("normals", "points_small", f"SELECT id, {rs('nx', 'ny', 'nz', 'curvature')} FROM ups", RANKED, held("own", 15), *eigenvalues("own"), axis("l3", "n", "valued"), UP)
+BLOCKS = f"own AS (SELECT {cells(1.5)}, count(*) AS n, {', '.join(f'covar_pop({a}, {b}) AS c{a}{b}' for a, b in moments)} FROM points_small GROUP BY 1, 2, 3 HAVING count(*) >= 8)"
+put("super_voxels", "points_small", f"SELECT vx, vy, vz, n, {r('planar', 'planar')} FROM (SELECT *, (sqrt(l2) - sqrt(l3)) / nullif(sqrt(l1), 0) AS planar FROM valued) WHERE planar > 0.4", BLOCKS, *eigenvalues("own"))
+GROUPS = f"own AS (SELECT intensity, {', '.join(f'avg({c}) AS m{c}' for c in XYZ)}, {', '.join(f'covar_pop({a}, {b}) AS c{a}{b}' for a, b in moments)} FROM points_small GROUP BY 1)"
+along = lambda v: f"(p.x - mx) * {v}x + (p.y - my) * {v}y + (p.z - mz) * {v}z"
+put("oriented_bbox", "points_small", f"SELECT p.intensity, count(*) AS n, {', '.join(r(f'{m}({along(v)})', f'{m}_{k}') for m in ('min', 'max') for k, v in ((1, 'd'), (2, 'e'), (3, 'f')))} FROM points_small p JOIN fs ON p.intensity = fs.intensity GROUP BY 1", GROUPS, *eigenvalues("own"), axis("l1", "d", "valued"), axis("l2", "e", "ds"), axis("l3", "f", "es"))
+SMOOTH = f"smooth AS (SELECT p.id, p.x, p.y, p.z, nx, ny, nz FROM ups JOIN points_small p USING (id) WHERE curvature < 0.2)"
+LIKE = f"SELECT a.id AS u, b.id AS v FROM smooth a JOIN smooth b ON {D2} < {0.8 * 0.8!r} AND abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) > cos(radians(30))"
+put("region_grow", "points_small", "SELECT id, cluster FROM clusters", RANKED, held("own", 15), *eigenvalues("own"), axis("l3", "n", "valued"), UP, SMOOTH, *components(LIKE, "smooth", 3, 8000))
+# the pass over poses as a recursion: each window starts from the pose replaced before it
+ORDERED = "ordered AS (SELECT traj_id, t, x, y, z, row_number() OVER w AS k, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lead(t, 2) OVER w AS ta, " + ", ".join(f"lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in XYZ) + f" FROM poses {WINDOW})"
+value = lambda c: f"CASE WHEN o.ta IS NULL THEN o.{c} ELSE g.{c} + (u*u*u - 3*u*u + 3*u + 5) / 6 * (o.{c} - g.{c}) + (-2*u*u*u + 3*u*u + 3*u + 1) / 6 * (o.{c}2 - o.{c}) + u*u*u / 6 * (o.{c}3 - o.{c}2) END"
+put("recursive_smoothing", "poses", f"SELECT traj_id, {rs('t', 'x', 'y', 'z')} FROM going", ORDERED, f"going AS (SELECT traj_id, t, x, y, z, k FROM ordered WHERE k = 1 UNION ALL SELECT o.traj_id, o.t, {', '.join(value(c) for c in XYZ)}, o.k FROM going g JOIN ordered o ON o.traj_id = g.traj_id AND o.k = g.k + 1)")
