@@ -51,6 +51,11 @@ def names(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(marked, " ")
 
 
+def strings(distinct: pa.Array) -> list[str]:
+    """The names of an array as Python strings, turned at once: no name holds a space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py().split(" ")
+
+
 def pieces(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``most_bytes``; a longer text is a slice of its own."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))

@@ -7,7 +7,8 @@ shard knows the ids before it within its range; only the ranges' totals, one row
 are summed up over all ranges.
 
 Ids come from the tokenizers library. A chunk of text that occurs again is looked up
-instead of encoded again (see ``chunks``); each worker remembers up to ``CACHE`` chunks.
+instead of encoded again (see ``chunks``); each worker remembers up to ``CACHE`` chunks,
+beyond that those that came up again.
 
 Defined results: a null or empty text has the end id only; rows with a null ``doc_id``
 come first; rows with one ``doc_id`` follow each other in the order of their texts'
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,24 @@ class Encoder:
         self.known = {chunks.HEAD: 0, chunks.FEED: 1, chunks.END: 2}
         self.flat = np.array([self.feed, END_ID], self.dtype)
         self.starts, self.lens = np.array([0, 0, 1]), np.array([0, 1, 1])
+        self.again = np.zeros(3, bool)
+
+    def trim(self) -> None:
+        """Chunks that did not come up again since they were learned or last kept are forgotten; all are if the others are over half of CACHE."""
+        keep = self.again
+        keep[:3] = True
+        if np.count_nonzero(keep) > CACHE // 2:
+            return self.forget()
+        self.known = {n: i for i, n in enumerate(compress(self.known, keep.tolist()))}  # names stand in the order of their places
+        self.flat, self.lens = self._ids(np.flatnonzero(keep))
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.again = np.zeros(len(self.lens), bool)
+
+    def _ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known chunks one after the other, and the number of each one's."""
+        lens = self.lens[place]
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.starts[place] - (ends - lens), lens) + np.arange(ends[-1])], lens
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -77,23 +97,21 @@ class Encoder:
         self.starts = np.concatenate([self.starts, starts + len(self.flat)])
         self.lens = np.concatenate([self.lens, ends - starts])
         self.flat = np.concatenate([self.flat, got])
+        self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
 
     def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE:
-            self.forget()
+            self.trim()
         names = chunks.names(texts)
         coded = names.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        get = self.known.get
-        place = np.array([get(n, -1) for n in distinct], np.int64)
+        distinct = chunks.strings(coded.dictionary)
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(place < 0)
+        self.again[place[place >= 0]] = True
         if len(missing):
             place[missing] = len(self.starts) + np.arange(len(missing))
             self._learn([distinct[i] for i in missing.tolist()])
-        place = place[coded.indices.to_numpy()]
-        lens = self.lens[place]
-        ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[place] - (ends - lens), lens) + np.arange(ends[-1])]
+        ids, lens = self._ids(place[coded.indices.to_numpy()])
         return ids, np.add.reduceat(lens, names.offsets.to_numpy()[:-1])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,6 +76,22 @@ def test_files_of_odd_texts(spark, library, odd):
     assert sorted((p.part, p.seq, p.place) for p in places) == sorted((*k, i) for k, a in ids.items() for i in np.flatnonzero(a == one[0]).tolist())
 
 
+@pytest.mark.parametrize(("most", "kept"), [(50, 3), (4_000, 500)])
+def test_full_cache(spark, library, monkeypatch, most, kept):
+    """Ids stay the library's after chunks were forgotten, all of them or those that did not come up again."""
+    monkeypatch.setattr(O, "CACHE", most)
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    encoder, sizes = O.Encoder(PATH), []
+    trim = encoder.trim
+    monkeypatch.setattr(encoder, "trim", lambda: (trim(), sizes.append(len(encoder.known))))
+    for at in range(0, len(texts), 6):
+        ids, counts = encoder.encode(pa.array(texts[at : at + 6]))
+        want = [[*x, 0] for x in library(texts[at : at + 6])]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+        assert len(encoder.known) == len(encoder.starts) == len(encoder.lens) == len(encoder.again)
+    assert len(sizes) > 1 and (max(sizes) == 3 if kept == 3 else max(sizes) >= kept)
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).zipf(1.4, n).clip(0, 50_256).astype(np.uint16)
