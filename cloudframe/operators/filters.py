@@ -27,7 +27,7 @@ def inside_box(low: Sequence[float], high: Sequence[float], grow: float = 0.0) -
     return tests[0] & tests[1] & tests[2]
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, grow: float = 0.3, most: int = 100_000) -> DataFrame:
+def in_boxes(points: DataFrame, boxes: DataFrame, grow: float = 0.3, most: int = 256) -> DataFrame:
     """Ids of points in any box (box columns min_x .. max_z), each box grown on all sides.
 
     Up to ``most`` boxes are sent to all tasks; more meet the points in cells of the widest box.

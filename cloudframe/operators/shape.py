@@ -89,3 +89,15 @@ def grow_regions(points: DataFrame, *, k: int = 15, tolerance: float = 1.0, most
     dot = lambda a, b: F.abs(sum((a[f"up_{c}"] * b[f"up_{c}"] for c in "yz"), a["up_x"] * b["up_x"]))
     limit = float(np.cos(np.radians(most_degrees)))
     return euclidean_clusters(smooth, tolerance, least, most, keep=("up_x", "up_y", "up_z"), predicate=lambda a, b, d2: dot(a, b) > limit)
+
+
+def region_planes(points: DataFrame, regions: DataFrame, upright: float = 0.98) -> DataFrame:
+    """(cluster, n, nx, ny, nz, offset, upright) of the least-squares plane through each region's points.
+
+    The normal's largest part is positive; ``upright``: its x or y part is beyond the limit.
+    """
+    axes = with_axes(_moments(points.join(regions, "id"), ["cluster"]))
+    normal = F.col("e.vectors")[2]
+    offset = -sum((normal[i] * F.col(f"m{c}") for i, c in enumerate(XYZ) if i), normal[0] * F.col("mx"))
+    stands = (F.abs(normal[0]) > upright) | (F.abs(normal[1]) > upright)
+    return axes.select("cluster", "n", *[normal[i].alias(f"n{c}") for i, c in enumerate(XYZ)], offset.alias("offset"), stands.alias("upright"))

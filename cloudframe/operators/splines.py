@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +74,30 @@ def evaluate(splines: DataFrame, times: DataFrame, order: int) -> DataFrame:
     return held.join(values, ["traj_id", "t"]).select("traj_id", F.col("asked").alias("t"), "pos", "vel", "acc")
 
 
+def vector_curve(knots: DataFrame, times: DataFrame, fields: Sequence[str], order: int = 5, derivative: int = 0) -> DataFrame:
+    """(traj_id, t, fields) of the curve in as many dimensions as ``fields``, or a derivative of it.
+
+    Each segment is, per dimension, the polynomial of ``order`` with its knots' places and,
+    where ``knots`` has the columns v<field> and a<field>, their velocities and accelerations,
+    else 0. Times before the start and beyond the end take the curve's ends. All dimensions
+    share one search for the segments.
+    """
+    from cloudframe.operators.trajectory import bracket
+
+    given = [p + c for c in fields for p in ("", "v", "a") if p + c in knots.columns]
+    span = knots.groupBy("traj_id").agg(F.min("t").alias("__a"), F.max("t").alias("__b"))
+    held = times.join(span, "traj_id").select("traj_id", F.col("t").alias("asked"), F.greatest("__a", F.least("t", "__b")).alias("t"))
+    at = bracket(knots, held.select("traj_id", "t").distinct(), given)
+    d, u = F.col("t1") - F.col("t0"), F.col("t") - F.col("t0")
+
+    def value(c: str) -> Column:
+        ends = [F.col(f"{p}{c}{i}") if p + c in given else None for p in ("v", "a") for i in (0, 1)]
+        return polynomial(coefficients(order, F.col(f"{c}0"), F.col(f"{c}1"), d, *ends), u, derivative)
+
+    values = at.select("traj_id", "t", *[value(c).alias(c) for c in fields])
+    return held.join(values, ["traj_id", "t"]).select("traj_id", F.col("asked").alias("t"), *fields)
+
+
 def is_valid(splines: DataFrame, order: int) -> DataFrame:
     """(traj_id, valid): no negative or missing duration or place, no coefficient that is not a number."""
     good = (F.col("duration") >= 0) & (F.col("seg") >= 0)

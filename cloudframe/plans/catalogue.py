@@ -149,8 +149,8 @@ def crop_box_marks(spark, sf_dir):
 @query
 def points_in_boxes(spark, sf_dir):
     p = t.points_small(spark, sf_dir)
-    boxes = p.where("id % 50 = 0").select(*[(F.col(c) - 0.5).alias(f"min_{c}") for c in "xyz"], *[(F.col(c) + 0.5).alias(f"max_{c}") for c in "xyz"])
-    return filters.in_boxes(p, boxes)
+    cells = p.select("x", "y", "z", *[voxels.cell(c, 1.5).alias(f"v{c}") for c in "xyz"])
+    return filters.in_boxes(p, voxels.boxes(cells, ["vx", "vy", "vz"]).where("n >= 8"))
 
 
 @query
@@ -429,6 +429,21 @@ def cubic_fit(spark, sf_dir):
     return splines.fit_cubic(t.poses(spark, sf_dir)).select("traj_id", "seg", *r6("duration", "a1", "a0"))
 
 
+def _vector_curve(spark, sf_dir, derivative, digits):
+    knots = trajectory.slopes(t.poses(spark, sf_dir), "xy")
+    return splines.vector_curve(knots, t.scan_times(spark, sf_dir), ("x", "y", "yaw"), 5, derivative).select("traj_id", *r6("t"), *r6("x", "y", "yaw", digits=digits))
+
+
+@query
+def vector_curve(spark, sf_dir):
+    return _vector_curve(spark, sf_dir, 0, 5)
+
+
+@query
+def vector_curve_velocity(spark, sf_dir):
+    return _vector_curve(spark, sf_dir, 1, 6)
+
+
 @query
 def spline_validity(spark, sf_dir):
     fitted = splines.fit_linear(t.poses(spark, sf_dir))
@@ -573,17 +588,17 @@ def mean_shift(spark, sf_dir):
 
 @query
 def ransac_plane(spark, sf_dir):
-    return ransac.planes(t.points_small(spark, sf_dir), 0.3, tries=20, least=1, most_models=1).select("id", "model")
+    return ransac.planes(t.points_small(spark, sf_dir), 0.3, least=1, most_models=1).select("id", "model")
 
 
 @query
 def ransac_line(spark, sf_dir):
-    return ransac.lines(t.points_small(spark, sf_dir), 0.3, tries=20, least=1, most_models=1).select("id", "model")
+    return ransac.lines(t.points_small(spark, sf_dir), 0.3, least=1, most_models=1).select("id", "model")
 
 
 @query
 def ransac_planes_all(spark, sf_dir):
-    return ransac.planes(t.points_small(spark, sf_dir), 0.3, tries=50, least=20).select("id", "model", *r6("m0", "m1", "m2", "m3"))
+    return ransac.planes(t.points_small(spark, sf_dir), 0.3, least=20).select("id", "model", *r6("m0", "m1", "m2", "m3"))
 
 
 @query
@@ -612,6 +627,13 @@ def region_grow(spark, sf_dir):
     return shape.grow_regions(t.points_small(spark, sf_dir), tolerance=0.8, most_degrees=30.0, least=3)
 
 
+@query
+def region_planes(spark, sf_dir):
+    p = t.points_small(spark, sf_dir)
+    found = shape.region_planes(p, shape.grow_regions(p, tolerance=0.8, most_degrees=30.0, least=3))
+    return found.where("n > 3").select("cluster", "n", *r6("nx", "ny", "nz", "offset", digits=5), "upright")
+
+
 # tracking
 
 

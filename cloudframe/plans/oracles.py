@@ -72,7 +72,7 @@ put("passthrough_z", "points_small", "SELECT id FROM points_small WHERE z BETWEE
 INSIDE = " AND ".join(f"{c} BETWEEN -1.5 AND 1.5" for c in XYZ)
 put("crop_box", "points_small", f"SELECT id FROM points_small WHERE NOT ({INSIDE})")
 put("crop_box_marks", "points_small", f"SELECT id, CASE WHEN {INSIDE} THEN intensity ELSE CAST(150 AS DOUBLE) END AS intensity FROM points_small")
-put("points_in_boxes", "points_small", "SELECT DISTINCT a.id FROM points_small a JOIN points_small b ON b.id % 50 = 0 AND " + " AND ".join(f"a.{c} >= (b.{c} - 0.5) - 0.3 AND a.{c} <= (b.{c} + 0.5) + 0.3" for c in XYZ))
+put("points_in_boxes", "points_small", "SELECT DISTINCT p.id FROM points_small p JOIN boxes b ON " + " AND ".join(f"p.{c} >= b.min_{c} - 0.3 AND p.{c} <= b.max_{c} + 0.3" for c in XYZ), f"boxes AS (SELECT {cells(1.5)}, {', '.join(f'{m}({c}) AS {m}_{c}' for m in ('min', 'max') for c in XYZ)} FROM points_small GROUP BY 1, 2, 3 HAVING count(*) >= 8)")
 put("range_gate", "points_small", "SELECT id FROM points_small WHERE sqrt(x * x + y * y + z * z) >= 2")
 put("near_points", "points_small", "SELECT id FROM points_small WHERE sqrt(x * x + y * y + z * z) < 1")
 put("anti_join_indices", "points_small", "SELECT id FROM points_small WHERE NOT intensity < 3")
@@ -229,12 +229,10 @@ SHIFT = lambda k, source: f"s{k} AS (SELECT a.id, CASE WHEN count(*) >= 5 THEN a
 put("mean_shift", "points_small", f"SELECT id, {rs(*XYZ)} FROM s2", SHIFT(1, "points_small"), SHIFT(2, "s1"))
 
 HASHED = "hashed AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS k FROM points_small)"
-TRIPLES = "triples AS (SELECT a.k // 3 AS h, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM hashed a JOIN hashed b ON b.k = a.k + 1 JOIN hashed c ON c.k = a.k + 2 WHERE a.k % 3 = 0 AND a.k < 60), planes AS (SELECT h, ax, ay, az, nx / l AS nx, ny / l AS ny, nz / l AS nz FROM (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS l FROM (SELECT h, ax, ay, az, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM triples)))"
+TRIPLES = "triples AS (SELECT a.k // 3 AS h, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM hashed a JOIN hashed b ON b.k = a.k + 1 JOIN hashed c ON c.k = a.k + 2 WHERE a.k % 3 = 0 AND a.k + 2 < 2400), planes AS (SELECT h, ax, ay, az, nx / l AS nx, ny / l AS ny, nz / l AS nz FROM (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS l FROM (SELECT h, ax, ay, az, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM triples)))"
 ON_PLANE = "abs((p.x - ax) * nx + (p.y - ay) * ny + (p.z - az) * nz) < 0.3"
-put("ransac_plane", "points_small", f"SELECT p.id, CAST(0 AS INTEGER) AS model FROM points_small p JOIN best ON {ON_PLANE}", HASHED, TRIPLES, f"best AS (SELECT * FROM planes WHERE h = (SELECT h FROM (SELECT h, count(*) AS n FROM planes JOIN points_small p ON {ON_PLANE} GROUP BY 1) ORDER BY n DESC, h LIMIT 1))")
-WAYS = "ways AS (SELECT a.k // 2 AS h, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz FROM hashed a JOIN hashed b ON b.k = a.k + 1 WHERE a.k % 2 = 0 AND a.k < 40), lines AS (SELECT h, ax, ay, az, ux / l AS ux, uy / l AS uy, uz / l AS uz FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS l FROM ways))"
+WAYS = "ways AS (SELECT a.k // 2 AS h, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz FROM hashed a JOIN hashed b ON b.k = a.k + 1 WHERE a.k % 2 = 0 AND a.k + 1 < 1600), lines AS (SELECT h, ax, ay, az, ux / l AS ux, uy / l AS uy, uz / l AS uz FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS l FROM ways))"
 ON_LINE = "sqrt(pow((p.y - ay) * uz - (p.z - az) * uy, 2) + pow((p.z - az) * ux - (p.x - ax) * uz, 2) + pow((p.x - ax) * uy - (p.y - ay) * ux, 2)) < 0.3"
-put("ransac_line", "points_small", f"SELECT p.id, CAST(0 AS INTEGER) AS model FROM points_small p JOIN best ON {ON_LINE}", HASHED, WAYS, f"best AS (SELECT * FROM lines WHERE h = (SELECT h FROM (SELECT h, count(*) AS n FROM lines JOIN points_small p ON {ON_LINE} GROUP BY 1) ORDER BY n DESC, h LIMIT 1))")
 
 # per axis a filter of (place, speed): p11, p12, p22 is its covariance; the gains follow from it
 put(
@@ -320,3 +318,23 @@ put("region_grow", "points_small", "SELECT id, cluster FROM clusters", RANKED, h
 ORDERED = "ordered AS (SELECT traj_id, t, x, y, z, row_number() OVER w AS k, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lead(t, 2) OVER w AS ta, " + ", ".join(f"lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in XYZ) + f" FROM poses {WINDOW})"
 value = lambda c: f"CASE WHEN o.ta IS NULL THEN o.{c} ELSE g.{c} + (u*u*u - 3*u*u + 3*u + 5) / 6 * (o.{c} - g.{c}) + (-2*u*u*u + 3*u*u + 3*u + 1) / 6 * (o.{c}2 - o.{c}) + u*u*u / 6 * (o.{c}3 - o.{c}2) END"
 put("recursive_smoothing", "poses", f"SELECT traj_id, {rs('t', 'x', 'y', 'z')} FROM going", ORDERED, f"going AS (SELECT traj_id, t, x, y, z, k FROM ordered WHERE k = 1 UNION ALL SELECT o.traj_id, o.t, {', '.join(value(c) for c in XYZ)}, o.k FROM going g JOIN ordered o ON o.traj_id = g.traj_id AND o.k = g.k + 1)")
+
+# a consensus model moved to the least squares of its points, whose own points are taken
+ON_BEST = f"own AS (SELECT {', '.join(f'avg(p.{c}) AS m{c}' for c in XYZ)}, {', '.join(f'covar_pop(p.{a}, p.{b}) AS c{a}{b}' for a, b in moments)} FROM points_small p JOIN best ON "
+best = lambda models, on: f"best AS (SELECT * FROM {models} WHERE h = (SELECT h FROM (SELECT h, count(*) AS n FROM {models} JOIN points_small p ON {on} GROUP BY 1) ORDER BY n DESC, h LIMIT 1))"
+put("ransac_plane", "points_small", "SELECT p.id, CAST(0 AS INTEGER) AS model FROM points_small p JOIN ns ON abs((p.x - mx) * nx + (p.y - my) * ny + (p.z - mz) * nz) < 0.3", HASHED, TRIPLES, best("planes", ON_PLANE), f"{ON_BEST}{ON_PLANE})", *eigenvalues("own"), axis("l3", "n", "valued"))
+put("ransac_line", "points_small", "SELECT p.id, CAST(0 AS INTEGER) AS model FROM points_small p JOIN ds ON sqrt(pow((p.y - my) * dz - (p.z - mz) * dy, 2) + pow((p.z - mz) * dx - (p.x - mx) * dz, 2) + pow((p.x - mx) * dy - (p.y - my) * dx, 2)) < 0.3", HASHED, WAYS, best("lines", ON_LINE), f"{ON_BEST}{ON_LINE})", *eigenvalues("own"), axis("l1", "d", "valued"))
+REGIONS = f"own AS (SELECT cluster, count(*) AS n, {', '.join(f'avg({c}) AS m{c}' for c in XYZ)}, {', '.join(f'covar_pop({a}, {b}) AS c{a}{b}' for a, b in moments)} FROM points_small JOIN regions USING (id) GROUP BY 1 HAVING count(*) > 3)"
+put("region_planes", "points_small", f"SELECT cluster, n, {rs('nx', 'ny', 'nz', digits=5)}, {r('-(nx * mx + ny * my + nz * mz)', 'offset', 5)}, abs(nx) > 0.98 OR abs(ny) > 0.98 AS upright FROM ns", f"regions AS ({SQL['region_grow']})", REGIONS, *eigenvalues("own"), axis("l3", "n", "valued"))
+
+# quintic pieces with given places and velocities, accelerations 0; the turn's velocities are 0 too
+SPANS = "spans AS (SELECT traj_id, min(t) AS ta, max(t) AS tb FROM poses GROUP BY 1), asked AS (SELECT s.traj_id, s.t AS asked, greatest(ta, least(s.t, tb)) AS t FROM scan_times s JOIN spans USING (traj_id))"
+QUINTIC = "held AS (SELECT s.traj_id, s.asked, g.* EXCLUDE (traj_id), (s.t - t0) / (t1 - t0) AS a, t1 - t0 AS dt FROM asked s JOIN segs g ON s.traj_id = g.traj_id AND s.t >= t0 AND (s.t < t1 OR s.t = t1 AND t1 = tmax))"
+SLOPED3 = f"sloped AS (SELECT traj_id, t, x, y, yaw, {SLOPE('x')} AS vx, {SLOPE('y')} AS vy, CAST(0 AS DOUBLE) AS vyaw FROM poses {WINDOW})"
+for name, digits, rise, first, last, scale in (
+    ("vector_curve", 5, "10*a*a*a - 15*pow(a,4) + 6*pow(a,5)", "a - 6*a*a*a + 8*pow(a,4) - 3*pow(a,5)", "-4*a*a*a + 7*pow(a,4) - 3*pow(a,5)", ("{c}0 + ", "dt")),
+    ("vector_curve_velocity", 6, "30*a*a - 60*a*a*a + 30*pow(a,4)", "1 - 18*a*a + 32*a*a*a - 15*pow(a,4)", "-12*a*a + 28*a*a*a - 15*pow(a,4)", ("", "1")),
+):
+    step = "" if name == "vector_curve" else " / dt"
+    each = [r(f"{scale[0].format(c=c)}({rise}) * ({c}1 - {c}0){step} + {scale[1]} * (({first}) * v{c}0 + ({last}) * v{c}1)", c, digits) for c in ("x", "y", "yaw")]
+    put(name, "poses scan_times", f"SELECT traj_id, {r('asked', 't')}, {', '.join(each)} FROM held", SPANS, SLOPED3, segments("x y yaw vx vy vyaw", "sloped"), QUINTIC)

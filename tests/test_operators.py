@@ -162,6 +162,48 @@ def test_planes_and_lines(spark):
     assert ransac.planes(p, 0.05, tries=50, least=1000).count() == 0
 
 
+def test_models_are_refined_on_their_points(spark):
+    rng = np.random.default_rng(8)
+    flat = np.column_stack([rng.uniform(-9, 9, (400, 2)), rng.uniform(-0.2, 0.2, 400)])
+    centre = flat.mean(0)
+    axis = np.linalg.svd(flat - centre)[2][2]
+    axis *= np.sign(axis[np.abs(axis).argmax()])
+    model, n = ransac.best_model(points(spark, flat), "plane", 0.6, 100)
+    assert n == 400 and np.allclose(model.values, (*axis, -axis @ centre), atol=1e-9)
+    rough, _ = ransac.best_model(points(spark, flat), "plane", 0.6, 100, refine=False)
+    assert not np.allclose(rough.values, model.values, atol=1e-6)
+    # no model where there are too few points, and a null place is on none
+    assert ransac.best_model(points(spark, flat[:2]), "plane", 0.6, 10) is None
+    gap = points(spark, flat).unionByName(spark.sql("select 900L id, cast(null as double) x, 0D y, 0D z"), allowMissingColumns=True)
+    assert 900 not in {r.id for r in ransac.planes(gap, 0.6, tries=50, least=300).collect()}
+
+
+def test_many_models(spark):
+    stacked = np.vstack([np.column_stack([scattered(30, k)[:, :2], np.full(30, 10.0 * k)]) for k in range(4)])
+    found = ransac.planes(points(spark, stacked), 0.01, tries=4000, least=20, stop_share=0.0).collect()
+    assert len({r.model for r in found}) == len({(r.model, round(r.m3, 6)) for r in found}) and len(found) == len({r.id for r in found})
+    assert ransac.planes(points(spark, stacked), 0.01, least=20, stop_share=0.0, most_models=0).count() == 0
+
+
+def test_region_planes(spark):
+    wall = np.column_stack([np.full(50, 3.0), scattered(50, 2)[:, :2]])
+    p = points(spark, wall)
+    row = shape.region_planes(p, p.select("id", F.lit(1).alias("cluster"))).first()
+    assert row.n == 50 and row.upright and abs(row.nx - 1) < 1e-9 and abs(row.offset + 3) < 1e-9
+
+
+def test_curve_of_several_dimensions(spark):
+    """x = t^5 and y = t^2 are met by quintic pieces with their own derivatives; times outside take the ends."""
+    at = [0.0, 1.0, 2.5]
+    knots = spark.createDataFrame([(1, t, t**5, 5 * t**4, 20 * t**3, t * t, 2 * t, 2.0) for t in at], "traj_id long, t double, x double, vx double, ax double, y double, vy double, ay double")
+    times = spark.createDataFrame([(1, t) for t in (-1.0, 0.3, 1.0, 2.2, 2.5, 4.0)], "traj_id long, t double")
+    for k, (fx, fy) in enumerate(((lambda t: t**5, lambda t: t * t), (lambda t: 5 * t**4, lambda t: 2 * t))):
+        for r in splines.vector_curve(knots, times, ("x", "y"), 5, k).collect():
+            t = min(2.5, max(0.0, r.t))
+            assert abs(r.x - fx(t)) < 1e-9 * 100 and abs(r.y - fy(t)) < 1e-9
+    assert splines.vector_curve(knots.limit(0), times, ("x",)).count() == 0
+
+
 def test_normals_of_a_plane(spark):
     p = points(spark, np.column_stack([scattered(60, 6)[:, :2], np.full(60, 2.0)]))
     rows = shape.normals(p, 8).collect()
