@@ -103,8 +103,10 @@ def _refined(points: DataFrame, model: Model, within: float) -> Model:
     if value[1 if model.kind == "plane" else 2] <= 1e-12 * max(value[2], 1e-300):
         return model
     along = vector[:, 0 if model.kind == "plane" else 2]
-    along = along * np.sign(along[np.abs(along).argmax()])
-    return Model("plane", (*along.tolist(), float(-(along @ centre)))) if model.kind == "plane" else Model("line", (*centre.tolist(), *along.tolist()))
+    # sums of doubles end differently in other orders of rows: what lies below these digits is cut off
+    along = np.round(along * np.sign(along[np.abs(along).argmax()]), 10)
+    centre = np.round(centre, 10 - int(np.ceil(np.log10(max(1.0, np.abs(centre).max())))))
+    return Model("plane", (*along.tolist(), round(float(-(along @ centre)), 9))) if model.kind == "plane" else Model("line", (*centre.tolist(), *along.tolist()))
 
 
 def extract(points: DataFrame, kind: str, within: float, *, tries: int = 800, least: int = 1000, stop_share: float = 0.3, most_models: int | None = None, refine: bool = True) -> DataFrame:
