@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudframe.llm import decontaminate, embedding, html_extract, language, minhash, mixing, secrets, token_count, token_output, toxicity
+from cloudframe.llm import alignment, decontaminate, embedding, html_extract, language, minhash, mixing, quality, secrets, spelling, token_count, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.toxicity_query,
         "op9_embedding_dedup": embedding.embedding_query,
         "op10_token_count": token_count.token_count_query,
+        "op11_spelling_variants": spelling.spelling_query,
+        "op12_tokenizer_alignment": alignment.alignment_query,
+        "op13_quality": quality.quality_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.oracle_sql(), "op9_embedding_dedup": embedding.oracle_sql()}
+    return {"op1_secret_scan": secrets.oracle_sql(), "op9_embedding_dedup": embedding.oracle_sql(), "op11_spelling_variants": spelling.oracle_sql()}
