@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, spline_basis
+from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
+from cloudframe.operators import rigid
+from cloudframe.operators.ordered import carried
 from cloudframe.operators.trajectory import XYZ, bracket
 
 TURN = ("qw", "qx", "qy", "qz")
@@ -61,6 +63,14 @@ def with_turns(poses: DataFrame) -> DataFrame:
     return poses.withColumns(dict(zip(TURN, euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("yaw")), strict=True)))
 
 
+def interpolate_motions(poses: DataFrame, times: DataFrame) -> DataFrame:
+    """(traj_id, t, x, y, z, qw, qx, qy, qz) of poses with turns at each time within its trajectory: places on the line, turns by the shorter way."""
+    at = bracket(poses, times, [*XYZ, *TURN], closed=False)
+    place = [(F.col(f"{c}0") + F.col("alpha") * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c) for c in XYZ]
+    rows, turn = _laid(at, "turn", slerp([F.col(f"{c}0") for c in TURN], [F.col(f"{c}1") for c in TURN], F.col("alpha")))
+    return rows.select("traj_id", "t", *place, *[q.alias(n) for q, n in zip(turn, TURN, strict=True)])
+
+
 def turn_slopes(knots: DataFrame, by: str = "traj_id", time: str = "t") -> DataFrame:
     """``knots`` with turns and their angular velocity about the fixed axes, wx, wy, wz: between the knots before and after, 0 at both ends."""
     order = Window.partitionBy(by).orderBy(time)
@@ -103,7 +113,7 @@ def _motion_logarithm(turn: Vector, place: Vector) -> list[Column]:
     """(r, w) of a rigid motion, so that ``_motion`` gives it back. ``turn`` is laid down."""
     w = logarithm(turn)
     angle = F.sqrt(_dot(w, w))
-    share = F.when(angle < 1e-4, F.lit(1 / 12)).otherwise(F.try_divide(1 - angle * F.sin(angle) / (2 * (1 - F.cos(angle))), angle * angle))
+    share = F.when(angle < 1e-4, F.lit(1 / 12)).otherwise(F.try_divide(1 - F.try_divide(angle, 2 * F.tan(angle / 2)), angle * angle))
     once = cross(w, place)
     twice = cross(w, once)
     return [*[p - o / 2 + share * t for p, o, t in zip(place, once, twice, strict=True)], *w]
@@ -114,24 +124,24 @@ def _motion(v: Vector) -> tuple[list[Column], list[Column]]:
     r, w = v[:3], v[3:]
     angle = F.sqrt(_dot(w, w))
     flat = angle < 1e-4
-    one = F.when(flat, F.lit(0.5)).otherwise(F.try_divide(1 - F.cos(angle), angle * angle))
+    one = F.when(flat, F.lit(0.5)).otherwise(F.try_divide(2 * F.sin(angle / 2) * F.sin(angle / 2), angle * angle))
     two = F.when(flat, F.lit(1 / 6)).otherwise(F.try_divide(angle - F.sin(angle), angle * angle * angle))
     once = cross(w, r)
     twice = cross(w, once)
     return exponential(w), [a + one * b + two * c for a, b, c in zip(r, once, twice, strict=True)]
 
 
-def bspline_motions(poses: DataFrame, span: float = 0.4) -> DataFrame:
-    """(traj_id, t, x, y, z, qw, qx, qy, qz): each inner pose i replaced by the cumulative B-spline of the rigid motions i - 1 to i + 2.
+def bspline_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float] = (0.0,)) -> DataFrame:
+    """(traj_id, t, x, y, z, qw, qx, qy, qz): the cumulative B-spline of the rigid motions i - 1 to i + 2 at the time of pose i and each offset after it.
 
-    The spline's place is (t_i - t_(i-1)) / span, held within [0, 1].
+    The spline's place is offset / span, from the second pose of its window to the third.
     """
     order = Window.partitionBy("traj_id").orderBy("t")
     fields = (*XYZ, *TURN)
     near = [F.lag(c, 1 - k).over(order).alias(f"{c}_{k}") for k in range(4) for c in (*fields, "t")]
     rows = with_turns(poses).select("traj_id", "t", *near).where("t_0 is not null and t_3 is not null")
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("t_0")) / span))
-    rows, basis = _laid(rows, "basis", spline_basis(u))
+    rows = rows.withColumn("__offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
+    rows, basis = _laid(rows, "basis", spline_basis(F.col("__offset") / span))
     turns = [[F.col(f"{c}_{k}") for c in TURN] for k in range(4)]
     places = [[F.col(f"{c}_{k}") for c in XYZ] for k in range(4)]
     turn, place = turns[0], places[0]
@@ -145,4 +155,49 @@ def bspline_motions(poses: DataFrame, span: float = 0.4) -> DataFrame:
         rows, moved = _laid(rows, f"moved{k}", own_place)
         rows, place = _laid(rows, f"place{k}", [a + b for a, b in zip(place, rotate(turn, moved), strict=True)])
         rows, turn = _laid(rows, f"turn{k}", multiply_quaternions(turn, own_turn))
-    return rows.select("traj_id", "t", *[c.alias(n) for c, n in zip([*place, *turn], fields, strict=True)])
+    return rows.select("traj_id", (F.col("t") + F.col("__offset")).alias("t"), *[c.alias(n) for c, n in zip([*place, *turn], fields, strict=True)])
+
+
+class _Smoothing:
+    """The pose before, already replaced, and those that wait for two more."""
+
+    def __init__(self, traj: int, span: float, offsets: Sequence[float], first: int):
+        self.traj, self.span, self.offsets, self.left = traj, span, offsets, first
+        self.before: rigid.Motion | None = None
+        self.waiting: list[tuple[float, rigid.Motion]] = []
+
+    def _row(self, t: float, sample: int, pose: rigid.Motion) -> tuple:
+        return self.traj, t, sample, *pose[1], *pose[0]
+
+    def step(self, row: list[float]) -> list[tuple]:
+        t, *place_and_turn = row
+        pose = (tuple(place_and_turn[3:]), tuple(place_and_turn[:3]))
+        if self.left:
+            self.left, self.before = self.left - 1, pose
+            return [self._row(t, 0, pose)]
+        self.waiting.append((t, pose))
+        if len(self.waiting) < 3:
+            return []
+        window = [self.before, *(p for _, p in self.waiting)]
+        t, _ = self.waiting.pop(0)
+        found = [rigid.spline(window, o / self.span) for o in self.offsets]
+        self.before = found[0]
+        return [self._row(t + o, k, p) for k, (o, p) in enumerate(zip(self.offsets, found, strict=True))]
+
+    def end(self) -> list[tuple]:
+        return [self._row(t, 0, p) for t, p in self.waiting]
+
+
+def smooth_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float] = (0.0, 0.1, 0.2, 0.3), first: int = 2) -> DataFrame:
+    """(traj_id, t, sample, x, y, z, qw, qx, qy, qz): poses one after the other replaced by the spline of their window, which starts from the pose already replaced before.
+
+    Sample 0 is the pose itself; a replaced pose also has the spline of its window at the
+    other offsets after it (the first offset has to be 0). The ``first`` poses of a
+    trajectory, one at least, and its last two stay as they are. A task reads a trajectory
+    in batches and keeps four poses.
+    """
+    assert first >= 1 and offsets[0] == 0
+    fields = (*XYZ, *TURN)
+    turned = poses if "qw" in poses.columns else with_turns(poses)
+    rows = turned.select("traj_id", *[F.col(c).cast("double").alias(c) for c in ("t", *fields)])
+    return carried(rows, "traj_id", ("t", *fields), lambda traj: _Smoothing(traj, span, offsets, first), ", ".join(["traj_id long", "t double", "sample long", *(f"{c} double" for c in fields)]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
-from cloudframe.operators.ordered import BLOCK, HALO, carried, in_blocks, solve_tridiagonal
+from cloudframe.operators.ordered import BLOCK, HALO, in_blocks, solve_tridiagonal
 
 XYZ = ("x", "y", "z")
 
@@ -107,50 +107,19 @@ def hermite(knots: DataFrame, times: DataFrame, fields: Sequence[str] = XYZ, der
     return at.select("traj_id", "t", *[value(c).alias(c) for c in fields])
 
 
-def cumulative_bspline(poses: DataFrame, span: float = 0.4, fields: Sequence[str] = XYZ) -> DataFrame:
-    """Each inner pose i replaced by the cumulative B-spline of poses i - 1 to i + 2, translations only.
+def cumulative_bspline(poses: DataFrame, span: float = 0.4, fields: Sequence[str] = XYZ, offsets: Sequence[float] = (0.0,)) -> DataFrame:
+    """(traj_id, t, fields): the cumulative B-spline of poses i - 1 to i + 2 at the time of pose i and each offset after it, translations only.
 
-    The spline's place is (t_i - t_(i-1)) / span, held within [0, 1].
+    A span is the time from one pose to the next: the spline's place is offset / span, from
+    the second pose of its window to the third.
     """
     order = Window.partitionBy("traj_id").orderBy("t")
-    near = {k: {c: F.lag(c, -k).over(order) for c in (*fields, "t")} for k in (-1, 0, 1, 2)}
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - near[-1]["t"]) / span))
-    rows = poses.select("traj_id", "t", u.alias("u"), *[near[k][c].alias(f"{c}_{k + 1}") for k in near for c in fields], near[-1]["t"].alias("tb"), near[2]["t"].alias("ta"))
-    b = spline_basis(F.col("u"))
+    near = {k: {c: F.lag(c, -k).over(order) for c in (*fields, "t")} for k in (-1, 1, 2)}
+    rows = poses.select("traj_id", "t", *[F.col(c).alias(f"{c}_1") for c in fields], *[near[k][c].alias(f"{c}_{k + 1}") for k in near for c in (*fields, "t")]).where("t_0 is not null and t_3 is not null")
+    at = rows.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
+    b = spline_basis(F.col("offset") / span)
     value = lambda c: F.col(f"{c}_0") + sum((b[i] * (F.col(f"{c}_{i}") - F.col(f"{c}_{i - 1}")) for i in (2, 3)), b[1] * (F.col(f"{c}_1") - F.col(f"{c}_0")))
-    return rows.where("tb is not null and ta is not null").select("traj_id", "t", *[value(c).alias(c) for c in fields])
-
-
-class _Smoothing:
-    """The pose before, already replaced, and those that wait for two more."""
-
-    def __init__(self, traj: int, span: float):
-        self.traj, self.span = traj, span
-        self.before: list[float] | None = None
-        self.waiting: list[list[float]] = []
-
-    def step(self, pose: list[float]) -> list[tuple]:
-        if self.before is None:
-            self.before = pose
-            return [(self.traj, *pose)]
-        self.waiting.append(pose)
-        if len(self.waiting) < 3:
-            return []
-        near = (self.before, *self.waiting)
-        u = min(1.0, max(0.0, (near[1][0] - near[0][0]) / self.span))
-        b = ((u**3 - 3 * u * u + 3 * u + 5) / 6, (-2 * u**3 + 3 * u * u + 3 * u + 1) / 6, u**3 / 6)
-        self.before = [near[1][0], *[near[0][c] + sum(w * (near[k + 1][c] - near[k][c]) for k, w in enumerate(b)) for c in (1, 2, 3)]]
-        del self.waiting[0]
-        return [(self.traj, *self.before)]
-
-    def end(self) -> list[tuple]:
-        return [(self.traj, *pose) for pose in self.waiting]
-
-
-def smooth_recursively(poses: DataFrame, span: float = 0.4) -> DataFrame:
-    """The same pass where each window starts from the pose already replaced before it. A task reads a trajectory in batches and keeps three poses."""
-    rows = poses.select("traj_id", *[F.col(c).cast("double").alias(c) for c in ("t", *XYZ)])
-    return carried(rows, "traj_id", ("t", *XYZ), lambda traj: _Smoothing(traj, span), "traj_id long, t double, x double, y double, z double")
+    return at.select("traj_id", (F.col("t") + F.col("offset")).alias("t"), *[value(c).alias(c) for c in fields])
 
 
 def slerp_curve(poses: DataFrame, times: DataFrame) -> DataFrame:

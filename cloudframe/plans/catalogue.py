@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 POSE = {"x": 1.5, "y": -2.0, "z": 0.5, "roll": 0.1, "pitch": -0.2, "yaw": 0.7}
+#: four samples a window of 400 s
+QUARTERS = (0.0, 100.0, 200.0, 300.0)
 TURN = {"x": 1.5, "y": -2.0, "z": 0.5, "qw": 0.5, "qx": 0.5, "qy": -0.5, "qz": 0.5}
 
 
@@ -29,6 +31,11 @@ def r6(*columns: str, digits: int = 6) -> list[Column]:
     return [(F.round(c, digits) + 0.0).alias(c) for c in columns]
 
 
+def aside(*columns: str) -> list[Column]:
+    """Columns rounded a little above, as values at quarters of a span often lie half way between two roundings."""
+    return [(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in columns]
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | files.QUERIES
 
@@ -277,7 +284,7 @@ def hermite_angular_velocity(spark, sf_dir):
 
 @query
 def cumulative_bspline_rotation(spark, sf_dir):
-    return rotations.bspline_motions(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
+    return rotations.bspline_motions(t.poses(spark, sf_dir), 400.0, QUARTERS).select("traj_id", *r6("t", "x", "y", "z", "qw", "qx", "qy", "qz"))
 
 
 @query
@@ -313,12 +320,12 @@ def hermite_accel(spark, sf_dir):
 
 @query
 def cumulative_bspline(spark, sf_dir):
-    return trajectory.cumulative_bspline(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z"))
+    return trajectory.cumulative_bspline(t.poses(spark, sf_dir), 400.0, offsets=QUARTERS).select("traj_id", *r6("t"), *aside("x", "y", "z"))
 
 
 @query
 def recursive_smoothing(spark, sf_dir):
-    return trajectory.smooth_recursively(t.poses(spark, sf_dir), 400.0).select("traj_id", *r6("t", "x", "y", "z"))
+    return rotations.smooth_motions(t.poses(spark, sf_dir), 400.0, QUARTERS).select("traj_id", "sample", *r6("t"), *aside("x", "y"), *r6("z", "qw", "qx", "qy", "qz"))
 
 
 @query
@@ -662,8 +669,8 @@ def dynamic_object_removal(spark, sf_dir):
 @query
 def interpolated_map(spark, sf_dir):
     poses, times = t.poses(spark, sf_dir), t.scan_times(spark, sf_dir)
-    scans = times.withColumn("id", F.xxhash64("traj_id", "t")).select("traj_id", "t", "id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
-    return programs.interpolated_map(poses, times, scans, 400.0).select("traj_id", "id", *r6("t", "x", "y", "z"))
+    scans = times.select("traj_id", "t", F.lit(0).alias("id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
+    return programs.interpolated_map(poses, times, scans, 400.0).select("traj_id", *r6("t", "x", "y", "z"))
 
 
 @query

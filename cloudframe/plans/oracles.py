@@ -123,8 +123,6 @@ for name, basis, scale in (
 ):
     curve = lambda c: r(f"(({basis[0]}) * {c}0 + ({basis[1]}) * dt * v{c}0 + ({basis[2]}) * {c}1 + ({basis[3]}) * dt * v{c}1) / {scale}", c)  # noqa: B023, E731
     put(name, "poses scan_times", f"SELECT traj_id, {rs('t')}, {curve('x')}, {curve('y')} FROM held", SLOPED, segments("x y vx vy", "sloped"), CLOSED)
-WIDE = "wide AS (SELECT traj_id, t, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lag(t) OVER w AS tb, lead(t, 2) OVER w AS ta, " + ", ".join(f"lag({c}) OVER w AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in XYZ) + f" FROM poses {WINDOW})"
-put("cumulative_bspline", "poses", f"SELECT traj_id, {rs('t')}, " + ", ".join(r(f"{c}0 + (u*u*u - 3*u*u + 3*u + 5) / 6 * ({c}1 - {c}0) + (-2*u*u*u + 3*u*u + 3*u + 1) / 6 * ({c}2 - {c}1) + u*u*u / 6 * ({c}3 - {c}2)", c) for c in XYZ) + " FROM wide WHERE tb IS NOT NULL AND ta IS NOT NULL", WIDE)
 put("knot_upsert", "poses", f"SELECT traj_id, {rs('t', 'x', 'y')} FROM (SELECT traj_id, t, x, y FROM changes UNION ALL SELECT traj_id, t, x, y FROM poses p WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.traj_id = p.traj_id AND c.t = p.t))", "changes AS (SELECT traj_id, CASE WHEN y < 50 THEN t ELSE t + 0.5 END AS t, x + 1 AS x, y FROM poses WHERE traj_id % 2 = 0)")
 put("knot_delete", "poses", f"SELECT traj_id, {rs('t', 'x')} FROM poses WHERE NOT x < 20")
 put("knot_range", "poses", f"SELECT traj_id, {rs('t', 'x')} FROM (SELECT *, lead(t) OVER w AS a, lag(t) OVER w AS b FROM poses {WINDOW}) WHERE coalesce(a > 1704120000, t >= 1704120000) AND coalesce(b < 1704200000, t <= 1704200000)")
@@ -254,16 +252,6 @@ PARTS = "parts AS (SELECT *, dt / 3 * w0 AS w1_, dt / 3 * w1 AS w3_, yaw1 - yaw0
 ANGLE = "yaw0 + (a*a*a - 3*a*a + 3*a) * w1_ + (3*a*a - 2*a*a*a) * w2_ + a*a*a * w3_"
 put("hermite_rotation", "poses scan_times", f"SELECT traj_id, {rs('t')}, {r('cos(yaw / 2)', 'qw')}, {ZERO} AS qx, {ZERO} AS qy, {r('sin(yaw / 2)', 'qz')} FROM (SELECT *, {ANGLE} AS yaw FROM parts)", TURNED, segments("yaw w", "turned"), CLOSED, PARTS)
 put("hermite_angular_velocity", "poses scan_times", f"SELECT traj_id, {rs('t')}, {ZERO} AS wx, {ZERO} AS wy, {r('(3*(1-a)*(1-a) * w1_ + 6*a*(1-a) * w2_ + 3*a*a * w3_) / dt', 'wz', 8)} FROM parts", TURNED, segments("yaw w", "turned"), CLOSED, PARTS)
-# rigid motions of the plane: (h, d) is a turn by h and a step d = (sin h / h, -(1 - cos h) / h; (1 - cos h) / h, sin h / h) r
-SINC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 1 ELSE sin({h}) / {h} END"
-COSC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 0 ELSE (1 - cos({h})) / {h} END"
-NEAR = "near AS (SELECT traj_id, t, z, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lag(t) OVER w AS tb, lead(t, 2) OVER w AS ta, " + ", ".join(f"lag({c}) OVER w AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in ("x", "y", "yaw")) + f" FROM poses {WINDOW})"
-BASED = "based AS (SELECT *, (u*u*u - 3*u*u + 3*u + 5) / 6 AS b1, (-2*u*u*u + 3*u*u + 3*u + 1) / 6 AS b2, u*u*u / 6 AS b3 FROM near WHERE tb IS NOT NULL AND ta IS NOT NULL)"
-STEPS = "steps AS (SELECT *, " + ", ".join(f"yaw{k} - yaw{k - 1} AS h{k}, cos(yaw{k - 1}) * (x{k} - x{k - 1}) + sin(yaw{k - 1}) * (y{k} - y{k - 1}) AS dx{k}, cos(yaw{k - 1}) * (y{k} - y{k - 1}) - sin(yaw{k - 1}) * (x{k} - x{k - 1}) AS dy{k}" for k in (1, 2, 3)) + " FROM based)"
-SHARES = "shares AS (SELECT *, " + ", ".join(f"{SINC(f'h{k}')} AS s{k}, {COSC(f'h{k}')} AS c{k}, {SINC(f'(b{k} * h{k})')} AS p{k}, {COSC(f'(b{k} * h{k})')} AS q{k}" for k in (1, 2, 3)) + " FROM steps)"
-SCREWS = "screws AS (SELECT *, " + ", ".join(f"b{k} * (s{k} * dx{k} + c{k} * dy{k}) / (s{k} * s{k} + c{k} * c{k}) AS rx{k}, b{k} * (s{k} * dy{k} - c{k} * dx{k}) / (s{k} * s{k} + c{k} * c{k}) AS ry{k}" for k in (1, 2, 3)) + " FROM shares)"
-MOVES = "moves AS (SELECT *, yaw0 + b1 * h1 AS a1, yaw0 + b1 * h1 + b2 * h2 AS a2, yaw0 + b1 * h1 + b2 * h2 + b3 * h3 AS a3, yaw0 AS a0, " + ", ".join(f"p{k} * rx{k} - q{k} * ry{k} AS mx{k}, q{k} * rx{k} + p{k} * ry{k} AS my{k}" for k in (1, 2, 3)) + " FROM screws)"
-put("cumulative_bspline_rotation", "poses", f"SELECT traj_id, {rs('t')}, {r('x0 + ' + ' + '.join(f'cos(a{k - 1}) * mx{k} - sin(a{k - 1}) * my{k}' for k in (1, 2, 3)), 'x')}, {r('y0 + ' + ' + '.join(f'sin(a{k - 1}) * mx{k} + cos(a{k - 1}) * my{k}' for k in (1, 2, 3)), 'y')}, {ZERO} AS z, {r('cos(a3 / 2)', 'qw')}, {ZERO} AS qx, {ZERO} AS qy, {r('sin(a3 / 2)', 'qz')} FROM moves", NEAR, BASED, STEPS, SHARES, SCREWS, MOVES)
 SAMPLES = "scan_times AS (SELECT traj_id, ta + i * ((tb - ta) / CAST(5 AS DOUBLE)) AS t FROM (SELECT traj_id, min(t) AS ta, max(t) AS tb FROM poses GROUP BY 1), range(0, 5) q(i) WHERE ta + i * ((tb - ta) / CAST(5 AS DOUBLE)) < tb)"
 curve = lambda c: r(f"(2*a*a*a - 3*a*a + 1) * {c}0 + (a*a*a - 2*a*a + a) * dt * v{c}0 + (-2*a*a*a + 3*a*a) * {c}1 + (a*a*a - a*a) * dt * v{c}1", c, 4)
 put("curve_samples", "poses", f"SELECT traj_id, {rs('t', digits=3)}, {curve('x')}, {curve('y')} FROM held", SAMPLES, SLOPED, segments("x y vx vy", "sloped"), CLOSED)
@@ -314,10 +302,6 @@ put("oriented_bbox", "points_small", f"SELECT p.intensity, count(*) AS n, {', '.
 SMOOTH = f"smooth AS (SELECT p.id, p.x, p.y, p.z, nx, ny, nz FROM ups JOIN points_small p USING (id) WHERE curvature < 0.2)"
 LIKE = f"SELECT a.id AS u, b.id AS v FROM smooth a JOIN smooth b ON {D2} < {0.8 * 0.8!r} AND abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) > cos(radians(30))"
 put("region_grow", "points_small", "SELECT id, cluster FROM clusters", RANKED, held("own", 15), *eigenvalues("own"), axis("l3", "n", "valued"), UP, SMOOTH, *components(LIKE, "smooth", 3, 8000))
-# the pass over poses as a recursion: each window starts from the pose replaced before it
-ORDERED = "ordered AS (SELECT traj_id, t, x, y, z, row_number() OVER w AS k, greatest(0, least(1, (t - lag(t) OVER w) / 400)) AS u, lead(t, 2) OVER w AS ta, " + ", ".join(f"lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in XYZ) + f" FROM poses {WINDOW})"
-value = lambda c: f"CASE WHEN o.ta IS NULL THEN o.{c} ELSE g.{c} + (u*u*u - 3*u*u + 3*u + 5) / 6 * (o.{c} - g.{c}) + (-2*u*u*u + 3*u*u + 3*u + 1) / 6 * (o.{c}2 - o.{c}) + u*u*u / 6 * (o.{c}3 - o.{c}2) END"
-put("recursive_smoothing", "poses", f"SELECT traj_id, {rs('t', 'x', 'y', 'z')} FROM going", ORDERED, f"going AS (SELECT traj_id, t, x, y, z, k FROM ordered WHERE k = 1 UNION ALL SELECT o.traj_id, o.t, {', '.join(value(c) for c in XYZ)}, o.k FROM going g JOIN ordered o ON o.traj_id = g.traj_id AND o.k = g.k + 1)")
 
 # a consensus model moved to the least squares of its points, whose own points are taken
 ON_BEST = f"own AS (SELECT {', '.join(f'avg(p.{c}) AS m{c}' for c in XYZ)}, {', '.join(f'covar_pop(p.{a}, p.{b}) AS c{a}{b}' for a, b in moments)} FROM points_small p JOIN best ON "
@@ -338,3 +322,37 @@ for name, digits, rise, first, last, scale in (
     step = "" if name == "vector_curve" else " / dt"
     each = [r(f"{scale[0].format(c=c)}({rise}) * ({c}1 - {c}0){step} + {scale[1]} * (({first}) * v{c}0 + ({last}) * v{c}1)", c, digits) for c in ("x", "y", "yaw")]
     put(name, "poses scan_times", f"SELECT traj_id, {r('asked', 't')}, {', '.join(each)} FROM held", SPANS, SLOPED3, segments("x y yaw vx vy vyaw", "sloped"), QUINTIC)
+
+# cumulative B-splines: four poses around one, at u = 0, 1/4, 2/4, 3/4 from the second to the third
+AROUND = lambda columns: "around AS (SELECT *, " + ", ".join(f"lag({c}) OVER w AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in columns) + f", lag(t) OVER w AS t0, lead(t, 2) OVER w AS t3 FROM poses {WINDOW})"
+SAMPLED = "sampled AS (SELECT *, (u*u*u - 3*u*u + 3*u + 5) / 6 AS b1, (-2*u*u*u + 3*u*u + 3*u + 1) / 6 AS b2, u*u*u / 6 AS b3 FROM (SELECT *, i * 0.25 AS u FROM around, range(0, 4) q(i) WHERE t0 IS NOT NULL AND t3 IS NOT NULL))"
+put("cumulative_bspline", "poses", f"SELECT traj_id, {r('t + 400 * u', 't')}, {', '.join(r(f'{c}0 + b1 * ({c}1 - {c}0) + b2 * ({c}2 - {c}1) + b3 * ({c}3 - {c}2) + 1e-9', c) for c in XYZ)} FROM sampled", AROUND(XYZ), SAMPLED)
+# rigid motions of the plane: the logarithm of a turn h and a step d is (h, r) with d = (S, -C; C, S) r
+SINC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 1 ELSE sin({h}) / ({h}) END"
+COSC = lambda h: f"CASE WHEN abs({h}) < 1e-9 THEN 0 ELSE 2 * pow(sin(({h}) / 2), 2) / ({h}) END"
+
+
+def along(source: str, start: str, a: str, b: str, share: str, to: str) -> str:
+    """Rows of ``source`` with <to>x, <to>y, <to>yaw: the motion ``start`` followed by a share of the one from ``a`` to ``b``."""
+    q1 = f"SELECT *, {b}yaw - {a}yaw AS h_, cos({a}yaw) * ({b}x - {a}x) + sin({a}yaw) * ({b}y - {a}y) AS dx_, cos({a}yaw) * ({b}y - {a}y) - sin({a}yaw) * ({b}x - {a}x) AS dy_ FROM ({source})"
+    q2 = f"SELECT *, {SINC('h_')} AS s_, {COSC('h_')} AS c_, {SINC(f'{share} * h_')} AS p_, {COSC(f'{share} * h_')} AS q_ FROM ({q1})"
+    q3 = f"SELECT *, {share} * (s_ * dx_ + c_ * dy_) / (s_ * s_ + c_ * c_) AS rx_, {share} * (s_ * dy_ - c_ * dx_) / (s_ * s_ + c_ * c_) AS ry_ FROM ({q2})"
+    q4 = f"SELECT *, p_ * rx_ - q_ * ry_ AS mx_, q_ * rx_ + p_ * ry_ AS my_ FROM ({q3})"
+    return f"SELECT * EXCLUDE (h_, dx_, dy_, s_, c_, p_, q_, rx_, ry_, mx_, my_), {start}x + cos({start}yaw) * mx_ - sin({start}yaw) * my_ AS {to}x, {start}y + sin({start}yaw) * mx_ + cos({start}yaw) * my_ AS {to}y, {start}yaw + {share} * h_ AS {to}yaw FROM ({q4})"
+
+
+PLANE = ("x", "y", "yaw")
+NAMED = lambda source, *more: f"SELECT *, {', '.join(f'{c}{k} AS p{k}{c}' for k in range(4) for c in PLANE)} FROM {source}"
+QUATERNION = lambda yaw: f"{r(f'cos({yaw} / 2)', 'qw')}, {ZERO} AS qx, {ZERO} AS qy, {r(f'sin({yaw} / 2)', 'qz')}"
+WHOLE = lambda source: along(along(along(source, "p0", "p0", "p1", "b1", "f1"), "f1", "p1", "p2", "b2", "f2"), "f2", "p2", "p3", "b3", "f3")
+put("cumulative_bspline_rotation", "poses", f"SELECT traj_id, {r('t + 400 * u', 't')}, {r('f3x', 'x')}, {r('f3y', 'y')}, {ZERO} AS z, {QUATERNION('f3yaw')} FROM ({WHOLE(NAMED('sampled'))})", AROUND(PLANE), SAMPLED)
+# the pass over poses as a recursion from the second pose on: each window starts from the pose replaced before it
+ORDERED = "ordered AS (SELECT *, row_number() OVER w AS k, lead(t, 2) OVER w AS t3, " + ", ".join(f"lead({c}) OVER w AS {c}2, lead({c}, 2) OVER w AS {c}3" for c in PLANE) + f" FROM poses {WINDOW})"
+WINDOWED = "SELECT o.traj_id, o.t, o.k, o.t3, " + ", ".join(f"g.{c} AS p0{c}, o.{c} AS p1{c}, o.{c}2 AS p2{c}, o.{c}3 AS p3{c}" for c in PLANE) + " FROM going g JOIN ordered o ON o.traj_id = g.traj_id AND o.k = g.k + 1"
+STEP = along(along(WINDOWED, "p0", "p0", "p1", "(5 / 6.0)", "f1"), "f1", "p1", "p2", "(1 / 6.0)", "f2")
+GOING = "going AS (SELECT traj_id, t, k, x, y, yaw, false AS new FROM ordered WHERE k = 2 UNION ALL SELECT traj_id, t, k, " + ", ".join(f"CASE WHEN t3 IS NULL THEN p1{c} ELSE f2{c} END" for c in PLANE) + f", t3 IS NOT NULL FROM ({STEP}))"
+SMOOTHED = "smoothed AS (SELECT traj_id, t, x, y, yaw FROM ordered WHERE k = 1 UNION ALL SELECT traj_id, t, x, y, yaw FROM going)"
+LATER = f"later AS (SELECT *, (u*u*u - 3*u*u + 3*u + 5) / 6 AS b1, (-2*u*u*u + 3*u*u + 3*u + 1) / 6 AS b2, u*u*u / 6 AS b3 FROM (SELECT *, i * 0.25 AS u FROM ({WINDOWED}), range(1, 4) q(i) WHERE t3 IS NOT NULL))"
+put("recursive_smoothing", "poses", f"SELECT traj_id, CAST(0 AS BIGINT) AS sample, {rs('t')}, {r('x + 1e-9', 'x')}, {r('y + 1e-9', 'y')}, {ZERO} AS z, {QUATERNION('yaw')} FROM smoothed UNION ALL SELECT traj_id, i, {r('t + 400 * u', 't')}, {r('f3x + 1e-9', 'x')}, {r('f3y + 1e-9', 'y')}, {ZERO} AS z, {QUATERNION('f3yaw')} FROM ({WHOLE('SELECT * FROM later')})", ORDERED, GOING, SMOOTHED, LATER)
+PLACED = "placed AS (SELECT traj_id, t, " + ", ".join(f"{c}0 + a * ({c}1 - {c}0) AS {c}" for c in PLANE) + " FROM held)"
+put("interpolated_map", "poses scan_times", f"SELECT traj_id, {rs('t')}, {r('x + cos(yaw) - 2 * sin(yaw)', 'x')}, {r('y + sin(yaw) + 2 * cos(yaw)', 'y')}, CAST(3 AS DOUBLE) AS z FROM placed", ORDERED, GOING, SMOOTHED, segments("x y yaw", "smoothed"), OPEN, PLACED)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import rotate_rpy
-from cloudframe.operators import cluster, ring, tracking, trajectory, voxels
+from cloudframe.operators import cluster, ring, rotations, tracking, trajectory, voxels
 from cloudframe.sources.shared import write_table
 
 
@@ -71,10 +71,12 @@ def remove_dynamic_objects(points: DataFrame, poses: DataFrame, scan: Scan | Non
 
 
 def interpolated_map(poses: DataFrame, times: DataFrame, scans: DataFrame, span: float = 0.4) -> DataFrame:
-    """Scans (traj_id, t, id, x, y, z) put into one map by smoothed poses, interpolated at the scans' times."""
-    smooth = write_table(trajectory.smooth_recursively(poses, span), "smooth-poses")
-    at = trajectory.interpolate(smooth, times).select("traj_id", "t", *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    return scans.join(at, ["traj_id", "t"]).select("traj_id", "t", "id", *[(F.col(c) + F.col(f"t{c}")).alias(c) for c in "xyz"])
+    """Scans (traj_id, t, id, x, y, z) put into one map by smoothed poses, interpolated at the scans' times; points turn with the pose."""
+    smooth = write_table(rotations.smooth_motions(poses, span, (0.0,)), "smooth-poses")
+    at = rotations.interpolate_motions(smooth, times).select("traj_id", "t", *[F.col(c).alias(f"t{c}") for c in "xyz"], *rotations.TURN)
+    both = scans.join(at, ["traj_id", "t"])
+    turned = rotations.rotate([F.col(c) for c in rotations.TURN], [F.col(c) for c in "xyz"])
+    return both.select("traj_id", "t", "id", *[(v + F.col(f"t{c}")).alias(c) for v, c in zip(turned, "xyz", strict=True)])
 
 
 def scan_features(points: DataFrame, scan: Scan | None = None, block: int = 180) -> DataFrame:

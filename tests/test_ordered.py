@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudframe.operators import ordered, splines, tracking, trajectory
+from cloudframe.operators import ordered, rotations, splines, tracking, trajectory
 
 
 @pytest.fixture
@@ -71,7 +71,7 @@ def test_no_block_holds_a_long_trajectory(spark):
 
 def test_state_goes_from_batch_to_batch(spark, hot):
     rows = spark.createDataFrame([(s, f, 1000 * s + 10 * f + k, k + 0.01 * f, 0.0) for s in (1, 2) for f in range(1, 40) for k in range(3)], "seq_id long, frame long, det_id long, x double, y double")
-    ways = [lambda: trajectory.smooth_recursively(hot, 2.0), lambda: tracking.track(rows), lambda: tracking.kalman(rows.where("det_id % 10 = 0"))]
+    ways = [lambda: rotations.smooth_motions(hot.withColumns(dict.fromkeys(("roll", "pitch", "yaw"), F.lit(0.0))), 2.0), lambda: tracking.track(rows), lambda: tracking.kalman(rows.where("det_id % 10 = 0"))]
     want = [sorted(map(tuple, way().collect())) for way in ways]
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(size)
@@ -82,9 +82,45 @@ def test_state_goes_from_batch_to_batch(spark, hot):
         spark.conf.set(size, before)
     assert {r[2] for r in want[1] if r[0] == 1} == {1, 2, 3}
     for k, own in by_key(hot.collect()).items():
-        p, t = own[:, 1:].copy(), own[:, 0]
-        for i in range(1, len(p) - 2):
-            u = min(1.0, (t[i] - t[i - 1]) / 2.0)
-            b = ((u**3 - 3 * u * u + 3 * u + 5) / 6, (-2 * u**3 + 3 * u * u + 3 * u + 1) / 6, u**3 / 6)
-            p[i] = p[i - 1] + sum(w * (p[i + j] - p[i + j - 1]) for j, w in enumerate(b))
-        assert np.allclose(by_key(want[0])[k][:, 1:], p)
+        p = own[:, 1:].copy()
+        for i in range(2, len(p) - 2):
+            p[i] = p[i - 1] + 5 / 6 * (p[i] - p[i - 1]) + 1 / 6 * (p[i + 1] - p[i])
+        got = np.array([r[1:] for r in want[0] if r[0] == k and r[2] == 0])
+        assert np.allclose(got[:, 2:5], p)
+
+
+@pytest.fixture(scope="module")
+def screw(spark):
+    """A steady screw motion: the same turn about a slanted axis and the same way in every second."""
+    from cloudframe.operators import rigid
+
+    r, w = (0.6, -0.2, 0.4), (0.05, 0.2, -0.3)
+    at = lambda t: rigid.exponential(r, w, t)
+    return at, spark.createDataFrame([(k, float(t), *at(t)[1], *at(t)[0]) for k in (1, 2) for t in range(12)], "traj_id long, t double, x double, y double, z double, qw double, qx double, qy double, qz double")
+
+
+def test_steady_motion_stays_as_it_is(spark, screw):
+    """Smoothing changes nothing of a steady screw motion, and samples lie on it; without turns that is a straight, even motion."""
+    at, poses = screw
+    found = rotations.smooth_motions(poses, 1.0, (0.0, 0.25, 0.5, 0.75)).collect()
+    assert sorted({(r.t - r.sample / 4, r.sample) for r in found if r.traj_id == 1}) == sorted([(float(t), 0) for t in range(12)] + [(float(t), k) for t in range(2, 10) for k in (1, 2, 3)])
+    assert len(found) == 2 * (12 + 8 * 3)
+    plain = poses.withColumns({"roll": F.lit(0.0), "pitch": F.lit(0.0), "yaw": F.lit(0.0)}).drop("qw", "qx", "qy", "qz")
+    even = plain.withColumns({"x": F.col("t") * 2 - 3, "y": -F.col("t"), "z": F.lit(1.5)})
+    for r in found:
+        turn, place = at(r.t)
+        assert np.allclose((r.x, r.y, r.z), place, atol=1e-9)
+        assert np.isclose(abs(np.dot((r.qw, r.qx, r.qy, r.qz), turn)), 1, atol=1e-12)
+    for rows in (trajectory.cumulative_bspline(even, 1.0, offsets=(0.0, 0.3)), rotations.bspline_motions(even, 1.0, (0.0, 0.3)), rotations.smooth_motions(even, 1.0, (0.0, 0.3))):
+        rows = rows.collect()
+        assert len(rows) >= 2 * 2 * 8 and np.allclose([(r.x, r.y, r.z) for r in rows], [(2 * r.t - 3, -r.t, 1.5) for r in rows])
+
+
+def test_motions_of_rows_and_of_columns_agree(spark, screw):
+    _, poses = screw
+    turned = poses.drop("qw", "qx", "qy", "qz").withColumns({"roll": 0.3 * F.sin("t"), "pitch": 0.2 * F.cos("t"), "yaw": F.col("t") / 5 + F.col("traj_id")})
+    want = {(r.traj_id, round(r.t, 3)): r for r in rotations.bspline_motions(turned, 1.0, (0.0, 0.4)).collect()}
+    # the first window of the pass has no pose that was replaced
+    for r in rotations.smooth_motions(turned, 1.0, (0.0, 0.4)).where("t between 1.9 and 2.5").collect():
+        w = want[r.traj_id, round(r.t, 3)]
+        assert np.allclose((r.x, r.y, r.z), (w.x, w.y, w.z)) and np.isclose(abs(r.qw * w.qw + r.qx * w.qx + r.qy * w.qy + r.qz * w.qz), 1)
