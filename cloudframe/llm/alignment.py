@@ -3,7 +3,7 @@
 Where a token of A and a token of B end at the same byte, the text can be cut for both: the
 stretches between such offsets are groups, and the two tokens are linked.
 
-1. Each text is encoded by both tokenizers. A token is an event at the byte where it ends;
+1. Each text is encoded by both tokenizers; a byte-level one remembers the chunks it has met. A token is an event at the byte where it ends;
    events travel in blocks of ``BLOCK`` tokens, whose ends follow from their start, as a
    token's id says how many bytes it has. Blocks of A and B are rows of one table, and
    every input row has one row before them.
@@ -30,7 +30,6 @@ are read, whatever others are called.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 from cloudframe.llm.chunks import pieces
 from cloudframe.llm.common import let_go, small_batches, table, write_table
 from cloudframe.llm.token_count import byte_letters
+from cloudframe.llm.token_output import Encoder
 
 BLOCK = 16_384
 ENCODE_BYTES = 1 << 20
@@ -51,39 +51,57 @@ HEAD, A, B = 0, 1, 2
 
 
 class Tokenizer:
-    """Ids of texts, and the bytes of each id."""
+    """Ids of space and text, and the bytes of each id."""
 
-    def __init__(self, ids: Callable[[list[str]], list[list[int]]], names: list[bytes]):
+    def __init__(self, ids: Callable[[list[str]], list[np.ndarray]], names: list[bytes]):
         self.ids, self.names = ids, names
         self.lengths = np.array([len(n) for n in names], np.int64)
+        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def encode(self, text: list[str]) -> list[np.ndarray | None]:
+    def said(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens one after the other."""
+        lens = self.lengths[ids]
+        ends = np.cumsum(lens)
+        return self.bytes[np.repeat(self.starts[ids] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
         """The ids of each text, or None where their bytes are not those of space and text."""
-        get = self.names.__getitem__
-        return [np.array(ids, np.uint32) if b"".join(map(get, ids)) == b" " + t.encode() else None for t, ids in zip(text, self.ids(text), strict=True)]
+        if not texts:
+            return []
+        found, raw = self.ids(texts), [b" " + t.encode() for t in texts]
+        sizes = [int(self.lengths[ids].sum()) for ids in found]
+        # all texts at once; one by one only if some text is not met
+        if sizes == list(map(len, raw)) and self.said(np.concatenate(found)) == b"".join(raw):
+            return found
+        return [ids if n == len(t) and self.said(ids) == t else None for ids, n, t in zip(found, sizes, raw, strict=True)]
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """By the file's ending: byte-level BPE (.json), to which a space is put before the text, or pieces (.model), which put one themselves."""
+    """By the file's ending: byte-level BPE (.json), or pieces (.model), which put a space before a text themselves."""
     if path.endswith(".json"):
-        import tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = tokenizers.Tokenizer.from_file(path)
+        encoder = Encoder(path)
+        t = encoder.tokenizer
         t.encode_special_tokens = True
-        t.no_padding()
-        t.no_truncation()
         byte = {c: b for b, c in enumerate(byte_letters())}
         tokens = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         names = [bytes(byte[c] for c in n) if all(c in byte for c in n) else n.encode() for n in tokens]
-        return Tokenizer(lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)], names)
+
+        def ids(texts: list[str]) -> list[np.ndarray]:
+            # a letter is never joined with the space after it: what follows it is encoded as if it stood alone,
+            # and a text that begins with a letter has chunks that are met again
+            flat, counts = encoder.encode(pa.array([f"a {x}" for x in texts], pa.string()))
+            ends = np.cumsum(counts)
+            return [flat[e - n + 1 : e - 1] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+        return Tokenizer(ids, names)
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces_of = [p.id_to_piece(i) for i in range(p.get_piece_size())]
     names = [bytes([int(n[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else n.replace("▁", " ").encode() for i, n in enumerate(pieces_of)]
-    return Tokenizer(lambda texts: p.encode(texts, num_threads=1), names)
+    return Tokenizer(lambda texts: [np.array(ids, np.uint32) for ids in p.encode(texts, num_threads=1)], names)
 
 
 def most_pairs(a: str, b: str) -> int:
