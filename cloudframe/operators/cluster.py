@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.operators.density import Cells
 from cloudframe.operators.filters import pass_through
 from cloudframe.operators.graph import connected_components
 from cloudframe.operators.neighbors import XYZ, Predicate, radius_pairs
@@ -29,20 +30,18 @@ def dbscan(points: DataFrame, eps: float, least: int, dims: Sequence[str] = XYZ,
     * ``first_visit``: noise if the point comes before the first core point of the first
       adjacent cluster, else that cluster.
     """
-    pairs = write_table(radius_pairs(points, eps, dims).select("id", "nid"), "dbscan-pairs")
-    core = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id")
-    core = write_table(core, "dbscan-core")
-    edges = pairs.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "nid"), "nid", "left_semi")
-    parts = connected_components(edges.select(F.col("id").alias("u"), F.col("nid").alias("v")))
-    first = core.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("first"))
-    first = write_table(first, "dbscan-first")
-    near = pairs.join(first.select(F.col("id").alias("nid"), "first"), "nid").join(core, "id", "left_anti")
-    lowest = near.groupBy("id").agg(F.min("first").alias("low"), F.max(F.when(F.col("nid") == F.col("first"), F.col("first"))).alias("seeded"))
+    cells = Cells(eps, dims)
+    placed = write_table(cells.place(points), "density-points")
+    core, sparse = cells.core(placed, least)
+    core = write_table(core, "density-core")
+    first = write_table(core.join(cells.clusters(core), "cell"), "density-first")
+    rest = sparse.join(core.select("id"), "id", "left_anti")
+    lowest = cells.near(rest, first, "first").groupBy("id").agg(F.min("first").alias("low"), F.max(F.when(F.col("nid") == F.col("first"), F.col("first"))).alias("seeded"))
     if border == "overwrite":
         of_border = lowest.select("id", F.when(F.col("seeded") > F.col("low"), F.col("seeded")).otherwise(F.col("low")).alias("first"))
     else:
         of_border = lowest.where(F.col("id") > F.col("low")).select("id", F.col("low").alias("first"))
-    found = first.union(of_border)
+    found = first.select("id", "first").union(of_border)
     return _numbered(points.select("id").join(found, "id", "left"), "first")
 
 
@@ -74,9 +73,14 @@ def euclidean_clusters(points: DataFrame, tolerance: float, least: int = 1, most
 
     ``predicate(a, b, d2)`` is a further condition of two points for being joined.
     """
-    pairs = radius_pairs(points, tolerance, dims, predicate=predicate, keep=keep, by=by)
-    parts = connected_components(pairs.select(F.col("id").alias("u"), F.col("nid").alias("v")))
-    parts = points.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("first"))
+    if predicate is None:
+        cells = Cells(tolerance, dims, by)
+        placed = write_table(cells.place(points), "density-points")
+        parts = placed.join(cells.clusters(placed), "cell").select("id", F.col("first").alias("component"))
+    else:  # a condition on two points needs all pairs
+        pairs = radius_pairs(points, tolerance, dims, predicate=predicate, keep=keep, by=by)
+        parts = connected_components(pairs.select(F.col("id").alias("u"), F.col("nid").alias("v"))).withColumnRenamed("node", "id")
+    parts = points.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("first"))
     sized = parts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     if most is not None:
         sized = sized.where(F.col("n") <= most)

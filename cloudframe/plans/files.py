@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion
 from cloudframe.plans.oracles import ZERO, r, rs
-from cloudframe.sources import packets, text
+from cloudframe.sources import captures, clouds, packets, text
 from cloudframe.sources import tables as t
 from cloudframe.sources.shared import shared_dir
 
@@ -69,11 +69,11 @@ def read_poses_quaternion(spark, sf_dir):
     return _there_and_back(spark, t.poses(spark, sf_dir).withColumns(turn), "poses_quaternion").select(*rounded("t", "x", "y", "z", "qx", "qy", "qz", "qw"))
 
 
-@file_query(f"WITH p AS ({t.SQL['poses']}) SELECT CAST(floor(t) AS BIGINT) AS sec, CAST(round((t - floor(t)) * 1000000) AS BIGINT) AS usec, {r('x', 'tx')}, {r('y', 'ty')}, {ZERO} AS tz FROM p")
+@file_query(f"WITH p AS ({t.SQL['poses']}) SELECT CAST(floor(t) AS BIGINT) AS sec, CAST(round((t - floor(t)) * 1000000) AS BIGINT) AS usec, {r('x', 'tx')}, {r('y', 'ty')}, {ZERO} AS tz, {ZERO} AS qx, {ZERO} AS qy, {r('sin(yaw / 2)', 'qz')}, {r('cos(yaw / 2)', 'qw')} FROM p")
 def read_poses_stamped(spark, sf_dir):
     second = F.floor("t").cast("long")
-    more = {"sec": second, "usec": F.round((F.col("t") - second) * 1_000_000).cast("long"), "tx": F.col("x"), "ty": F.col("y"), "tz": F.col("z"), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.lit(1.0)}
-    return _there_and_back(spark, t.poses(spark, sf_dir).withColumns(more), "poses_stamped").select("sec", "usec", *rounded("tx", "ty", "tz"))
+    more = {"sec": second, "usec": F.round((F.col("t") - second) * 1_000_000).cast("long"), "tx": F.col("x"), "ty": F.col("y"), "tz": F.col("z")} | dict(zip(("qw", "qx", "qy", "qz"), euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("yaw")), strict=True))
+    return _there_and_back(spark, t.poses(spark, sf_dir).withColumns(more), "poses_stamped").select("sec", "usec", *rounded("tx", "ty", "tz", "qx", "qy", "qz", "qw"))
 
 
 @file_query(f"WITH p AS ({t.SQL['scan_times']}) SELECT {rs('t')} FROM p")
@@ -108,3 +108,47 @@ def cloud_files(spark, sf_dir):
     packets.write_clouds(t.frames(spark, sf_dir).withColumn("intensity", F.col("frame_id").cast("double")), path)
     found = packets.read_clouds(spark, path, pattern="*.txt")
     return found.select("id", *rounded("x", "y", "z", "intensity"))
+
+
+@file_query(f"WITH f AS ({t.SQL['frames']}) SELECT CAST(frame_id AS VARCHAR) AS frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY id) - 1 AS id, {rs('x', 'y', 'z')}, {r('id / 4.0', 'intensity')} FROM f")
+def binary_cloud_files(spark, sf_dir):
+    path = _place(spark, "binary-clouds")
+    clouds.write_binary_clouds(t.frames(spark, sf_dir).withColumn("intensity", F.col("id") / 4), path)
+    return clouds.read_binary_clouds(spark, path, split_bytes=4096).select("frame_id", "id", *rounded("x", "y", "z", "intensity"))
+
+
+def _event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), said.alias("payload"))
+
+
+@file_query("SELECT event_id, epoch_us(ts) AS ts_us, strlen(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)) AS length, concat_ws('|', CAST(event_id AS VARCHAR), event_type, props) AS said FROM events")
+def capture_packets(spark, sf_dir):
+    path = _place(spark, "captures")
+    captures.write_captures(_event_packets(spark, sf_dir), path)
+    said = F.col("payload").cast("string")
+    return captures.read_capture_ranges(spark, path, split_bytes=10_000).select(F.split_part(said, F.lit("|"), F.lit(1)).cast("long").alias("event_id"), "ts_us", "length", said.alias("said"))
+
+
+@file_query("SELECT row_number() OVER (ORDER BY ts, concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)) - 1 AS number, event_id FROM events")
+def capture_numbers(spark, sf_dir):
+    """The packets' numbers in one file."""
+    path = _place(spark, "captures")
+    rows = _event_packets(spark, sf_dir).repartition(1)
+    captures.write_captures(rows, path)
+    # of several files each one's packets go on where those of the file before end
+    numbered = captures.with_numbers(captures.read_capture_ranges(spark, path, split_bytes=10_000))
+    sizes = numbered.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row per file
+    return numbered.join(before, "file").select((F.col("number") + F.col("before")).alias("number"), F.split_part(F.col("payload").cast("string"), F.lit("|"), F.lit(1)).cast("long").alias("event_id"))
+
+
+@file_query(f"SELECT event_id // 384 AS packet, CAST(event_id % 384 // 32 AS INTEGER) AS block, CAST(event_id % 32 AS INTEGER) AS laser, {r('event_id // 384 % 360 * 1.0', 'azimuth')}, {r('CAST(floor(value) AS INTEGER) % 60000 * 0.002', 'distance', 4)}, CAST(event_id % 256 AS INTEGER) AS intensity, event_id // 384 AS gps FROM events")
+def scanner_returns(spark, sf_dir):
+    """Values of events as a scanner's returns, 384 a packet, put into captures and decoded again."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    returns = events.select(F.floor(F.col("event_id") / 384).alias("packet"), (F.col("event_id") % 384).cast("int").alias("place"), (F.floor("value") % 60_000).cast("int").alias("raw"), (F.col("event_id") % 256).cast("int").alias("intensity"))
+    path = _place(spark, "captures")
+    captures.write_captures(packets.encode(returns.withColumn("azimuth", (F.col("packet") % 360 * 100).cast("int"))), path)
+    found = packets.decode(captures.with_numbers(captures.read_capture_ranges(spark, path, split_bytes=20_000)))
+    return found.join(events.select(F.col("event_id")), F.col("event_id") == F.col("gps") * 384 + F.col("block") * 32 + F.col("laser"), "left_semi").select(F.col("gps").alias("packet"), "block", "laser", *rounded("azimuth"), *rounded("distance", digits=4), "intensity", "gps")

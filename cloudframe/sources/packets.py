@@ -1,7 +1,8 @@
 """Packet captures and point-cloud files: Spark reads their bytes, Arrow batches decode them.
 
-A capture is one row while it is read, so files have to be smaller than 2 GB; a folder of
-captures is read in parallel, in batch or as a stream.
+Here a file is one row while it is read, so it has to be smaller than 2 GB; a folder is
+read in parallel, in batch or as a stream. Files of any size are read in ranges by
+``captures`` and ``clouds``.
 """
 
 from __future__ import annotations
@@ -85,6 +86,27 @@ def decode(packets: DataFrame) -> DataFrame:
     return packets.mapInArrow(run, RETURN_ROWS)
 
 
+def encode(returns: DataFrame) -> DataFrame:
+    """(ts_us, payload) of (packet, place, raw, intensity, azimuth): the scanner's record of each packet, after a header of zeros. ``place`` is 32 times the block plus the laser, ``raw`` the distance in steps; places without a row are zero."""
+    # a packet has no more places than BLOCKS * RETURNS
+    held = returns.groupBy("packet").agg(F.collect_list(F.struct("place", "raw", "intensity")).alias("returns"), F.max("azimuth").alias("azimuth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.zeros(b.num_rows, _PACKET)
+            raw["blocks"]["id"] = UPPER
+            raw["blocks"]["azimuth"] = b.column(2).to_numpy()[:, None]
+            raw["gps"] = b.column(0).to_numpy()
+            rows = b.column(1).flatten()
+            owner = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+            place, distance, intensity = (rows.field(k).to_numpy() for k in range(3))
+            raw["blocks"]["returns"]["distance"][owner, place // RETURNS, place % RETURNS] = distance
+            raw["blocks"]["returns"]["intensity"][owner, place // RETURNS, place % RETURNS] = intensity
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([bytes(PAYLOAD_AT) + p.tobytes() for p in raw], pa.binary())], names=["ts_us", "payload"])
+
+    return held.select("packet", "returns", "azimuth").mapInArrow(run, "ts_us long, payload binary")
+
+
 def with_frames(returns: DataFrame) -> DataFrame:
     """``returns`` with ``frame``: a new one begins where the azimuth falls back within a file."""
     blocks = returns.groupBy("file", "number", "block").agg(F.first("azimuth").alias("azimuth"))

@@ -292,25 +292,6 @@ def test_moving_target_is_dynamic(spark):
     assert last.track_id == 1 and abs(last.vx - 0.5) < 0.05 and last.dynamic
 
 
-def test_batch_and_stream_agree(spark, tmp_path):
-    from cloudframe.streaming.tracks import track_stream
-
-    rng = np.random.default_rng(2)
-    rows = [(s, f, 100 * s + 10 * f + k, float(k + rng.normal(0, 0.05)), float(s)) for s in (1, 2) for f in range(1, 9) for k in range(3)]
-    schema = "seq_id long, frame long, det_id long, x double, y double"
-    want = sorted(map(tuple, tracking.track(spark.createDataFrame(rows, schema)).collect()))
-    folder = tmp_path / "in"
-    query = None
-    for part in ((1, 4), (5, 8)):
-        spark.createDataFrame([r for r in rows if part[0] <= r[1] <= part[1]], schema).coalesce(1).write.mode("append").parquet(str(folder))
-        if query is None:
-            stream = spark.readStream.schema(schema).parquet(str(folder))
-            query = track_stream(stream).writeStream.format("memory").queryName("tracks").option("checkpointLocation", str(tmp_path / "state")).start()
-        query.processAllAvailable()
-    query.stop()
-    assert sorted(map(tuple, spark.table("tracks").collect())) == want
-
-
 def test_order_of_rows_does_not_matter(spark):
     p = points(spark, scattered(60, 9, 2.0))
     for op in (lambda d: cluster.dbscan(d, 0.8, 4), lambda d: cluster.euclidean_clusters(d, 0.7, 2), lambda d: ransac.planes(d, 0.2, tries=20, least=5)):
