@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.operators.neighbors import XYZ, knn, meet, neighbour_counts
+from cloudframe.operators.nearest import knn
+from cloudframe.operators.neighbors import XYZ, meet, neighbour_counts
 
 
 def without_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,9 +53,9 @@ def range_gate(points: DataFrame, least: float) -> DataFrame:
     return points.where(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) >= least)
 
 
-def statistical_outliers(points: DataFrame, k: int = 60, deviations: float = 1.0, start: float = 1.0) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int = 60, deviations: float = 1.0) -> DataFrame:
     """The points whose mean distance to their k nearest others is within ``deviations`` of the mean over all points."""
-    near = knn(points, k + 1, start).where("id <> nid")
+    near = knn(points, k + 1).where("id <> nid")
     means = near.groupBy("id").agg(F.avg("d").alias("mean_d"))
     limit = means.agg((F.avg("mean_d") + deviations * F.stddev_samp("mean_d")).alias("limit"))  # one row
     return only_ids(points, means.join(F.broadcast(limit)).where("mean_d <= limit"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudframe.operators.cluster import euclidean_clusters
-from cloudframe.operators.neighbors import XYZ, knn
+from cloudframe.operators.nearest import knn
+from cloudframe.operators.neighbors import XYZ
 from cloudframe.operators.voxels import cell, covariance_about
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -45,9 +46,9 @@ def pca_features(points: DataFrame, r: float, least: int = 13, order: str = "des
     return axes.select("id", "n", l1.alias("l1"), l2.alias("l2"), l3.alias("l3"), F.try_divide(s1 - s2, s1).alias("linear"), F.try_divide(s2 - s3, s1).alias("planar"), F.try_divide(s3, s1).alias("scatter"))
 
 
-def normals(points: DataFrame, k: int = 15, start: float = 1.0) -> DataFrame:
+def normals(points: DataFrame, k: int = 15) -> DataFrame:
     """(id, nx, ny, nz, curvature): the least axis of the k nearest points, turned to the origin."""
-    near = knn(points, k, start).select("id", "nid")
+    near = knn(points, k).select("id", "nid")
     moved = near.join(points.select(F.col("id").alias("nid"), *XYZ), "nid")
     pairs = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
     means = moved.groupBy("id").agg(*[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
-from cloudframe.operators import cluster, filters, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
+from cloudframe.operators import cluster, filters, nearest, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
 from cloudframe.plans import files, oracles, programs
 from cloudframe.sources import tables as t
 
@@ -185,7 +185,7 @@ def semi_join_indices(spark, sf_dir):
 
 @query
 def statistical_outlier(spark, sf_dir):
-    return filters.statistical_outliers(t.points_small(spark, sf_dir), 8).select("id")
+    return filters.statistical_outliers(t.points_small(spark, sf_dir)).select("id")
 
 
 @query
@@ -219,7 +219,7 @@ def radius_neighbor_counts(spark, sf_dir):
 
 @query
 def knn(spark, sf_dir):
-    return neighbors.knn(t.points_small(spark, sf_dir), 6, 1.0).select("id", "nid", "rank", *r6("d"))
+    return nearest.knn(t.points_small(spark, sf_dir), 6).select("id", "nid", "rank", *r6("d"))
 
 
 @query

@@ -78,7 +78,7 @@ put("near_points", "points_small", "SELECT id FROM points_small WHERE sqrt(x * x
 put("anti_join_indices", "points_small", "SELECT id FROM points_small WHERE NOT intensity < 3")
 put("semi_join_indices", "points_small", "SELECT id FROM points_small WHERE intensity < 3")
 RANKED = f"ranked AS (SELECT a.id, b.id AS nid, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS rank FROM points_small a CROSS JOIN points_small b)"
-put("statistical_outlier", "points_small", "SELECT id FROM means WHERE d <= (SELECT avg(d) + stddev_samp(d) FROM means)", RANKED, "means AS (SELECT id, avg(sqrt(d2)) AS d FROM ranked WHERE rank <= 9 AND id <> nid GROUP BY 1)")
+put("statistical_outlier", "points_small", "SELECT id FROM means WHERE d <= (SELECT avg(d) + stddev_samp(d) FROM means)", RANKED, "means AS (SELECT id, avg(sqrt(d2)) AS d FROM ranked WHERE rank <= 61 AND id <> nid GROUP BY 1)")
 put("radius_outlier", "points_small", "SELECT id, count(*) - 1 AS n FROM pairs GROUP BY 1 HAVING count(*) - 1 >= 5", pairs(0.8))
 steps, last = [], "points_small"
 for k, (half, most) in enumerate(((1.0, 1.0), (2.0, 2.0))):

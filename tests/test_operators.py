@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
-from cloudframe.operators import cluster, filters, neighbors, ransac, ring, shape, splines, tracking, trajectory, voxels
+from cloudframe.operators import cluster, filters, nearest, neighbors, ransac, ring, shape, splines, tracking, trajectory, voxels
 
 
 def points(spark, rows):
@@ -55,7 +55,7 @@ def test_grid_join_is_the_plain_join(spark, r, seed):
 def test_knn_with_ties(spark):
     p = np.round(scattered(80, 4, 2.0))
     got = {}
-    for row in neighbors.knn(points(spark, p), 5, 0.4).collect():
+    for row in nearest.knn(points(spark, p), 5).collect():
         got.setdefault(row.id, []).append((row["rank"], row.nid))
     d = ((p[:, None] - p[None]) ** 2).sum(-1)
     for i in range(len(p)):
