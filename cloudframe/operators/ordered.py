@@ -28,6 +28,53 @@ def numbered(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return both.select(*rows.columns, (F.col("__before") + F.col("__i")).cast("long").alias("i"), "n")
 
 
+def _ranged(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` dealt to tasks by ranges of (by, order) and written, with the number of their range. Only one sequence of a range can have begun before it."""
+    return write_table(rows.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def beside(rows: DataFrame, by: str, order: Sequence[str], fields: Sequence[str], before: int = 0, after: int = 0) -> DataFrame:
+    """``rows`` with the fields of the rows before and after them in their sequence: <field>_m1, <field>_m2, ... and <field>_p1, <field>_p2, ...; null beyond its ends.
+
+    Ranges look at their own rows. What lies beyond their borders comes from a table of the
+    first and last rows of each range in sequences that cross a border, no more than four
+    times ``before`` + ``after`` for a range, whatever the input; so no sequence is one task's work.
+    """
+    most = max(before, after)
+    own = Window.partitionBy("__part", by)
+    # rows that tie have an order of their own, the same in each use
+    placed = _ranged(rows.withColumn("__tie", F.xxhash64(*rows.columns)), by, [*order, "__tie"])
+    up = own.orderBy(*order, "__tie")
+    point = F.struct(*fields)
+    steps = [("m", k, F.lag) for k in range(1, before + 1)] + [("p", k, F.lead) for k in range(1, after + 1)]
+    counted = placed.withColumns({"__n": F.row_number().over(up), "__all": F.count(F.lit(1)).over(own)})
+    inner = counted.withColumns({f"__{m}{k}": f(point, k).over(up) for m, k, f in steps})
+    # sequences of more than one range: at most two of them touch a range
+    crossing = placed.groupBy(by).agg(F.min("__part").alias("__a"), F.max("__part").alias("__b")).where("__a < __b").select(by)
+    edges = counted.where((F.col("__n") <= most) | (F.col("__n") > F.col("__all") - most)).join(F.broadcast(crossing), by, "left_semi")
+    along = Window.partitionBy(by).orderBy("__part", "__n")
+    outer = edges.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), F.col("__n").alias("__i"), *[f(point, k).over(along).alias(f"__o{m}{k}") for m, k, f in steps])
+    both = inner.join(F.broadcast(outer), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__at")) & (F.col("__n") == F.col("__i")), "left")
+    found = {f"{m}{k}": F.when(F.col("__n") <= k, F.col(f"__om{k}")).otherwise(F.col(f"__m{k}")) if m == "m" else F.when(F.col("__n") > F.col("__all") - k, F.col(f"__op{k}")).otherwise(F.col(f"__p{k}")) for m, k, _ in steps}
+    return both.select(*rows.columns, *[x[c].alias(f"{c}_{name}") for name, x in found.items() for c in fields])
+
+
+def latest(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with the last value so far in their sequence that is not null, their own included, in place of ``value``.
+
+    Each range is gone through on its own; what comes from the ranges before is one row a
+    range at most.
+    """
+    placed = _ranged(rows, by, order)
+    so_far = Window.partitionBy("__part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = placed.groupBy(by, "__part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
+    ranges = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    come = ends.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), F.last("__end", ignorenulls=True).over(ranges).alias("__come")).where("__come is not null")
+    inner = placed.withColumn("__own", F.last(value, ignorenulls=True).over(so_far))
+    both = inner.join(F.broadcast(come), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__at")), "left")
+    return both.select(*[c for c in rows.columns if c != value], F.coalesce("__own", "__come").alias(value))
+
+
 def in_blocks(rows: DataFrame, by: str, order: Sequence[str], closed: bool = False, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """``rows`` numbered and dealt to blocks of their sequence: i, n, block and own; a block also has ``halo`` rows (own false) of each neighbour.
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
 from cloudframe.operators import rigid
-from cloudframe.operators.ordered import carried
+from cloudframe.operators.ordered import beside, carried
 from cloudframe.operators.trajectory import XYZ, bracket
 
 TURN = ("qw", "qx", "qy", "qz")
@@ -73,13 +73,14 @@ def interpolate_motions(poses: DataFrame, times: DataFrame) -> DataFrame:
 
 def turn_slopes(knots: DataFrame, by: str = "traj_id", time: str = "t") -> DataFrame:
     """``knots`` with turns and their angular velocity about the fixed axes, wx, wy, wz: between the knots before and after, 0 at both ends."""
-    order = Window.partitionBy(by).orderBy(time)
-    rows, after = _laid(with_turns(knots), "after", [F.lead(c).over(order) for c in TURN]) if "qw" not in knots.columns else _laid(knots, "after", [F.lead(c).over(order) for c in TURN])
-    rows, before = _laid(rows, "before", [F.lag(c).over(order) for c in TURN])
-    rows = rows.withColumn("__dt", F.lead(time).over(order) - F.lag(time).over(order))
+    turned = knots if "qw" in knots.columns else with_turns(knots)
+    rows = beside(turned, by, [time], [time, *TURN], before=1, after=1)
+    rows, after = _laid(rows, "after", [F.col(f"{c}_p1") for c in TURN])
+    rows, before = _laid(rows, "before", [F.col(f"{c}_m1") for c in TURN])
+    rows = rows.withColumn("__dt", F.col(f"{time}_p1") - F.col(f"{time}_m1"))
     rows, step = _laid(rows, "step", multiply_quaternions(after, inverse(before)))
     rows = rows.withColumns({f"w{c}": F.coalesce(F.try_divide(v, F.col("__dt")), F.lit(0.0)) for c, v in zip("xyz", logarithm(step), strict=True)})
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return rows.select(*turned.columns, "wx", "wy", "wz")
 
 
 def hermite_turns(knots: DataFrame, times: DataFrame) -> DataFrame:
@@ -136,10 +137,10 @@ def bspline_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float
 
     The spline's place is offset / span, from the second pose of its window to the third.
     """
-    order = Window.partitionBy("traj_id").orderBy("t")
     fields = (*XYZ, *TURN)
-    near = [F.lag(c, 1 - k).over(order).alias(f"{c}_{k}") for k in range(4) for c in (*fields, "t")]
-    rows = with_turns(poses).select("traj_id", "t", *near).where("t_0 is not null and t_3 is not null")
+    near = beside(with_turns(poses).select("traj_id", "t", *fields), "traj_id", ["t"], ["t", *fields], before=1, after=2)
+    places = {0: "_m1", 1: "", 2: "_p1", 3: "_p2"}
+    rows = near.where("t_m1 is not null and t_p2 is not null").select("traj_id", "t", *[F.col(f"{c}{name}").alias(f"{c}_{k}") for k, name in places.items() for c in fields])
     rows = rows.withColumn("__offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
     rows, basis = _laid(rows, "basis", spline_basis(F.col("__offset") / span))
     turns = [[F.col(f"{c}_{k}") for c in TURN] for k in range(4)]

@@ -10,34 +10,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
-from cloudframe.operators.ordered import BLOCK, HALO, in_blocks, solve_tridiagonal
+from cloudframe.operators.ordered import BLOCK, HALO, beside, in_blocks, latest, solve_tridiagonal
 
 XYZ = ("x", "y", "z")
 
 
 def segments(knots: DataFrame, fields: Sequence[str], by: str = "traj_id", time: str = "t") -> DataFrame:
     """Consecutive knots as rows: ``by``, t0, t1, <field>0, <field>1."""
-    order = Window.partitionBy(by).orderBy(time)
-    after = {c: F.lead(c).over(order) for c in (time, *fields)}
-    rows = knots.select(by, F.col(time).alias("t0"), after[time].alias("t1"), *[x for c in fields for x in (F.col(c).alias(f"{c}0"), after[c].alias(f"{c}1"))])
-    return rows.where("t1 is not null")
+    fields = list(dict.fromkeys(fields))
+    rows = beside(knots.select(by, time, *[c for c in fields if c != time]), by, [time], [time, *[c for c in fields if c != time]], after=1)
+    return rows.select(by, F.col(time).alias("t0"), F.col(f"{time}_p1").alias("t1"), *[x for c in fields for x in (F.col(c).alias(f"{c}0"), F.col(f"{c}_p1").alias(f"{c}1"))]).where("t1 is not null")
 
 
 def bracket(knots: DataFrame, times: DataFrame, fields: Sequence[str], by: str = "traj_id", time: str = "t", closed: bool = True) -> DataFrame:
     """Each time with the segment [t0, t1) that holds it; the last segment holds its end too if ``closed``. Times outside are left out.
 
-    Segments and times are merged in one sort of each trajectory, so no time is compared
-    with segments that do not hold it.
+    Segments and times are merged in one order of (trajectory, time), which is dealt to
+    tasks by ranges; each time takes the last segment that has begun, so it is compared with
+    no other, and a long trajectory is spread over many tasks.
     """
     own = segments(knots, fields, by, time)
-    last = F.max("t0").over(Window.partitionBy(by))
-    own = own.withColumn("is_last", F.col("t0") == last)
-    names = [c for c in own.columns if c != by]
-    merged = own.select(by, F.col("t0").alias("__t"), F.lit(0).alias("__kind"), F.struct(*names).alias("__s")).unionByName(times.select(by, F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(own.select(F.struct(*names)).schema[0].dataType).alias("__s")))
-    order = Window.partitionBy(by).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = merged.withColumn("s", F.last("__s", ignorenulls=True).over(order)).where("__kind = 1 and s is not null")
+    last = own.groupBy(by).agg(F.max("t0").alias("__last"))
+    names = own.columns[1:]
+    held = own.select(by, F.col("t0").alias("__t"), F.lit(0).alias("__kind"), F.struct(*names).alias("s"))
+    asked = times.select(by, F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(held.schema["s"].dataType).alias("s"))
+    merged = latest(held.unionByName(asked), by, ["__t", "__kind"], "s").where("__kind = 1 and s is not null")
+    held = merged.join(last, by).withColumn("is_last", F.col("s.t0") == F.col("__last"))
     inside = (F.col("t") < F.col("t1")) | (F.lit(closed) & F.col("is_last") & (F.col("t") == F.col("t1")))
-    return held.select(by, F.col("__t").alias("t"), "s.*").where(inside).drop("is_last").withColumn("alpha", F.try_divide(F.col("t") - F.col("t0"), F.col("t1") - F.col("t0")))
+    return held.select(by, F.col("__t").alias("t"), "s.*", "is_last").where(inside).drop("is_last").withColumn("alpha", F.try_divide(F.col("t") - F.col("t0"), F.col("t1") - F.col("t0")))
 
 
 def interpolate(poses: DataFrame, times: DataFrame, rotation: bool = False) -> DataFrame:
@@ -66,19 +66,25 @@ def slopes(knots: DataFrame, fields: Sequence[str] = XYZ, by: str = "traj_id", t
     ``periodic`` that between the last knot but one and the second, the last knot being
     the first one again. A single knot has slope 0.
     """
-    order = Window.partitionBy(by).orderBy(time)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dt = F.lead(time).over(order) - F.lag(time).over(order)
+    own = [time, *[c for c in fields if c != time]]
+    rows = beside(knots, by, [time], own, before=1, after=1)
+    before, after = (lambda c: F.col(f"{c}_m1")), (lambda c: F.col(f"{c}_p1"))
+    dt = after(time) - before(time)
+    if periodic:
+        # the second knot and the last but one of each sequence: those beside its ends
+        first, last = (F.min_by(F.struct(*[side(c).alias(c) for c in own], F.col(time).alias("end")), F.when(other(time).isNull(), F.col(time))) for side, other in ((after, before), (before, after)))
+        ends_of = rows.groupBy(by).agg(first.alias("__second"), last.alias("__before"))
+        rows = rows.join(ends_of, by)
+        second, second_last = F.col("__second"), F.col("__before")
+        round_trip = second_last["end"] - second_last[time] + second[time] - second["end"]
 
     def at_end(c: str) -> Column:
-        first, last = (ends or {}).get(c, (0.0, 0.0))
-        if not periodic:
-            return F.when(F.lag(time).over(order).isNull(), F.lit(float(first))).otherwise(F.lit(float(last)))
-        second, before = (lambda x, n: F.nth_value(x, n).over(whole)), (lambda x: F.nth_value(x, 2).over(Window.partitionBy(by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        round_trip = F.last(time).over(whole) - before(time) + second(time, 2) - F.first(time).over(whole)
-        return F.coalesce(F.try_divide(second(c, 2) - before(c), round_trip), F.lit(0.0))
+        if periodic:
+            return F.coalesce(F.try_divide(second[c] - second_last[c], round_trip), F.lit(0.0))
+        start, stop = (ends or {}).get(c, (0.0, 0.0))
+        return F.when(before(time).isNull(), F.lit(float(start))).otherwise(F.lit(float(stop)))
 
-    return knots.withColumns({f"v{c}": F.coalesce(F.try_divide(F.lead(c).over(order) - F.lag(c).over(order), dt), at_end(c)) for c in fields})
+    return rows.select(*knots.columns, *[F.coalesce(F.try_divide(after(c) - before(c), dt), at_end(c)).alias(f"v{c}") for c in fields])
 
 
 def sample_times(knots: DataFrame, number: int, by: str = "traj_id", time: str = "t") -> DataFrame:
@@ -113,9 +119,9 @@ def cumulative_bspline(poses: DataFrame, span: float = 0.4, fields: Sequence[str
     A span is the time from one pose to the next: the spline's place is offset / span, from
     the second pose of its window to the third.
     """
-    order = Window.partitionBy("traj_id").orderBy("t")
-    near = {k: {c: F.lag(c, -k).over(order) for c in (*fields, "t")} for k in (-1, 1, 2)}
-    rows = poses.select("traj_id", "t", *[F.col(c).alias(f"{c}_1") for c in fields], *[near[k][c].alias(f"{c}_{k + 1}") for k in near for c in (*fields, "t")]).where("t_0 is not null and t_3 is not null")
+    near = beside(poses.select("traj_id", "t", *fields), "traj_id", ["t"], ["t", *fields], before=1, after=2)
+    places = {0: "_m1", 1: "", 2: "_p1", 3: "_p2"}
+    rows = near.where("t_m1 is not null and t_p2 is not null").select("traj_id", "t", *[F.col(f"{c}{name}").alias(f"{c}_{k}") for k, name in places.items() for c in fields])
     at = rows.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
     b = spline_basis(F.col("offset") / span)
     value = lambda c: F.col(f"{c}_0") + sum((b[i] * (F.col(f"{c}_{i}") - F.col(f"{c}_{i - 1}")) for i in (2, 3)), b[1] * (F.col(f"{c}_1") - F.col(f"{c}_0")))

@@ -124,3 +124,91 @@ def test_motions_of_rows_and_of_columns_agree(spark, screw):
     for r in rotations.smooth_motions(turned, 1.0, (0.0, 0.4)).where("t between 1.9 and 2.5").collect():
         w = want[r.traj_id, round(r.t, 3)]
         assert np.allclose((r.x, r.y, r.z), (w.x, w.y, w.z)) and np.isclose(abs(r.qw * w.qw + r.qx * w.qx + r.qy * w.qy + r.qz * w.qz), 1)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """As many ranges as there would be of large tables."""
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.fixture
+def sequences(spark):
+    """A sequence over many ranges, one of two rows, some of one row, and one without a name."""
+    rng = np.random.default_rng(3)
+    sizes = {1: 400, 2: 2, 3: 1, 4: 30, 5: 1, None: 12}
+    rows = [(k, float(t), float(rng.integers(100)), None if rng.random() < 0.7 else float(t)) for k, n in sizes.items() for t in rng.permutation(n)]
+    rng.shuffle(rows)
+    return spark.createDataFrame([(None if r[0] is None else int(r[0]), float(r[1]), float(r[2]), None if r[3] is None else float(r[3])) for r in rows], "k long, t double, v double, seen double")
+
+
+def of_sequences(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.k is None, r.k or 0, r.t)):
+        out.setdefault(r.k, []).append(r)
+    return out
+
+
+def test_rows_beside_cross_ranges(spark, many_ranges, sequences):
+    rows = ordered.beside(sequences, "k", ["t"], ["t", "v"], before=2, after=2)
+    assert ordered._ranged(sequences, "k", ["t"]).where("k = 1").select("__part").distinct().count() > 2
+    got = of_sequences(rows.collect())
+    assert sum(map(len, got.values())) == sequences.count()
+    for own in of_sequences(sequences.collect()).values():
+        for i, r in enumerate(got[own[0].k]):
+            assert (r.t, r.v) == (own[i].t, own[i].v)
+            for name, j in (("m1", i - 1), ("m2", i - 2), ("p1", i + 1), ("p2", i + 2)):
+                want = (own[j].t, own[j].v) if 0 <= j < len(own) else (None, None)
+                assert (r[f"t_{name}"], r[f"v_{name}"]) == want
+
+
+def test_latest_values_cross_ranges(spark, many_ranges, sequences):
+    sparse = sequences.withColumn("seen", F.when((F.col("k") == 1) & (F.col("t") > 20), None).otherwise(F.col("seen")))
+    got = of_sequences(ordered.latest(sparse, "k", ["t"], "seen").collect())
+    for own in of_sequences(sparse.collect()).values():
+        last = None
+        for r, mine in zip(got[own[0].k], own, strict=True):
+            last = mine.seen if mine.seen is not None else last
+            assert r.seen == last
+
+
+def test_times_meet_segments_over_many_ranges(spark, many_ranges, sequences):
+    """Times at knots, between them, before the first, at the last one and after it."""
+    knots = sequences.where("k is not null").select(F.col("k").alias("traj_id"), "t", F.col("v").alias("x"))
+    times = spark.createDataFrame([(k, t) for k in (1, 2, 3, 4, 9) for t in (-1.0, 0.0, 0.5, 1.0, 7.25, 28.5, 29.0, 29.5, 200.0, 398.9, 399.0, 400.0)], "traj_id long, t double")
+    own = {r.traj_id: [] for r in knots.collect()}
+    for r in sorted(knots.collect()):
+        own[r.traj_id].append((r.t, r.x))
+    for closed in (True, False):
+        want = set()
+        for r in times.collect():
+            p = own.get(r.traj_id, [])
+            for (t0, x0), (t1, x1) in zip(p, p[1:], strict=False):
+                if t0 <= r.t < t1 or closed and r.t == t1 == p[-1][0]:
+                    want.add((r.traj_id, r.t, t0, t1, x0, x1))
+        assert {(r.traj_id, r.t, r.t0, r.t1, r.x0, r.x1) for r in trajectory.bracket(knots, times, ["x"], closed=closed).collect()} == want
+
+
+def test_slopes_over_many_ranges(spark, many_ranges, sequences):
+    knots = sequences.where("k is not null").select(F.col("k").alias("traj_id"), "t", F.col("v").alias("x"))
+    own = {}
+    for r in sorted(knots.collect()):
+        own.setdefault(r.traj_id, []).append((r.t, r.x))
+    for periodic in (False, True):
+        for r in trajectory.slopes(knots, ("x",), periodic=periodic, ends={"x": (2.0, -3.0)}).collect():
+            p = own[r.traj_id]
+            i = [t for t, _ in p].index(r.t)
+            if 0 < i < len(p) - 1:
+                want = (p[i + 1][1] - p[i - 1][1]) / (p[i + 1][0] - p[i - 1][0])
+            elif periodic:
+                span = p[-1][0] - p[-2][0] + p[1][0] - p[0][0] if len(p) > 1 else 0
+                want = (p[1][1] - p[-2][1]) / span if span else 0.0
+            else:
+                want = 2.0 if i == 0 else -3.0
+            assert np.isclose(r.vx, want), (periodic, r)
