@@ -202,3 +202,68 @@ def smooth_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float]
     turned = poses if "qw" in poses.columns else with_turns(poses)
     rows = turned.select("traj_id", *[F.col(c).cast("double").alias(c) for c in ("t", *fields)])
     return carried(rows, "traj_id", ("t", *fields), lambda traj: _Smoothing(traj, span, offsets, first), ", ".join(["traj_id long", "t double", "sample long", *(f"{c} double" for c in fields)]))
+
+
+class _Sampling:
+    """The curve as far as it may still change: the last two kept knots and the provisional one after them."""
+
+    def __init__(self, traj: int, least: int, period: float):
+        self.traj, self.least, self.period = traj, least, period
+        self.measured, self.extended = 0, 0.0
+        self.before: tuple | None = None  # (t, motion) of the last kept knot but one
+        self.last: list | None = None  # t, motion, slope of the last kept knot
+        self.tail: tuple | None = None
+
+    @staticmethod
+    def slope(a: tuple, b: tuple) -> tuple:
+        """Velocity and angular velocity about the fixed axes from one (t, motion) to another."""
+        dt = b[0] - a[0]
+        turn = rigid.multiply(b[1][0], rigid.inverse((a[1][0], (0.0, 0.0, 0.0)))[0])
+        w = rigid.logarithm((turn, (0.0, 0.0, 0.0)))[1]
+        return tuple((y - x) / dt for x, y in zip(a[1][1], b[1][1], strict=True)) + tuple(x / dt for x in w)
+
+    def _row(self, knot: Sequence, provisional: bool) -> tuple:
+        t, motion, slope = knot
+        return self.traj, t, *motion[1], *motion[0], *slope, provisional
+
+    def step(self, row: list[float]) -> list[tuple]:
+        t, *rest = row
+        new = (t, (tuple(rest[3:]), tuple(rest[:3])))
+        newest = self.tail[0] if self.tail else self.last[0] if self.last else None
+        if newest is not None and not t > newest:
+            return []  # time has to increase
+        if self.last is None:
+            self.last, self.extended = [*new, (0.0,) * 6], t
+            return []
+        if self.measured >= self.least and self.extended + self.period < t:
+            # the provisional knot goes, the new one stays, and the one before it gets its slope for good
+            slope = self.slope(self.last[:2], new)
+            self.last[2] = slope if self.before is None else self.slope(self.before, new)
+            done = self._row(self.last, False)
+            self.before, self.last, self.tail = tuple(self.last[:2]), [*new, slope], None
+            self.measured, self.extended = 0, t
+            return [done]
+        slope = self.last[2] if self.measured == 0 else self.slope(self.last[:2], new)
+        self.tail = (*new, slope)
+        self.measured += 1
+        return []
+
+    def end(self) -> list[tuple]:
+        return ([self._row(self.last, False)] if self.last else []) + ([self._row(self.tail, True)] if self.tail else [])
+
+
+def sample_hermite(poses: DataFrame, least: int = 4, period: float = 0.0) -> DataFrame:
+    """(traj_id, t, x, y, z, qw..qz, vx, vy, vz, wx, wy, wz, provisional): the knots of a Hermite curve extended pose by pose.
+
+    A pose becomes a knot that stays when ``least`` poses have come since the last such
+    knot and more than ``period`` has passed; until then the newest pose is a provisional
+    knot that the next one replaces. A kept knot's slope spans the knot before it and the
+    next one kept; the first one's goes to the second. The first provisional knot takes the
+    slope of the knot before it, each later one that from there to itself. Poses that are
+    not later than the newest are left out. A task reads a trajectory in batches.
+    """
+    fields = (*XYZ, *TURN)
+    turned = poses if "qw" in poses.columns else with_turns(poses)
+    rows = turned.select("traj_id", *[F.col(c).cast("double").alias(c) for c in ("t", *fields)])
+    names = ["traj_id long", *(f"{c} double" for c in ("t", *fields, "vx", "vy", "vz", "wx", "wy", "wz")), "provisional boolean"]
+    return carried(rows, "traj_id", ("t", *fields), lambda traj: _Sampling(traj, least, period), ", ".join(names))

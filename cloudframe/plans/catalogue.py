@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
-from cloudframe.operators import cluster, filters, nearest, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
+from cloudframe.operators import cluster, filters, growing, nearest, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
 from cloudframe.plans import files, oracles, programs
 from cloudframe.sources import tables as t
 
@@ -682,3 +682,14 @@ def scan_features(spark, sf_dir):
 @query
 def thinned_clusters(spark, sf_dir):
     return programs.thinned_clusters(t.points_small(spark, sf_dir), 0.3, 0.7).select("id", "cluster", *r6("x", "y", "z"))
+
+
+@query
+def region_grow_seeded(spark, sf_dir):
+    return growing.grow_from_seeds(t.points_small(spark, sf_dir), k=12, k_normals=10, most_degrees=25.0, most_curvature=0.12, least=3)
+
+
+@query
+def hermite_sampling(spark, sf_dir):
+    found = rotations.sample_hermite(t.poses(spark, sf_dir), 4, 30_000.0)
+    return found.select("traj_id", *r6("t", "x", "y"), *aside("vx", "vy"), *[(F.round(F.col("wz") + 1e-12, 9) + 0.0).alias("wz")], "provisional")

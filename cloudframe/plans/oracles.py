@@ -356,3 +356,31 @@ LATER = f"later AS (SELECT *, (u*u*u - 3*u*u + 3*u + 5) / 6 AS b1, (-2*u*u*u + 3
 put("recursive_smoothing", "poses", f"SELECT traj_id, CAST(0 AS BIGINT) AS sample, {rs('t')}, {r('x + 1e-9', 'x')}, {r('y + 1e-9', 'y')}, {ZERO} AS z, {QUATERNION('yaw')} FROM smoothed UNION ALL SELECT traj_id, i, {r('t + 400 * u', 't')}, {r('f3x + 1e-9', 'x')}, {r('f3y + 1e-9', 'y')}, {ZERO} AS z, {QUATERNION('f3yaw')} FROM ({WHOLE('SELECT * FROM later')})", ORDERED, GOING, SMOOTHED, LATER)
 PLACED = "placed AS (SELECT traj_id, t, " + ", ".join(f"{c}0 + a * ({c}1 - {c}0) AS {c}" for c in PLANE) + " FROM held)"
 put("interpolated_map", "poses scan_times", f"SELECT traj_id, {rs('t')}, {r('x + cos(yaw) - 2 * sin(yaw)', 'x')}, {r('y + sin(yaw) + 2 * cos(yaw)', 'y')}, CAST(3 AS DOUBLE) AS z FROM placed", ORDERED, GOING, SMOOTHED, segments("x y yaw", "smoothed"), OPEN, PLACED)
+
+# the sampling policy: m poses since the last kept knot (l), at time e; p is the kept knot before it, n the provisional one; g is what became final
+ALIKE = ("x", "y", "yaw")
+LIST = lambda form: ", ".join(form.format(c=c) for c in ALIKE)
+TIMED = f"timed AS (SELECT traj_id, t, {LIST('{c}')}, row_number() OVER w AS k FROM (SELECT traj_id, t, {LIST('arg_min({c}, (x, y, yaw)) AS {c}')} FROM poses GROUP BY 1, 2) {WINDOW})"
+KEPT = "m >= 4 AND e + 30000 < o.t"
+OVER = lambda a, c: f"(o.{c} - {a}{c}) / (o.t - {a}t)"
+FIRST = f"SELECT traj_id, k, 0 AS m, t AS e, NULL::DOUBLE AS pt, {LIST('NULL::DOUBLE AS p{c}')}, t AS lt, {LIST('{c} AS l{c}')}, {LIST('CAST(0 AS DOUBLE) AS d{c}')}, NULL::DOUBLE AS nt, {LIST('NULL::DOUBLE AS n{c}')}, {LIST('NULL::DOUBLE AS f{c}')}, NULL::DOUBLE AS gt, {LIST('NULL::DOUBLE AS g{c}')}, {LIST('NULL::DOUBLE AS h{c}')} FROM timed WHERE k = 1"
+NEXT = (
+    f"SELECT o.traj_id, o.k, CASE WHEN {KEPT} THEN 0 ELSE m + 1 END, CASE WHEN {KEPT} THEN o.t ELSE e END, CASE WHEN {KEPT} THEN lt ELSE pt END, "
+    + ", ".join(f"CASE WHEN {KEPT} THEN l{c} ELSE p{c} END" for c in ALIKE)
+    + f", CASE WHEN {KEPT} THEN o.t ELSE lt END, "
+    + ", ".join(f"CASE WHEN {KEPT} THEN o.{c} ELSE l{c} END" for c in ALIKE)
+    + ", "
+    + ", ".join(f"CASE WHEN {KEPT} THEN {OVER('l', c)} ELSE d{c} END" for c in ALIKE)
+    + f", CASE WHEN {KEPT} THEN NULL ELSE o.t END, "
+    + ", ".join(f"CASE WHEN {KEPT} THEN NULL ELSE o.{c} END" for c in ALIKE)
+    + ", "
+    + ", ".join(f"CASE WHEN {KEPT} THEN NULL WHEN m = 0 THEN d{c} ELSE {OVER('l', c)} END" for c in ALIKE)
+    + f", CASE WHEN {KEPT} THEN lt END, "
+    + ", ".join(f"CASE WHEN {KEPT} THEN l{c} END" for c in ALIKE)
+    + ", "
+    + ", ".join(f"CASE WHEN {KEPT} THEN CASE WHEN pt IS NULL THEN {OVER('l', c)} ELSE {OVER('p', c)} END END" for c in ALIKE)
+    + " FROM kept s JOIN timed o ON o.traj_id = s.traj_id AND o.k = s.k + 1"
+)
+ROW = lambda a, d, flag: f"SELECT traj_id, {r(a + 't', 't')}, {r(a + 'x', 'x')}, {r(a + 'y', 'y')}, {r(d + 'x + 1e-9', 'vx')}, {r(d + 'y + 1e-9', 'vy')}, {r(d + 'yaw + 1e-12', 'wz', 9)}, {flag} AS provisional"
+ENDED = "(SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY k DESC) = 1)"
+put("hermite_sampling", "poses", f"{ROW('g', 'h', 'false')} FROM kept WHERE gt IS NOT NULL UNION ALL {ROW('l', 'd', 'false')} FROM {ENDED} UNION ALL {ROW('n', 'f', 'true')} FROM {ENDED} WHERE nt IS NOT NULL", TIMED, f"kept AS ({FIRST} UNION ALL {NEXT})")
