@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
 from cloudframe.operators import rigid
 from cloudframe.operators.ordered import beside, carried
-from cloudframe.operators.trajectory import XYZ, bracket
+from cloudframe.operators.trajectory import XYZ, bracket, hermite, slopes, upsert_knots
 
 TURN = ("qw", "qx", "qy", "qz")
 Vector = Sequence[Column]
@@ -63,9 +63,9 @@ def with_turns(poses: DataFrame) -> DataFrame:
     return poses.withColumns(dict(zip(TURN, euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("yaw")), strict=True)))
 
 
-def interpolate_motions(poses: DataFrame, times: DataFrame) -> DataFrame:
-    """(traj_id, t, x, y, z, qw, qx, qy, qz) of poses with turns at each time within its trajectory: places on the line, turns by the shorter way."""
-    at = bracket(poses, times, [*XYZ, *TURN], closed=False)
+def interpolate_motions(poses: DataFrame, times: DataFrame, closed: bool = False) -> DataFrame:
+    """(traj_id, t, x, y, z, qw, qx, qy, qz) of poses with turns at each time within its trajectory, its end too if ``closed``: places on the line, turns by the shorter way."""
+    at = bracket(poses, times, [*XYZ, *TURN], closed=closed)
     place = [(F.col(f"{c}0") + F.col("alpha") * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c) for c in XYZ]
     rows, turn = _laid(at, "turn", slerp([F.col(f"{c}0") for c in TURN], [F.col(f"{c}1") for c in TURN], F.col("alpha")))
     return rows.select("traj_id", "t", *place, *[q.alias(n) for q, n in zip(turn, TURN, strict=True)])
@@ -204,6 +204,61 @@ def smooth_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float]
     return carried(rows, "traj_id", ("t", *fields), lambda traj: _Smoothing(traj, span, offsets, first), ", ".join(["traj_id long", "t double", "sample long", *(f"{c} double" for c in fields)]))
 
 
+def curve_evaluation(knots: DataFrame, times: DataFrame) -> DataFrame:
+    """(traj_id, t, px..pz, rw..rz, vx..vz, wx..wz): places, turns and velocities of the Hermite curve through poses at given times, ends included."""
+    whole = turn_slopes(slopes(with_turns(knots) if "qw" not in knots.columns else knots))
+    names = lambda df, by: df.select("traj_id", "t", *[F.col(a).alias(b) for a, b in by])
+    places = names(hermite(whole, times), [(c, f"p{c}") for c in XYZ])
+    speeds = names(hermite(whole, times, derivative=1), [(c, f"v{c}") for c in XYZ])
+    turns = names(hermite_turns(whole, times), [*[(c, f"r{c[1]}") for c in TURN], *[(f"w{c}", f"w{c}") for c in XYZ]])
+    both = places.join(turns, ["traj_id", "t"]).join(speeds, ["traj_id", "t"])
+    return both.select("traj_id", "t", "px", "py", "pz", "rw", "rx", "ry", "rz", "vx", "vy", "vz", "wx", "wy", "wz")
+
+
+STAND = dict(zip((*XYZ, *TURN), (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), strict=True))
+
+
+def _composed(correction: DataFrame, knots: DataFrame, undo: bool) -> DataFrame:
+    """Knots (traj_id, t, x..qz) multiplied from the left by the correction at their times, or by its inverse if ``undo``; those where there is no correction stay."""
+    at = interpolate_motions(correction, knots.select("traj_id", "t").distinct(), closed=True)
+    both = knots.join(at.select("traj_id", "t", *[F.col(c).alias(f"c{c}") for c in STAND]), ["traj_id", "t"], "left")
+    both = both.withColumns({f"c{c}": F.coalesce(f"c{c}", F.lit(v)) for c, v in STAND.items()})
+    turn, place = [F.col(f"c{c}") for c in TURN], [F.col(f"c{c}") for c in XYZ]
+    if undo:
+        both, turn = _laid(both, "turn", inverse(turn))
+        both, place = _laid(both, "place", rotate(turn, [-p for p in place]))
+    spun, moved = multiply_quaternions(turn, [F.col(c) for c in TURN]), rotate(turn, [F.col(c) for c in XYZ])
+    values = [*[a + b for a, b in zip(moved, place, strict=True)], *spun]
+    return both.select("traj_id", "t", *[v.alias(c) for v, c in zip(values, STAND, strict=True)])
+
+
+def extend_composition(base: DataFrame, correction: DataFrame, poses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base and correction of a composed curve (knots traj_id, t, x, y, z, qw..qz) that also goes through further poses.
+
+    The correction is carried on with its first and last value to the new ends of the base
+    (it stands still where there was none); the base gets the poses without the correction
+    at their times. A pose at a knot's time takes its place.
+    """
+    fields = list(STAND)
+    all_times = base.select("traj_id", "t").union(poses.select("traj_id", "t"))
+    spans = all_times.groupBy("traj_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    knot = F.struct("t", *fields)
+    ends = correction.groupBy("traj_id").agg(F.min_by(knot, "t").alias("first"), F.max_by(knot, "t").alias("last"))
+    both = spans.join(ends, "traj_id", "left")
+    none = F.col("first").isNull()
+    at = lambda side, end: F.struct(F.col(side).alias("t"), *[F.coalesce(F.col(f"{end}.{c}"), F.lit(v)).alias(c) for c, v in STAND.items()])
+    more = F.array(F.when(none | (F.col("first.t") > F.col("a")), at("a", "first")), F.when((none & (F.col("b") > F.col("a"))) | (F.col("last.t") < F.col("b")), at("b", "last")))
+    added = both.select("traj_id", F.explode(F.array_compact(more)).alias("k")).select("traj_id", "k.*")
+    correction = correction.select("traj_id", "t", *fields).unionByName(added)
+    return upsert_knots(base.select("traj_id", "t", *fields), _composed(correction, poses.select("traj_id", "t", *fields), undo=True)), correction
+
+
+def fold_corrections(base: DataFrame, correction: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The base with the correction at its knots taken in, and a correction that stands still at its times."""
+    still = correction.select("traj_id", "t", *[F.lit(v).alias(c) for c, v in STAND.items()])
+    return _composed(correction, base, undo=False), still
+
+
 class _Sampling:
     """The curve as far as it may still change: the last two kept knots and the provisional one after them."""
 

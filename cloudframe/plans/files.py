@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion
-from cloudframe.plans.oracles import ZERO, r, rs
+from cloudframe.operators import rotations, trajectory
+from cloudframe.plans.oracles import COMPOSED, EVALUATED, ZERO, r, rs
 from cloudframe.sources import captures, clouds, packets, text
 from cloudframe.sources import tables as t
 from cloudframe.sources.shared import shared_dir
@@ -152,3 +154,29 @@ def scanner_returns(spark, sf_dir):
     captures.write_captures(packets.encode(returns.withColumn("azimuth", (F.col("packet") % 360 * 100).cast("int"))), path)
     found = packets.decode(captures.with_numbers(captures.read_capture_ranges(spark, path, split_bytes=20_000)))
     return found.join(events.select(F.col("event_id")), F.col("event_id") == F.col("gps") * 384 + F.col("block") * 32 + F.col("laser"), "left_semi").select(F.col("gps").alias("packet"), "block", "laser", *rounded("azimuth"), *rounded("distance", digits=4), "intensity", "gps")
+
+
+@file_query(EVALUATED)
+def curve_evaluation_file(spark, sf_dir):
+    knots = t.poses(spark, sf_dir)
+    path = _place(spark, "evaluation")
+    text.write_evaluation(rotations.curve_evaluation(knots, trajectory.sample_times(knots, 6)), path)
+    # six digits are written; rounded a little aside of what they leave in the middle
+    digits = {"px": 3, "py": 3, "rw": 4, "rz": 4, "vx": 3, "vy": 3, "wz": 4}
+    return text.read_evaluation(spark, path).select("traj_id", *rounded("t", digits=3), *[(F.round(F.col(c) + 1e-7, d) + 0.0).alias(c) for c, d in digits.items()])
+
+
+@file_query(COMPOSED)
+def composition_folded(spark, sf_dir):
+    """A composed curve that is extended, folded, saved and read back: its base then holds the corrected places itself."""
+    knots = rotations.with_turns(t.poses(spark, sf_dir)).select("traj_id", "t", *rotations.STAND)
+    even = F.floor("t") % 2 == 0
+    correction = knots.groupBy("traj_id").agg(F.array(F.struct(F.min("t").alias("t"), F.lit(0.5).alias("x")), F.struct((F.max("t") + 1).alias("t"), F.lit(0.5).alias("x"))).alias("k"))
+    correction = correction.select("traj_id", F.explode("k").alias("k")).select("traj_id", "k.t", "k.x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(math.cos(0.05)).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(math.sin(0.05)).alias("qz"))
+    base, correction = rotations.extend_composition(knots.where(even), correction, knots.where(~even))
+    folded, still = rotations.fold_corrections(base, correction)
+    path = _place(spark, "composition")
+    text.write_composition(folded, still, folded, path)
+    fields = ["traj_id", "t", *rotations.STAND]
+    found = spark.read.schema(", ".join(f"{c} double" for c in fields)).csv(f"{path}/composition")
+    return found.select(F.col("traj_id").cast("long").alias("traj_id"), *rounded(*fields[1:], digits=5))

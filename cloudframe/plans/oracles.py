@@ -384,3 +384,13 @@ NEXT = (
 ROW = lambda a, d, flag: f"SELECT traj_id, {r(a + 't', 't')}, {r(a + 'x', 'x')}, {r(a + 'y', 'y')}, {r(d + 'x + 1e-9', 'vx')}, {r(d + 'y + 1e-9', 'vy')}, {r(d + 'yaw + 1e-12', 'wz', 9)}, {flag} AS provisional"
 ENDED = "(SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY k DESC) = 1)"
 put("hermite_sampling", "poses", f"{ROW('g', 'h', 'false')} FROM kept WHERE gt IS NOT NULL UNION ALL {ROW('l', 'd', 'false')} FROM {ENDED} UNION ALL {ROW('n', 'f', 'true')} FROM {ENDED} WHERE nt IS NOT NULL", TIMED, f"kept AS ({FIRST} UNION ALL {NEXT})")
+
+# queries of files: a curve's evaluation, and a composition whose correction is a turn by 0.1 and a step of 0.5
+EVERY = f"everything AS (SELECT traj_id, t, x, y, yaw, {SLOPE('x')} AS vx, {SLOPE('y')} AS vy, {SLOPE('yaw')} AS w FROM poses {WINDOW})"
+SPEED = lambda c: f"((6*a*a - 6*a) * {c}0 + (3*a*a - 4*a + 1) * dt * v{c}0 + (6*a - 6*a*a) * {c}1 + (3*a*a - 2*a) * dt * v{c}1) / dt"
+PLACE = lambda c: f"(2*a*a*a - 3*a*a + 1) * {c}0 + (a*a*a - 2*a*a + a) * dt * v{c}0 + (-2*a*a*a + 3*a*a) * {c}1 + (a*a*a - a*a) * dt * v{c}1"
+SIX = lambda value, name, digits: r(f"round({value}, 6) + 1e-7", name, digits)
+put("curve_evaluation_file", "poses", f"SELECT traj_id, {rs('t', digits=3)}, {SIX(PLACE('x'), 'px', 3)}, {SIX(PLACE('y'), 'py', 3)}, {SIX(f'cos(({ANGLE}) / 2)', 'rw', 4)}, {SIX(f'sin(({ANGLE}) / 2)', 'rz', 4)}, {SIX(SPEED('x'), 'vx', 3)}, {SIX(SPEED('y'), 'vy', 3)}, {SIX('(3*(1-a)*(1-a) * w1_ + 6*a*(1-a) * w2_ + 3*a*a * w3_) / dt', 'wz', 4)} FROM parts", SAMPLES, EVERY, segments("x y vx vy yaw w", "everything"), CLOSED, PARTS)
+EVALUATED = SQL.pop("curve_evaluation_file")
+put("composition_folded", "poses", f"SELECT traj_id, {r('t', 't', 5)}, {r('CASE WHEN even THEN x * cos(0.1) - y * sin(0.1) + 0.5 ELSE x END', 'x', 5)}, {r('CASE WHEN even THEN x * sin(0.1) + y * cos(0.1) ELSE y END', 'y', 5)}, {ZERO} AS z, {r('CASE WHEN even THEN cos((yaw + 0.1) / 2) ELSE cos(yaw / 2) END', 'qw', 5)}, {ZERO} AS qx, {ZERO} AS qy, {r('CASE WHEN even THEN sin((yaw + 0.1) / 2) ELSE sin(yaw / 2) END', 'qz', 5)} FROM (SELECT *, floor(t) % 2 = 0 AS even FROM poses)")
+COMPOSED = SQL.pop("composition_folded")

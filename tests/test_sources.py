@@ -98,3 +98,48 @@ def test_clouds(spark, tmp_path):
     head = "VERSION 0.7\nFIELDS x y z intensity\nSIZE 4 4 4 4\nTYPE F F F F\nCOUNT 1 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA binary\n"
     (tmp_path / "3.250000.pcd").write_bytes(head.encode() + np.arange(8, dtype="<f4").tobytes())
     assert [tuple(r) for r in packets.read_clouds(spark, str(tmp_path)).collect()] == [("3.250000", 0, 0, 1, 2, 3), ("3.250000", 1, 4, 5, 6, 7)]
+
+
+def test_curve_evaluation_files(spark, tmp_path):
+    """Headers and lines in the order of time, over several files of one curve, which read back as they were."""
+    from cloudframe.operators import rotations, trajectory
+
+    poses = spark.range(40).select((F.col("id") % 2).alias("traj_id"), F.col("id").cast("double").alias("t"), F.sin("id").alias("x"), F.cos("id").alias("y"), F.lit(0.5).alias("z"), F.lit(0.1).alias("roll"), F.lit(0.0).alias("pitch"), (F.col("id") / 10).alias("yaw"))
+    rows = rotations.curve_evaluation(poses, trajectory.sample_times(poses, 200))
+    path = str(tmp_path / "curve")
+    text.write_evaluation(rows.repartition(3), path)
+    for folder in ("traj_id=0", "traj_id=1"):
+        times = []
+        for file in sorted((tmp_path / "curve" / folder).glob("part-*")):
+            lines = file.read_text().splitlines()
+            assert lines[0] == "t px py pz rw rx ry rz vx vy vz wx wy wz" and len(lines[1].split(" ")) == 14
+            times += [float(line.split(" ")[0]) for line in lines[1:]]
+        assert times == sorted(times) and len(times) == 199
+    back = {(r.traj_id, round(r.t, 3)): r for r in text.read_evaluation(spark, path).collect()}
+    for r in rows.collect():
+        assert np.allclose(tuple(back[r.traj_id, round(r.t, 3)])[:14], tuple(r)[1:], atol=1e-6)
+
+
+def test_composition_is_extended_folded_and_saved(spark, tmp_path):
+    from cloudframe.operators import rigid, rotations
+
+    at = lambda t: rigid.exponential((1.0, 0.2, 0.0), (0.0, 0.1, 0.3), t)
+    kind = "traj_id long, t double, x double, y double, z double, qw double, qx double, qy double, qz double"
+    row = lambda k, t, m: (k, float(t), *map(float, m[1]), *map(float, m[0]))
+    turn = rigid.exponential((0.5, 0.0, 1.0), (0.2, 0.0, 0.0))
+    base = spark.createDataFrame([row(1, t, at(t)) for t in (1, 2, 3)], kind)
+    correction = spark.createDataFrame([row(1, t, turn) for t in (1, 3)], kind)
+    new = spark.createDataFrame([row(1, 5, at(7)), row(1, 0, at(9)), row(2, 4, at(1)), row(2, 6, at(2))], kind)
+    longer, carried_on = rotations.extend_composition(base, correction, new)
+    assert sorted((r.traj_id, r.t) for r in carried_on.collect()) == [(1, 0), (1, 1), (1, 3), (1, 5), (2, 4), (2, 6)]
+    folded, still = rotations.fold_corrections(longer, carried_on)
+    want = {(1, t): rigid.compose(turn, at(t)) for t in (1, 2, 3)} | {(1, 5): at(7), (1, 0): at(9), (2, 4): at(1), (2, 6): at(2)}
+    got = {(r.traj_id, r.t): r for r in folded.collect()}
+    assert set(got) == set(want)
+    for key, motion in want.items():
+        r = got[key]
+        assert np.allclose((r.x, r.y, r.z), motion[1]) and np.isclose(abs(np.dot((r.qw, r.qx, r.qy, r.qz), motion[0])), 1)
+    assert {tuple(r)[2:] for r in still.collect()} == {(0, 0, 0, 1, 0, 0, 0)}
+    text.write_composition(longer, carried_on, folded, str(tmp_path / "c"))
+    assert {p.name for p in (tmp_path / "c").iterdir()} == {"base", "correction", "composition"}
+    assert spark.read.csv(str(tmp_path / "c" / "composition")).count() == 7
