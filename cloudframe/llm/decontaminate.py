@@ -18,6 +18,7 @@ empty tables give an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -123,11 +124,13 @@ class Matcher:
             for i, a, b, other in held:
                 _, item, k = self.items[i]
                 begin = end + 1 - b  # where the item would start
-                if i in best and best[i][0] == 0 or any(abs(begin - t) <= k for t in tried.get(i, ())):
+                starts = tried.setdefault(i, [])
+                near = bisect_left(starts, begin - k)
+                if i in best and best[i][0] == 0 or near < len(starts) and starts[near] <= begin + k:
                     continue
                 if other and not _one_edit(other[0], body, end + 1 if other[1] else begin + a, other[1]):
                     continue
-                tried.setdefault(i, []).append(begin)
+                insort(starts, begin)
                 # wide enough for all starts that are not tried again
                 left = max(0, begin - 2 * k)
                 got = myers(item, body[left : begin + len(item) + 2 * k], k)
