@@ -111,6 +111,21 @@ def solve_tridiagonal(below: np.ndarray, diagonal: np.ndarray, above: np.ndarray
     return d
 
 
+def solve_block_tridiagonal(below: np.ndarray, diagonal: np.ndarray, above: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same for small square blocks (n, k, k); below[0] and above[-1] are not read, right is (n, k)."""
+    n, k = right.shape
+    c, d = np.zeros_like(above), np.zeros((n, k))
+    for i in range(n):
+        pivot, rest = diagonal[i], right[i]
+        if i:
+            pivot, rest = pivot - below[i] @ c[i - 1], rest - below[i] @ d[i - 1]
+        both = np.linalg.solve(pivot, np.column_stack([above[i], rest]))
+        c[i], d[i] = both[:, :k], both[:, k]
+    for i in range(n - 2, -1, -1):
+        d[i] -= c[i] @ d[i + 1]
+    return d
+
+
 def carried(rows: DataFrame, by: str, order: Sequence[str], start: Callable[[Any], Any], schema: str) -> DataFrame:
     """Each sequence's rows in ``order``, sorted by Spark and read in batches; only the state goes from batch to batch.
 

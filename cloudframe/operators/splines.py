@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.operators.ordered import BLOCK, HALO, in_blocks, solve_tridiagonal
+from cloudframe.operators.ordered import BLOCK, HALO, in_blocks, solve_block_tridiagonal, solve_tridiagonal
 
 
 def coefficients(order: int, p0: Column, p1: Column, d: Column, v0: Column | None = None, v1: Column | None = None, a0: Column | None = None, a1: Column | None = None) -> list[Column]:
@@ -146,3 +146,120 @@ def fit_linear(knots: DataFrame, value: str = "x") -> DataFrame:
     order = Window.partitionBy("traj_id").orderBy("t0")
     d = F.col("t1") - F.col("t0")
     return segments(knots, [value]).where("t1 > t0").select("traj_id", (F.row_number().over(order) - 1).cast("long").alias("seg"), d.alias("duration"), ((F.col(f"{value}1") - F.col(f"{value}0")) / d).alias("a1"), F.col(f"{value}0").alias("a0"))
+
+
+def _ends(order: int) -> np.ndarray:
+    """Over [0, 1]: the power coefficients (lowest first) by place, velocity and acceleration at 0 and place, velocity (and of order 5 acceleration) at 1."""
+    k = np.arange(order + 1.0)
+    start = np.diag([1.0, 1.0, 2.0, *[0.0] * (order - 2)])[:3]
+    return np.linalg.inv(np.vstack([start, np.ones(order + 1), k, k * (k - 1)])[: order + 1])
+
+
+def _maps(order: int, h: np.ndarray) -> np.ndarray:
+    """For each duration the matrix from a piece's ends to its coefficients, lowest power first."""
+    scale = np.array([0, 1, 2, 0, 1, 2][: order + 1])
+    return _ends(order) * h[:, None, None] ** (scale[None, None, :] - np.arange(order + 1)[None, :, None])
+
+
+def smallest_pieces(order: int, t: np.ndarray, x: np.ndarray, first: tuple[float, float], last: tuple[float, float]) -> np.ndarray:
+    """Rows [a_n .. a_0] of the pieces of order 4 or 5 through (t, x) with two continuous derivatives and given (velocity, acceleration) at both ends.
+
+    Of all such curves it is the one whose coefficients have the least sum of squares. The
+    unknowns are velocity and acceleration at the inner knots, so places and derivatives
+    meet whatever the solution's rounding; a piece of order 4 has its end's acceleration
+    fixed by the rest, which is a condition with a multiplier beside that knot. One piece of
+    order 4 can't keep both accelerations: it keeps places and velocities.
+    """
+    h, n = np.diff(t), len(t) - 1
+    v, a = np.zeros(n + 1), np.zeros(n + 1)
+    (v[0], a[0]), (v[-1], a[-1]) = first, last
+    maps = _maps(order, h)
+    if order == 4 and n == 1:
+        ends = np.array([x[0], v[0], 0.0, x[1], v[1]])
+        way = maps[0][:, 2]
+        ends[2] = -(way @ (maps[0] @ ends)) / (way @ way)
+        return (maps[0] @ ends)[None, ::-1]
+    squares = np.swapaxes(maps, 1, 2) @ maps
+    places = np.stack([x[:-1], x[1:]], 1)
+    size = 2 if order == 5 else 3
+    right_ends = [4, 5] if order == 5 else [4]
+    # blocks of knots 1 .. n: velocity, acceleration and, for order 4, the multiplier of the piece before; the last knot is known
+    diagonal, above, right = np.zeros((n, size, size)), np.zeros((n, size, size)), np.zeros((n, size))
+    k = len(right_ends)
+    diagonal[:, :k, :k] += squares[:, right_ends][:, :, right_ends]
+    right[:, :k] -= np.einsum("sij,sj->si", squares[:, right_ends][:, :, [0, 3]], places)
+    diagonal[:-1, :2, :2] += squares[1:, 1:3, 1:3]
+    right[:-1, :2] -= np.einsum("sij,sj->si", squares[1:, 1:3][:, :, [0, 3]], places[1:])
+    above[:-1, :2, :k] = squares[1:, 1:3][:, :, right_ends]
+    known = np.array([v[0], a[0]])
+    right[0, :k] -= squares[0][right_ends][:, [1, 2]] @ known
+    if order == 4:
+        # the end's acceleration by the other five ends
+        bend = np.einsum("sk,skj->sj", np.array([0, 0, 2, 6, 12.0]) * h[:, None] ** (np.arange(5.0) - 2), maps)
+        diagonal[:, 0, 2] = diagonal[:, 2, 0] = -bend[:, 4]
+        diagonal[:, 1, 2] = diagonal[:, 2, 1] = 1.0
+        above[:-1, :2, 2] = -bend[1:, 1:3]
+        right[:, 2] = bend[:, 0] * x[:-1] + bend[:, 3] * x[1:]
+        right[0, 2] += bend[0, 1:3] @ known
+    below = np.zeros_like(above)
+    below[1:] = np.swapaxes(above[:-1], 1, 2)
+    # the known velocity and acceleration of the last knot go to the right
+    end = np.array([v[-1], a[-1]])
+    if n > 1:
+        right[-2] -= above[-2][:, :2] @ end
+        above[-2][:, :2] = 0.0
+        below[-1][:2] = 0.0
+    right[-1, 2:] -= diagonal[-1][2:, :2] @ end
+    diagonal[-1][:, :2] = diagonal[-1][:2] = 0.0
+    diagonal[-1][[0, 1], [0, 1]] = 1.0
+    right[-1, :2] = end
+    # units of alike size: accelerations and multipliers of short and long pieces differ by many powers of ten
+    unit = np.ones((n, size))
+    unit[:, :2] = 1 / np.sqrt(np.maximum(np.abs(diagonal[:, [0, 1], [0, 1]]), 1e-300))
+    if order == 4:
+        unit[:, 1] = np.where(diagonal[:, 1, 1] == 0, 1.0, unit[:, 1])
+        unit[:, 2] = 1 / np.maximum(np.abs(bend[:, 4]) * unit[:, 0], unit[:, 1])
+    after = np.vstack([unit[1:], np.ones((1, size))])
+    before = np.vstack([np.ones((1, size)), unit[:-1]])
+    found = solve_block_tridiagonal(below * unit[:, :, None] * before[:, None, :], diagonal * unit[:, :, None] * unit[:, None, :], above * unit[:, :, None] * after[:, None, :], right * unit) * unit
+    v[1:-1], a[1:-1] = found[:-1, 0], found[:-1, 1]
+    ends = np.stack([x[:-1], v[:-1], a[:-1], x[1:], v[1:], a[1:]], 1)[:, : order + 1]
+    return np.einsum("skj,sj->sk", maps, ends)[:, ::-1]
+
+
+def fit(knots: DataFrame, order: int, value: str = "x", block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """(traj_id, seg, duration, a<n>..a0): pieces of order 1 to 5 through each trajectory's knots with as many inner conditions as the order can keep.
+
+    Orders 3 to 5 keep place, velocity and acceleration at the inner knots and, at both ends,
+    the place and what the columns v<value> and a<value> of the first and last knot give (0
+    where they are null or missing; order 3, and one piece of order 4, keep velocities only).
+    What is still free makes the sum of the squared coefficients least. Orders 1 and 2 keep
+    places only and are straight. Of knots at one time the least counts; a trajectory with
+    one knot has no pieces. Long trajectories are solved in blocks with ``halo`` knots of
+    each neighbour, from which wrong ends at the cut die out.
+    """
+    if order not in (1, 2, 3, 4, 5):
+        raise ValueError("orders are 1 to 5")
+    if order < 3:
+        straight = fit_linear(knots.groupBy("traj_id", "t").agg(F.min(value).alias(value)), value)
+        return straight if order == 1 else straight.select("traj_id", "seg", "duration", F.lit(0.0).alias("a2"), "a1", "a0")
+    names = [f"a{k}" for k in range(order, -1, -1)]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        i, n = rows["i"].to_numpy(), int(rows["n"].iloc[0])
+        if n < 2:
+            return pd.DataFrame({c: [] for c in ("traj_id", "seg", "duration", *names)})
+        t, x, v, a = (rows[c].to_numpy(float) for c in ("t", "x", "v", "a"))
+        own = rows["own"].to_numpy(bool)[:-1]
+        # at a cut the mean velocity stands for the one that is not known
+        first = (v[0], a[0]) if i[0] == 0 else ((x[1] - x[0]) / (t[1] - t[0]), 0.0)
+        last = (v[-1], a[-1]) if i[-1] == n - 1 else ((x[-1] - x[-2]) / (t[-1] - t[-2]), 0.0)
+        found = cubic_system(t, x, first[0], last[0]) if order == 3 else smallest_pieces(order, t, x, first, last)
+        return pd.DataFrame({"traj_id": key[0], "seg": i[:-1][own], "duration": np.diff(t)[own], **{c: found[own, k] for k, c in enumerate(names)}})
+
+    given = {p: F.coalesce(F.col(p + value).cast("double"), F.lit(0.0)) if p + value in knots.columns else F.lit(0.0) for p in ("v", "a")}
+    one = F.struct(F.col(value).alias("x"), given["v"].alias("v"), given["a"].alias("a"))
+    single = knots.groupBy("traj_id", "t").agg(F.min(one).alias("k")).select("traj_id", "t", "k.x", "k.v", "k.a")
+    schema = "traj_id long, seg long, duration double, " + ", ".join(f"{c} double" for c in names)
+    return in_blocks(single, "traj_id", ["t"], block=block, halo=halo).groupBy("traj_id", "block").applyInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry as g
-from cloudframe.operators import cluster, filters, growing, nearest, neighbors, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
+from cloudframe.operators import cluster, filters, growing, nearest, neighbors, ordered, ransac, ring, rotations, shape, splines, tracking, trajectory, voxels
 from cloudframe.plans import files, oracles, programs
 from cloudframe.sources import tables as t
 
@@ -436,6 +436,39 @@ def cubic_fit(spark, sf_dir):
     return splines.fit_cubic(t.poses(spark, sf_dir)).select("traj_id", "seg", *r6("duration", "a1", "a0"))
 
 
+def _hours(spark, sf_dir) -> DataFrame:
+    """Poses by hours from their trajectory's start, with a velocity and an acceleration of x that count at both ends."""
+    p = t.poses(spark, sf_dir)
+    start = p.groupBy("traj_id").agg(F.min("t").alias("start"))
+    return p.join(start, "traj_id").select("traj_id", ((F.col("t") - F.col("start")) / 3600).alias("t"), "x", F.lit(0.5).alias("vx"), F.lit(-0.25).alias("ax"))
+
+
+@query
+def quintic_fit(spark, sf_dir):
+    return splines.fit(_hours(spark, sf_dir), 5).select("traj_id", "seg", *r6("duration", "a5", "a4", "a3", "a2", "a1", "a0", digits=5))
+
+
+@query
+def fit_conditions(spark, sf_dir):
+    """For each order and trajectory the pieces, and by how much places, velocities and accelerations miss what they have to meet."""
+    p = _hours(spark, sf_dir)
+    out = None
+    for order in (3, 4, 5):
+        names = [f"a{k}" for k in range(order, -1, -1)]
+        pieces = ordered.beside(splines.fit(p, order), "traj_id", ["seg"], names[-3:], after=1)
+        coefs, d = [F.col(a) for a in names], F.col("duration")
+        value = [splines.polynomial(coefs, d, k) for k in range(3)]
+        # beyond the last piece the given end; order 3 and a single piece of order 4 keep no acceleration there
+        want = [F.col("a0_p1"), F.coalesce("a1_p1", F.lit(0.5)), F.coalesce(2 * F.col("a2_p1"), F.lit(-0.25) if order == 5 else F.when(F.lit(order == 4) & (F.col("seg") > 0), -0.25))]
+        first = [(F.col("a1"), 0.5)] + ([(2 * F.col("a2"), -0.25)] if order == 5 else [])
+        off = [F.abs(v - w) for v, w in zip(value, want, strict=True)]
+        begin = [F.when(F.col("seg") == 0, F.abs(v - w)) for v, w in first]
+        found = pieces.groupBy("traj_id").agg(F.count(F.lit(1)).alias("pieces"), *[F.max(F.coalesce(o, F.lit(0.0))).alias(c) for o, c in zip(off, ("off_place", "off_velocity", "off_acceleration"), strict=True)], F.max(F.greatest(*begin, F.lit(0.0))).alias("off_start"))
+        found = found.withColumn("order", F.lit(order))
+        out = found if out is None else out.unionByName(found)
+    return out.select("order", "traj_id", "pieces", *r6("off_place", "off_velocity", "off_acceleration", "off_start", digits=4))
+
+
 def _vector_curve(spark, sf_dir, derivative, digits):
     knots = trajectory.slopes(t.poses(spark, sf_dir), "xy")
     return splines.vector_curve(knots, t.scan_times(spark, sf_dir), ("x", "y", "yaw"), 5, derivative).select("traj_id", *r6("t"), *r6("x", "y", "yaw", digits=digits))

@@ -180,3 +180,18 @@ def composition_folded(spark, sf_dir):
     fields = ["traj_id", "t", *rotations.STAND]
     found = spark.read.schema(", ".join(f"{c} double" for c in fields)).csv(f"{path}/composition")
     return found.select(F.col("traj_id").cast("long").alias("traj_id"), *rounded(*fields[1:], digits=5))
+
+
+@file_query(f"WITH p AS ({t.SQL['poses']}) SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY t, x, y) - 1 AS i, count(*) OVER (PARTITION BY traj_id) AS n, {rs('x', 'y')}, {r('x', 'at_x')}, {r('y', 'at_y')} FROM p")
+def control_point_files(spark, sf_dir):
+    """Control points of closed splines and the points they are from, out and in again; the curve of the controls read meets the points read."""
+    points = t.poses(spark, sf_dir).select("traj_id", "t", "x", "y")
+    path = _place(spark, "controls")
+    text.write_control_points(trajectory.closed_bspline(points), points, path)
+    found = text.read_control_points(spark, path).withColumn("traj_id", F.col("traj_id").cast("long"))
+    # a control point counts 4/6 at its own knot and 1/6 at those beside it
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6))]))
+    moved = found.where("kind = 'control'").withColumn("s", steps).withColumn("i", F.pmod(F.col("i") + F.col("s.k"), F.col("n")))
+    curve = moved.select("traj_id", "i", "n", *[F.lit(None).cast("double").alias(c) for c in "xy"], *[(F.col("s.w") * F.col(c)).alias(f"at_{c}") for c in "xy"])
+    given = found.where("kind = 'point'").select("traj_id", "i", "n", "x", "y", *[F.lit(None).cast("double").alias(f"at_{c}") for c in "xy"])
+    return curve.unionByName(given).groupBy("traj_id", "i", "n").agg(*[F.sum(c).alias(c) for c in ("x", "y", "at_x", "at_y")]).select("traj_id", "i", "n", *rounded("x", "y", "at_x", "at_y"))

@@ -394,3 +394,9 @@ put("curve_evaluation_file", "poses", f"SELECT traj_id, {rs('t', digits=3)}, {SI
 EVALUATED = SQL.pop("curve_evaluation_file")
 put("composition_folded", "poses", f"SELECT traj_id, {r('t', 't', 5)}, {r('CASE WHEN even THEN x * cos(0.1) - y * sin(0.1) + 0.5 ELSE x END', 'x', 5)}, {r('CASE WHEN even THEN x * sin(0.1) + y * cos(0.1) ELSE y END', 'y', 5)}, {ZERO} AS z, {r('CASE WHEN even THEN cos((yaw + 0.1) / 2) ELSE cos(yaw / 2) END', 'qw', 5)}, {ZERO} AS qx, {ZERO} AS qy, {r('CASE WHEN even THEN sin((yaw + 0.1) / 2) ELSE sin(yaw / 2) END', 'qz', 5)} FROM (SELECT *, floor(t) % 2 = 0 AS even FROM poses)")
 COMPOSED = SQL.pop("composition_folded")
+
+put(
+    "fit_conditions",
+    "poses",
+    f"SELECT CAST(o AS INTEGER) AS \"order\", traj_id, count(DISTINCT t) - 1 AS pieces, {ZERO} AS off_place, {ZERO} AS off_velocity, {ZERO} AS off_acceleration, {ZERO} AS off_start FROM poses, range(3, 6) AS orders(o) GROUP BY o, traj_id HAVING count(DISTINCT t) > 1",
+)

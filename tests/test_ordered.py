@@ -212,3 +212,60 @@ def test_slopes_over_many_ranges(spark, many_ranges, sequences):
             else:
                 want = 2.0 if i == 0 else -3.0
             assert np.isclose(r.vx, want), (periodic, r)
+
+
+def dense_pieces(order, t, x, first, last):
+    """The least coefficients that meet all conditions, by one dense system; and the conditions."""
+    h = np.diff(t)
+    n, m = len(h), order + 1
+
+    def row(piece, u, times):
+        out = np.zeros(n * m)
+        for k in range(times, m):
+            out[piece * m + k] = np.prod(np.arange(k, k - times, -1)) * u ** (k - times)
+        return out
+
+    ends = 3 if 4 * (n - 1) + 6 <= m * n else 2
+    pairs = [(row(at, u, d), w) for at, u, given in ((0, 0.0, (x[0], *first)), (n - 1, h[-1], (x[-1], *last))) for d, w in enumerate(given[:ends])]
+    for s in range(n - 1):
+        pairs += [(row(s, h[s], 0), x[s + 1]), (row(s + 1, 0.0, 0), x[s + 1])]
+        pairs += [(row(s, h[s], d) - row(s + 1, 0.0, d), 0.0) for d in (1, 2)]
+    a, b = (np.array(v) for v in zip(*pairs, strict=True))
+    return np.linalg.lstsq(a, b, rcond=1e-15)[0].reshape(n, m)[:, ::-1], a, b
+
+
+@pytest.mark.parametrize("order", [4, 5])
+@pytest.mark.parametrize("pieces", [1, 2, 3, 40])
+@pytest.mark.parametrize("spread", [(0.5, 2), (0.05, 3)])
+def test_pieces_against_a_dense_system(order, pieces, spread):
+    rng = np.random.default_rng(pieces)
+    t, x = np.cumsum(rng.uniform(*spread, pieces + 1)), rng.normal(size=pieces + 1) * 5
+    got = splines.smallest_pieces(order, t, x, (0.3, 1.0), (-0.2, 0.5))
+    want, a, b = dense_pieces(order, t, x, (0.3, 1.0), (-0.2, 0.5))
+    assert np.abs(a @ got[:, ::-1].ravel() - b).max() < 1e-9
+    assert np.abs(got - want).max() < 1e-6 * np.abs(want).max()
+
+
+@pytest.mark.parametrize("order", [3, 4, 5])
+def test_fits_in_blocks_equal_the_whole(spark, hot, order):
+    knots = hot.withColumns({"vx": F.lit(0.3), "ax": F.when(F.col("traj_id") == 1, 0.5)})
+    names = [f"a{k}" for k in range(order, -1, -1)]
+    fitted = by_key(splines.fit(knots, order, block=100).select("traj_id", "seg", "duration", *names).collect())
+    assert set(fitted) == {1, 2, 3}
+    for k, own in by_key(hot.select("traj_id", "t", "x").collect()).items():
+        if k == 4:
+            continue
+        end = (0.3, 0.5 if k == 1 else 0.0)
+        want = splines.cubic_system(own[:, 0], own[:, 1], 0.3, 0.3) if order == 3 else splines.smallest_pieces(order, own[:, 0], own[:, 1], end, end)
+        assert fitted[k][:, 0].tolist() == list(range(len(own) - 1))
+        assert np.abs(fitted[k][:, 2:] - want).max() <= 1e-7 * np.abs(want).max()
+
+
+def test_fits_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 0.0), (1, 2.0, 4.0), (2, 5.0, 1.0)], "traj_id long, t double, x double")
+    for order, a1 in ((1, 2.0), (2, 2.0), (3, 0.0), (4, 0.0), (5, 0.0)):
+        (found,) = splines.fit(rows, order).collect()
+        assert (found.traj_id, found.seg, found.duration, found.a0, round(found.a1, 12)) == (1, 0, 2.0, 0.0, a1)
+        assert splines.fit(rows.limit(0), order).collect() == []
+    with pytest.raises(ValueError):
+        splines.fit(rows, 6)

@@ -143,3 +143,32 @@ def test_composition_is_extended_folded_and_saved(spark, tmp_path):
     text.write_composition(longer, carried_on, folded, str(tmp_path / "c"))
     assert {p.name for p in (tmp_path / "c").iterdir()} == {"base", "correction", "composition"}
     assert spark.read.csv(str(tmp_path / "c" / "composition")).count() == 7
+
+
+def test_control_points(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(i), *map(float, rng.normal(size=2))) for k, n in ((1, 700), (2, 4), (3, 1)) for i in range(n)]
+    points = spark.createDataFrame(rows, "traj_id long, t double, x double, y double").repartition(3)
+    controls = points.select("traj_id", F.col("t").cast("long").alias("i"), (F.col("x") + 10).alias("px"), (F.col("y") - 10).alias("py"))
+    path = str(tmp_path / "controls")
+    text.write_control_points(controls, points, path)
+    first = sorted((tmp_path / "controls" / "traj_id=2").glob("part-*"))[0].read_text().splitlines()
+    assert first[0] == "4" and len(first[1].split(",")) == 2
+    want = {(k, kind, int(i), x + s, y - s) for k, i, x, y in rows for kind, s in (("control", 10.0), ("point", 0.0))}
+    for size in ("128m", "1000"):  # lines are numbered right where files are cut
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = text.read_control_points(spark, path).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {(r.traj_id, r.kind, r.i, r.x, r.y) for r in found} == want and len(found) == 2 * len(rows)
+        assert {(r.traj_id, r.n) for r in found} == {(1, 700), (2, 4), (3, 1)}
+
+
+def test_control_points_that_do_not_fit_their_count(spark, tmp_path):
+    for name, body in (("short", "2\n1,1\n2,2\n3,3\n"), ("other", "x\n1,1\n2,2\n")):
+        folder = tmp_path / name / "traj_id=1"
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text(body)
+        with pytest.raises(Exception, match="do not fit"):
+            text.read_control_points(spark, str(tmp_path / name)).collect()
