@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudframe.sources.shared import drop_table, shared_dir, write_table
 
-__all__ = ["broadcast_if_small", "drop_table", "let_go", "shared_dir", "small_batches", "table", "text_or_empty", "write_table"]
+__all__ = ["broadcast_if_small", "drop_table", "fresh", "let_go", "shared_dir", "small_batches", "table", "text_or_empty", "write_table"]
 
 _LIBC = ctypes.CDLL(None)
 #: Texts may be long: so many rows at most go to Python at a time.
@@ -26,6 +26,14 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

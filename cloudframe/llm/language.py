@@ -32,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, small_batches, write_table
+from cloudframe.llm.common import small_batches, write_table
+from cloudframe.operators.joins import join_one
 
 SAMPLE_TEXTS, MOST_NUMBERS, LEAST_GRAMS = 500, 6_000_000, 50
 TEMPER = 0.25
+#: Rows of a prior's table that are broadcast.
+MOST_SENT = 100_000
 #: Pseudo-counts of the level above a host or domain, and of a declared language or suffix.
 PRIOR_PAGES, PRIOR_SIGNS = 4.0, 1.0
 _RAW = re.compile(r"<(script|style)\b", re.I)
@@ -86,10 +89,11 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     langs = sorted(r.lang for r in counts)
     if not langs:
         return [], {}, np.zeros((0, 0))
-    # one pass over the texts: about twice the sample by a threshold of the hashed id, then exactly the smallest
+    # one pass over the texts: about twice the sample by a threshold of the hashed id and text, then exactly the smallest; repeated rows count once
     shares = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2.0 * SAMPLE_TEXTS / r["count"])))])
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
-    some = write_table(slim.withColumn("place", place).where(F.col("place") < shares[F.col("lang")] * (1 << 31)), "language-sample")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31))
+    some = slim.withColumn("place", place).where(F.col("place") < shares[F.col("lang")] * (1 << 31))
+    some = write_table(some.dropDuplicates(["lang", "id", "text"]), "language-sample")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
     sample = some.withColumn("n", order).where(F.col("n") <= SAMPLE_TEXTS)
 
@@ -168,16 +172,16 @@ def identify(pages: DataFrame, docs: DataFrame, *, html: str = "html", url: str
 
     def sums(name: str) -> DataFrame:
         each = [F.sum(F.col("p")[i]) for i in range(k)]
-        out = scored.groupBy(F.col(name).alias(f"{name}_key")).agg(F.array(*each).alias(f"{name}_n"))
-        out = write_table(out, f"language-{name}")
-        return broadcast_if_small(out, out.count(), 100_000)
+        return write_table(scored.groupBy(name).agg(F.array(*each).alias(f"{name}_n")), f"language-{name}")
 
     overall = scored.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(k)]).first()
     everything = [float(x) for x in overall]
     pages_in_all = sum(everything) or 1.0
-    out = scored
+    out, rows = scored, scored.count()
     for name in ("host", "domain", "suffix", "declared"):
-        out = out.join(sums(name), F.col(name) == F.col(f"{name}_key"))
+        found = sums(name)
+        # a host of a third of all pages is no hot group: beyond what is broadcast to all, the rows of heavy keys stay where they are
+        out = out.join(F.broadcast(found), name) if found.count() <= MOST_SENT else join_one(out, found, name, rows)
 
     # of each table: its sums without the page itself, and the total of these
     for name in ("host", "domain", "suffix", "declared"):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, drop_table, let_go, small_batches, write_table
+from cloudframe.llm.common import broadcast_if_small, drop_table, fresh, let_go, small_batches, write_table
 from cloudframe.operators.graph import connected_components
 from cloudframe.operators.joins import join_one
 
@@ -225,19 +225,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the one with the smallest id.
 
-    Of rows that repeat both id and text one stays; rows without an id all stay.
+    Of rows that repeat both id and text one stays; rows without an id all stay. Further
+    columns may have any names.
     """
     found = write_table(near_duplicates(docs, text=text, doc_id=doc_id, **options).where("doc_id is not null"), "minhash-found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), docs[doc_id] == F.col("__gone"), "left_anti")
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    name = fresh(docs, "__other")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    stay = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), docs[doc_id] == F.col(name), "left_anti")
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     again = write_table(again, "minhash-again")
     n = again.count()
     if not n:
         return stay
     again = broadcast_if_small(again, n, 1_000_000)
-    repeated = stay.join(again, stay[doc_id] == F.col("__again"), "left_semi").dropDuplicates([doc_id, text])
-    return stay.join(again, stay[doc_id] == F.col("__again"), "left_anti").unionByName(repeated)
+    repeated = stay.join(again, stay[doc_id] == F.col(name), "left_semi").dropDuplicates([doc_id, text])
+    return stay.join(again, stay[doc_id] == F.col(name), "left_anti").unionByName(repeated)
 
 
 def _near_in(left: list[tuple], right: list[tuple], band: int, least: int) -> tuple[np.ndarray, np.ndarray]:

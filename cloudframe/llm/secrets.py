@@ -26,7 +26,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.common import broadcast_if_small, text_or_empty, write_table
+from cloudframe.llm.common import broadcast_if_small, fresh, text_or_empty, write_table
 
 
 @dataclass(frozen=True)
@@ -206,24 +206,34 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.rlike(text, pattern), F.aggregate(steps, start, step)["found"]).otherwise(empty)
 
 
+#: the columns that ``scan`` adds; they take the place of columns of these names
+MARKS = ("secret_base", "secret_spans")
+
+
 def scan(docs: DataFrame, text: str = "text", rules=RULES, base: int = len(BASE_RULES)) -> DataFrame:
-    """``docs`` with ``secret_spans``, an array of (start, rank, end) over all rules by start and rule, and ``secret_base`` of the first ``base`` rules."""
+    """``docs`` with ``secret_spans``, an array of (start, rank, end) over all rules by start and rule, and ``secret_base`` of the first ``base`` rules.
+
+    They take the place of columns of these names; further columns may have any others.
+    """
     index = write_table(build_index(docs, text, rules), "secret-index")
     found = write_table(candidates(index, rules), "secret-candidates")
     rows = found.count()
-    found = found.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_or_empty(docs[text])))
-    joined = keyed.join(broadcast_if_small(found, rows), F.col("__text_key") == F.col("__key"), "left")
+    key, mine, met = (fresh(docs, name) for name in ("__key", "__text_key", "__rules"))
+    found = found.select(F.col("key").alias(key), F.col("rules").alias(met))
+    keyed = docs.withColumn(mine, F.xxhash64(text_or_empty(docs[text])))
+    joined = keyed.join(broadcast_if_small(found, rows), F.col(mine) == F.col(key), "left")
     body = text_or_empty(docs[text])
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     parts = []
     for k, rule in enumerate(rules):
         spans = _spans(body, rule, k)
         if trigram_query(rule.pattern):
-            spans = F.when(F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(1 << k) != 0, spans).otherwise(none)
+            spans = F.when(F.coalesce(F.col(met), F.lit(0)).bitwiseAND(1 << k) != 0, spans).otherwise(none)
         parts.append(spans)
-    joined = joined.withColumns({"secret_base": F.array_sort(F.concat(*parts[:base])), "__more": F.concat(none, *parts[base:])})
-    return joined.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "__more"))).select(*[docs[c] for c in docs.columns], "secret_base", "secret_spans")
+    first, more = fresh(docs, "__base"), fresh(docs, "__more")
+    joined = joined.withColumns({first: F.array_sort(F.concat(*parts[:base])), more: F.concat(none, *parts[base:])})
+    kept = [docs[c] for c in docs.columns if c.lower() not in MARKS]
+    return joined.select(*kept, F.col(first).alias(MARKS[0]), F.array_sort(F.concat(first, more)).alias(MARKS[1]))
 
 
 def digest(spans: str, rules=RULES) -> Column:

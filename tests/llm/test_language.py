@@ -118,3 +118,27 @@ def test_every_labelled_language_takes_part(spark):
     pages = docs.selectExpr("doc_id as page_id", "cast(null as string) as url", "concat(text, ' ', text) as html")
     got = {r.page_id: r.lang for r in L.identify(pages, docs).collect()}
     assert sum(got[i] == n for i, n in enumerate(names)) >= 128
+
+
+def test_texts_without_ids_do_not_swell_the_sample(spark, monkeypatch):
+    held = []
+    keep = L.write_table
+    monkeypatch.setattr(L, "write_table", lambda df, name, **o: held.append((name, keep(df, name, **o))) or held[-1][1])
+    rows = [(None, f"text number {i} with words", "en") for i in range(6000)] + [(7, "the same row", "en")] * 3000
+    L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sample = dict(held)["language-sample"].collect()
+    assert L.SAMPLE_TEXTS <= len(sample) <= 2 * L.SAMPLE_TEXTS
+    assert sum(r.id == 7 for r in sample) <= 1
+
+
+def test_hosts_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html", "url")
+    # one host for two pages of three
+    pages = pages.selectExpr("page_id", "if(page_id % 3 = 0, url, 'http://hot.example.org/') as url", "html")
+    want = {r.page_id: r for r in L.identify(pages, docs).collect()}
+    monkeypatch.setattr(L, "MOST_SENT", 0)
+    monkeypatch.setattr("cloudframe.operators.joins.LEAST_HEAVY", 20)
+    got = {r.page_id: r for r in L.identify(pages, docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i].lang == r.lang and abs(got[i].probability - r.probability) < 1e-9 for i, r in want.items())

@@ -134,3 +134,10 @@ def test_repeated_ids_in_any_order(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
         got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=2).collect()}
         assert got == {d: 10 * (d // 10) for d, _ in rows}
+
+
+def test_names_that_clash(spark):
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(2, body, 1, 2), (1, body, 3, 4), (1, body, 3, 4), (None, "alone", 5, 6)], "doc_id long, text string, __other int, __gone int")
+    kept = sorted((r.doc_id or 0, r["__other"], r["__gone"]) for r in minhash.one_of_each(docs).collect())
+    assert kept == [(0, 5, 6), (1, 3, 4)]

@@ -65,3 +65,11 @@ def test_rule_without_trigrams_scans_fully(spark):
     assert S.trigram_query(rules[-1].pattern) is None
     docs = spark.createDataFrame([(1, "call 555 now"), (2, "none")], "doc_id long, text string")
     assert [[(s.start, s.end) for s in r.secret_spans] for r in S.scan(docs, rules=rules).orderBy("doc_id").collect()] == [[(5, 8)], []]
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "token=abcdefgh", 5, 6, 7, 8, "x"), (2, None, 5, 6, 7, 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __rules int, __key int, __text_key int, `__MORE` int, secret_base string")
+    got = S.scan(docs).orderBy("doc_id").collect()
+    assert [len(r.secret_base) for r in got] == [1, 0]
+    assert got[0].asDict()["__rules"] == 5 and got[1].asDict()["__MORE"] == 8 and len(got[0]) == 8
