@@ -514,6 +514,13 @@ def ring_projection(spark, sf_dir):
     return ring.project(_scan(spark, sf_dir)).select("row", "col", *r6("range"), "point_id", "covered")
 
 
+@query
+def cell_codes(spark, sf_dir):
+    """Cells of the range image as single numbers."""
+    found = ring.project(_scan(spark, sf_dir))
+    return found.select("point_id", g.cell_code(F.col("row"), F.col("col")).alias("code")).select("point_id", *r6("code"))
+
+
 @query
 def indoor(spark, sf_dir):
     return ring.is_indoor(ring.project(_scan(spark, sf_dir)), far=3.0)

@@ -160,6 +160,7 @@ def image(columns: int) -> str:
 
 
 put("ring_projection", "points_small", f"SELECT row, col, {rs('range')}, point_id, covered FROM image", SCAN, image(1800))
+put("cell_codes", "points_small", f"SELECT point_id, {r('row + col / 10000.0', 'code')} FROM image", SCAN, image(1800))
 put("indoor", "points_small", "SELECT count(*) FILTER (range > 3) < 20 AS indoor FROM image", SCAN, image(1800))
 DENSE = f"dense AS (SELECT * FROM points_small WHERE id IN (SELECT a.id FROM points_small a JOIN points_small b ON {D2} < 9.0 GROUP BY 1 HAVING count(*) >= 6))"
 ANGLES = "SELECT id, sqrt(x*x + y*y + z*z) AS range, degrees(atan2(z, sqrt(x*x + y*y))) AS v, CASE WHEN x <> 0 THEN degrees(atan(y / x)) END AS h FROM"
