@@ -3,19 +3,25 @@
 The candidates come from the points with the smallest md5 of their ids, a bounded number
 whatever the input; counting their inliers is one aggregation over all points, and so is
 the least-squares model through the best one's inliers. A found model's points are left out
-by its equation, so no round adds a join, and one pass at the end names each point's model.
+by its equation, so no round adds a join; after a few models what is left is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.sources.shared import drop_table, write_table
+
+#: models whose conditions one plan holds
+WRITE_AFTER = 8
+
 
 @dataclass(frozen=True)
 class Model:
@@ -113,20 +119,36 @@ def extract(points: DataFrame, kind: str, within: float, *, tries: int = 800, le
     """(id, model, m0, ...): models one after another, each from the points left by those before.
 
     Ends when at most ``stop_share`` of the points are left, when a model has fewer than
-    ``least`` points (1 at least) or, if it is given, after ``most_models``.
+    ``least`` points (1 at least) or, if it is given, after ``most_models``. Points without a
+    place take no part. What is left is written after each ``WRITE_AFTER`` models, so neither
+    a round's plan nor what it reads grows with the models before.
     """
-    left, total = points, points.count()
-    n_left, models = total, []
+    base = write_table(points.select("id", "x", "y", "z").where("x is not null and y is not null and z is not null"), "unmodelled")
+    left, total = base, base.count()
+    n_left, models, fresh, parts = total, [], [], []
+
+    def tagged() -> DataFrame:
+        """What was left at the last write, with the first of the models since."""
+        return base.withColumn("model", F.coalesce(*[F.when(m.distance() < within, F.lit(i)) for i, m in fresh], F.lit(None).cast("int")))
+
     while n_left > stop_share * total and (most_models is None or len(models) < most_models):
         found = best_model(left, kind, within, tries, refine)
         if not found or found[1] < max(1, least):
             break
+        fresh.append((len(models), found[0]))
         models.append(found[0])
         left, n_left = left.where(~(found[0].distance() < within)), n_left - found[1]
+        if len(fresh) == WRITE_AFTER:
+            known = write_table(tagged(), "modelled")
+            if not parts:
+                drop_table(base)
+            parts.append(known.where("model is not null").select("id", "model"))
+            base = left = known.where("model is null").drop("model")
+            fresh = []
+    parts.append(tagged().where("model is not null").select("id", "model"))
     names = [f"m{i}" for i in range(4 if kind == "plane" else 6)]
     values = points.sparkSession.createDataFrame([(i, *m.values) for i, m in enumerate(models)], "model int, " + ", ".join(f"{n} double" for n in names))
-    first = F.coalesce(*[F.when(m.distance() < within, F.lit(i)) for i, m in enumerate(models)], F.lit(None).cast("int"))
-    return points.select("id", first.alias("model")).join(F.broadcast(values), "model").select("id", "model", *names)
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(values), "model").select("id", "model", *names)
 
 
 def planes(points: DataFrame, within: float = 0.3, **options) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
-from cloudframe.operators.ordered import BLOCK, HALO, beside, in_blocks, latest, solve_tridiagonal
+from cloudframe.operators.ordered import BLOCK, HALO, beside, in_blocks, latest, numbered, solve_tridiagonal
 
 XYZ = ("x", "y", "z")
 
@@ -191,24 +192,51 @@ def delete_knots(knots: DataFrame, gone: DataFrame, by: str = "traj_id", time: s
 def knots_in_range(knots: DataFrame, start: Column | float, end: Column | float, by: str = "traj_id", time: str = "t") -> DataFrame:
     """From the last knot at or before the start to the first at or after the end."""
     start, end = (v if isinstance(v, Column) else F.lit(float(v)) for v in (start, end))
-    order = Window.partitionBy(by).orderBy(time)
-    before, after = F.lag(time).over(order), F.lead(time).over(order)
-    return knots.withColumn("__a", after).withColumn("__b", before).where((F.coalesce(F.col("__a") > start, F.col(time) >= start)) & (F.coalesce(F.col("__b") < end, F.col(time) <= end))).drop("__a", "__b")
+    near = beside(knots, by, [time], [time], before=1, after=1)
+    after, before = F.col(f"{time}_p1"), F.col(f"{time}_m1")
+    return near.where(F.coalesce(after > start, F.col(time) >= start) & F.coalesce(before < end, F.col(time) <= end)).select(*knots.columns)
 
 
 def knot_statistics(knots: DataFrame, by: str = "traj_id", time: str = "t") -> DataFrame:
     """Per trajectory: knots, first and last time, mean step and mean distance between consecutive knots."""
-    order = Window.partitionBy(by).orderBy(time)
-    d = sum(((F.col(c) - F.lag(c).over(order)) * (F.col(c) - F.lag(c).over(order)) for c in "yz"), (F.col("x") - F.lag("x").over(order)) * (F.col("x") - F.lag("x").over(order)))
-    steps = knots.select(by, time, (F.col(time) - F.lag(time).over(order)).alias("dt"), F.sqrt(d).alias("d"))
+    near = beside(knots.select(by, time, *XYZ), by, [time], [time, *XYZ], before=1)
+    square = [(F.col(c) - F.col(f"{c}_m1")) * (F.col(c) - F.col(f"{c}_m1")) for c in XYZ]
+    steps = near.select(by, time, (F.col(time) - F.col(f"{time}_m1")).alias("dt"), F.sqrt(sum(square[1:], square[0])).alias("d"))
     return steps.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("min_t"), F.max(time).alias("max_t"), F.avg("dt").alias("mean_dt"), F.avg("d").alias("mean_distance"))
 
 
 def sample_by_ratio(knots: DataFrame, ratio: int, by: str = "traj_id", time: str = "t") -> DataFrame:
     """The knots that stay when every ``ratio``-th measurement starts a new knot and the others move the last one."""
-    order = Window.partitionBy(by).orderBy(time)
-    n = F.row_number().over(order)
-    return knots.withColumn("__n", n).withColumn("__m", F.lead(time).over(order)).where((F.col("__n") % ratio == 0) | F.col("__m").isNull()).drop("__n", "__m")
+    return numbered(knots, by, [time]).where(((F.col("i") + 1) % ratio == 0) | (F.col("i") == F.col("n") - 1)).select(*knots.columns)
+
+
+def has_knots(knots: DataFrame, times: DataFrame, tolerance: float = 0.0, by: str = "traj_id", time: str = "t") -> DataFrame:
+    """(by, time, present) of each of ``times``: whether a knot lies within ``tolerance`` of it. Knots and times are merged by ranges, as in ``bracket``."""
+    kind = knots.schema[time].dataType
+    held = knots.select(by, F.col(time).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(kind).alias("__asked"), F.col(time).alias("__knot"))
+    asked = times.select(by, (F.col(time) + tolerance).alias("__t"), F.lit(1).alias("__kind"), F.col(time).alias("__asked"), F.lit(None).cast(kind).alias("__knot"))
+    found = latest(held.unionByName(asked), by, ["__t", "__kind"], "__knot").where("__kind = 1")
+    return found.select(by, F.col("__asked").alias(time), F.coalesce(F.col("__knot") >= F.col("__asked") - tolerance, F.lit(False)).alias("present"))
+
+
+def knots_by_key(knots: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The knots with one of ``keys``; a key without a knot gives a row of nulls, so it is seen."""
+    return keys.select(key).distinct().join(knots, key, "left")
+
+
+def knot_consistency(knots: DataFrame, key: str = "key", by: str = "traj_id", time: str = "t") -> DataFrame:
+    """(by, n, n_keys, n_times, consistent): a trajectory is consistent if each of its knots has a key and a time of its own."""
+    own = knots.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_keys"), F.count_distinct(time).alias("n_times"))
+    return own.withColumn("consistent", (F.col("n") == F.col("n_keys")) & (F.col("n") == F.col("n_times")))
+
+
+def knot_differences(left: DataFrame, right: DataFrame, fields: Sequence[str] = XYZ, tolerance: float = 0.0, by: str = "traj_id", time: str = "t") -> DataFrame:
+    """(by, n_same, n_moved, n_left, n_right) of two knot tables: knots at the same time within ``tolerance`` in all fields or not, and those of one side only."""
+    a = left.select(by, time, F.struct(*fields).alias("__l"))
+    both = a.join(right.select(by, time, F.struct(*fields).alias("__r")), [by, time], "full")
+    near = reduce(Column.__and__, [F.coalesce(F.abs(F.col("__l")[c] - F.col("__r")[c]) <= tolerance, F.col("__l")[c].eqNullSafe(F.col("__r")[c])) for c in fields])
+    paired = F.col("__l").isNotNull() & F.col("__r").isNotNull()
+    return both.groupBy(by).agg(F.count_if(paired & near).alias("n_same"), F.count_if(paired & ~near).alias("n_moved"), F.count_if(F.col("__r").isNull()).alias("n_left"), F.count_if(F.col("__l").isNull()).alias("n_right"))
 
 
 def global_map(scans: DataFrame, poses: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.operators.joins import join_one
 from cloudframe.operators.neighbors import XYZ, meet, square
 
 
@@ -26,6 +27,13 @@ def voxel_blocks(points: DataFrame, leaf: float = 3.0, least: int = 20) -> DataF
     return blocks.withColumns({**centres, "colour": F.pmod(F.xxhash64("vx", "vy", "vz"), F.lit(1 << 24)).cast("int")})
 
 
+def voxel_points(points: DataFrame, leaf: float = 3.0, least: int = 20) -> DataFrame:
+    """``points`` of the voxels with at least ``least`` of them, with their cell: the members of ``voxel_blocks`` as rows, so a full voxel is no long list. Points of heavy voxels stay where they are."""
+    placed = points.where(" and ".join(f"{c} is not null" for c in XYZ)).withColumn("__v", F.struct(*[cell(c, leaf).alias(f"v{c}") for c in XYZ]))
+    counts = placed.groupBy("__v").agg(F.count(F.lit(1)).alias("n"))
+    return join_one(placed, counts.where(F.col("n") >= least).select("__v"), "__v", placed.count(), counts).select(*points.columns, "__v.*")
+
+
 def boxes(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, centre and bounding box of each group."""
     sides = [f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]

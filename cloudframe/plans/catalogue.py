@@ -62,6 +62,11 @@ def voxel_blocks_min20(spark, sf_dir):
     return voxels.voxel_blocks(t.points_large(spark, sf_dir), 10.0).select("vx", "vy", "vz", "n", *r6("cx", "cy", "cz"))
 
 
+@query
+def voxel_members(spark, sf_dir):
+    return voxels.voxel_points(t.points_large(spark, sf_dir), 10.0).select("id", "vx", "vy", "vz")
+
+
 @query
 def bbox_centroid(spark, sf_dir):
     found = voxels.boxes(t.frames(spark, sf_dir), ["frame_id"])
@@ -107,6 +112,17 @@ def wrap_angle(spark, sf_dir):
     return t.frames(spark, sf_dir).select("id", g.wrap_angle(a).alias("a1"), g.wrap_angle(a, second=True).alias("a2")).select("id", *r6("a1", "a2"))
 
 
+@query
+def euler_angles(spark, sf_dir):
+    """Angles to a quaternion, its matrix and back."""
+    turns = g.euler_to_quaternion(*[F.col(a) for a in ("roll", "pitch", "yaw")])
+    q = t.angles(spark, sf_dir).select("id", *[v.alias(n) for n, v in zip(("qw", "qx", "qy", "qz"), turns, strict=True)])
+    axes = [g.rotate_quaternion(*[F.lit(float(i == j)) for j in range(3)], *[F.col(c) for c in ("qw", "qx", "qy", "qz")]) for i in range(3)]
+    back = g.rotation_to_euler([[axes[j][i] for j in range(3)] for i in range(3)])
+    named = q.select("id", "qw", "qx", "qy", "qz", *[v.alias(n) for n, v in zip(("roll", "pitch", "yaw"), back, strict=True)])
+    return named.select("id", *r6("qw", "qx", "qy", "qz", "roll", "pitch", "yaw"))
+
+
 @query
 def spline_basis(spark, sf_dir):
     b = g.spline_basis(F.col("y") / 100)
@@ -195,7 +211,7 @@ def radius_outlier(spark, sf_dir):
 
 @query
 def morphological_ground(spark, sf_dir):
-    return filters.morphological_ground(t.points_small(spark, sf_dir), ((1.0, 1.0), (2.0, 2.0))).select("id", "is_ground")
+    return filters.morphological_ground(t.points_small(spark, sf_dir)).select("id", "is_ground")
 
 
 @query
@@ -353,6 +369,37 @@ def knot_stats(spark, sf_dir):
     return found.select("traj_id", "n", *r6("min_t", "max_t"), *r6("mean_dt", "mean_distance", digits=4))
 
 
+@query
+def knot_lookup(spark, sf_dir):
+    return trajectory.has_knots(t.poses(spark, sf_dir), t.scan_times(spark, sf_dir), 600.0).select("traj_id", *r6("t"), "present")
+
+
+def _keyed(spark, sf_dir) -> DataFrame:
+    """Detections as knots: in a third of the sequences frames come twice, in another keys do."""
+    d = t.detections(spark, sf_dir)
+    kind = F.col("seq_id") % 3
+    return d.select(F.col("seq_id").alias("traj_id"), F.when(kind == 0, F.floor(F.col("frame") / 2)).otherwise(F.col("frame")).alias("t"), F.when(kind == 1, F.col("det_id") % 100).otherwise(F.col("det_id")).alias("key"), "x")
+
+
+@query
+def knot_consistency(spark, sf_dir):
+    return trajectory.knot_consistency(_keyed(spark, sf_dir))
+
+
+@query
+def knots_by_key(spark, sf_dir):
+    knots = _keyed(spark, sf_dir)
+    keys = knots.where("x > 90").select((F.col("key") * 2).alias("key"))
+    return trajectory.knots_by_key(knots, keys).select("key", "traj_id", "t", *r6("x"))
+
+
+@query
+def knot_differences(spark, sf_dir):
+    p = t.poses(spark, sf_dir).select("traj_id", "t", "x", "y")
+    shifted = p.withColumn("t", F.when(F.col("y") < 20, F.col("t") + 0.5).otherwise(F.col("t"))).withColumn("x", F.when(F.col("y") > 70, F.col("x") + 1).otherwise(F.col("x") + 0.25))
+    return trajectory.knot_differences(p, shifted, ("x", "y"), 0.5)
+
+
 @query
 def sampling_policy(spark, sf_dir):
     return trajectory.sample_by_ratio(t.poses(spark, sf_dir).select("traj_id", "t", "x"), 4).select("traj_id", *r6("t", "x"))

@@ -31,6 +31,7 @@ def cells(leaf: float, names=XYZ) -> str:
 put("voxel_downsample", "points_large", f"SELECT {cells(5)}, count(*) AS n, {', '.join(r(f'avg({c})', c) for c in XYZ)} FROM points_large GROUP BY 1, 2, 3")
 put("voxel_downsample_lineitem", "points_keyless", f"SELECT {cells(2)}, count(*) AS n, {', '.join(r(f'avg({c})', c) for c in XYZ)}, {r('avg(intensity)', 'intensity', 3)} FROM points_keyless GROUP BY 1, 2, 3")
 put("voxel_blocks_min20", "points_large", f"SELECT vx, vy, vz, n, {', '.join(r(f'(v{c} + 0.5) * 10', f'c{c}') for c in XYZ)} FROM (SELECT {cells(10)}, count(*) AS n FROM points_large GROUP BY 1, 2, 3) WHERE n >= 20")
+put("voxel_members", "points_large", f"SELECT id, vx, vy, vz FROM (SELECT id, {cells(10)}, count(*) OVER (PARTITION BY floor(x / 10), floor(y / 10), floor(z / 10)) AS n FROM points_large) WHERE n >= 20")
 put("bbox_centroid", "frames", f"SELECT frame_id, count(*) AS n, {', '.join(r(f'{m}({c})', f'{m}_{c}') for c in XYZ for m in ('min', 'max', 'avg'))} FROM frames GROUP BY 1")
 
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
@@ -62,6 +63,7 @@ put(
     "wrap_angle", "frames",
     "SELECT id, " + ", ".join(r(f"CASE WHEN abs(a - 3) < 0.5 THEN {HIGH} WHEN abs(a + 3) < 0.5 THEN CASE WHEN a < -3.1415 THEN {low} ELSE {high} END ELSE a END", n) for n, low, high in (("a1", "-(a + 3.1415)", "a + 3.1415"), ("a2", "a + 3.1415", "-(a + 3.1415)"))) + " FROM (SELECT id, (y - 50) / 15 AS a FROM frames)",
 )
+put("euler_angles", "angles", f"SELECT id, {r('cr * cp * cy + sr * sp * sy', 'qw')}, {r('sr * cp * cy - cr * sp * sy', 'qx')}, {r('cr * sp * cy + sr * cp * sy', 'qy')}, {r('cr * cp * sy - sr * sp * cy', 'qz')}, {rs('roll', 'pitch', 'yaw')} FROM (SELECT *, {', '.join(f'{f}({a} / 2) AS {f[0]}{a[0]}' for f in ('cos', 'sin') for a in ('roll', 'pitch', 'yaw'))} FROM angles)")
 put("spline_basis", "points_large", f"SELECT id, CAST(1 AS DOUBLE) AS b0, {r('(pow(u, 3) - 3 * u * u + 3 * u + 5) / 6', 'b1', 8)}, {r('(-2 * pow(u, 3) + 3 * u * u + 3 * u + 1) / 6', 'b2', 8)}, {r('pow(u, 3) / 6', 'b3', 8)} FROM (SELECT id, y / 100 AS u FROM points_large)")
 TAU = [["pow(u,5)", "pow(u,4)", "pow(u,3)", "u*u", "u", "1"], ["5*pow(u,4)", "4*pow(u,3)", "3*u*u", "2*u", "1", "0"], ["20*pow(u,3)", "12*u*u", "6*u", "2", "0", "0"]]
 put("tau_vectors", "points_large", "SELECT id, " + ", ".join(r(f"CAST({e} AS DOUBLE)", f"d{k}_{i}") for k, row in enumerate(TAU) for i, e in enumerate(row)) + " FROM (SELECT id, y / 100 AS u FROM points_large)")
@@ -81,9 +83,9 @@ RANKED = f"ranked AS (SELECT a.id, b.id AS nid, {D2} AS d2, row_number() OVER (P
 put("statistical_outlier", "points_small", "SELECT id FROM means WHERE d <= (SELECT avg(d) + stddev_samp(d) FROM means)", RANKED, "means AS (SELECT id, avg(sqrt(d2)) AS d FROM ranked WHERE rank <= 61 AND id <> nid GROUP BY 1)")
 put("radius_outlier", "points_small", "SELECT id, count(*) - 1 AS n FROM pairs GROUP BY 1 HAVING count(*) - 1 >= 5", pairs(0.8))
 steps, last = [], "points_small"
-for k, (half, most) in enumerate(((1.0, 1.0), (2.0, 2.0))):
+for k, (half, most) in enumerate(((1.5, 1.0), (2.5, 3.0), (4.5, 5.0), (8.5, 6.0), (16.5, 6.0))):
     box = f"abs(a.x - b.x) <= {half} AND abs(a.y - b.y) <= {half}"
-    steps += [f"low{k} AS (SELECT a.id, a.x, a.y, min(b.z) AS w FROM {last} a JOIN {last} b ON {box} GROUP BY 1, 2, 3)", f"open{k} AS (SELECT a.id, max(b.w) AS w FROM low{k} a JOIN low{k} b ON {box} GROUP BY 1)", f"kept{k} AS (SELECT p.id, p.x, p.y, p.z FROM {last} p JOIN open{k} o USING (id) WHERE p.z - o.w <= {most})"]
+    steps += [f"low{k} AS (SELECT a.id, a.x, a.y, min(b.z) AS w FROM {last} a JOIN {last} b ON {box} GROUP BY 1, 2, 3)", f"open{k} AS (SELECT a.id, max(b.w) AS w FROM low{k} a JOIN low{k} b ON {box} GROUP BY 1)", f"kept{k} AS (SELECT p.id, p.x, p.y, p.z FROM {last} p JOIN open{k} o USING (id) WHERE p.z - o.w < {most})"]
     last = f"kept{k}"
 put("morphological_ground", "points_small", f"SELECT id, id IN (SELECT id FROM {last}) AS is_ground FROM points_small", *steps)
 
@@ -127,6 +129,11 @@ put("knot_upsert", "poses", f"SELECT traj_id, {rs('t', 'x', 'y')} FROM (SELECT t
 put("knot_delete", "poses", f"SELECT traj_id, {rs('t', 'x')} FROM poses WHERE NOT x < 20")
 put("knot_range", "poses", f"SELECT traj_id, {rs('t', 'x')} FROM (SELECT *, lead(t) OVER w AS a, lag(t) OVER w AS b FROM poses {WINDOW}) WHERE coalesce(a > 1704120000, t >= 1704120000) AND coalesce(b < 1704200000, t <= 1704200000)")
 put("knot_stats", "poses", f"SELECT traj_id, count(*) AS n, {r('min(t)', 'min_t')}, {r('max(t)', 'max_t')}, {r('avg(dt)', 'mean_dt', 4)}, {r('avg(d)', 'mean_distance', 4)} FROM (SELECT traj_id, t, t - lag(t) OVER w AS dt, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS d FROM poses {WINDOW}) GROUP BY 1")
+put("knot_lookup", "poses scan_times", f"SELECT traj_id, {rs('t')}, EXISTS (SELECT 1 FROM poses p WHERE p.traj_id = s.traj_id AND p.t >= s.t - 600 AND p.t <= s.t + 600) AS present FROM scan_times s")
+KEYED = "keyed AS (SELECT seq_id AS traj_id, CASE WHEN seq_id % 3 = 0 THEN frame // 2 ELSE frame END AS t, CASE WHEN seq_id % 3 = 1 THEN det_id % 100 ELSE det_id END AS key, x FROM detections)"
+put("knot_consistency", "detections", "SELECT traj_id, count(*) AS n, count(DISTINCT key) AS n_keys, count(DISTINCT t) AS n_times, count(*) = count(DISTINCT key) AND count(*) = count(DISTINCT t) AS consistent FROM keyed GROUP BY 1", KEYED)
+put("knots_by_key", "detections", f"SELECT key, traj_id, t, {r('x', 'x')} FROM (SELECT DISTINCT key * 2 AS key FROM keyed WHERE x > 90) LEFT JOIN keyed USING (key)", KEYED)
+put("knot_differences", "poses", "SELECT coalesce(a.traj_id, b.traj_id) AS traj_id, count(*) FILTER (abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5) AS n_same, count(*) FILTER (abs(a.x - b.x) > 0.5 OR abs(a.y - b.y) > 0.5) AS n_moved, count(*) FILTER (b.t IS NULL) AS n_left, count(*) FILTER (a.t IS NULL) AS n_right FROM poses a FULL JOIN shifted b ON a.traj_id = b.traj_id AND a.t = b.t GROUP BY 1", "shifted AS (SELECT traj_id, CASE WHEN y < 20 THEN t + 0.5 ELSE t END AS t, CASE WHEN y > 70 THEN x + 1 ELSE x + 0.25 END AS x, y FROM poses)")
 put("sampling_policy", "poses", f"SELECT traj_id, {rs('t', 'x')} FROM (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS m FROM poses {WINDOW}) WHERE n % 4 = 0 OR m IS NULL")
 put("global_map", "frames", f"SELECT frame_id, id, {r('x1 * cos(0.05) + z * sin(0.05) + frame_id * 0.5', 'x')}, {r('y1 + 1', 'y')}, {r('z * cos(0.05) - x1 * sin(0.05) + 0.25', 'z')} FROM (SELECT *, x * cos(w) - y * sin(w) AS x1, x * sin(w) + y * cos(w) AS y1 FROM (SELECT *, frame_id % 7 * 0.1 AS w FROM frames))")
 put("file_key_join", "poses scan_times", "SELECT a.traj_id, a.file FROM (SELECT traj_id, format('{:.6f}.pcd', t) AS file FROM (SELECT traj_id, t FROM scan_times UNION ALL SELECT traj_id, t FROM poses)) a JOIN (SELECT traj_id, format('{:.6f}.pcd', t) AS file FROM poses) b USING (traj_id, file)")

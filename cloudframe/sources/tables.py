@@ -43,6 +43,11 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("traj_id"), _seconds().alias("t"), F.col("value").alias("x"), _k().alias("y"), zero.alias("z"), zero.alias("roll"), zero.alias("pitch"), F.radians(_k() - 50).alias("yaw"))
 
 
+def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three angles of each event, between the ends of their ranges."""
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((_k() - 50) / 20).alias("roll"), ((_k() - 40) / 50).alias("pitch"), ((60 - _k()) / 25).alias("yaw"))
+
+
 def scan_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("traj_id"), _seconds().alias("t"))
 
@@ -64,6 +69,7 @@ SQL = {
     "points_keyless": "SELECT l_quantity AS x, 100 * l_discount + CAST(0 AS DOUBLE) AS y, 100 * l_tax + CAST(0 AS DOUBLE) AS z, l_extendedprice AS intensity FROM lineitem",
     "frames": f"SELECT user_id AS frame_id, event_id AS id, value AS x, {_K} AS y, CAST(0 AS DOUBLE) AS z FROM events",
     "poses": f"SELECT user_id AS traj_id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS t, value AS x, {_K} AS y, CAST(0 AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS roll, CAST(0 AS DOUBLE) AS pitch, radians({_K} - 50) AS yaw FROM events WHERE event_type <> 'view'",
+    "angles": f"SELECT event_id AS id, ({_K} - 50) / 20 AS roll, ({_K} - 40) / 50 AS pitch, (60 - {_K}) / 25 AS yaw FROM events",
     "scan_times": "SELECT user_id AS traj_id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS t FROM events WHERE event_type = 'view'",
     "detections": f"SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, event_id AS det_id, value AS x, {_K} AS y FROM events",
 }

@@ -185,6 +185,57 @@ def test_many_models(spark):
     assert ransac.planes(points(spark, stacked), 0.01, least=20, stop_share=0.0, most_models=0).count() == 0
 
 
+def test_models_beyond_one_plan(spark, monkeypatch):
+    """What is left is written in between; the result does not depend on when."""
+    from cloudframe.operators import ransac as module
+
+    stacked = np.vstack([np.column_stack([scattered(40, k)[:, :2], np.full(40, 10.0 * k)]) for k in range(5)])
+    p = points(spark, stacked)
+    found = []
+    for every in (1, 2, 8):
+        monkeypatch.setattr(module, "WRITE_AFTER", every)
+        found.append(sorted(map(tuple, ransac.planes(p, 0.01, tries=3000, least=20, stop_share=0.0).collect())))
+    assert found[0] == found[1] == found[2] and len({r[1] for r in found[0]}) > 2
+
+
+def plain_ground(p, passes):
+    left = {i: tuple(v) for i, v in enumerate(p)}
+    for half, most in passes:
+        def over(values, how, half=half):
+            return {i: how(w for (nx, ny, w) in values.values() if abs(x - nx) <= half and abs(y - ny) <= half) for i, (x, y, _) in values.items()}
+
+        low = over(left, min)
+        opened = over({i: (left[i][0], left[i][1], low[i]) for i in left}, max)
+        left = {i: v for i, v in left.items() if v[2] - opened[i] < most}
+    return set(left)
+
+
+@pytest.mark.parametrize("place", ["scattered", "grid", "one cell"])
+def test_ground_equals_all_pairs(spark, place):
+    """Also where points lie exactly on borders of windows and cells, and where one cell holds a third of them."""
+    rng = np.random.default_rng(12)
+    xy = rng.uniform(-12, 12, (240, 2))
+    if place == "grid":
+        xy = np.round(xy * 2) / 2
+    elif place == "one cell":
+        xy[:80] = rng.uniform(0.1, 0.3, (80, 2))
+    p = np.column_stack([xy, xy[:, 0] * 0.3 + rng.exponential(1.5, 240)])
+    for passes in (filters.progressive_windows(), [(0.3, 0.5), (1.0, 1.0)]):
+        rows = filters.morphological_ground(points(spark, p), passes).collect()
+        assert len(rows) == 240 and {r.id for r in rows if r.is_ground} == plain_ground(p.tolist(), passes)
+    assert filters.morphological_ground(points(spark, p).limit(0)).count() == 0
+
+
+def test_windows_of_the_ground():
+    assert filters.progressive_windows() == [(1.5, 1.0), (2.5, 3.0), (4.5, 5.0), (8.5, 6.0), (16.5, 6.0)]
+
+
+def test_members_of_voxels(spark):
+    p = np.vstack([np.full((1500, 3), 0.5), np.full((3, 3), -0.5), [[0.1, 5.0, 0.0]]])
+    full = voxels.voxel_points(points(spark, p), 1.0, 3)
+    assert {(r.vx, r.vy, r.vz): r.n for r in full.groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 0, 0): 1500, (-1, -1, -1): 3}
+
+
 def test_region_planes(spark):
     wall = np.column_stack([np.full(50, 3.0), scattered(50, 2)[:, :2]])
     p = points(spark, wall)
@@ -275,6 +326,19 @@ def test_knot_edits(spark):
     assert sorted(r.t for r in trajectory.knots_in_range(knots(spark), 1.0, 3.0).collect()) == [1, 3]
 
 
+def test_knot_lookups(spark):
+    asked = spark.createDataFrame([(1, 0.9), (1, 1.2), (1, 2.0), (1, 4.05), (2, 1.0), (1, -0.05)], "traj_id long, t double")
+    for tolerance, want in ((0.1, {0.9, 4.05, -0.05}), (0.0, set()), (1.0, {0.9, 1.2, 2.0, 4.05, -0.05})):
+        assert {r.t for r in trajectory.has_knots(knots(spark), asked, tolerance).collect() if r.present} == want, tolerance
+    keyed = knots(spark).withColumn("key", (F.col("t") * 10).cast("long"))
+    assert [r.t for r in trajectory.knots_by_key(keyed, spark.createDataFrame([(30,), (31,), (30,)], "key long")).orderBy("key").collect()] == [3.0, None]
+    assert trajectory.knot_consistency(keyed).first().consistent
+    for broken in (keyed.withColumn("key", F.lit(1)), keyed.union(keyed.where("t = 3").withColumn("key", F.lit(77))), keyed.withColumn("key", F.when(F.col("t") > 0, F.col("key")))):
+        assert not trajectory.knot_consistency(broken).first().consistent
+    moved = knots(spark).where("t > 0").withColumn("x", F.when(F.col("t") == 3, F.col("x") + 1).otherwise(F.col("x")))
+    assert tuple(trajectory.knot_differences(knots(spark), moved).first()) == (1, 2, 1, 1, 0)
+
+
 def test_tracks_miss_and_compete(spark):
     steady = [(1, f, 100 + f, 0.0, 0.0) for f in range(1, 6)]
     rival = [(1, f, 200 + f, 0.3, 0.0) for f in (3,)]
