@@ -7,8 +7,9 @@ containers that never hold content (menus, headers, footers, sidebars, notices,
 forms, scripts, styles, reader comments; known by tag, role, class or id) are set aside.
 
 A class or id names such a container by its last word that is not mere structure
-(cookie-notice, td-footer-wrapper); names with has-, no- or with- say nothing, and widget
-counts alone only. A header inside a marked region, or of a post or an entry, is content.
+(cookie-notice, td-footer-wrapper, sidebar-widget); names with has-, no- or with- say
+nothing. Names of tools (search, share) hold only where the ratios find no paragraph of
+content in them. A header inside a marked region, or of a post or an entry, is content.
 A name does not hold for an element around the longest marked region (unless longer
 paragraphs stand outside) or around most of the text of its region, or of the page where
 none is marked; a discussion must then also hold all headings.
@@ -17,7 +18,9 @@ Each line's text-to-tag ratio (characters for each tag) is smoothed with a Gauss
 the neighbouring lines, and a threshold (the mean less the deviation's share, never over
 half the mean) parts content lines from the rest. Lines form regions: an article or main
 element where the page marks one, else the whole body. A marked region is kept whole if
-any of its lines is content, so headings and short paragraphs stay. In an unmarked body,
+any of its lines is content, so headings and short paragraphs stay; of several regions
+those are kept whose content lines have half as many characters as those of the one with
+the most, so that teasers marked as articles go. In an unmarked body,
 the content lines (without those that owe their level to their neighbours alone) choose a
 region, the smallest block around them that has more than one line, and it is kept whole,
 with headings right before it. Only menus at its edges are left out: blocks before the
@@ -25,7 +28,8 @@ first or after the last content line whose text is all links.
 
 Defined results: a null or empty page has an empty text; broken or unclosed markup is
 read as far as the parser goes, but a tag cut off by the page's end is left out; null or repeated ids are answered row by row; an empty
-table gives an empty table.
+table gives an empty table. Work grows with the length of a page however deep its
+elements are nested.
 """
 
 from __future__ import annotations
@@ -55,8 +59,10 @@ MARKED = frozenset(("article", "main"))
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot "
     "cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended comment comments "
-    "comments-area commentlist replies reply respond disqus discussion toolbar pagination pager widget copyright hidden disclaimer complementary contentinfo".split()
+    "comments-area commentlist replies reply respond disqus discussion toolbar pagination pager widget copyright hidden disclaimer complementary contentinfo adsbygoogle author-bio more-stories more-articles more-posts".split()
 )
+#: fixed values: names of tools that may also name a part of the text
+TOOLS = frozenset("search share sharing social toolbar pager".split())
 DISCUSSION = frozenset("comment comments comments-area commentlist replies reply respond disqus discussion".split())
 #: fixed values: words that turn a name into a property of what holds it, words after the one that names, and words before header
 MODIFIERS = frozenset("has no not with without".split())
@@ -80,9 +86,9 @@ def set_aside_by(name: str) -> str:
     words = [w for w in _NAME.split(name) if w]
     if not MODIFIERS.isdisjoint(words):
         return ""
-    while len(words) > 1 and (words[-1] in STRUCTURE or words[-1][0].isdigit()):
+    while len(words) > 1 and (words[-1] in STRUCTURE or words[-1] == "widget" or words[-1][0].isdigit()):
         words.pop()
-    if not words or words[-1] not in NEVER_NAMES or (words[-1] == "widget" and len(words) > 1) or (words[-1] == "header" and not OWN_HEADER.isdisjoint(words)):
+    if not words or words[-1] not in NEVER_NAMES or (words[-1] == "header" and not OWN_HEADER.isdisjoint(words)):
         return ""
     return words[-1]
 
@@ -90,11 +96,13 @@ def set_aside_by(name: str) -> str:
 class Named:
     """An element whose name says that it is no content, which may not hold."""
 
-    __slots__ = ("outer", "region", "discussion", "chars", "regions", "headings", "holds")
+    __slots__ = ("outer", "region", "discussion", "tool", "talk", "chars", "has_most", "headings", "prose", "gone")
 
-    def __init__(self, outer: Named | None, region: int, discussion: bool):
-        self.outer, self.region, self.discussion = outer, region, discussion
-        self.chars, self.regions, self.headings, self.holds = 0, set(), 0, True
+    def __init__(self, outer: Named | None, region: int, word: str):
+        self.outer, self.region, self.discussion, self.tool = outer, region, word in DISCUSSION, word in TOOLS
+        self.talk = self.discussion or (outer is not None and outer.talk)  #: it or an element around it
+        self.chars = self.headings = 0
+        self.has_most = self.prose = self.gone = False
 
 
 class Line:
@@ -111,6 +119,8 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int, Named | None, int, int]] = []  #: tag, set aside, marked region, innermost named element, block, outermost list in it
+        self.named: list[Named] = []  #: outer ones first
+        self.count: Counter = Counter()  #: open elements by tag
         self.regions = self.lists = self.links = 0
         self.blocks = [0]  #: the block around each
         self._new_line("")
@@ -120,6 +130,7 @@ class LineParser(HTMLParser):
 
     def _close(self, k: int) -> None:
         self.links -= sum(o[0] == "a" for o in self.open[k:])
+        self.count.subtract(o[0] for o in self.open[k:])
         del self.open[k:]
 
     def _new_line(self, tag: str) -> None:
@@ -147,7 +158,8 @@ class LineParser(HTMLParser):
             skip = tag in NEVER or self._hidden(tag, attrs)
             word = "" if skip else self._word(tag, attrs, region)
             if word:
-                named = Named(named, region, word in DISCUSSION)
+                named = Named(named, region, word)
+                self.named.append(named)
             if tag in MARKED or any(k == "itemprop" and v == "articleBody" for k, v in attrs) or any(k == "role" and v in MARKED for k, v in attrs):
                 if not region:
                     self.regions += 1
@@ -162,6 +174,7 @@ class LineParser(HTMLParser):
             self.blocks.append(block)
             block, in_list = len(self.blocks) - 1, 0
         self.open.append((tag, skip, region, named, block, in_list))
+        self.count[tag] += 1
         if tag in INLINE and skip == self.lines[-1].skip and named is self.lines[-1].named:
             self.lines[-1].tags += 1
         else:
@@ -191,7 +204,7 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         before = self._state()
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
             if self.open[k][0] == tag:
                 self._close(k)
                 break
@@ -216,78 +229,86 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weight
 
 
-def _around(named: Named | None) -> Iterator[Named]:
-    while named is not None:
-        yield named
-        named = named.outer
+def levels(lines: list[tuple[Line, str]]) -> tuple[np.ndarray, float, np.ndarray]:
+    """Ratios of the lines, the threshold, and which lines the smoothed ratios find to be content."""
+    ratio = np.array([len(text) / max(1, line.tags) for line, text in lines])
+    level = smooth(ratio)
+    threshold = min(level.mean() - 0.5 * level.std(), 0.5 * level.mean())
+    return ratio, threshold, level >= threshold
 
 
-def without_named(lines: list[tuple[Line, str]]) -> list[tuple[Line, str]]:
+def without_named(lines: list[tuple[Line, str]], named: list[Named]) -> list[tuple[Line, str]]:
     """The lines outside elements whose name holds."""
+    if not named or not lines:
+        return lines
     # sizes of the page and of its regions without discussions, longest line within them and outside of all regions and names
-    chars, longest, outside, headings, every = Counter(), Counter(), 0, 0, {}
-    for line, text in lines:
-        around = list(_around(line.named))
+    chars, longest, outside, headings = Counter(), Counter(), 0, 0
+    ratio, threshold, content = levels(lines)
+    prose = content & (ratio >= threshold)  #: content of its own, not by its neighbours alone
+    for (line, text), strong in zip(lines, prose.tolist(), strict=True):
         heading = line.tag in HEADINGS
         headings += heading
-        for named in around:
-            every[id(named)] = named
-            named.chars += len(text)
-            named.headings += heading
-            if line.region != named.region:
-                named.regions.add(line.region)
+        own = line.named
+        if own is not None:
+            own.chars += len(text)
+            own.headings += heading
+            own.prose |= strong and line.tag == "p" and line.linked < line.length
         chars[0] += len(text)
         if line.region:
             chars[line.region] += len(text)
-            if not any(named.discussion for named in around):
+            if own is None or not own.talk:
                 longest[line.region] = max(longest[line.region], len(text))
-        elif not around:
+        elif own is None:
             outside = max(outside, len(text))
-    if not every:
-        return lines
     most = max(longest, key=lambda r: (chars[r], -r), default=0)
-    for named in every.values():
-        around_most = most in named.regions and longest[most] >= outside
-        much = 2 * named.chars > chars[named.region] and (named.region > 0 or not most or around_most)
-        named.holds = not (much and named.headings == headings) if named.discussion else not (much or around_most)
-    return [(line, text) for line, text in lines if not any(named.holds for named in _around(line.named))]
+    # whether the longest region begins inside: its lines' names count, and those around them
+    for line, _ in lines:
+        if most and line.region == most and line.named is not None:
+            line.named.has_most = True
+    for n in reversed(named):
+        if n.outer is not None:
+            n.outer.chars += n.chars
+            n.outer.headings += n.headings
+            n.outer.has_most |= n.has_most
+            n.outer.prose |= n.prose
+    for n in named:
+        around_most = n.has_most and n.region == 0 and longest[most] >= outside
+        much = 2 * n.chars > chars[n.region] and (n.region > 0 or not most or around_most)
+        holds = not (much and n.headings == headings) if n.discussion else not (much or around_most or (n.tool and n.prose))
+        n.gone = holds or (n.outer is not None and n.outer.gone)
+    return [(line, text) for line, text in lines if line.named is None or not line.named.gone]
 
 
 def content_block(outer: list[int], lines: list[Line], strong: np.ndarray, content: np.ndarray) -> np.ndarray:
     """Which lines of an unmarked page are in the smallest block around its content lines, or are its headings."""
     core = strong if len(strong) else content
 
-    def path(block: int) -> list[int]:
-        out = [block]
-        while block:
-            block = outer[block]
-            out.append(block)
-        return out[::-1]
-
-    shared = path(lines[core[0]].block)
+    # the block around all of them; an outer block has a smaller number, and ``seen`` lies within ``top``
+    top = lines[core[0]].block
+    seen = {top}
     for k in core[1:]:
-        own = path(lines[k].block)
-        same = 0
-        while same < min(len(shared), len(own)) and shared[same] == own[same]:
-            same += 1
-        shared = shared[:same]
-    within: dict[int, bool] = {0: False}
-
-    def inside(block: int) -> bool:
-        # an outer block has a smaller number
-        todo = []
-        while block not in within and block > top:
-            todo.append(block)
+        block = lines[k].block
+        while block > top and block not in seen:
+            seen.add(block)
             block = outer[block]
-        found = block == top or within.get(block, False)
-        within.update(dict.fromkeys(todo, found))
-        return found
-
-    for top in reversed(shared):
-        within = {}
-        keep = np.array([inside(line.block) for line in lines])
-        if keep.sum() > 1:
-            break
+        while block not in seen and block != top:
+            if top > block:
+                top = outer[top]
+                seen.add(top)
+            else:
+                seen.add(block)
+                block = outer[block]
+    sizes = [0] * len(outer)
+    for line in lines:
+        sizes[line.block] += 1
+    for block in range(len(outer) - 1, 0, -1):
+        sizes[outer[block]] += sizes[block]
+    while top and sizes[top] < 2:
+        top = outer[top]
+    inner = [False] * len(outer)
+    for block in range(top, len(outer)):
+        inner[block] = block == top or inner[outer[block]]
+    keep = np.array([inner[line.block] for line in lines])
     # menus: child blocks, or lists right in the block, without content
     part_of: dict[int, tuple[int, int]] = {}
 
@@ -329,17 +350,17 @@ def main_text(html: str | None) -> str:
         parser.feed(html[at : at + PIECE])
     parser.close()
     lines = [(line, text) for line in parser.lines if not line.skip and (text := " ".join("".join(line.text).split()))]
-    lines = without_named(lines)
+    lines = without_named(lines, parser.named)
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, line.tags) for line, text in lines])
-    level = smooth(ratio)
-    threshold = min(level.mean() - 0.5 * level.std(), 0.5 * level.mean())
-    content = level >= threshold
+    ratio, threshold, content = levels(lines)
     regions = np.array([line.region for line, _ in lines])
     if regions.any():
-        full = {r for r in set(regions.tolist()) - {0} if content[regions == r].any()}
-        keep = np.isin(regions, list(full))
+        sizes = Counter()
+        for r, (_, text), strong in zip(regions.tolist(), lines, content.tolist(), strict=True):
+            sizes[r] += len(text) if strong and r else 0
+        full = [r for r, n in sizes.items() if r and n and 2 * n >= max(sizes.values())]
+        keep = np.isin(regions, full)
     else:
         keep = content_block(parser.blocks, [line for line, _ in lines], np.flatnonzero(content & (ratio >= 0.5 * threshold)), np.flatnonzero(content))
     return " ".join(text for k, (_, text) in zip(keep, lines, strict=True) if k)

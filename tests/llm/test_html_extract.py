@@ -135,3 +135,36 @@ def test_cut_off_markup():
     assert main_text(f"<body><article><p>{LONG}</p>{'<a ' * 50_000}") == LONG
     assert main_text(f"<body><article><p>{LONG} a < b <img src='x") == f"{LONG} a < b"
     assert time.perf_counter() - began < 5
+
+
+def test_other_articles_and_tools(monkeypatch):
+    from cloudframe.llm import html_extract as H
+
+    article = f"<main><article><h1>Head</h1><p>{LONG}</p></article></main>"
+    assert main_text(f'<body>{article}<section class="stories"><article><h3>One more</h3><p>A teaser of it.</p></article></section></body>') == f"Head {LONG}"
+    # parts of alike length are one text
+    assert main_text(f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>") == f"{LONG} {LONG}"
+    for name in ("sidebar-widget", "adsbygoogle", "author-bio", "more-stories", "newsletter-widget"):
+        assert main_text(f'<body><article><p>{LONG}</p><div class="{name}"><p>Not wanted here.</p></div><p>{LONG}</p></article></body>') == f"{LONG} {LONG}", name
+    # a part that is named like a tool and holds a paragraph
+    tools = '<div class="share"><a href="/">Like</a> <a href="/">Send</a></div>'
+    page = f'<body><article><p>{LONG}</p><section class="search"><p>{LONG}</p></section>{tools}<p>{LONG}</p><p>{LONG}</p></article></body>'
+    assert main_text(page) == " ".join([LONG] * 4)
+    # smoothing decides in marked pages too: a note among the links of a tool is none of the text
+    links = "".join(f'<p><a href="/{i}">Go {i}</a></p>' for i in range(6))
+    page = f'<body><article><p>{LONG}</p><p>{LONG}</p><div class="share">{links}<p>A note on how to send this page to friends.</p>{links}</div><p>{LONG}</p></article></body>'
+    assert main_text(page) == " ".join([LONG] * 3)
+    monkeypatch.setattr(H, "smooth", lambda values: values)
+    assert "A note" in main_text(page)
+
+
+def test_depth_costs_no_square():
+    import time
+
+    for depth, began in ((4_000, time.perf_counter()), (30_000, time.perf_counter())):
+        named = '<div class="widget">' * depth + f"<p>{LONG}</p>" + "</div>" * depth
+        main_text(f"<body>{named}<article><p>{LONG}</p></article></body>")
+        deep = "".join(f"<div><p>{LONG[:30]} {i}</p>" for i in range(depth))
+        main_text(f"<body>{deep}</body>")
+        main_text("<body>" + "<div>" * depth + f"<p>{LONG}</p>" + "</section>" * depth)
+        assert time.perf_counter() - began < 15, depth
