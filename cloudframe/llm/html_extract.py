@@ -129,8 +129,9 @@ class LineParser(HTMLParser):
         return self.open[-1][1:] if self.open else (False, 0, None, 0, 0)
 
     def _close(self, k: int) -> None:
-        self.links -= sum(o[0] == "a" for o in self.open[k:])
-        self.count.subtract(o[0] for o in self.open[k:])
+        for tag, *_ in self.open[k:]:
+            self.links -= tag == "a"
+            self.count[tag] -= 1
         del self.open[k:]
 
     def _new_line(self, tag: str) -> None:
@@ -243,8 +244,10 @@ def without_named(lines: list[tuple[Line, str]], named: list[Named]) -> list[tup
         return lines
     # sizes of the page and of its regions without discussions, longest line within them and outside of all regions and names
     chars, longest, outside, headings = Counter(), Counter(), 0, 0
-    ratio, threshold, content = levels(lines)
-    prose = content & (ratio >= threshold)  #: content of its own, not by its neighbours alone
+    prose = np.zeros(len(lines), bool)  #: content of its own, not by its neighbours alone
+    if any(n.tool for n in named):
+        ratio, threshold, content = levels(lines)
+        prose = content & (ratio >= threshold)
     for (line, text), strong in zip(lines, prose.tolist(), strict=True):
         heading = line.tag in HEADINGS
         headings += heading
