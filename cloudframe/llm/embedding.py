@@ -14,7 +14,8 @@
 4. Lists are cut into blocks of queries and of codes. Distances from a query's residual to
    codes are sums of looked-up squares. No code whose looked-up distance less its error is
    within the threshold is left out: the two ends of such pairs are noted for a cell of
-   the block, so that there are no more notes than rows, however many pairs.
+   the block, so that a cell of 256 by 256 pairs gives 512 notes at most; n near copies of
+   one another that are not equal still give notes by the square of n, a 128th of it.
 5. Only noted vectors are read again, cell by cell, for the cosine in double precision. A
    task returns each vector's number of linked copies and no more links than join what
    belongs together, so a group of n near copies never becomes n^2 rows.
