@@ -152,11 +152,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str, k: int
     """The pairs (u, v) whose full shingle sets are similar. v's text is read once for each block of u's."""
     # as many blocks of one v as members in each, so that v's own text is not read too often either
     n = F.count(F.lit(1))
-    size = pairs.groupBy("v").agg(n.alias("n"), F.ceil(n / F.greatest(F.lit(MEMBERS_PER_READ), F.sqrt(n))).cast("int").alias("blocks"))
+    size = write_table(pairs.groupBy("v").agg(n.alias("n"), F.ceil(n / F.greatest(F.lit(MEMBERS_PER_READ), F.sqrt(n))).cast("int").alias("blocks")), "minhash-leads")
     placed = join_one(pairs, size.select("v", "blocks"), "v", pairs.count(), size).withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     members = placed.select(F.col("u").alias("id"), F.col("v").alias("lead"), "block", F.lit(1).alias("role"))
     leads = placed.select(F.col("v").alias("id"), F.col("v").alias("lead"), "block", F.lit(0).alias("role")).distinct()
     needed = write_table(members.union(leads), "minhash-pairs")
+    drop_table(size)
     rows = needed.count()
     texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text")).join(broadcast_if_small(needed, rows, 1_000_000), "id")
     ordered = texts.repartition("lead", "block").sortWithinPartitions("lead", "block", "role").select("lead", "id", "role", "text")
@@ -201,8 +202,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     copies = join_one(named.select("doc_id", "text_key"), classes, "text_key", signed.count(), leaders).where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
 
     in_bands = leaders.select("t", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n > 1")
+    buckets = write_table(in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n > 1"), "minhash-bands")
     members = write_table(join_one(in_bands, buckets.select("band", "first"), "band", bands * leaders.count(), buckets), "minhash-buckets")
+    drop_table(buckets)
 
     pairs = write_table(members.where("t <> first").select(F.col("t").alias("tu"), F.col("first").alias("tv")).distinct(), "minhash-candidates")
     ends = [leaders.select(F.col("t").alias(f"t{x}"), F.col("doc_id").alias(x), F.col("bits").alias(f"b{x}")) for x in "uv"]
@@ -214,7 +216,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     more = _split_links(docs, members, leaders, parts, text, doc_id, shingle_words, percent, n)
     if more is not None:
-        parts = write_table(connected_components(links.union(copies).union(more)), "minhash-parts")
+        if more.count():
+            # what is joined already is so by its smallest ids
+            before, parts = parts, write_table(connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "minhash-parts")
+            drop_table(before)
         drop_table(more)
     for done in (leaders, members, pairs, near, links):
         drop_table(done)
