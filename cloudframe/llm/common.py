@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ __all__ = ["broadcast_if_small", "drop_table", "fresh", "let_go", "shared_dir",
 _LIBC = ctypes.CDLL(None)
 #: Texts may be long: so many rows at most go to Python at a time.
 BATCH_ROWS = 1024
+#: What operators remember from task to task, with how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -38,8 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let_go(*caches: dict) -> None:
-    """Empty a task's caches and give unused memory back: workers live on, and the next stage needs the room."""
+def let_go(*caches: dict, keep: str = "") -> None:
+    """Empty a task's caches and give unused memory back: workers live on, and the next stage needs the room.
+
+    What is remembered from task to task goes too, but for ``keep``.
+    """
+    for name, forget in REMEMBERED.items():
+        if name != keep:
+            forget()
     for cache in caches:
         cache.clear()
     pa.default_memory_pool().release_unused()

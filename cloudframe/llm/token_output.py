@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.llm import chunks
-from cloudframe.llm.common import let_go, small_batches, write_table
+from cloudframe.llm.common import REMEMBERED, let_go, small_batches, write_table
 from cloudframe.llm.wavelet import WaveletMatrix, pack
 
 SHARD_TOKENS = 1 << 18
@@ -138,6 +138,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+REMEMBERED["encoder"] = encoder.cache_clear
+
+
 def build_shards(docs: DataFrame, *, path: str, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The shard files of ``docs``, written to the shared folder."""
     slim = docs.select(docs[doc_id].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
@@ -167,7 +170,7 @@ def build_shards(docs: DataFrame, *, path: str, text: str = "text", doc_id: str
                     seq, offset, size = seq + 1, offset + size, 0
         if docs_held:
             yield close()
-        let_go()
+        let_go(keep="encoder")
 
     return write_table(small_batches(ordered).mapInArrow(run, SHARDS), "token-shards", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
 
@@ -181,6 +184,7 @@ def read_documents(shards: DataFrame, columns: tuple[str, ...] = ("doc_id", "sta
     placed = shards.join(F.broadcast(ranges), "part").select((F.col("base") + F.col("offset")).alias("start"), "doc_ids", "doc_tokens", "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # the chunks that writing remembered
         for b in batches:
             for k in range(b.num_rows):
                 row = {n: b.column(i)[k] for i, n in enumerate(("start", "ids", "tokens", "file"))}

@@ -105,3 +105,16 @@ def test_wavelet_matrix(n):
         assert [m.select(token, k) for k in range(min(20, len(where)))] == where[:20].tolist()
     with pytest.raises(IndexError):
         m.access(n)
+
+
+def test_other_stages_let_go_of_the_encoder():
+    import public_tokenizers
+
+    from cloudframe.llm import token_output
+    from cloudframe.llm.common import let_go
+
+    token_output.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    let_go(keep="encoder")
+    assert token_output.encoder.cache_info().currsize == 1
+    let_go()
+    assert token_output.encoder.cache_info().currsize == 0
