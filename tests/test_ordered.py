@@ -246,6 +246,30 @@ def test_pieces_against_a_dense_system(order, pieces, spread):
     assert np.abs(got - want).max() < 1e-6 * np.abs(want).max()
 
 
+@pytest.mark.parametrize("order", [4, 5])
+@pytest.mark.parametrize("pieces", [2, 3, 40])
+def test_exact_pieces_are_those_of_doubles(order, pieces):
+    rng = np.random.default_rng(pieces)
+    t, x = np.cumsum(rng.uniform(0.5, 2, pieces + 1)), rng.normal(size=pieces + 1) * 5
+    want = splines.smallest_pieces(order, t, x, (0.3, 1.0), (-0.2, 0.5))
+    assert np.abs(splines._exact_pieces(order, np.diff(t), x, (0.3, 1.0), (-0.2, 0.5)) - want).max() < 1e-9 * np.abs(want).max()
+
+
+@pytest.mark.parametrize("order", [4, 5])
+@pytest.mark.parametrize("gap", [1e-5, 1e-9])
+def test_pieces_of_very_unlike_durations(order, gap):
+    """Two knots beside each other among distant ones: in doubles the system of order 5 was singular, that of order 4 left its knots."""
+    t = np.array([0.0, 8.0, 8.0 + gap, 20.0, 31.0, 31.0 + gap, 31.0 + 2 * gap, 40.0])
+    x = np.array([1.0, 5.0, 5.0, -3.0, 2.0, 2.0, 2.0, 7.0])
+    found = splines.smallest_pieces(order, t, x, (0.5, -0.25), (0.5, -0.25))
+    assert np.array_equal(found, splines._exact_pieces(order, np.diff(t), x, (0.5, -0.25), (0.5, -0.25), more_digits=200))
+    h = np.diff(t)
+    for k, name in enumerate(("place", "velocity", "acceleration")):
+        at_end = np.array([np.polynomial.polynomial.polyval(d, np.polynomial.polynomial.polyder(c[::-1], k)) for c, d in zip(found, h, strict=True)])
+        want = found[1:, order - k] * (2 if k == 2 else 1)
+        assert np.abs(at_end[:-1] - want).max() < 1e-4 * (1 + np.abs(want).max()), name
+
+
 @pytest.mark.parametrize("order", [3, 4, 5])
 def test_fits_in_blocks_equal_the_whole(spark, hot, order):
     knots = hot.withColumns({"vx": F.lit(0.3), "ax": F.when(F.col("traj_id") == 1, 0.5)})
