@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
 from cloudframe.sources.packets import FILE_HEADER, PACKET_HEADER
-from cloudframe.sources.ranges import Range, Staging, Written, opened, plan
+from cloudframe.sources.ranges import Range, Ranges, Staging, Written, opened, plan
 
 CHAIN, MOST_GAP, MOST_SPAN, MOST_BYTES = 8, 86_400, 315_360_000, 262_144
 WINDOW, BATCH = 1 << 20, 4096
@@ -48,12 +48,14 @@ class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         return plan(self.options, "*.pcap")
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no files
-            return
+    def read(self, task: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task else ():  # none if there are no files
+            yield from self.part(part)
+
+    def part(self, part: Range) -> Iterator[pa.RecordBatch]:
         with opened(self.options, part) as f:
             source = _Bytes(f, part.size)
             head = source.get(0, FILE_HEADER)
@@ -162,11 +164,16 @@ def read_capture_ranges(spark: SparkSession, path: str, *, pattern: str = "*.pca
     return (reader if split_bytes is None else reader.option("splitBytes", split_bytes)).load(path)
 
 
-def with_numbers(packets: DataFrame) -> DataFrame:
-    """``packets`` with their number in the file, from 0: (file, number, ts_us, length, payload), as ``packets.decode`` takes them. Ranges are counted, and each adds the packets of those before it."""
+def with_numbers(packets: DataFrame, whole: bool = False) -> DataFrame:
+    """``packets`` with their number in the file, from 0: (file, number, ts_us, length, payload), as ``packets.decode`` takes them.
+
+    Ranges are counted, and each adds the packets of those before it; the counts, a row per
+    range, go to all tasks. With ``whole`` numbers go on from file to file in the order of names.
+    """
     sizes = packets.groupBy("file", "split").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("file").orderBy("split")) - F.col("__n")
-    return packets.join(sizes.select("file", "split", before.alias("__before")), ["file", "split"]).select("file", (F.col("__before") + F.col("place")).alias("number"), "ts_us", "length", "payload")
+    order = Window.orderBy("file", "split") if whole else Window.partitionBy("file").orderBy("split")
+    before = F.sum("__n").over(order) - F.col("__n")
+    return packets.join(F.broadcast(sizes.select("file", "split", before.alias("__before"))), ["file", "split"]).select("file", (F.col("__before") + F.col("place")).alias("number"), "ts_us", "length", "payload")
 
 
 def write_captures(packets: DataFrame, path: str) -> None:

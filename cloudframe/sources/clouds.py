@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from cloudframe.sources.ranges import Range, Staging, Written, opened, plan
+from cloudframe.sources.ranges import Range, Ranges, Staging, Written, opened, plan
 
 FIELDS = ("x", "y", "z", "intensity")
 POINTS = "frame_id string, id long, x double, y double, z double, intensity double"
@@ -65,12 +65,14 @@ class CloudReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         return plan(self.options, "*.pcd")
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no files
-            return
+    def read(self, task: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task else ():  # none if there are no files
+            yield from self.part(part)
+
+    def part(self, part: Range) -> Iterator[pa.RecordBatch]:
         frame, before = cloud_name(part.name)
         with opened(self.options, part) as f:
             head = f.read(min(part.size, 65_536))

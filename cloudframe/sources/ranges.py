@@ -15,6 +15,8 @@ import pyarrow.fs as afs
 from pyspark.sql.datasource import InputPartition, WriterCommitMessage
 
 SPLIT_BYTES = 128 << 20
+#: Beyond MANY ranges a task takes consecutive ones together, up to so many bytes, a file counting for OPEN_BYTES at least.
+MANY, TASK_BYTES, OPEN_BYTES = 1_000, 8 << 20, 32 << 10
 
 
 def filesystem(path: str) -> tuple[afs.FileSystem, str]:
@@ -35,18 +37,43 @@ class Range(InputPartition):
         return self.path.rpartition("/")[2]
 
 
-def plan(options: dict, pattern: str) -> list[Range]:
-    """Ranges of all files under ``path`` whose names match: only the listing is read."""
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, parts: list[Range]):
+        super().__init__(None)
+        self.parts = parts
+
+
+def plan(options: dict, pattern: str) -> list[Ranges]:
+    """Ranges of all files under ``path`` whose names match: only the listing is read.
+
+    A task has one range. Of very many short ones it takes those that follow each other, as
+    each task costs the driver time and memory; those of one file are then one longer range.
+    """
     fs, base = filesystem(options["path"])
     info = fs.get_file_info(base)
     found = [info] if info.type == afs.FileType.File else fs.get_file_info(afs.FileSelector(base, recursive=True))
     step = int(options.get("splitbytes", SPLIT_BYTES))
     names = options.get("pattern", pattern)
-    out = []
+    files = []
     for f in sorted(found, key=lambda f: f.path):
         inner = f.path[len(base) :].strip("/").split("/")
         if f.type == afs.FileType.File and fnmatch.fnmatch(f.base_name, names) and not any(p.startswith(("_", ".")) for p in inner):
-            out += [Range(f.path, at, min(at + step, f.size), f.size, k) for k, at in enumerate(range(0, f.size, step))]
+            files.append((f.path, f.size))
+    if sum(-(-size // step) for _, size in files) <= MANY:
+        return [Ranges([Range(path, at, min(at + step, size), size, k)]) for path, size in files for k, at in enumerate(range(0, size, step))]
+    longer = max(1, TASK_BYTES // step) * step
+    out, held = [], TASK_BYTES
+    for path, size in files:
+        for at in range(0, size, longer):
+            part = Range(path, at, min(at + longer, size), size, at // step)
+            cost = max(OPEN_BYTES, part.end - part.begin)
+            if held + cost > TASK_BYTES:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].parts.append(part)
+            held += cost
     return out
 
 

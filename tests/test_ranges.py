@@ -90,6 +90,20 @@ def test_captures_in_ranges(spark, tmp_path, split):
         assert whole == want
 
 
+def test_very_many_short_ranges_are_few_tasks(spark, points, tmp_path):
+    """More ranges than a driver has room for tasks: those that follow each other go together, of one file and of many."""
+    clouds.write_binary_clouds(points, str(tmp_path / "clouds"), file_points=1000)
+    found = clouds.read_binary_clouds(spark, str(tmp_path / "clouds"), split_bytes=64)
+    assert found.rdd.getNumPartitions() <= 2
+    assert cloud_rows(found) == wanted(points)
+    rows = spark.range(3000).select((1_700_000_000_000_000 + F.col("id") * 7919 % 3000).alias("ts_us"), F.concat(F.lit("p"), F.col("id").cast("string")).cast("binary").alias("payload")).repartition(3)
+    captures.write_captures(rows, str(tmp_path / "captures"))
+    packets_found = captures.read_capture_ranges(spark, str(tmp_path / "captures"), split_bytes=50)
+    assert packets_found.rdd.getNumPartitions() <= 2
+    got = sorted((r.number, r.ts_us, bytes(r.payload)) for r in captures.with_numbers(packets_found, whole=True).collect())
+    assert got == [(k, r.ts_us, bytes(r.payload)) for k, r in enumerate(sorted(rows.collect(), key=lambda r: (r.ts_us, bytes(r.payload))))]
+
+
 def test_captures_written_by_many_tasks(spark, tmp_path):
     rows = spark.range(5000).select((1_700_000_000_000_000 + F.col("id") * 7919 % 5000).alias("ts_us"), F.concat(F.lit("p"), F.col("id").cast("string")).cast("binary").alias("payload")).repartition(5)
     captures.write_captures(rows, str(tmp_path / "out"))
