@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import euler_to_quaternion
@@ -134,15 +134,11 @@ def capture_packets(spark, sf_dir):
 
 @file_query("SELECT row_number() OVER (ORDER BY ts, concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)) - 1 AS number, event_id FROM events")
 def capture_numbers(spark, sf_dir):
-    """The packets' numbers in one file."""
+    """The packets' numbers over all files, each going on where the one before ends."""
     path = _place(spark, "captures")
-    rows = _event_packets(spark, sf_dir).repartition(1)
-    captures.write_captures(rows, path)
-    # of several files each one's packets go on where those of the file before end
-    numbered = captures.with_numbers(captures.read_capture_ranges(spark, path, split_bytes=10_000))
-    sizes = numbered.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row per file
-    return numbered.join(before, "file").select((F.col("number") + F.col("before")).alias("number"), F.split_part(F.col("payload").cast("string"), F.lit("|"), F.lit(1)).cast("long").alias("event_id"))
+    captures.write_captures(_event_packets(spark, sf_dir), path)
+    numbered = captures.with_numbers(captures.read_capture_ranges(spark, path, split_bytes=10_000), whole=True)
+    return numbered.select("number", F.split_part(F.col("payload").cast("string"), F.lit("|"), F.lit(1)).cast("long").alias("event_id"))
 
 
 @file_query(f"SELECT event_id // 384 AS packet, CAST(event_id % 384 // 32 AS INTEGER) AS block, CAST(event_id % 32 AS INTEGER) AS laser, {r('event_id // 384 % 360 * 1.0', 'azimuth')}, {r('CAST(floor(value) AS INTEGER) % 60000 * 0.002', 'distance', 4)}, CAST(event_id % 256 AS INTEGER) AS intensity, event_id // 384 AS gps FROM events")
