@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cloudframe.functions.geometry import folded_angle, spherical
 from cloudframe.operators.cluster import rank_rows
+from cloudframe.operators.density import Cells
 from cloudframe.operators.graph import connected_components
-from cloudframe.operators.neighbors import neighbour_counts
+from cloudframe.operators.neighbors import XYZ
+from cloudframe.sources.shared import write_table
 
 COLUMNS = 1800
 
@@ -36,8 +38,13 @@ def angle_range(points: DataFrame) -> DataFrame:
 
 
 def range_image(points: DataFrame, *, r: float = 3.0, least: int = 6, row_step: float = 2.0, col_step: float = 0.2) -> DataFrame:
-    """(row, col, range, point_id, covered) of the points with at least ``least`` points nearer than r; angles count from the smallest."""
-    dense = points.join(neighbour_counts(points, r).where(F.col("n") >= least).select("id"), "id", "left_semi")
+    """(row, col, range, point_id, covered) of the points with at least ``least`` points nearer than r; angles count from the smallest.
+
+    Full cells are decided by their counts, as those of density clusters are, so near pairs are looked at for few points.
+    """
+    cells = Cells(r, XYZ)
+    core, _ = cells.core(write_table(cells.place(points), "range-points"), least)
+    dense = points.join(write_table(core.select("id"), "range-dense"), "id", "left_semi")
     sp = spherical(F.col("x"), F.col("y"), F.col("z"))
     lows = angle_range(dense)  # one row
     cells = dense.select("id", sp["range"].alias("range"), sp["vang"].alias("v"), folded_angle(F.col("x"), F.col("y")).alias("h")).join(F.broadcast(lows))
