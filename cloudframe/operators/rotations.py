@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cloudframe.functions.geometry import euler_to_quaternion, multiply_quaternions, slerp, spline_basis
 from cloudframe.operators import rigid
 from cloudframe.operators.ordered import beside, carried
-from cloudframe.operators.trajectory import XYZ, bracket, hermite, slopes, upsert_knots
+from cloudframe.operators.trajectory import XYZ, bracket, hermite_values, slopes, upsert_knots
 
 TURN = ("qw", "qx", "qy", "qz")
 Vector = Sequence[Column]
@@ -89,7 +89,11 @@ def hermite_turns(knots: DataFrame, times: DataFrame) -> DataFrame:
     The rotation is A exp(b1 w1) exp(b2 w2) exp(b3 w3): w1 and w3 a third of the segment's
     time at the angular velocities of its ends, seen from these; w2 what is left.
     """
-    at = bracket(knots, times, [*TURN, "wx", "wy", "wz"])
+    return _turns_at(bracket(knots, times, [*TURN, "wx", "wy", "wz"]))
+
+
+def _turns_at(at: DataFrame, *more: str) -> DataFrame:
+    """``hermite_turns`` over rows of ``bracket``, with more of their columns."""
     a, dt = F.col("alpha"), F.col("t1") - F.col("t0")
     qa, qb = ([F.col(f"{c}{i}") for c in TURN] for i in (0, 1))
     rows, w1 = _laid(at, "first", rotate(inverse(qa), [dt / 3 * F.col(f"w{c}0") for c in "xyz"]))
@@ -107,7 +111,7 @@ def hermite_turns(knots: DataFrame, times: DataFrame) -> DataFrame:
         # what has turned so far is seen from the new place, and this part turns about its own axis
         rows, local = _laid(rows, f"local{k}", [x + speed[k] * y for x, y in zip(rotate(inverse(part), local), w, strict=True)])
     velocity = [F.try_divide(x, dt) for x in rotate(turn, local)]
-    return rows.select("traj_id", "t", *[x.alias(n) for x, n in zip([*turn, *velocity], (*TURN, "wx", "wy", "wz"), strict=True)])
+    return rows.select("traj_id", "t", *more, *[x.alias(n) for x, n in zip([*turn, *velocity], (*TURN, "wx", "wy", "wz"), strict=True)])
 
 
 def _motion_logarithm(turn: Vector, place: Vector) -> list[Column]:
@@ -207,12 +211,12 @@ def smooth_motions(poses: DataFrame, span: float = 0.4, offsets: Sequence[float]
 def curve_evaluation(knots: DataFrame, times: DataFrame) -> DataFrame:
     """(traj_id, t, px..pz, rw..rz, vx..vz, wx..wz): places, turns and velocities of the Hermite curve through poses at given times, ends included."""
     whole = turn_slopes(slopes(with_turns(knots) if "qw" not in knots.columns else knots))
-    names = lambda df, by: df.select("traj_id", "t", *[F.col(a).alias(b) for a, b in by])
-    places = names(hermite(whole, times), [(c, f"p{c}") for c in XYZ])
-    speeds = names(hermite(whole, times, derivative=1), [(c, f"v{c}") for c in XYZ])
-    turns = names(hermite_turns(whole, times), [*[(c, f"r{c[1]}") for c in TURN], *[(f"w{c}", f"w{c}") for c in XYZ]])
-    both = places.join(turns, ["traj_id", "t"]).join(speeds, ["traj_id", "t"])
-    return both.select("traj_id", "t", "px", "py", "pz", "rw", "rx", "ry", "rz", "vx", "vy", "vz", "wx", "wy", "wz")
+    # one search for the segments serves places, speeds and turns
+    at = bracket(whole, times, [*XYZ, *[f"v{c}" for c in XYZ], *TURN, "wx", "wy", "wz"])
+    places, speeds = [f"p{c}" for c in XYZ], [f"v{c}" for c in XYZ]
+    at = at.withColumns(dict(zip([*places, *speeds], [*hermite_values(XYZ), *hermite_values(XYZ, 1)], strict=True)))
+    turned = _turns_at(at, *places, *speeds)
+    return turned.select("traj_id", "t", *places, *[F.col(c).alias(f"r{c[1]}") for c in TURN], *speeds, "wx", "wy", "wz")
 
 
 STAND = dict(zip((*XYZ, *TURN), (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), strict=True))

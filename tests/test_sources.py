@@ -100,6 +100,12 @@ def test_clouds(spark, tmp_path):
     assert [tuple(r) for r in packets.read_clouds(spark, str(tmp_path)).collect()] == [("3.250000", 0, 0, 1, 2, 3), ("3.250000", 1, 4, 5, 6, 7)]
 
 
+def test_times_asked_twice_are_two_rows_of_a_curve_evaluation(spark):
+    poses = spark.createDataFrame([(1, float(k), float(k * k), 1.0, 0.0, 0.0, 0.0, 0.1 * k) for k in range(5)], "traj_id long, t double, x double, y double, z double, roll double, pitch double, yaw double")
+    times = spark.createDataFrame([(1, 1.5), (1, 1.5), (1, 4.0)], "traj_id long, t double")
+    assert sorted(r.t for r in rotations.curve_evaluation(poses, times).collect()) == [1.5, 1.5, 4.0]
+
+
 def test_curve_evaluation_files(spark, tmp_path):
     """Headers and lines in the order of time, over several files of one curve, which read back as they were."""
     from cloudframe.operators import rotations, trajectory
