@@ -101,6 +101,8 @@ def test_clouds(spark, tmp_path):
 
 
 def test_times_asked_twice_are_two_rows_of_a_curve_evaluation(spark):
+    from cloudframe.operators import rotations
+
     poses = spark.createDataFrame([(1, float(k), float(k * k), 1.0, 0.0, 0.0, 0.0, 0.1 * k) for k in range(5)], "traj_id long, t double, x double, y double, z double, roll double, pitch double, yaw double")
     times = spark.createDataFrame([(1, 1.5), (1, 1.5), (1, 4.0)], "traj_id long, t double")
     assert sorted(r.t for r in rotations.curve_evaluation(poses, times).collect()) == [1.5, 1.5, 4.0]
